@@ -21,12 +21,15 @@ table gives an empty result; very long texts are handled in chunks like all othe
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from jobtide.llm.textvec import slices
 
@@ -42,15 +45,17 @@ LETTER, NUMBER, OTHER, BLANK, SPACE = 0, 1, 2, 3, 4
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    """The class of every code point."""
-    import regex
-
-    table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
-    place = lambda k: k if k < 0xD800 else k + 0x800
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for m in regex.finditer(pattern, every):
-            table[place(m.start()) : place(m.end() - 1) + 1] = kind
+    """The class of every code point. Code points that this Python doesn't know yet are asked of the library."""
+    kinds = {"L": LETTER, "N": NUMBER}
+    table = np.array([kinds.get(unicodedata.category(chr(k))[0], OTHER) for k in range(0x110000)], np.uint8)
+    later = regex.compile(r"[\p{L}\p{N}]+")
+    some = [k for k in np.flatnonzero(table == OTHER).tolist() if not 0xD800 <= k < 0xE000 and later.match(chr(k))]
+    cut = ByteLevel(add_prefix_space=False, use_regex=True)
+    for kind, sign in ((LETTER, "a"), (NUMBER, "1")):
+        shown = "".join(f"{sign}{chr(k)}\n" for k in some)
+        starts = np.zeros(len(shown), bool)
+        starts[[span[0] for _, span in cut.pre_tokenize_str(shown)]] = True
+        table[[k for i, k in enumerate(some) if not starts[3 * i + 1]]] = kind
     table[list(WHITE)] = BLANK
     table[32] = SPACE
     return table
