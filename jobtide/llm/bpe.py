@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from jobtide.llm.textvec import slices
+from jobtide.llm.textvec import slices, with_text
 
 #: A task's memory of words starts anew beyond so many entries.
 MEMORY = 1 << 19
@@ -166,7 +166,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: bool = False) -> DataFrame:
     """``keep``, n_tokens, ids_sha256, decoded_sha256; with ``outputs`` also ids and decoded."""
-    rows = docs.select(*keep, docs[text].alias("text"))
+    rows = with_text(docs, text, keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     extra = ", ids array<int>, decoded string" if outputs else ""
 

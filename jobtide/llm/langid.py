@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.textvec import LOWER, slices
+from jobtide.llm.textvec import LOWER, slices, with_text
 
 BUCKETS = 4096
 PENALTY = 3.0
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """``keep``, lang_pred, score (share of that language), mixture (``lang:share`` of the chosen set, largest first)."""
     langs, logp = model
     spec = docs.sparkSession.sparkContext.broadcast((langs, logp))  # at most MOST_LANGUAGES * BUCKETS floats
-    rows = docs.select(*keep, docs[text].alias("text"), _has_letter(docs[text]).alias("_letter"))
+    rows = with_text(docs.withColumn("_letter", _has_letter(docs[text])), text, keep, "_letter")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         prob = np.exp(logp)
         for batch, data, offsets in slices(batches, most=1 << 20):
             counts = _counts(data, offsets).astype(np.float32)
-            letters = batch.column(len(keep) + 1).to_pylist()
+            letters = batch.column(batch.num_columns - 1).to_pylist()
             pred, score, mixed = [], [], []
             if langs:
                 single = counts @ logp.T.astype(np.float32)

@@ -37,9 +37,9 @@ def n_words(text: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def targets(blocks: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Per source: source_size, weight, target. One row a source; closed form of the repeated resharing."""
-    per = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    per = blocks.groupBy("skey").agg(F.sum("words").alias("source_size"))
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(W.orderBy("skey")) - 1) % len(weights) + 1).cast("int")))
     per = per.withColumn("level", F.lit(float(cap)) * F.col("source_size") / F.col("weight"))
     order, later = W.orderBy("level", "skey"), W.orderBy(F.desc("level"), F.desc("skey"))
@@ -77,13 +77,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
         F.md5(F.concat_ws("/", F.lit("mix"), ids)).alias("shuffle_key"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     ).withColumn("block", F.substring("shuffle_key", 1, 2))
-    if not carry:
-        rows = checkpointed(rows)  # five narrow columns: the texts are read and split once
-    goal = targets(rows)
+    blocks = checkpointed(rows.groupBy("skey", "block").agg(F.sum("size").alias("words")))  # at most BLOCKS rows a source
+    goal = targets(blocks)
     quota = F.floor(F.col("target") + 0.5).cast("long")
     goal = goal.withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", quota - F.col("rounds") * F.col("source_size"))
-    blocks = rows.groupBy("skey", "block").agg(F.sum("size").alias("words"))
     order = W.partitionBy("skey").orderBy(F.md5(F.concat_ws("/", F.lit("block"), "skey", "block")), "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)).cast("long"))
     blocks = checkpointed(blocks.join(goal, "skey").withColumn("again", F.col("before") < F.col("rest")))

@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from jobtide.llm.langid import crc_mod
-from jobtide.llm.textvec import slices, span_hashes, word_spans
+from jobtide.llm.textvec import slices, span_hashes, with_text, word_spans
 
 PASSAGE = 512
 TRAIN_ROWS = 1500
@@ -165,7 +164,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """At most ``rows`` labelled texts a class, those with the smallest hash of their id."""
     known = labels.filter(labels[label].isin(0, 1)).select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("label"))
     known = known.withColumn("_h", F.md5(F.concat(F.lit("quality/"), F.col("_id").cast("string"))))
-    chosen = known.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy("_h", "_id"))).filter(F.col("_r") <= rows)
+    least = [known.filter(F.col("label") == value).orderBy("_h", "_id").limit(rows) for value in (0, 1)]
+    chosen = least[0].unionByName(least[1])
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text"))
     return texts.join(F.broadcast(chosen), "_id").select("text", "label")  # 2 * rows ids
 
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score, predicted, n_passages, top_passage (the passage with most attention)."""
     spec = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    rows = docs.select(*keep, docs[text].alias("text"))
+    rows = with_text(docs, text, keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Texts are taken in slices of about this many bytes, so that temporaries stay small; a longer text is its own slice.
 SLICE_BYTES = 4 << 20
@@ -31,6 +32,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def with_text(docs: DataFrame, text: str, keep: tuple[str, ...], *more: str) -> DataFrame:
+    """The columns to keep, then the text as ``text`` unless it is kept anyway, then ``more``."""
+    own = [] if "text" in keep and text == "text" else [docs[text].alias("text")]
+    return docs.select(*keep, *own, *more)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of the batches with the bytes and offsets of their texts."""
     for batch in batches:
