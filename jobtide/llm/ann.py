@@ -91,6 +91,14 @@ def valid(vectors: DataFrame, vec: str, ident: str) -> DataFrame:
     return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
+def _first(ask: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of largest value of each asker, ties to the smaller ``tie``: askers, carried, values."""
+    order = np.lexsort((tie, -value, ask))
+    ask, value, carried = ask[order], value[order], carried[order]
+    place = np.arange(len(ask)) - np.searchsorted(ask, ask)
+    return ask[place < k], carried[place < k], value[place < k]
+
+
 def _search(index: DataFrame, queries: DataFrame, k: int, n: int, longest: float, lift: bool, tables: int, probes: int | None) -> DataFrame:
     salts, query_salts = -(-n // SALT_ROWS) or 1, -(-n // (20 * QUERY_SALT_ROWS)) or 1
 
@@ -133,36 +141,40 @@ def _search(index: DataFrame, queries: DataFrame, k: int, n: int, longest: float
                         )
 
     def ranked(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(q) and len(x):
-            t = int(key[0])
-            unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
-            xv, xc = unpack(x["v"], float), unpack(x["codes"], "<i2")
-            ids = x["ids"].tolist()
-            first_id = np.array([i[0] for i in ids])
-            wide = 2 << max(0, (xv.shape[1] + int(lift) - 1).bit_length())
-            for a in range(0, len(q), 256):
-                part = q.iloc[a : a + 256]
-                qv, qc = unpack(part["v"], float), unpack(part["codes"], "<i2").reshape(len(part), -1 if probes is None else tables, wide if probes is None else min(probes, wide))
-                meets = np.zeros((len(part), len(x)), bool)
-                for table in range(t + 1):
-                    probe = np.zeros((len(part), wide), bool)
-                    probe[np.arange(len(part))[:, None], qc[:, table]] = True
-                    hit = probe[:, xc[:, table]]
-                    meets = hit & ~meets if table == t else meets | hit
-                value = np.where(meets, qv @ xv.T, -np.inf)
-                for row, query in enumerate(part["query_id"].to_numpy()):
-                    v = value[row]
-                    most = min(k + 1, len(v))
-                    at = np.flatnonzero(v >= np.partition(v, len(v) - most)[len(v) - most])
-                    at = at[np.isfinite(v[at])]
-                    at = at[np.lexsort((first_id[at], -v[at]))][: k + 1]
-                    pairs = [(i, v[j]) for j in at for i in ids[j] if i != query]
-                    pairs = sorted(pairs, key=lambda p: (-p[1], p[0]))[:k]
-                    if pairs:
-                        out.append((np.full(len(pairs), query), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(q) or not len(x):
+            return empty
+        t = int(key[0])
+        unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
+        xv, xc = unpack(x["v"], float), unpack(x["codes"], "<i2")
+        qv, qid = unpack(q["v"], float), q["query_id"].to_numpy()
+        wide = 2 << max(0, (xv.shape[1] + int(lift) - 1).bit_length())
+        probe = np.zeros((t + 1, len(q), wide), bool)
+        for table, axis in enumerate(unpack(q["codes"], "<i2").reshape(len(q), -1, min(probes or wide, wide)).swapaxes(0, 1)[: t + 1]):
+            probe[table, np.arange(len(q))[:, None], axis] = True
+        ids, sizes = np.concatenate(x["ids"].to_list()), x["ids"].map(len).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        found = []
+        for axis in np.unique(xc[:, t]):  # only what meets on an axis is multiplied
+            rows = np.flatnonzero(xc[:, t] == axis)
+            asking = np.flatnonzero(probe[t, :, axis])
+            for part in (asking[k : k + 256] for k in range(0, len(asking), 256)):
+                value = qv[part] @ xv[rows].T
+                for table in range(t):
+                    value[probe[table][part][:, xc[rows, table]]] = -np.inf  # scored in an earlier table
+                last = np.partition(value, max(0, len(rows) - k - 1), axis=1)[:, max(0, len(rows) - k - 1)]
+                at = np.nonzero((value >= last[:, None]) & (value > -np.inf))
+                found.append((part[at[0]], rows[at[1]], value[at]))
+        if not found:
+            return empty
+        ask, row, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        ask, row, value = _first(ask, value, ids[starts[row]], k + 1, row)
+        times = sizes[row]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        near, ask, value = ids[np.repeat(starts[row], times) + inner], np.repeat(ask, times), np.repeat(value, times)
+        other = near != qid[ask]
+        ask, near, value = _first(ask[other], value[other], near[other], k, near[other])
+        return pd.DataFrame({"query_id": qid[ask], "vec_id": near, "score": value})
 
     keys = ["table", "part", "salt", "qsalt"]
     head = "table int, part int, salt int, qsalt int, v binary, codes binary"
