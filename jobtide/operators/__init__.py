@@ -1 +1 @@
-"""Relational operators: every one is ``f(df..., params) -> DataFrame``."""
+"""Operators: every one is ``f(df..., params) -> DataFrame``."""
