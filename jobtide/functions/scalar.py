@@ -49,20 +49,28 @@ def normalize_date(s: Column | str) -> Column:
     return F.when(s.isin(OPEN_END, "Present", "现在", "Current"), F.lit(OPEN_END)).when(year != "", year).otherwise(s)
 
 
+#: The date range patterns in the order in which they are tried.
+DATE_RANGES = (
+    r"(?i)(20\d{2})[.\-/年](\d{1,2})?\s*[\-–~]\s*(20\d{2})?[.\-/年]?(\d{1,2}|至今|Present)?",
+    r"(?i)(20\d{2})\s*[\-–~]\s*(20\d{2}|至今|Present)",
+    r"(20\d{2})年(?:\d{1,2}月)?\s*[\-–~]\s*(?:(20\d{2})年)?(?:至今)?",
+)
+
+
 def date_range(s: Column | str) -> Column:
-    """Struct(start, end) of the first of three patterns that matches; an end that is no year and not open is ''."""
-    s = col(s)
-    patterns = [
-        (r"(20\d{2})[.\-/年](\d{1,2})月?\s*[-–—~至到]+\s*(20\d{2}|至今|Present|现在|Current)[.\-/年]?(\d{1,2})?", 1, 4),
-        (r"(20\d{2})\s*[-–—~至到]+\s*(20\d{2}|至今|Present|现在|Current)", 1, 2),
-        (r"(20\d{2})", 1, 0),
+    """Struct(start, end) of the first pattern that matches; an end that is no year and not open is ''."""
+    s = F.coalesce(col(s), F.lit(""))
+    group = lambda k, n: F.coalesce(F.regexp_extract(s, DATE_RANGES[k], n), F.lit(""))
+    late = F.when(group(0, 4) != "", group(0, 4)).otherwise(group(0, 3))
+    ends = [
+        F.when(late.isin(OPEN_END, "Present"), F.lit(OPEN_END)).when(F.regexp_like(late, F.lit(r"^20\d{2}")), late).otherwise(F.lit("")),
+        F.when(group(1, 2).isin(OPEN_END, "Present"), F.lit(OPEN_END)).otherwise(group(1, 2)),
+        group(2, 2),
     ]
     start, end = F.lit(""), F.lit("")
-    for pattern, a, b in reversed(patterns):
-        hit = F.regexp_like(s, F.lit(pattern))
-        last = F.regexp_extract(s, pattern, b) if b else F.lit("")
-        last = F.when(last.isin(OPEN_END, "Present", "现在", "Current"), F.lit(OPEN_END)).when(F.regexp_like(last, F.lit(r"^20\d{2}$")), last).otherwise(F.lit(""))
-        start, end = F.when(hit, F.regexp_extract(s, pattern, a)).otherwise(start), F.when(hit, last).otherwise(end)
+    for k in (2, 1, 0):
+        hit = F.regexp_like(s, F.lit(DATE_RANGES[k]))
+        start, end = F.when(hit, group(k, 1)).otherwise(start), F.when(hit, ends[k]).otherwise(end)
     return F.struct(start.alias("start"), end.alias("end"))
 
 
