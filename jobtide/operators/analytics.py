@@ -113,12 +113,11 @@ def weekly_trend(applications: DataFrame, as_of: str, time_range: str = "3m") ->
     return rows.select("*", rate("interviews", "applications", 4, 0).alias("interview_rate"), rate("offers", "interviews", 4, 0).alias("offer_rate"))
 
 
-def trend_direction(trend: DataFrame) -> DataFrame:
+def trend_direction(trend: DataFrame, time_range: str) -> DataFrame:
     """Per user: mean interview rate of the last four buckets with applications against the first four."""
-    last = F.max("bucket").over(W.partitionBy())
-    rows = trend.select("user_id", "bucket", "applications", "interview_rate", last.alias("last")) if "last" not in trend.columns else trend
+    last = RANGE_DAYS[time_range] // 7
     mean = lambda cond: F.avg(F.when(cond & (F.col("applications") > 0), F.col("interview_rate")))
-    rows = rows.groupBy("user_id").agg(mean(F.col("bucket") > F.col("last") - 4).alias("recent"), mean(F.col("bucket") < 4).alias("early"))
+    rows = trend.groupBy("user_id").agg(mean(F.col("bucket") > last - 4).alias("recent"), mean(F.col("bucket") < 4).alias("early"))
     direction = F.when(F.col("recent") > F.col("early") * 1.1, "improving").when(F.col("recent") < F.col("early") * 0.9, "declining").otherwise("stable")
     return rows.select("user_id", direction.alias("direction"))
 

@@ -109,7 +109,7 @@ def agg8_weekly_trend(v: Views) -> DataFrame:
 SELECT user_id, avg(CASE WHEN bucket > 48 AND applications > 0 THEN interview_rate END) AS recent, avg(CASE WHEN bucket < 4 AND applications > 0 THEN interview_rate END) AS early FROM w GROUP BY 1)
 SELECT user_id, CASE WHEN recent > early * 1.1::DOUBLE THEN 'improving' WHEN recent < early * 0.9::DOUBLE THEN 'declining' ELSE 'stable' END AS direction FROM m""")
 def agg9_trend_direction(v: Views) -> DataFrame:
-    return A.trend_direction(A.weekly_trend(v.applications, AS_OF, "1y").withColumn("last", F.lit(RANGE_DAYS["1y"] // 7)))
+    return A.trend_direction(A.weekly_trend(v.applications, AS_OF, "1y"), "1y")
 
 
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY conversion_rate DESC, channel)::INTEGER AS rank FROM (SELECT *, {_r('interviews', 'applications', 4, None)} AS conversion_rate FROM ({CHANNELS}))"
