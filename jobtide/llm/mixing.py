@@ -28,6 +28,7 @@ from jobtide.session import checkpointed
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SHARDS = 1.5, 2, 16
 BLOCKS = 256  # two hexadecimal digits
+BROADCAST_ROWS = 65_536  # a larger block table is joined by shuffle
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -85,6 +86,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     order = W.partitionBy("skey").orderBy(F.md5(F.concat_ws("/", F.lit("block"), "skey", "block")), "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)).cast("long"))
     blocks = checkpointed(blocks.join(goal, "skey").withColumn("again", F.col("before") < F.col("rest")))
+    small = blocks.count() <= BROADCAST_ROWS
     draws = blocks.select(
         "skey", "block", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda d: d <= F.col("rounds") + F.when(F.col("again"), 1).otherwise(0))).alias("draw")
     )
@@ -93,7 +95,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     )
     blocks = blocks.join(dealt, ["skey", "block"], "left")
     edge = F.col("again") & (F.col("before") + F.col("words") > F.col("rest"))
-    joined = rows.join(blocks.withColumn("edge", edge), ["skey", "block"])
+    blocks = blocks.withColumn("edge", edge)
+    joined = rows.join(F.broadcast(blocks) if small else blocks, ["skey", "block"])  # texts stay where they are
     inside = W.partitionBy("skey", "block").orderBy("shuffle_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     at_edge = joined.filter("edge").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at_edge = at_edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead")
