@@ -1,12 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 All n-grams (n = 1, 2) of all training texts are counted; counts are quantised on a log scale, and for a count of level
-q the entries (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. Workers get the filter by broadcast and read a
-count back by probing level after level until one is absent. The probability of a word after another is
+q the entries (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A count is read back by probing level after level
+until one is absent, as deep as the largest level put in. The probability of a word after another is
 ``(1 - LAMBDA) * unigram + LAMBDA * bigram share``.
 
-The filter is cut into segments by hash; a segment has ``BITS`` bits per entry but at most its part of ``FILTER_BYTES``,
-so the filter grows with the corpus up to that proven bound. Bigrams seen once are left out (``LEAST``).
+The filter is cut by hash into segments of ``BITS`` bits per entry, whatever their number: it grows with the corpus, and its
+error does not. So it is never gathered in one place. Texts are dealt to slices; the distinct n-grams of a slice travel to
+the tasks that hold their segments, one segment at a time, and their levels travel back to the slice.
 
 The base score needs exact counts. The most frequent words, ``HEAD`` at most, are broadcast; the others of each text go
 through a join with the count table.
@@ -34,10 +35,11 @@ from jobtide.session import checkpointed
 END = np.uint64(0x5851F42D4C957F2D)
 ALPHA = 0.1  # of the contract's unigram estimate
 LAMBDA = 0.1
-LEAST = 2
 PER_DOUBLING = {1: 4, 2: 1}  # quantisation levels per doubling of a count
 BITS, HASHES = 10, 4
-FILTER_BYTES = 24 << 20  # for each order
+SEGMENT_BYTES = 1 << 30  # a larger segment would be an error, not a coarser filter
+LANE_TEXT = 16 << 20  # bytes of training text to a segment, about
+SLICE_TEXT = 4 << 20  # bytes of text to a slice, about
 HEAD = 1 << 19
 SCORED = 1 << 20  # bytes of text scored at a time
 GATHER = 1_000_000  # n-grams that a task gathers before it hands them on
@@ -82,11 +84,13 @@ def _places(rest: np.ndarray, depth: np.ndarray, bits: np.ndarray) -> Iterator[n
         yield ((h + np.uint64(k) * step) & np.uint64(0xFFFFFFFF)) * bits.astype(np.uint64) >> np.uint64(32)
 
 
-def segment(rest: np.ndarray, counts: np.ndarray, order: int, most: int) -> bytes:
-    """One segment of the filter."""
+def segment(rest: np.ndarray, counts: np.ndarray, order: int, most: int = SEGMENT_BYTES) -> bytes:
+    """One segment of the filter, ``BITS`` bits per entry."""
     deep = level(counts, order)
     entries = int(deep.sum())
-    bits = max(64, min(-(-entries * BITS // 64) * 64, most * 8 // 64 * 64))
+    bits = max(64, -(-entries * BITS // 64) * 64)
+    if bits > most * 8:
+        raise ValueError(f"a filter segment of {entries} entries: more lanes are needed")
     table = np.zeros(bits, bool)
     for depth in range(1, int(deep.max(initial=0)) + 1):
         inside = rest[deep >= depth]
@@ -98,19 +102,22 @@ def segment(rest: np.ndarray, counts: np.ndarray, order: int, most: int) -> byte
 class Filter:
     """The log-frequency Bloom filter of one order, from its segments."""
 
-    def __init__(self, order: int, lanes: int, segments: dict[int, bytes]) -> None:
+    def __init__(self, order: int, lanes: int, segments: dict[int, bytes], deepest: int = 255) -> None:
         sizes = np.array([len(segments.get(k, b"")) for k in range(lanes)], np.int64)
-        self.order, self.lanes = order, lanes
+        self.order, self.lanes, self.deepest = order, lanes, deepest
         self.first, self.bits = np.concatenate([[0], np.cumsum(sizes)])[:-1] * 8, sizes * 8
         self.table = np.frombuffer(b"".join(segments.get(k, b"") for k in range(lanes)), np.uint8)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Counts read back by repeated membership probes."""
+        return count_of(self.levels(hashes), self.order)
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
         lane = ((hashes >> np.uint64(32)) % np.uint64(self.lanes)).astype(np.int64)
         rest, levels = hashes & np.uint64(0xFFFFFFFF), np.zeros(len(hashes), np.int64)
         live = np.flatnonzero(self.bits[lane] > 0)
         depth = 0
-        while len(live):
+        while len(live) and depth < self.deepest:
             depth += 1
             where, good = lane[live], np.ones(len(live), bool)
             for place in _places(rest[live], np.full(len(live), depth), self.bits[where]):
@@ -118,7 +125,7 @@ class Filter:
                 good &= (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             live = live[good]
             levels[live] = depth
-        return count_of(levels, self.order)
+        return levels
 
 
 def _gathered(docs: DataFrame, order: int, lanes: int) -> DataFrame:
@@ -167,32 +174,35 @@ def _by_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield lane, *_summed(held.pop(lane))
 
 
+def _segment_row(lane: int, rest: np.ndarray, counts: np.ndarray, order: int) -> list[pa.Array]:
+    """Lane, segment and its largest level."""
+    deep = int(level(counts, order).max(initial=0))
+    return [pa.array([lane], pa.int32()), pa.array([segment(rest, counts, order)], pa.binary()), pa.array([deep], pa.int32())]
+
+
 def unigram_counts(docs: DataFrame, lanes: int, parts: int) -> DataFrame:
     """Rows (key, c) of all words, and per lane one row with its filter segment."""
-    most = FILTER_BYTES // lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "c", "lane", "seg"]
+        names = ["key", "c", "lane", "seg", "deep"]
         for lane, keys, counts in _by_lane(batches):
             rest = keys.view(np.uint64) & np.uint64(0xFFFFFFFF)
             none = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), none.cast(pa.int32()), none.cast(pa.binary())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([lane], pa.int32()), pa.array([segment(rest, counts, 1, most)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *_segment_row(lane, rest, counts, 1)], names)
 
-    return _gathered(docs, 1, lanes).repartition(parts, "lane").mapInArrow(run, "key bigint, c bigint, lane int, seg binary")
+    return _gathered(docs, 1, lanes).repartition(parts, "lane").mapInArrow(run, "key bigint, c bigint, lane int, seg binary, deep int")
 
 
 def bigram_segments(docs: DataFrame, lanes: int, parts: int) -> DataFrame:
-    """Filter segments (lane, seg) of the bigrams seen ``LEAST`` times or more."""
-    most = FILTER_BYTES // lanes
+    """Filter segments (lane, seg, deep) of all bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lane, keys, counts in _by_lane(batches):
-            keep = counts >= LEAST
-            rest = keys[keep].view(np.uint32).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([segment(rest, counts[keep], 2, most)], pa.binary())], ["lane", "seg"])
+            rest = keys.view(np.uint32).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(_segment_row(lane, rest, counts, 2), ["lane", "seg", "deep"])
 
-    return _gathered(docs, 2, lanes).repartition(parts, "lane").mapInArrow(run, "lane int, seg binary")
+    return _gathered(docs, 2, lanes).repartition(parts, "lane").mapInArrow(run, "lane int, seg binary, deep int")
 
 
 def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -212,28 +222,116 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return keys[order], c[order], least
 
 
+def _lanes_of(hashes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the hashes by lane, the lanes that occur, and the first place of each (one more at the end)."""
+    lane = ((hashes >> np.uint64(32)) % np.uint64(lanes)).astype(np.int32)
+    order = np.argsort(lane, kind="stable")
+    found, first = np.unique(lane[order], return_index=True)
+    return order, found, np.append(first, len(hashes))
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct words and bigrams of a slice of texts."""
+    words, pairs = [], []
+    for _, data, offsets in slices(iter(table.to_batches()), most=SCORED):
+        token, at = tokens(data, offsets)
+        words.append(np.unique(token))
+        pairs.append(np.unique(bigrams(token, at)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
+
+def read_levels(rows: DataFrame, segments: DataFrame, lanes: int, parts: int) -> DataFrame:
+    """Levels of the n-grams of each slice of ``rows`` (slice, text): slice, kind (1 or 2), lane, data (a byte per n-gram, in the order of their hashes)."""
+
+    def asked(table: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, bytes]] = []
+        for kind, keys in enumerate(_distinct(table), 1):
+            order, found, first = _lanes_of(keys, lanes)
+            rest = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            out += [(kind, lane, rest[a:b].tobytes()) for lane, a, b in zip(found.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        ident = table.column("slice")[0].as_py()
+        return pa.table({
+            "kind": pa.array([r[0] for r in out], pa.int32()), "lane": pa.array([r[1] for r in out], pa.int32()), "slice": pa.array([ident] * len(out), pa.int64()),
+            "data": pa.array([r[2] for r in out], pa.binary()), "deep": pa.nulls(len(out), pa.int32()),
+        })
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table = None, None
+        for batch in batches:
+            kinds, at, ident, deep = (batch.column(k).to_pylist() for k in (0, 1, 2, 4))
+            out: list[tuple[int, int, int, bytes]] = []
+            k = 0
+            while k < len(kinds):
+                place = (kinds[k], at[k])
+                if ident[k] < 0:  # a segment, before those who ask for it
+                    held, table = place, Filter(place[0], 1, {0: batch.column(3)[k].as_py()}, deep[k])
+                    k += 1
+                    continue
+                wave, size = [], 0  # requests of one segment are read together
+                while k + len(wave) < len(kinds) and (kinds[k + len(wave)], at[k + len(wave)]) == place and size < GATHER:
+                    wave.append(np.frombuffer(batch.column(3)[k + len(wave)].as_py(), np.uint32))
+                    size += len(wave[-1])
+                rest = np.concatenate(wave).astype(np.uint64)
+                levels = (table.levels(rest) if held == place else np.zeros(len(rest), np.int64)).astype(np.uint8)
+                for part in np.split(levels, np.cumsum([len(w) for w in wave])[:-1]):
+                    out.append((ident[k], *place, part.tobytes()))
+                    k += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary())],
+                ["slice", "kind", "lane", "data"],
+            )
+
+    asks = rows.groupBy("slice").applyInArrow(asked, "kind int, lane int, slice bigint, data binary, deep int")
+    both = segments.select("kind", "lane", F.lit(-1).cast("bigint").alias("slice"), F.col("seg").alias("data"), "deep").unionByName(asks)
+    both = both.repartition(parts, "kind", "lane").sortWithinPartitions("kind", "lane", "slice")
+    return both.mapInArrow(answered, "slice bigint, kind int, lane int, data binary")
+
+
+def _counts_of(keys: np.ndarray, kind: int, answers: pa.Table, lanes: int) -> np.ndarray:
+    """The counts of a slice's distinct n-grams from the answers to it."""
+    order, found, first = _lanes_of(keys, lanes)
+    place = dict(zip(found.tolist(), zip(first[:-1].tolist(), first[1:].tolist(), strict=True), strict=True))
+    levels = np.zeros(len(keys), np.int64)
+    for k, lane, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "lane", "data")), strict=True):
+        if k == kind:
+            a, b = place[lane]
+            levels[order[a:b]] = np.frombuffer(data, np.uint8)
+    return count_of(levels, kind)
+
+
+def _bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
 def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; counts from all of ``train``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lanes = 4 * parts
+    lanes = max(4 * parts, -(-_bytes(train) // LANE_TEXT))
     table = checkpointed(unigram_counts(train, lanes, parts))
     counts = table.filter(F.col("lane").isNull()).select("key", "c")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
     space = n + ALPHA * (v + 1)
     keys, c, least = _head(counts)
-    filters = [
-        Filter(order, lanes, {r["lane"]: bytes(r["seg"]) for r in rows.collect()})  # FILTER_BYTES at most
-        for order, rows in ((1, table.filter(F.col("lane").isNotNull()).select("lane", "seg")), (2, bigram_segments(train, lanes, parts)))
-    ]
-    spec = spark.sparkContext.broadcast((keys, c, filters))
+    segments = [rows.withColumn("kind", F.lit(order)) for order, rows in ((1, table.filter(F.col("lane").isNotNull()).select("lane", "seg", "deep")), (2, bigram_segments(train, lanes, parts)))]
+    spec = spark.sparkContext.broadcast((keys, c))
+    many = max(1, -(-_bytes(docs) // SLICE_TEXT))
     rows = docs.select(*keep, "text")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, (uni, bi) = spec.value
-        for batch, data, offsets in slices(batches, most=SCORED):
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*keep, "text"), F.lit(many)))
+    answers = read_levels(rows, segments[0].unionByName(segments[1]), lanes, parts)
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, c = spec.value
+        known_words, known_pairs = _distinct(table)
+        of_words, of_pairs = _counts_of(known_words, 1, answers, lanes), _counts_of(known_pairs, 2, answers, lanes)
+        return pa.Table.from_batches(list(scored(table, keys, c, known_words, of_words, known_pairs, of_pairs)))
+
+    def scored(
+        table: pa.Table, keys: np.ndarray, c: np.ndarray, known_words: np.ndarray, of_words: np.ndarray, known_pairs: np.ndarray, of_pairs: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(iter(table.to_batches()), most=SCORED):
             token, at = tokens(data, offsets)
             texts = len(at) - 1
             doc = np.repeat(np.arange(texts), np.diff(at))
@@ -244,14 +342,14 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
             logs = np.log10((np.maximum(exact, 0) + ALPHA) / space)[inverse] if space else np.zeros(len(token))
             base = np.bincount(doc[known], logs[known], texts)
             n_known = np.bincount(doc[known], minlength=texts)
-            # The model: counts of words and pairs from the filter.
+            # The model: counts of words and pairs as the filter gave them.
             pairs, back = np.unique(bigrams(token, at), return_inverse=True)
-            of_word = uni.counts(word)
+            of_word = of_words[np.searchsorted(known_words, word)]
             share = (of_word + ALPHA) / max(space, ALPHA)
             of_before = np.empty(len(token))
             of_before[1:] = of_word[inverse[:-1]]
             of_before[at[:-1]] = of_word[np.searchsorted(word, END)]
-            joint = np.minimum(1.0, bi.counts(pairs)[back] / np.maximum(of_before, 1.0))
+            joint = np.minimum(1.0, of_pairs[np.searchsorted(known_pairs, pairs)][back] / np.maximum(of_before, 1.0))
             p = np.where(of_before > 0, (1 - LAMBDA) * share[inverse] + LAMBDA * joint, share[inverse])
             model = np.bincount(doc, np.log10(np.minimum(p, 1.0)), texts)
             # Words beyond the head: once per text, with their number.
@@ -268,7 +366,8 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
                 [*keep, "n_tokens", "_known", "_base", "score", "_rare", "_times"],
             )
 
-    done = checkpointed(rows.mapInArrow(run, f"{kept}, n_tokens bigint, _known bigint, _base double, score double, _rare array<bigint>, _times array<bigint>"))
+    scores = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, f"{kept}, n_tokens bigint, _known bigint, _base double, score double, _rare array<bigint>, _times array<bigint>")
+    done = checkpointed(scores)
     spec.destroy()  # the checkpoint has been written: workers can let the model go
     done = done.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows are read back from files
     rare = done.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))

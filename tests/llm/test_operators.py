@@ -213,6 +213,42 @@ def test_filter_reads_counts_back():
     assert np.mean(absent > 0) < 0.1
 
 
+def test_filter_keeps_its_bits_per_entry():
+    keys = np.unique(textvec.mixed(np.arange(1, 400_001, dtype=np.uint64)) & np.uint64(0xFFFFFFFF))
+    table = lm.Filter(2, 1, {0: lm.segment(keys, np.ones(len(keys), np.int64), 2)}, 1)
+    assert table.bits[0] >= lm.BITS * len(keys)
+    absent = np.setdiff1d(textvec.mixed(np.arange(10**6, 10**6 + 100_000, dtype=np.uint64)) & np.uint64(0xFFFFFFFF), keys)
+    assert np.mean(table.counts(absent) > 0) < 0.02
+    with pytest.raises(ValueError):  # never a coarser filter
+        lm.segment(keys, np.ones(len(keys), np.int64), 2, 1000)
+
+
+@pytest.mark.parametrize("slice_text", [4 << 20, 3000])
+def test_model_score_is_the_plain_one(docs, awkward, slice_text, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_TEXT", slice_text)
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 10 == 0
+    uni, bi = Counter(), Counter()
+    for r in awkward:
+        if not held(r[0]):
+            ws = [*split(r[1]), None]
+            uni.update(ws)
+            bi.update(zip([None, *ws], ws, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    read = lambda c, order: float(lm.count_of(lm.level(np.array([c]), order), order)[0]) if c else 0.0
+    near, rows = 0, {}
+    for r in lm.predict(docs).collect():
+        rows.setdefault(r["doc_id"], r["score"])
+    for r in awkward:
+        ws, want = [*split(r[1]), None], 0.0
+        for a, b in zip([None, *ws], ws, strict=False):
+            share = (read(uni[b], 1) + 0.1) / (n + 0.1 * (v + 1))
+            joint = min(1.0, read(bi[a, b], 2) / max(read(uni[a], 1), 1.0))
+            want += math.log10(min(1.0, (1 - lm.LAMBDA) * share + lm.LAMBDA * joint if uni[a] else share))
+        near += abs(rows[r[0]] - want) <= 0.03 * abs(want) + 0.05
+    assert near >= 0.9 * len(awkward)  # the filter errs on few n-grams
+
+
+
 def test_lm_empty(empty):
     assert lm.predict(empty).count() == 0
 
