@@ -8,13 +8,14 @@ words of 64 bits: it belongs to one word. At most d words of a linked pair diffe
 Words that agree are join keys. Words of no or one n-gram are left out as long as they are fewer than e.
 
 *Counts.* Because e + 1 words agree, linked sets share several keys; pairs that share fewer are chance meetings.
-*Sketch test.* Groups of very many sets are not counted pair by pair. A second sketch of a power of two bits toggles a
-bit for every n-gram; the Hamming distance of two sketches (the longer one folded) is a lower bound of the symmetric
-difference and rejects what can't be linked.
+*Sketch test.* Groups of very many sets are not counted pair by pair. They are cut into blocks of ``BLOCK`` members, and
+every pair of blocks is a row of its own, so that a group of any size is spread over tasks. A second sketch of a power of
+two bits toggles a bit for every n-gram; the Hamming distance of two sketches (the longer one folded) is a lower bound of
+the symmetric difference and rejects what can't be linked.
 
-*Verification.* What is left is verified on the n-gram sets themselves: first each set with the partner that shares most
-keys (in large groups: whose sketch is near), then all pairs of sets that are not yet in one component. So
-components lose no link, and a group of many copies doesn't cost all its pairs.
+*Verification.* All pairs that are left are verified on the n-gram sets themselves, again in pairs of bounded blocks, so
+that a set travels once for a block pair and not for a pair. ``links`` is the join, whole; components and numbers of links
+are drawn from it.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, hashed to 64 bits as the n-grams are.
 
@@ -41,6 +42,7 @@ from jobtide.session import checkpointed
 FILTER_BITS = 1 << 26  # of the bit table that tells which sets a scan has to emit: 8 MB
 SPARE = 5  # one word in so many is spare: more keys, but linked sets share several of them
 SMALL_GROUP = 32
+BLOCK = 128  # members of a large group, or of a family of candidates, in one block
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -178,7 +180,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, text: str, ident
 
 
 def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    """What shares keys: pairs (a, b) with the number of keys from groups up to ``SMALL_GROUP``; members of larger groups.
+    """What shares keys: pairs (a, b) with the number of keys from groups up to ``SMALL_GROUP``; larger groups (g) in blocks of members.
 
     Sets that are both of the upper band of a scheme meet in their own scheme, so not here.
     """
@@ -225,7 +227,7 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
         role = (owner & 1).astype(bool)
         mixed_roles = np.add.reduceat(~role, first) > 0
         first, size = first[mixed_roles], size[mixed_roles]
-        names = ["a", "b", "n", "need", "members"]
+        names = ["a", "b", "n", "need", "g", "block", "blocks", "members"]
         pairs = []
         for s in range(2, SMALL_GROUP + 1):
             at = first[size == s]
@@ -237,22 +239,22 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
         if pairs:
             pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             need = 1 << ((np.minimum(pair[:, 0] & 15, pair[:, 1] & 15)) >> 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[:, 0] & ~15), pa.array(pair[:, 1] & ~15), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.nulls(len(pair), pa.list_(pa.int64()))], names
-            )
-        large = {np.unique(owner[f : f + s] & ~15).tobytes() for f, s in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True)}
-        for chunk in _chunks(sorted(large), 256):
-            flat = np.frombuffer(b"".join(chunk), np.int64)
-            none = pa.nulls(len(chunk))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), lists(flat, np.cumsum([0, *(len(r) // 8 for r in chunk)]))], names)
+            none = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] & ~15), pa.array(pair[:, 1] & ~15), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), *none], names)
+        done: set[int] = set()
+        for f, k in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
+            members = np.unique(owner[f : f + k] & ~15)
+            g = set_hash(members.view(np.uint64))
+            if g in done or len(members) < 2:
+                continue
+            done.add(g)
+            ends = np.append(np.arange(0, len(members), BLOCK), len(members))
+            many = len(ends) - 1
+            none = [pa.nulls(many, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([g] * many, pa.int64()), pa.array(range(many), pa.int32()), pa.array([many] * many, pa.int32()), lists(members, ends)], names)
 
     rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, keys array<bigint>, owners array<bigint>")
-    return rows.repartition(parts, "lane").select("keys", "owners").mapInArrow(grouped, "a bigint, b bigint, n int, need int, members array<bigint>")
-
-
-def _chunks(rows: list, n: int) -> Iterator[list]:
-    for k in range(0, len(rows), n):
-        yield rows[k : k + n]
+    return rows.repartition(parts, "lane").select("keys", "owners").mapInArrow(grouped, "a bigint, b bigint, n int, need int, g bigint, block int, blocks int, members array<bigint>")
 
 
 def _counted(found: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
@@ -268,85 +270,47 @@ def _counted(found: DataFrame, signs: DataFrame, num: int, den: int) -> DataFram
     return pairs.filter(fair & (F.col("n") >= F.least(*need))).select("a", "b", "n")
 
 
-def _near_tries(groups: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of large groups: each member with the one before it whose sketch is nearest, if the sketch test lets them.
-
-    A spanning tree of likely links: one pair a member and group.
-    """
-    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cls")).join(signs.select("cls", "n_shingles", "sketch"), "cls")
-    packed = rows.groupBy("g").agg(F.collect_list(F.struct("cls", "n_shingles", "sketch")).alias("m")).select("m")
+def _group_tries(groups: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of members of one large group that the sketch test can't reject; a row for each pair of blocks."""
+    rows = groups.dropDuplicates(["g", "block"]).select("g", "block", "blocks", F.explode("members").alias("cls")).join(signs.select("cls", "n_shingles", "sketch"), "cls")
+    packed = checkpointed(rows.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("cls", "n_shingles", "sketch")).alias("m")))  # BLOCK members at most
+    low = packed.select("g", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("m").alias("x"))
+    high = packed.select("g", F.explode(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"), F.col("m").alias("y"))
+    both = low.join(high, ["g", "lo", "hi"]).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int]] = set()
         for batch in batches:
-            for members in batch.column(0).to_pylist():
-                pairs.update(nearest_before(members, num, den))
-        yield _pairs_batch(pairs)
-
-    return packed.mapInArrow(run, "a bigint, b bigint")
+            found, held = [], 0
+            for k in range(batch.num_rows):
+                found.append(possible(batch.column(0)[k].values, batch.column(1)[k].values, num, den))
+                held += len(found[-1])
+                if held > 100_000 or k == batch.num_rows - 1:
+                    pairs = np.unique(np.concatenate(found), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    found, held = [], 0
 
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
-def _folded(members: list[dict]) -> np.ndarray:
-    """The sketches of a group at the length of the shortest, as rows of 64-bit words."""
-    width = min(len(m["sketch"]) for m in members)
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m["sketch"], np.uint8).reshape(-1, width), axis=0) for m in members]).view(np.uint64)
 
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches folded to a length, as rows of 64-bit words."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches]).view(np.uint64)
 
-def nearest_before(members: list[dict], num: int, den: int) -> Iterator[tuple[int, int]]:
-    members = sorted(members, key=lambda m: m["cls"])
-    rows, size = _folded(members), np.array([m["n_shingles"] for m in members])
-    for i in range(1, len(members)):
-        apart = np.bitwise_count(rows[:i] ^ rows[i]).sum(1, dtype=np.int64)
-        fair = (size[:i] * den >= size[i] * num) & (size[i] * den >= size[:i] * num) & (apart * (den + num) <= (size[:i] + size[i]) * (den - num))
-        if fair.any():
-            j = int(np.where(fair, apart, 1 << 40).argmin())
-            yield members[j]["cls"], members[i]["cls"]
 
-
-def _open_tries(groups: DataFrame, signs: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) of members of one group, of different components, that the sketch test can't reject."""
-    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cls"))
-    rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_ = rows.groupBy("g").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("g")
-    rows = rows.join(open_, "g", "left_semi").join(signs, "cls")
-    packed = rows.groupBy("g").agg(F.collect_list(F.struct("cls", "label", "n_shingles", "sketch")).alias("m")).select("m")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int]] = set()
-        for batch in batches:
-            for members in batch.column(0).to_pylist():
-                pairs.update(possible(members, num, den))
-                if len(pairs) > 100_000:
-                    yield _pairs_batch(pairs)
-                    pairs = set()
-        yield _pairs_batch(pairs)
-
-    return packed.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _pairs_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = sorted(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], ["a", "b"])
-
-
-def possible(members: list[dict], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of different labels whose sketches leave a link possible."""
-    members = sorted(members, key=lambda m: m["cls"])
-    label = [m["label"] for m in members]
-    size = np.array([m["n_shingles"] for m in members])
-    if len(members) > SMALL_GROUP:
-        rows = _folded(members)
-    tag = np.array(label)
-    for i, m in enumerate(members):
-        later = np.arange(i + 1, len(members))
-        later = later[(tag[later] != tag[i]) & (size[later] * den >= size[i] * num) & (size[i] * den >= size[later] * num)]
-        if len(members) > SMALL_GROUP and len(later):
-            apart = np.bitwise_count(rows[later] ^ rows[i]).sum(1)
-            later = later[apart * (den + num) <= (size[later] + size[i]) * (den - num)]
-        for j in later.tolist():
-            if len(members) <= SMALL_GROUP and hamming(m["sketch"], members[j]["sketch"]) * (den + num) > int(size[i] + size[j]) * (den - num):
-                continue
-            yield m["cls"], members[j]["cls"]
+def possible(x: pa.StructArray, y: pa.StructArray, num: int, den: int) -> np.ndarray:
+    """Pairs (the smaller class first) of a member of block x with one of block y whose sizes and sketches leave a link possible."""
+    cls, size = ([np.asarray(m.field(f)) for m in (x, y)] for f in ("cls", "n_shingles"))
+    sketches = [m.field("sketch").to_pylist() for m in (x, y)]
+    width = min(len(s) for side in sketches for s in side)
+    rows = [_folded(side, width) for side in sketches]
+    out = []
+    for i in range(len(cls[0])):
+        apart = np.bitwise_count(rows[1] ^ rows[0][i]).sum(1, dtype=np.int64)
+        own = size[0][i]
+        fair = (size[1] * den >= own * num) & (own * den >= size[1] * num) & (apart * (den + num) <= (size[1] + own) * (den - num)) & (cls[1] != cls[0][i])
+        other = cls[1][fair]
+        out.append(np.stack([np.minimum(other, cls[0][i]), np.maximum(other, cls[0][i])], 1))
+    return np.concatenate(out)
 
 
 def _bit_table(ids: DataFrame) -> bytes:
@@ -398,43 +362,63 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, table: Broa
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    """The pairs whose sets are similar enough, written to the checkpoint folder."""
-    wanted = checkpointed(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
-    table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted))
-    sets = _sets(docs, wanted, words, text, table)
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    total = F.size("x") + F.size("y") - common
-    links = checkpointed(both.filter(common * den >= total * num).select("a", "b"))
+    """The pairs whose sets are similar enough, written to the checkpoint folder.
+
+    Classes that pairs connect are a family. Large families are cut into blocks by hash, small ones are put together; sets
+    and pairs meet by pairs of blocks.
+    """
+    labels = components(pairs)
+    many = max(1, labels.count() // BLOCK)
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    home = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("label"), F.lit(many))).otherwise(F.abs("label"))
+    places = checkpointed(labels.join(sizes, "label").select(F.col("node").alias("cls"), home.alias("home"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    for c in ("a", "b"):
+        pairs = pairs.join(places.select(F.col("cls").alias(c), F.col("home").alias(f"home_{c}"), F.col("block").alias(f"block_{c}")), c)
+    pairs = checkpointed(pairs.select("a", "b", F.col("home_a").alias("home"), F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi")))
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(places.select("cls")))
+    needs = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "home", "lo", "hi").distinct()
+    sets = needs.join(_sets(docs, places.select("cls"), words, text, table), "cls")
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {}
+        for batch in sets.select(["cls", "grams"]).to_batches():
+            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
+            held |= {c: flat[i:j] for c, i, j in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common * den >= (len(x) + len(y) - common) * num)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = sets.select("cls", "grams", *[F.col(c).alias(f"of_{c}") for c in ("home", "lo", "hi")])
+    links = checkpointed(sets.groupBy("of_home", "of_lo", "of_hi").cogroup(pairs.groupBy("home", "lo", "hi")).applyInArrow(run, "a bigint, b bigint"))
     table.destroy()
     return links
 
 
+def _links(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
+    signs = rows.filter(F.col("cls").isNotNull()).select("cls", "n_shingles", "sketch", "band", "sure", "sure_below").dropDuplicates(["cls"])
+    found = checkpointed(met(docs, words, num, den, text))
+    groups = found.filter(F.col("g").isNotNull()).select("g", "block", "blocks", "members")
+    pairs = _counted(found.filter(F.col("g").isNull()), signs.drop("sketch"), num, den).select("a", "b")
+    tries = checkpointed(pairs.unionByName(_group_tries(groups, signs, num, den)).distinct())
+    return _verified(tries, docs, words, num, den, text)
+
+
+def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """The join: every pair (a, b) of linked classes, a < b, once. Rows of one class have equal sets."""
+    return _links(checkpointed(signatures(docs, words, num, den, text, ident)), docs, words, num, den, text)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Per row: ident, n_shingles, component_id, n_links (verified links of its class that the components rest on).
+    """Per row: ident, n_shingles, component_id, n_links (links of its class with other classes, all of them).
 
     Two rows link when ``den * |common| >= num * |union|`` of their n-gram sets.
     """
     rows = checkpointed(signatures(docs, words, num, den, text, ident))
-    signs = rows.filter(F.col("cls").isNotNull()).select("cls", "n_shingles", "sketch", "band", "sure", "sure_below").dropDuplicates(["cls"])
-    found = checkpointed(met(docs, words, num, den, text))
-    groups = found.filter(F.col("members").isNotNull()).select("members").distinct()
-    pairs = checkpointed(_counted(found, signs.drop("sketch"), num, den))
-    # First each class with the partner that shares most keys, or in large groups with a near one.
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tries = checkpointed(best.unionByName(_near_tries(groups, signs, num, den)).distinct())
-    links = _verified(tries, docs, words, num, den, text)
+    links = _links(rows, docs, words, num, den, text)
     labels = components(links)
-    # Then all pairs that could still join two components.
-    rest = pairs.select("a", "b")
-    for c in ("a", "b"):
-        rest = rest.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(f"l_{c}", F.coalesce(f"l_{c}", c))
-    rest = rest.filter("l_a <> l_b").select("a", "b").unionByName(_open_tries(groups, signs, labels, num, den)).distinct()
-    rest = checkpointed(rest.join(tries, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, docs, words, num, den, text))
-        labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("ident").alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")

@@ -295,6 +295,33 @@ def test_near_duplicates(spark, awkward, n, num):
     assert got == brute_groups(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("block", [128, 16])
+def test_all_links_are_found(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    rows = []
+    for family, members in enumerate((3, 9, 60)):  # small groups, and one that is cut into blocks
+        base = [f"w{rng.randrange(400)}" for _ in range(160)]
+        for k in range(members):
+            ws = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * family + k, " ".join(ws)))
+    rows.append((5000, rows[0][1]))  # a copy is no further class
+    sets = {}
+    for i, text in rows:
+        ws = split(text)
+        sets[i] = frozenset(tuple(ws[k : k + 4]) for k in range(len(ws) - 3))
+    linked = lambda x, y: x != y and 100 * len(x & y) >= 85 * len(x | y)
+    classes = set(sets.values())
+    want = {i: sum(linked(s, t) for t in classes) for i, s in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(docs, 4, 85, 100).collect()} == want
+    assert jaccard.links(docs, 4, 85, 100).count() == sum(linked(s, t) for s in classes for t in classes) // 2
+
+
 def test_jaccard_empty(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
