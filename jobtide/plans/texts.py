@@ -292,7 +292,7 @@ def _resume_texts(v: Views) -> DataFrame:
     """Résumés: the driver's texts below contacts, schools and jobs made from their keys."""
     key = F.col("doc_id")
     head = F.concat_ws("\n", F.lit("姓名: 王小明"), F.concat(F.lit("user"), key.cast("string"), F.lit("@example.com | 138"), F.lpad((key % 100_000_000).cast("string"), 8, "0")), F.lit("教育经历"), F.lit("2016.09 - 2020 某某大学 计算机专业 本科"), F.lit("工作经历"), F.concat(F.lit("2020 - 至今 第"), (key % 9).cast("string"), F.lit("号公司 工程师")), F.lit("专业技能"))
-    return v.resumes.select("doc_id", "user_id", F.concat_ws("\n", head, F.substring("text", 1, 2000)).alias("text"))
+    return v.resumes.select("doc_id", "user_id", F.concat_ws("\n", head, "text").alias("text"))
 
 
 VOC = tuple((t, c) for t, c in dict(reversed(TECH)).items())

@@ -98,3 +98,13 @@ def test_sections():
     found = R.scan_headings("姓名 王\n教育经历\n某大学\n工作经历\n某公司\n", R.HEADINGS)
     assert [(s["section_type"], s["content"]) for s in found] == [("education", "某大学"), ("work", "某公司")]
     assert R.scan_headings("", R.HEADINGS) == []
+
+
+def test_resumes_hand_on_whole_texts(spark, tmp_path):
+    from jobtide.plans import texts
+    from jobtide.sources.views import Views
+
+    spark.createDataFrame([(1, "x " * 2000 + "\nthe end, nothing cut")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = texts._resume_texts(Views(spark, str(tmp_path)))
+    assert rows.first()["text"].endswith("x \nthe end, nothing cut")
+    assert "the" in texts.rsm7_extract_skills(Views(spark, str(tmp_path))).first()["skills"].split(",")
