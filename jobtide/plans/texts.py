@@ -392,7 +392,7 @@ def rsm16_plain_items(v: Views) -> DataFrame:
 
 def _projects(v: Views) -> DataFrame:
     entry = F.struct(F.col("l_linenumber").alias("k"), F.struct(F.concat(F.lit("Project "), F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("name"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy").alias("start_date"), F.repeat(F.lit("done "), F.col("l_quantity").cast("int")).alias("description")).alias("e"))
-    rows = v.table("lineitem").filter("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("r"))
+    rows = v.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("r"))
     return rows.select("l_orderkey", F.transform("r", lambda x: x["e"]).alias("entries"))
 
 

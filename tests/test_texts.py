@@ -108,3 +108,16 @@ def test_resumes_hand_on_whole_texts(spark, tmp_path):
     rows = texts._resume_texts(Views(spark, str(tmp_path)))
     assert rows.first()["text"].endswith("x \nthe end, nothing cut")
     assert "the" in texts.rsm7_extract_skills(Views(spark, str(tmp_path))).first()["skills"].split(",")
+
+
+def test_projects_of_all_orders_are_merged(spark, tmp_path):
+    import datetime
+
+    from jobtide.plans import texts
+    from jobtide.sources.views import Views
+
+    rows = [(k, n, "A", "F", datetime.datetime(1995, 1, n), 2.0) for k in range(1, 121) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate timestamp, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    v = Views(spark, str(tmp_path))
+    for query in (texts.rsm17_merge_projects, texts.rsm18_merge_similar_entries):
+        assert {r["l_orderkey"] for r in query(v).collect()} == set(range(1, 121))
