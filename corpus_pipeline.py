@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import bpe, jaccard, langid, mixing, quality
 
-#: A text goes if no language takes this share of it, or if its quality score is below this.
-LEAST_SHARE, LEAST_QUALITY = 0.5, 0.1
+#: A text goes if no language takes this share of it.
+LEAST_SHARE = 0.5
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -39,7 +39,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts that the quality classifier, learned from the labels at hand, doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, names = _renamed(docs)
-    return _back(quality.score(rows, model, keep=names).filter(F.col("score") >= LEAST_QUALITY), docs, names)
+    return _back(quality.score(rows, model, keep=names).filter(F.col("predicted") == 1), docs, names)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

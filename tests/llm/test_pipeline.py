@@ -68,3 +68,14 @@ def test_ids_are_the_library_s(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter(tuple(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in before.collect())
     assert Counter(tuple(r["ids"]) for r in after.collect()) == want
+
+
+def test_quality_rejects_what_the_classifier_predicts_as_0(spark, tmp_path, monkeypatch):
+    from jobtide.llm import quality
+
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "a", 6) for k in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for prior, kept in ((0.3, 0), (0.5, 10)):
+        model = quality.Model(None, None, {}, prior=prior)
+        monkeypatch.setattr(quality, "train", lambda *_, model=model, **__: model)
+        assert P.good(spark, docs, str(tmp_path)).count() == kept
