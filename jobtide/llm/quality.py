@@ -28,7 +28,6 @@ from jobtide.llm.textvec import slices, span_hashes, with_text, word_spans
 
 PASSAGE = 512
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 60_000  # longest text taken for the fit; scoring has no such bound
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
 
@@ -167,7 +166,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     least = [known.filter(F.col("label") == value).orderBy("_h", "_id").limit(rows) for value in (0, 1)]
     chosen = least[0].unionByName(least[1])
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("text", "label")  # 2 * rows ids
+    known_texts = texts.join(F.broadcast(chosen), "_id").withColumn("_t", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))  # 2 * rows ids
+    known_texts = known_texts.dropDuplicates(["_id", "_t", "label"])
+    parts = [known_texts.filter(F.col("label") == value).orderBy("_h", "_id", "_t").limit(2 * rows) for value in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
@@ -176,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             x, first = passages(data, offsets)
-            blobs = [x[a : min(b, a + TRAIN_BYTES // PASSAGE)].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            blobs = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column(1)], ["bag", "label"])
 
-    got = sample(docs, labels, label, rows).mapInArrow(encode, "bag binary, label int").limit(4 * rows).collect()
+    got = sample(docs, labels, label, rows).mapInArrow(encode, "bag binary, label int").collect()  # 4 * rows at most
     got.sort(key=lambda r: (r["label"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
     return fit(bags, np.array([r["label"] for r in got]))

@@ -173,6 +173,14 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 242
 
 
+def test_quality_learns_from_whole_texts_once(spark, monkeypatch):
+    rows = [(1, "a" * 100_000), *[(2, "b " * 50)] * 40, (3, "c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda bags, y: [len(b) for b in bags])
+    assert sorted(quality.train(docs, labels, rows=3)) == [1, 1, -(-100_000 // quality.PASSAGE)]
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.predict(docs, none).collect()} == {0.5}
