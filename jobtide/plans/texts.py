@@ -238,49 +238,127 @@ def src11_table_to_text(v: Views) -> DataFrame:
 
 
 JD = ("title", "company", "location", "experience", "education", "job_type", "headcount", "description", "requirements", "benefits")
+#: The lines of a posting, each in several forms; ``#`` is the key. The forms reach every branch of the rules.
+POSTING = (
+    ("Python 工程师 #", "联系我们", "Notes of #", "12345", "岗位: Baker #"),
+    ("Google Search", "北京某某科技有限公司", "某某集团 招新人", "", "Company: Nobody & #"),
+    ("工作地点: 上海 苏州 北京 杭州", "支持远程办公", "地点: Mars #", ""),
+    ("薪资: 15k-25k", "10-20K", "20万-30万", "月薪12000-18000", "年薪30-40", "8000-12000元", "工资 面议 7 到 9", ""),
+    ("3年以上经验", "2-4 年经验", "不限经验", "3年以上", "经验: 面议", ""),
+    ("学历: 本科", "大专, 本科", "学历 MBA", "本科以上", ""),
+    ("全职", "外包 / 兼职", "全职或兼职", ""),
+    ("招 05 人", "若干名", "人数: x", ""),
+)
+
+
+def _forms(table: tuple[tuple[str, ...], ...], key: Column) -> list[Column]:
+    """The lines of a made-up text; the k-th one takes its forms in turn as key div (k + 1) goes on."""
+    pick = lambda k, forms: F.element_at(F.array(*map(F.lit, forms)), (F.floor(key / (k + 1)) % len(forms) + 1).cast("int"))
+    return [F.replace(pick(k, forms), F.lit("#"), key.cast("string")) for k, forms in enumerate(table)]
+
+
+def _forms_sql(table: tuple[tuple[str, ...], ...], key: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"replace([{', '.join(map(quoted, forms))}][(({key} // {k + 1}) % {len(forms)} + 1)::INTEGER], '#', {key}::VARCHAR)" for k, forms in enumerate(table))
 
 
 def _texts(v: Views) -> DataFrame:
-    """Descriptions: the driver's texts under the headings and figures that a posting has."""
-    key = F.col("job_id")
-    salary = F.concat((10 + key % 20).cast("string"), F.lit("k-"), (20 + key % 30).cast("string"), F.lit("k"))
-    text = F.concat_ws("\n", F.concat(F.lit("Data Engineer "), key.cast("string")), F.concat(F.lit("薪资: "), salary), F.lit("本科, 3年以上经验"), F.lit("岗位职责:"), "text")
-    return v.jds.select("job_id", text.alias("text"))
+    """Descriptions: the driver's texts under the lines of a posting."""
+    return v.jds.select("job_id", F.concat_ws("\n", *_forms(POSTING, F.col("job_id")), F.lit("岗位职责:"), "text", F.lit("\n任职要求：\nSQL\n \nand more\n\nBenefits"), "text").alias("text"))
+
+
+_in = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_any = lambda words: "|".join(w.replace("+", "\\+").replace(".", "\\.") for w in words)
+_alone = "'(?i)(^|[^\\p{L}\\p{N}_])' || w || '([^\\p{L}\\p{N}_]|$)'"
+_label = lambda labels, least, most: f"trim(regexp_extract(text, '(?i)(?:{labels})[:：\\s]*([^\\n]{{{least},{most}}})', 1))"
+#: Postings with their first lines.
+POSTS = f""", posts AS (SELECT job_id, concat_ws(chr(10), {_forms_sql(POSTING, 'job_id')}, '岗位职责:', text, chr(10) || '任职要求：' || chr(10) || 'SQL' || chr(10) || ' ' || chr(10) || 'and more' || chr(10) || chr(10) || 'Benefits', text) AS text FROM jds),
+p AS (SELECT *, list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)) AS ls FROM posts)
+"""
+
+
+def _first(*rules: tuple[str, float]) -> str:
+    """SQL: the value of the first rule that gives one, with its confidence."""
+    value = ", ".join(f"nullif({rule}, '')" for rule, _ in rules)
+    sure = " ".join(f"WHEN nullif({rule}, '') IS NOT NULL THEN {c}::DOUBLE" for rule, c in rules)
+    return f"{POSTS} SELECT job_id, coalesce({value}) AS value, CASE {sure} END AS confidence FROM p"
+
+
+def _meaning(table: dict[str, str]) -> str:
+    return f"list_extract({_in(table.values())}, list_position(list_transform({_in(table)}, lambda w: regexp_matches(text, {_alone})), true))"
+
 
+def _section(name: str) -> str:
+    keys, most, _ = J.SECTIONS[name]
+    rest = lambda k: f"nullif(string_split(regexp_extract(text, '(?is){k}[：:\\s]*([^：:\\s].*)', 1), chr(10) || chr(10))[1], '')"
+    found = "coalesce(" + ", ".join(rest(k.replace("'", "''")) for k in keys) + ")"
+    return f"(CASE WHEN len(trim({found})) > {most} THEN trim({found})[1:{most}] || '...' ELSE trim({found}) END)"
 
-def _field_query(name: str, sql: str):
+
+_fit = lambda x: f"(len({x}) BETWEEN 2 AND 50 AND NOT regexp_full_match({x}, '[0-9]+') AND NOT regexp_matches({x}, '{_any(J.NO_TITLE)}'))"
+_years = ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in J.EXPERIENCE)
+_company_line = f"list_filter(ls[1:15], lambda x: regexp_matches(x, '[一-龥]{{2,20}}(?:{_any(J.COMPANY_ENDS)})'))[1]"
+JD_SQL = {
+    "title": _first((f"list_filter(ls, lambda x: {_fit('x')} AND regexp_matches(x, '{_any(J.TITLES)}'))[1]", 0.9), (f"CASE WHEN {_fit(_label('职位|岗位|Job Title', 2, 30))} THEN {_label('职位|岗位|Job Title', 2, 30)} END", 0.85), (f"CASE WHEN {_fit('ls[1]')} THEN ls[1] END", 0.7)),
+    "company": _first((_meaning({k: k for k in J.COMPANIES}), 0.95), ("coalesce(" + ", ".join(f"nullif(regexp_extract({_company_line}, '([一-龥]{{2,20}}{e})', 1), '')" for e in J.COMPANY_ENDS) + ")", 0.85), (_label("公司|企业|Company", 2, 40), 0.8)),
+    "location": _first((f"CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_any(J.REMOTE)}'))) > 0 THEN '{J.REMOTE_VALUE}' END", 0.9), (f"array_to_string(list_filter(list_transform(flatten(list_transform(ls, lambda x: list_filter({_in((*J.PROVINCES, *J.CITIES))}, lambda w: contains(x, w)))), lambda w, i: CASE WHEN list_position(flatten(list_transform(ls, lambda x: list_filter({_in((*J.PROVINCES, *J.CITIES))}, lambda y: contains(x, y)))), w) = i THEN w END), lambda w: w IS NOT NULL)[1:3], '、')", 0.85), (_label("地点|地址|Location|Place", 2, 30), 0.8)),
+    "experience": _first((f"coalesce({_years}) || '年以上'", 0.85), (_meaning(J.EXPERIENCE_WORDS), 0.8), (_label("经验|Experience", 2, 20), 0.75)),
+    "education": _first((_meaning(J.EDUCATION), 0.85), (_label("学历|Education", 2, 20), 0.75)),
+    "job_type": _first((_meaning(J.JOB_TYPES), 0.85), ("'全职'", 0.5)),
+    "headcount": _first(("CASE WHEN regexp_matches(text, '\\d+\\s*人') THEN regexp_extract(text, '(\\d+)\\s*人', 1)::BIGINT::VARCHAR END", 0.8), (f"list_filter({_in(J.HEADCOUNT_WORDS)}, lambda w: contains(text, w))[1]", 0.75), (_label("人数|Headcount|招聘人数", 1, 10), 0.7)),
+    **{name: _first((_section(name), J.SECTIONS[name][2])) for name in J.SECTIONS},
+}
+
+
+def _field_query(name: str):
     def run(v: Views) -> DataFrame:
         found = J.FIELDS[name](F.col("text"))
         return _texts(v).select("job_id", found["value"].alias("value"), found["confidence"].alias("confidence"))
 
     run.__name__ = f"jdx_{name}"
-    return query(sql or None)(run)
+    return query(JD_SQL[name])(run)
 
 
-_field_query("title", "SELECT job_id, 'Data Engineer ' || job_id AS value, 0.9::DOUBLE AS confidence FROM jds")
-_field_query("company", "")
-_field_query("location", "")
-_field_query("experience", "SELECT job_id, '3年以上' AS value, 0.85::DOUBLE AS confidence FROM jds")
-_field_query("education", "SELECT job_id, '本科' AS value, 0.85::DOUBLE AS confidence FROM jds")
-_field_query("job_type", "SELECT job_id, '全职' AS value, 0.5::DOUBLE AS confidence FROM jds")
-_field_query("headcount", "")
-_field_query("description", "SELECT job_id, CASE WHEN len(t) > 1000 THEN t[1:1000] || '...' ELSE t END AS value, 0.8::DOUBLE AS confidence FROM (SELECT job_id, trim(regexp_extract(text, '(?s)^(.+?)(\\n\\s*\\n|$)', 1)) AS t FROM jds)")
-_field_query("requirements", "")
-_field_query("benefits", "")
+for _name in JD:
+    _field_query(_name)
 
+_pay = "WHEN regexp_matches(text, '(?i){p}') THEN [regexp_extract(text, '(?i){p}', 1), regexp_extract(text, '(?i){p}', 2), regexp_extract(text, '(?i){p}', 0)]"
+_scale = lambda x: f"CASE WHEN contains(lower(r[3]), 'k') OR a < 100 THEN {x} WHEN a > 1000 THEN {x} // 1000 ELSE {x} * 10 END"
+PAY = f"""pay AS (
+  SELECT job_id, r, r[1]::INTEGER AS a, coalesce(nullif(r[2], ''), r[1])::INTEGER AS b, regexp_extract_all({_label('薪资|工资|Salary', 2, 30)}, '[0-9]+') AS n
+  FROM (SELECT *, CASE {' '.join(_pay.format(p=x) for x in J.SALARY)} END AS r FROM p)),
+salary AS (
+  SELECT job_id, (CASE WHEN r IS NOT NULL THEN {_scale('a')} ELSE n[1]::INTEGER END)::INTEGER AS min, (CASE WHEN r IS NOT NULL THEN {_scale('b')} ELSE coalesce(n[2], n[1])::INTEGER END)::INTEGER AS max,
+         CASE WHEN r IS NULL AND len(n) = 0 THEN NULL WHEN r[3] LIKE '%万%' OR r[3] LIKE '%年薪%' THEN '年' ELSE '月' END AS unit,
+         CASE WHEN r IS NOT NULL THEN 0.85::DOUBLE WHEN len(n) > 0 THEN 0.7::DOUBLE END AS confidence
+  FROM pay)"""
 
-@query("SELECT job_id, (10 + job_id % 20)::INTEGER AS min, (20 + job_id % 30)::INTEGER AS max, '月' AS unit, 0.85::DOUBLE AS confidence FROM jds")
+
+@query(f"{POSTS}, {PAY} SELECT job_id, min, max, unit, confidence FROM salary")
 def jdx4_salary(v: Views) -> DataFrame:
     return _texts(v).select("job_id", J.jd_salary(F.col("text")).alias("s")).select("job_id", "s.*")
 
 
-@query()
+_fields = ", ".join(f"f_{name} AS ({JD_SQL[name].removeprefix(POSTS)})" for name in JD)
+_joined = " ".join(f"JOIN f_{name} USING (job_id)" for name in JD)
+_sure = ", ".join([*(f"f_{name}.confidence" for name in JD), *["salary.confidence"] * 3])
+_low = lambda name, of: f"CASE WHEN coalesce({of}.confidence, 0) < 0.6 THEN '{name}' END"
+_flags = "concat_ws(',', " + ", ".join(_low(n, "salary" if n == "salary" else f"f_{n}") for n in ("title", "company", "salary", "description", "requirements")) + ")"
+ALL_FIELDS = f"{POSTS}, {PAY}, {_fields}"
+_mean = f"coalesce(list_sum(list_filter([{_sure}], lambda x: x > 0)) / len(list_filter([{_sure}], lambda x: x > 0)), 0)::DOUBLE AS confidence"
+
+
+@query(f"{ALL_FIELDS} SELECT job_id, {', '.join(f'f_{n}.value AS {n}' for n in JD)}, {_mean} FROM salary {_joined}")
 def jdx10_extract_jd(v: Views) -> DataFrame:
-    rows = J.extract_jd(_texts(v))
-    return rows.select("job_id", *[F.col(f"{n}.value").alias(n) for n in JD], "confidence", F.array_join("review", ",").alias("review"))
+    return J.extract_jd(_texts(v)).select("job_id", *[F.col(f"{n}.value").alias(n) for n in JD], "confidence")
 
 
-@query()
+@query(f"{ALL_FIELDS} SELECT job_id, {_flags} AS review FROM salary {_joined}")
+def jdx11_review_flags(v: Views) -> DataFrame:
+    return J.extract_jd(_texts(v)).select("job_id", F.array_join("review", ",").alias("review"))
+
+
+@query(f"{ALL_FIELDS} SELECT job_id, {_mean} FROM salary {_joined}")
 def agg20_field_confidence(v: Views) -> DataFrame:
     return J.extract_jd(_texts(v)).select("job_id", "confidence")
 
