@@ -4,20 +4,22 @@ A text is the set of its distinct word n-grams. Texts with equal sets form a cla
 
 *Keys.* Sizes fall into bands such that linked sets lie in the same band or in neighbouring ones. For a pair of bands
 the largest symmetric difference d of a linked pair is known. Every n-gram toggles one bit of a sketch of m = d + 1 + e
-words of 64 bits: it belongs to one word. At most d words of a linked pair differ, so at least e + 1 agree (pigeonhole).
-Words that agree are join keys. Words of no or one n-gram are left out as long as they are fewer than e.
+words of ``WORD_BITS`` bits: it belongs to one word. At most d words of a linked pair differ, so at least e + 1 agree
+(pigeonhole). Words that agree are join keys; as a word has few bits set, it is kept as a parity hash of them. Words of no
+or one n-gram are left out as long as they are fewer than e.
 
-*Counts.* Because e + 1 words agree, linked sets share several keys; pairs that share fewer are chance meetings.
-*Sketch test.* Groups of very many sets are not counted pair by pair. They are cut into blocks of ``BLOCK`` members, and
-every pair of blocks is a row of its own, so that a group of any size is spread over tasks. A second sketch of a power of
-two bits toggles a bit for every n-gram; the Hamming distance of two sketches (the longer one folded) is a lower bound of
-the symmetric difference and rejects what can't be linked.
+*Candidates.* Because e + 1 words agree, linked sets share several keys. Pairs in groups of up to ``SMALL_GROUP`` sets are
+counted, and those that share fewer keys are chance meetings. A larger group gives a star, an edge of each of its sets to
+the first one. Sets that edges connect are a family; linked sets are always of one family.
 
-*Verification.* All pairs that are left are verified on the n-gram sets themselves, again in pairs of bounded blocks, so
-that a set travels once for a block pair and not for a pair. ``links`` is the join, whole; components and numbers of links
-are drawn from it.
+*Verification.* Families are cut into blocks of bounded size. Each pair of blocks is a task of its own: short sketches are
+compared (their Hamming distance is a lower bound of the symmetric difference and rejects what can't be linked), then all
+pairs that are left are verified on the n-grams. What leaves the task are, for each set, the number of its links and
+the least set that it is connected with there, not the pairs. So all links are found and counted while the rows stay in
+proportion to the sets. ``links`` gives the pairs themselves.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, hashed to 64 bits as the n-grams are.
+Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, hashed to 64 bits as the n-grams are. A class is a
+64-bit hash of its set; if two sets ever have one hash, a second hash tells and the job ends with an error.
 
 Defined results: null, empty and blank texts have no n-grams and are a group of their own; a text with fewer words than
 n has one n-gram, its whole sequence; repeated rows and equal texts are in one group; the group's id is its smallest id
@@ -41,8 +43,14 @@ from jobtide.session import checkpointed
 
 FILTER_BITS = 1 << 26  # of the bit table that tells which sets a scan has to emit: 8 MB
 SPARE = 5  # one word in so many is spare: more keys, but linked sets share several of them
-SMALL_GROUP = 32
-BLOCK = 128  # members of a large group, or of a family of candidates, in one block
+WORD_BITS = 1 << 20
+SMALL_GROUP = 16
+BLOCK = 1024  # sets in one block
+BLOCK_GRAMS = 1 << 19  # n-grams in one block, about
+SKETCH_BITS = 512
+COLUMNS = 2048  # n-grams of a product of indicator matrices at a time
+HELD_KEYS = 1 << 20  # keys that a task holds before it hands them on
+SURE = 1 << 20
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -69,10 +77,15 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray
     return out
 
 
-def set_hash(grams: np.ndarray) -> int:
-    """One 64-bit number for a set; its lowest four bits are 0, free for ``segment_keys``."""
+def set_hashes(grams: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers for a set; the lowest four bits of the first are 0, free for ``segment_keys``."""
     both = mixed(np.array([grams.sum(dtype=np.uint64), np.bitwise_xor.reduce(grams) + np.uint64(len(grams))]))
-    return int((mixed(both[:1] * _FACTOR + both[1:])[0] & ~np.uint64(15)).view(np.int64))
+    first = mixed(both[:1] * _FACTOR + both[1:])[0] & ~np.uint64(15)
+    return int(first.view(np.int64)), int(mixed(both[:1] + both[1:] * _FACTOR)[0].view(np.int64))
+
+
+def set_hash(grams: np.ndarray) -> int:
+    return set_hashes(grams)[0]
 
 
 @lru_cache(maxsize=8)
@@ -91,22 +104,24 @@ def largest_difference(band: int, num: int, den: int) -> int:
     return (a + min(edges[band + 2] - 1, a * den // num)) * (den - num) // (den + num)
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parity sketch of a power of two bits, at least the set's size."""
-    bits = 1 << max(6, (len(grams) - 1).bit_length())
-    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches of ``SKETCH_BITS`` bits, rows of 64-bit words."""
+    out = np.zeros((len(sets), SKETCH_BITS), np.uint8)
+    for row, grams in zip(out, sets, strict=True):
+        row[:] = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two sketches, the longer one folded to the length of the shorter."""
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    big, small = max(len(a), len(b)), min(len(a), len(b))
-    long, short = (x, y) if len(a) >= len(b) else (y, x)
-    while big > small:
-        big //= 2
-        long = (long >> (8 * big)) ^ (long & ((1 << (8 * big)) - 1))
-    return (long ^ short).bit_count()
+def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of x (rows of sketches) may be linked with which of y, by sizes and Hamming distances of the sketches."""
+    out = np.empty((len(x), len(y)), bool)
+    for i, (row, own) in enumerate(zip(x, size_x.tolist(), strict=True)):
+        fair = (size_y * den >= own * num) & (own * den >= size_y * num)
+        apart = np.zeros(len(y), np.int64)
+        for k in range(x.shape[1]):
+            apart += np.bitwise_count(y[:, k] ^ row[k])
+        out[i] = fair & (apart * (den + num) <= (size_y + own) * (den - num))
+    return out
 
 
 def schemes(size: int, num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
@@ -119,14 +134,14 @@ def schemes(size: int, num: int, den: int) -> Iterator[tuple[int, int, int, int]
 
 
 def _words(grams: np.ndarray, m: int, spare: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places and values of the sketch words that serve as keys, and how many words do not.
+    """Places and parity hashes of the sketch words that serve as keys, and how many words do not.
 
     Words of few n-grams meet by chance. Those of at most one are left out, or else the empty ones, as long as they are
     two thirds of the spare words at most; else no word is left out.
     """
     word = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as the n-grams are
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    value = np.bitwise_xor.reduceat(np.uint64(1) << (grams & np.uint64(63)), first)
+    value = np.bitwise_xor.reduceat(mixed((grams & np.uint64(WORD_BITS - 1)) + np.uint64(1)), first)
     where, many = word[first], np.diff(np.append(first, len(grams))) > 1
     most = 2 * spare // 3
     if m - int(many.sum()) <= most:
@@ -147,40 +162,24 @@ def segment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate(roles)
 
 
-def sure_matches(grams: np.ndarray, num: int, den: int) -> tuple[int, int]:
-    """Least number of keys that a linked pair shares, as far as this set tells, in the scheme of its own band and of the one below.
-
-    m - d = e + 1 words agree at least. Of words that agree, those that one of the two leaves out are at most as many as
-    the set with the stricter rule leaves out: a pair shares at least the smaller of the two sets' numbers.
-    """
-    out = [1, 1]
-    for _, m, spare, role in schemes(len(grams), num, den):
-        out[role] = 1 + spare - _words(grams, m, spare)[2]
-    return out[0], out[1]
-
-
 def signatures(docs: DataFrame, words: int, num: int, den: int, text: str, ident: str) -> DataFrame:
-    """Per row: ident, n_shingles, cls (hash of the set; null if empty), sketch, band, and the sure matches in both schemes."""
+    """Per row: ident, n_shingles, cls (hash of the set; null if empty), proof (a second hash)."""
     kind = docs.schema[ident].dataType.simpleString()
-    edges = np.array(bands(num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             sets = ngram_sets(data, offsets, words)
-            cls = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
-            sizes = np.array([len(s) for s in sets], np.int64)
-            sure = [sure_matches(s, num, den) if len(s) else (1, 1) for s in sets]
+            both = [set_hashes(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), cls, pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.array((np.searchsorted(edges, sizes, "right") - 1).astype(np.int32)), pa.array([x for x, _ in sure], pa.int32()), pa.array([y for _, y in sure], pa.int32())],
-                ["ident", "n_shingles", "cls", "sketch", "band", "sure", "sure_below"],
-            )
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c for c, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64())],
+                ["ident", "n_shingles", "cls", "proof"],
+            )
 
-    return docs.select(docs[ident].alias("ident"), docs[text].alias("text")).mapInArrow(run, f"ident {kind}, n_shingles bigint, cls bigint, sketch binary, band int, sure int, sure_below int")
+    return docs.select(docs[ident].alias("ident"), docs[text].alias("text")).mapInArrow(run, f"ident {kind}, n_shingles bigint, cls bigint, proof bigint")
 
 
 def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    """What shares keys: pairs (a, b) with the number of keys from groups up to ``SMALL_GROUP``; larger groups (g) in blocks of members.
+    """Classes that share keys: pairs (a, b, n shared keys, need) from groups up to ``SMALL_GROUP``; edges (a, b) to the first class of larger ones.
 
     Sets that are both of the upper band of a scheme meet in their own scheme, so not here.
     """
@@ -190,30 +189,52 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has emitted; forgetting some costs only repeated rows
+        keys, owners, held = [], [], 0
         for _, data, offsets in slices(batches):
-            keys, owners = [], []
             if len(seen) > 1 << 20:
                 seen.clear()
             for grams in ngram_sets(data, offsets, words):
                 if len(grams) and (cls := set_hash(grams)) not in seen:
                     seen.add(cls)
-                    got, role = segment_keys(grams, num, den)
+                    got, tag = segment_keys(grams, num, den)
                     keys.append(got)
-                    owners.append(cls + role)
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            lane = (key % np.uint64(lanes)).astype(np.int32)
-            order = np.argsort(lane, kind="stable")
-            found, at = np.unique(lane[order], return_index=True)
-            ends = np.append(at, len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(found), lists(signed(key[order]), ends), lists(owner[order], ends)], ["lane", "keys", "owners"])
+                    owners.append(cls + tag)
+                    held += len(got)
+            if held > HELD_KEYS:
+                yield dealt(np.concatenate(keys), np.concatenate(owners))
+                keys, owners, held = [], [], 0
+        if held:
+            yield dealt(np.concatenate(keys), np.concatenate(owners))
+
+    def dealt(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        """Keys and owners by lane. Of a group that is large already here, ``SMALL_GROUP`` + 1 sets go on; an edge to the first one stands for each other."""
+        order = np.lexsort((owner, owner & 1, key))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        beyond = np.arange(len(key)) - np.repeat(first, size) > SMALL_GROUP
+        edges = np.unique(np.stack([owner[np.repeat(first, size)[beyond]] & ~15, owner[beyond] & ~15], 1), axis=0)
+        key, owner = key[~beyond], owner[~beyond]
+        lane = np.concatenate([(key % np.uint64(lanes)).astype(np.int32), (edges[:, 1].view(np.uint64) // np.uint64(16) % np.uint64(lanes)).astype(np.int32)])
+        values = np.concatenate([signed(key), edges[:, 0]]), np.concatenate([owner, edges[:, 1]])
+        kind = np.repeat([0, 1], [len(key), len(edges)])
+        order = np.lexsort((lane, kind))
+        group = kind[order] * lanes + lane[order]
+        found, at = np.unique(group, return_index=True)
+        ends = np.append(at, len(order))
+        return pa.RecordBatch.from_arrays(
+            [pa.array((found % lanes).astype(np.int32)), pa.array(found >= lanes), lists(values[0][order], ends), lists(values[1][order], ends)], ["lane", "edge", "keys", "owners"]
+        )
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners = [], []
         for batch in batches:
-            keys.append(np.asarray(batch.column(0).flatten()))
-            owners.append(np.asarray(batch.column(1).flatten()))
+            for edge, key, owner in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if edge:
+                    yield edges(np.asarray(key.values), np.asarray(owner.values))
+                else:
+                    keys.append(np.asarray(key.values).view(np.uint64))
+                    owners.append(np.asarray(owner.values))
         if not keys:
             return
         key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -227,7 +248,6 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
         role = (owner & 1).astype(bool)
         mixed_roles = np.add.reduceat(~role, first) > 0
         first, size = first[mixed_roles], size[mixed_roles]
-        names = ["a", "b", "n", "need", "g", "block", "blocks", "members"]
         pairs = []
         for s in range(2, SMALL_GROUP + 1):
             at = first[size == s]
@@ -239,78 +259,20 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
         if pairs:
             pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             need = 1 << ((np.minimum(pair[:, 0] & 15, pair[:, 1] & 15)) >> 1)
-            none = [pa.nulls(len(pair), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] & ~15), pa.array(pair[:, 1] & ~15), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), *none], names)
-        done: set[int] = set()
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] & ~15), pa.array(pair[:, 1] & ~15), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "n", "need"])
+        stars = []
         for f, k in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
             members = np.unique(owner[f : f + k] & ~15)
-            g = set_hash(members.view(np.uint64))
-            if g in done or len(members) < 2:
-                continue
-            done.add(g)
-            ends = np.append(np.arange(0, len(members), BLOCK), len(members))
-            many = len(ends) - 1
-            none = [pa.nulls(many, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([g] * many, pa.int64()), pa.array(range(many), pa.int32()), pa.array([many] * many, pa.int32()), lists(members, ends)], names)
-
-    rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, keys array<bigint>, owners array<bigint>")
-    return rows.repartition(parts, "lane").select("keys", "owners").mapInArrow(grouped, "a bigint, b bigint, n int, need int, g bigint, block int, blocks int, members array<bigint>")
-
-
-def _counted(found: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, n) of the small groups that share as many keys as linked sets must."""
-    pairs = found.filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    pairs = pairs.filter(F.col("n") >= F.col("need")).drop("need")  # most chance meetings end here
-    for c in ("a", "b"):
-        own = [F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "band", "sure", "sure_below")]
-        pairs = pairs.join(signs.select(F.col("cls").alias(c), *own), c)
-    fair = (F.col("n_shingles_a") * num <= F.col("n_shingles_b") * den) & (F.col("n_shingles_b") * num <= F.col("n_shingles_a") * den)
-    scheme = F.least("band_a", "band_b")
-    need = [F.when(F.col(f"band_{c}") == scheme, F.col(f"sure_{c}")).otherwise(F.col(f"sure_below_{c}")) for c in ("a", "b")]
-    return pairs.filter(fair & (F.col("n") >= F.least(*need))).select("a", "b", "n")
-
-
-def _group_tries(groups: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) of members of one large group that the sketch test can't reject; a row for each pair of blocks."""
-    rows = groups.dropDuplicates(["g", "block"]).select("g", "block", "blocks", F.explode("members").alias("cls")).join(signs.select("cls", "n_shingles", "sketch"), "cls")
-    packed = checkpointed(rows.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("cls", "n_shingles", "sketch")).alias("m")))  # BLOCK members at most
-    low = packed.select("g", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("m").alias("x"))
-    high = packed.select("g", F.explode(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"), F.col("m").alias("y"))
-    both = low.join(high, ["g", "lo", "hi"]).select("x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, held = [], 0
-            for k in range(batch.num_rows):
-                found.append(possible(batch.column(0)[k].values, batch.column(1)[k].values, num, den))
-                held += len(found[-1])
-                if held > 100_000 or k == batch.num_rows - 1:
-                    pairs = np.unique(np.concatenate(found), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-                    found, held = [], 0
+            stars.append(np.stack([np.full(len(members) - 1, members[0]), members[1:]], 1))
+        if stars:
+            yield edges(*np.unique(np.concatenate(stars), axis=0).T)
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Edges that need no count."""
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), SURE, np.int32)), pa.array(np.zeros(len(a), np.int32))], ["a", "b", "n", "need"])
 
-
-def _folded(sketches: list[bytes], width: int) -> np.ndarray:
-    """Sketches folded to a length, as rows of 64-bit words."""
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches]).view(np.uint64)
-
-
-def possible(x: pa.StructArray, y: pa.StructArray, num: int, den: int) -> np.ndarray:
-    """Pairs (the smaller class first) of a member of block x with one of block y whose sizes and sketches leave a link possible."""
-    cls, size = ([np.asarray(m.field(f)) for m in (x, y)] for f in ("cls", "n_shingles"))
-    sketches = [m.field("sketch").to_pylist() for m in (x, y)]
-    width = min(len(s) for side in sketches for s in side)
-    rows = [_folded(side, width) for side in sketches]
-    out = []
-    for i in range(len(cls[0])):
-        apart = np.bitwise_count(rows[1] ^ rows[0][i]).sum(1, dtype=np.int64)
-        own = size[0][i]
-        fair = (size[1] * den >= own * num) & (own * den >= size[1] * num) & (apart * (den + num) <= (size[1] + own) * (den - num)) & (cls[1] != cls[0][i])
-        other = cls[1][fair]
-        out.append(np.stack([np.minimum(other, cls[0][i]), np.maximum(other, cls[0][i])], 1))
-    return np.concatenate(out)
+    rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, edge boolean, keys array<bigint>, owners array<bigint>")
+    return rows.repartition(parts, "lane").select("edge", "keys", "owners").mapInArrow(grouped, "a bigint, b bigint, n int, need int")
 
 
 def _bit_table(ids: DataFrame) -> bytes:
@@ -361,54 +323,130 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, table: Broa
     return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    """The pairs whose sets are similar enough, written to the checkpoint folder.
+def _placed(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Where each class of a family is verified: cls, label (its family), home, block, blocks.
 
-    Classes that pairs connect are a family. Large families are cut into blocks by hash, small ones are put together; sets
-    and pairs meet by pairs of blocks.
+    Large families have a home of their own and are cut into blocks by hash; small ones are put together, a block each home.
     """
-    labels = components(pairs)
-    many = max(1, labels.count() // BLOCK)
-    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = components(edges).join(sizes, F.col("node") == F.col("cls")).select("cls", "label", "n_shingles")
+    needs = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_GRAMS))).cast("int")
+    families = members.groupBy("label").agg(needs.alias("blocks"), F.sum("n_shingles").alias("grams"))
+    families = checkpointed(families)
+    many = families.filter("blocks = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0] // BLOCK_GRAMS + 1
     home = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("label"), F.lit(many))).otherwise(F.abs("label"))
-    places = checkpointed(labels.join(sizes, "label").select(F.col("node").alias("cls"), home.alias("home"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
-    for c in ("a", "b"):
-        pairs = pairs.join(places.select(F.col("cls").alias(c), F.col("home").alias(f"home_{c}"), F.col("block").alias(f"block_{c}")), c)
-    pairs = checkpointed(pairs.select("a", "b", F.col("home_a").alias("home"), F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi")))
+    families = families.select("label", "blocks", home.alias("home"))
+    return checkpointed(members.join(families, "label").select("cls", "label", "home", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), "blocks"))
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray], alive: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets x with the sets y, at least where ``alive``."""
+    out = np.zeros(alive.shape, np.int32)
+    where = np.nonzero(alive)
+    if len(where[0]) <= 4 * sum(alive.shape):
+        for i, j in zip(*where, strict=True):
+            out[i, j] = len(np.intersect1d(x[i], y[j], assume_unique=True))
+        return out
+    rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+    held = [x[i] for i in rows.tolist()] + [y[j] for j in cols.tolist()]
+    gram, of = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s in held])
+    order = np.argsort(gram, kind="stable")  # stable: those of x come first
+    gram, of = gram[order], of[order]
+    new = np.concatenate([[True], gram[1:] != gram[:-1]])
+    first = np.flatnonzero(new)
+    left = np.add.reduceat((of < len(rows)).astype(np.int32), first)
+    use = (left > 0) & (np.diff(np.append(first, len(gram))) > left)  # n-grams on both sides
+    column = np.cumsum(use) - 1
+    shown = np.repeat(use, np.diff(np.append(first, len(gram))))
+    of, place = of[shown], column[np.cumsum(new) - 1][shown]
+    total = np.zeros((len(rows), len(cols)), np.float32)
+    for start in range(0, int(use.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        grid = np.zeros((len(held), COLUMNS), np.float32)
+        grid[of[a:b], place[a:b] - start] = 1
+        total += grid[: len(rows)] @ grid[len(rows) :].T
+    out[np.ix_(rows, cols)] = total
+    return out
+
+
+def linked(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of x are linked with which of y: those that sketches leave possible, verified."""
+    size_x, size_y = (np.array([len(s) for s in side], np.int64) for side in (x, y))
+    alive = possible(sketches(x), sketches(y), size_x, size_y, num, den)
+    both = common(x, y, alive).astype(np.int64)
+    return alive & (both * den >= (size_x[:, None] + size_y[None, :] - both) * num)
+
+
+def _connected(links: np.ndarray) -> np.ndarray:
+    """The least number that each row, or else column, of a matrix of links is connected with; rows are numbered before columns."""
+    rows, cols = np.arange(links.shape[0]), np.arange(links.shape[1]) + links.shape[0]
+    at = np.nonzero(links)
+    while True:
+        before = rows.copy()
+        np.minimum.at(cols, at[1], rows[at[0]])
+        np.minimum.at(rows, at[0], cols[at[1]])
+        if (rows == before).all():
+            return np.concatenate([rows, cols])
+
+
+def _verified(edges: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, pairs: bool) -> DataFrame:
+    """All links among the families of the edges, written to the checkpoint folder.
+
+    With ``pairs``: a, b. Else per class and pair of blocks: cls, n (links there), least (a class it is connected with there).
+    """
+    places = _placed(edges, sizes)
     table = docs.sparkSession.sparkContext.broadcast(_bit_table(places.select("cls")))
-    needs = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "home", "lo", "hi").distinct()
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    needs = places.select("cls", "label", "home", "block", other).select("cls", "label", "home", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     sets = needs.join(_sets(docs, places.select("cls"), words, text, table), "cls")
 
-    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        held = {}
-        for batch in sets.select(["cls", "grams"]).to_batches():
-            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
-            held |= {c: flat[i:j] for c, i, j in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
-        keep = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = held[a], held[b]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common * den >= (len(x) + len(y) - common) * num)
-        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = sets.select("cls", "grams", *[F.col(c).alias(f"of_{c}") for c in ("home", "lo", "hi")])
-    links = checkpointed(sets.groupBy("of_home", "of_lo", "of_hi").cogroup(pairs.groupBy("home", "lo", "hi")).applyInArrow(run, "a bigint, b bigint"))
+    def found(x: list[np.ndarray], y: list[np.ndarray], of_x: np.ndarray, of_y: np.ndarray, own: bool) -> pa.Table:
+        links = linked(x, y, num, den)
+        if own:
+            links = np.triu(links, 1)
+        if pairs:
+            at = np.nonzero(links)
+            both = np.sort(np.stack([of_x[at[0]], of_y[at[1]]], 1), 1)
+            return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        if own:
+            links |= links.T
+        n, cls = np.concatenate([links.sum(1), links.sum(0)]), np.concatenate([of_x, of_y])
+        least = cls[_connected(links | np.eye(len(of_x), dtype=bool) if own else links)]
+        some = n > 0
+        if own:
+            some[len(of_x) :] = False
+        return pa.table({"cls": cls[some], "n": n[some].astype(np.int64), "least": least[some]})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cls, label, block = (table.column(c).to_numpy() for c in ("cls", "label", "block"))
+        grams = table.column("grams").combine_chunks()
+        ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+        sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        out = []
+        order = np.argsort(label, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):  # one family, or the small ones of this home
+            x, y = rows[block[rows] == lo].tolist(), rows[block[rows] == hi].tolist()
+            if x and y:
+                out.append(found([sets[i] for i in x], [sets[i] for i in y], cls[x], cls[y], lo == hi))
+        return pa.concat_tables(out) if out else found([], [], cls[:0], cls[:0], False)
+
+    kind = "a bigint, b bigint" if pairs else "cls bigint, n bigint, least bigint"
+    links = checkpointed(sets.groupBy("home", "lo", "hi").applyInArrow(run, kind))
     table.destroy()
     return links
 
 
-def _links(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    signs = rows.filter(F.col("cls").isNotNull()).select("cls", "n_shingles", "sketch", "band", "sure", "sure_below").dropDuplicates(["cls"])
-    found = checkpointed(met(docs, words, num, den, text))
-    groups = found.filter(F.col("g").isNotNull()).select("g", "block", "blocks", "members")
-    pairs = _counted(found.filter(F.col("g").isNull()), signs.drop("sketch"), num, den).select("a", "b")
-    tries = checkpointed(pairs.unionByName(_group_tries(groups, signs, num, den)).distinct())
-    return _verified(tries, docs, words, num, den, text)
+def _links(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, pairs: bool = False) -> DataFrame:
+    sizes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"))
+    edges = met(docs, words, num, den, text).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    edges = checkpointed(edges.filter(F.col("n") >= F.col("need")).select("a", "b"))  # chance meetings end here
+    return _verified(edges, sizes, docs, words, num, den, text, pairs)
 
 
 def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """The join: every pair (a, b) of linked classes, a < b, once. Rows of one class have equal sets."""
-    return _links(checkpointed(signatures(docs, words, num, den, text, ident)), docs, words, num, den, text)
+    return _links(checkpointed(signatures(docs, words, num, den, text, ident)), docs, words, num, den, text, pairs=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -418,9 +456,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """
     rows = checkpointed(signatures(docs, words, num, den, text, ident))
     links = _links(rows, docs, words, num, den, text)
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("ident").alias("least"))
+    labels = components(links, "cls", "least")
+    degree = links.groupBy("cls").agg(F.sum("n").alias("n_links"))
+    sure = F.when(F.min("proof") == F.max("proof"), F.min("ident")).otherwise(F.raise_error(F.lit("two n-gram sets have the same 64-bit hash")))
+    classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(sure.alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
     ids = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = classes.join(ids, "label").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
