@@ -29,7 +29,8 @@ from tokenizers.models import BPE
 from jobtide.llm.textvec import slices, with_text
 
 #: A task's memory of words starts anew beyond so many entries.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
+SLICE = 1 << 20
 #: All code points below were assigned before the library versions at hand.
 _FAR = re.compile("[\u0500-\U0010ffff]")
 #: Code points that count as white space.
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = codec(path), {}
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, most=SLICE):
             if len(known) > MEMORY:
                 known.clear()
             raw = data.tobytes()
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 hashes.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(shown.encode()).hexdigest())
                 if outputs:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))
                     decoded.append(shown)
             columns = [pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -7,6 +7,9 @@ is the one that a likelihood with a penalty of ``PENALTY`` per language and sqrt
 A text whose best single language already meets the optimality conditions of the mixture (no other language would
 raise the penalised likelihood) needs no iterations; that is most of them, and it changes no result.
 
+All languages of the training rows are learned. The model is ``BUCKETS`` numbers a language; more than ``MOST_LANGUAGES``
+languages (64 MB) are no list of languages and end the job with an error.
+
 Defined results: texts that are null or have no letter are ``und`` with score 0; ties go to the language first in
 order; rows without language teach nothing; without any training row every text is ``und``; repeated rows are predicted
 each for itself; an empty table gives an empty result; further columns are ignored.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.textvec import LOWER, slices, with_text
+from jobtide.llm.textvec import LOWER, of_text, slices
 
 BUCKETS = 4096
 PENALTY = 3.0
@@ -30,8 +33,8 @@ UND = "und"
 _BLANK = LOWER.copy()
 _BLANK[:97] = 32
 _BLANK[123:128] = 32
-#: At most so many languages are learned, those with most training rows (a model is BUCKETS floats a language).
-MOST_LANGUAGES = 512
+MOST_LANGUAGES = 4096
+SLICE, SLICE_ROWS = 1 << 20, 256  # of texts counted at a time: 4 MB of counts
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,45 +58,41 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows, buckets = _grams(data, offsets)
     n = len(offsets) - 1
-    return np.bincount(rows * BUCKETS + buckets, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return np.bincount(rows * BUCKETS + buckets, minlength=n * BUCKETS).astype(np.float32).reshape(n, BUCKETS)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the log-probabilities of their trigram buckets, from all rows with a language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
-        for batch, data, offsets in slices(batches, most=1 << 20):
+        for batch, data, offsets in slices(batches, most=SLICE):
             langs = np.array(batch.column(0).to_pylist(), object)
             row, bucket = _grams(data, offsets)
             for name in set(langs):
-                mine = langs == name
-                got = np.bincount(bucket[mine[row]], minlength=BUCKETS)
-                sums[name] = sums.get(name, 0) + got
-                rows[name] = rows.get(name, 0) + int(mine.sum())
+                sums[name] = sums.get(name, 0) + np.bincount(bucket[(langs == name)[row]], minlength=BUCKETS)
         for name, got in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows[name]]), pa.array([got.astype("<i8").tobytes()])], ["lang", "n", "counts"])
-
-    def add(pdf):
-        total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-        return pdf.iloc[:1].assign(n=pdf["n"].sum(), counts=[np.asarray(total).astype("<i8").tobytes()])
+            at = np.append(0, np.flatnonzero(got[1:]) + 1)  # the first bucket always, so that a language without trigrams is known
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     known = docs.filter(docs[lang].isNotNull()).select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
-    parts = known.mapInArrow(run, "lang string, n bigint, counts binary")
-    # One row per task and language meets here, a fixed size each; salted sums first, so no group is large.
-    parts = parts.groupBy("lang", F.pmod(F.xxhash64("counts"), F.lit(8))).applyInPandas(lambda key, pdf: add(pdf), "lang string, n bigint, counts binary")
-    total = parts.groupBy("lang").applyInPandas(add, "lang string, n bigint, counts binary")
-    rows = sorted(total.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
-    if not rows:
+    total = known.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = total.limit(MOST_LANGUAGES * BUCKETS + 1).toArrow()  # at most BUCKETS rows a language
+    langs = sorted(set(got.column("lang").to_pylist()))
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not langs:
         return [], np.zeros((0, BUCKETS))
-    counts = np.array([np.frombuffer(r["counts"], "<i8") for r in rows], float)
+    counts = np.zeros((len(langs), BUCKETS))
+    place = {name: k for k, name in enumerate(langs)}
+    counts[[place[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     smooth = counts + 0.5
-    return [r["lang"] for r in rows], np.log(smooth / smooth.sum(1, keepdims=True))
+    return langs, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
 
 
 def mixture(counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Proportions of the languages in one text (a bucket histogram), after choice of the language set."""
-    k = len(logp)
+    k, counts = len(logp), counts.astype(float)
     single = logp @ counts
     best = int(single.argmax())
     theta = np.zeros(k)
@@ -101,7 +100,7 @@ def mixture(counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
     total = counts.sum()
     cost = PENALTY * np.log(max(total, 2.0))
     at = np.flatnonzero(counts)
-    c, p = counts[at].astype(float), np.exp(logp[:, at])
+    c, p = counts[at], np.exp(logp[:, at].astype(float))
     # Upper bound of the gain that adding language j to the best one can bring, from the slope of the likelihood.
     slope = (p / p[best]) @ c - total
     slope[best] = 0.0
@@ -132,52 +131,48 @@ def _has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
+def single(counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text, and whether no mixture can do better (the bound of ``mixture``)."""
+    best, total = (counts @ logp.T).argmax(1), counts.sum(1)
+    sure = np.zeros(len(best), bool)
+    for b in np.unique(best):
+        mine = np.flatnonzero(best == b)
+        slope = counts[mine] @ np.exp(logp - logp[b]).T - total[mine, None]
+        slope[:, b] = 0
+        sure[mine] = slope.max(1) <= PENALTY * np.log(np.maximum(total[mine], 2.0))
+    return best, sure
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred, score (share of that language), mixture (``lang:share`` of the chosen set, largest first)."""
     langs, logp = model
     spec = docs.sparkSession.sparkContext.broadcast((langs, logp))  # at most MOST_LANGUAGES * BUCKETS floats
-    rows = with_text(docs.withColumn("_letter", _has_letter(docs[text])), text, keep, "_letter")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         langs, logp = spec.value
-        prob = np.exp(logp)
-        for batch, data, offsets in slices(batches, most=1 << 20):
-            counts = _counts(data, offsets).astype(np.float32)
-            letters = batch.column(batch.num_columns - 1).to_pylist()
-            pred, score, mixed = [], [], []
-            if langs:
-                single = counts @ logp.T.astype(np.float32)
-                best = single.argmax(1)
-                total = counts.sum(1)
-                ratio = prob[:, None, :] / prob[None, :, :] if len(langs) <= 16 else None
-                sure = np.zeros(len(best), bool)
-                if ratio is not None:
-                    for b in range(len(langs)):
-                        mine = np.flatnonzero(best == b)
-                        slope = counts[mine] @ ratio[:, b].T.astype(np.float32) - total[mine, None]
-                        slope[:, b] = 0
-                        sure[mine] = slope.max(1) <= PENALTY * np.log(np.maximum(total[mine], 2.0))
-            for k, letter in enumerate(letters):
-                if not letter or not langs:
-                    pred.append(UND)
-                    score.append(0.0)
-                    mixed.append("")
-                    continue
-                if sure[k]:
-                    theta = np.zeros(len(langs))
-                    theta[best[k]] = 1.0
-                else:
-                    theta = mixture(counts[k], logp)
-                order = np.argsort(-theta, kind="stable")
-                pred.append(langs[order[0]])
-                score.append(float(min(1.0, theta[order[0]])))
-                mixed.append(",".join(f"{langs[j]}:{theta[j]:.3f}" for j in order if theta[j] > 0))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())], [*keep, "lang_pred", "score", "mixture"]
-            )
-
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, mixture string")
+        counts = _counts(data, offsets)
+        best, sure = single(counts, logp)
+        pred, score, mixed = [], [], []
+        for k in range(len(counts)):
+            if sure[k]:
+                theta = np.zeros(len(langs))
+                theta[best[k]] = 1.0
+            else:
+                theta = mixture(counts[k], logp)
+            order = np.argsort(-theta, kind="stable")
+            pred.append(langs[order[0]])
+            score.append(float(min(1.0, theta[order[0]])))
+            mixed.append(",".join(f"{langs[j]}:{theta[j]:.3f}" for j in order if theta[j] > 0))
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())]
+
+    kind = "lang_pred string, score double, mixture string"
+    found = of_text(docs[text], kind, run, SLICE, SLICE_ROWS) if langs else F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+    rows = docs.select(*keep, _has_letter(docs[text]).alias("_letter"), found.alias("_found"))
+    letter = F.col("_letter") & F.col("_found").isNotNull()
+    return rows.select(
+        *keep, F.when(letter, F.col("_found.lang_pred")).otherwise(UND).alias("lang_pred"), F.when(letter, F.col("_found.score")).otherwise(0.0).alias("score"),
+        F.when(letter, F.col("_found.mixture")).otherwise("").alias("mixture"),
+    )
 
 
 def crc_mod(ident: Column, n: int) -> Column:

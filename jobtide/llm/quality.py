@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.langid import crc_mod
-from jobtide.llm.textvec import slices, span_hashes, with_text, word_spans
+from jobtide.llm.textvec import of_text, slices, span_hashes, word_spans
 
 PASSAGE = 512
+SLICE, SLICE_ROWS = 1 << 20, 4096  # of texts encoded at a time
 TRAIN_ROWS = 1500
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Fit on the bounded sample: passages are encoded in tasks, the bags of the sample come to the driver."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, most=SLICE, rows=SLICE_ROWS):
             x, first = passages(data, offsets)
             blobs = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column(1)], ["bag", "label"])
@@ -190,21 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score, predicted, n_passages, top_passage (the passage with most attention)."""
     spec = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    rows = with_text(docs, text, keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches):
-            x, first = passages(data, offsets)
-            found, attention = spec.value.score(x, first)
-            top = np.array([int(attention[a:b].argmax()) for a, b in zip(first[:-1], first[1:], strict=True)], np.int32)
-            found = np.clip(np.round(found, 9), 0, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(found), pa.array((found >= 0.5).astype(np.int32)), pa.array(np.diff(first).astype(np.int32)), pa.array(top)],
-                [*keep, "score", "predicted", "n_passages", "top_passage"],
-            )
-
-    return rows.mapInArrow(run, f"{kept}, score double, predicted int, n_passages int, top_passage int")
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        x, first = passages(data, offsets)
+        found, attention = spec.value.score(x, first)
+        top = np.array([int(attention[a:b].argmax()) for a, b in zip(first[:-1], first[1:], strict=True)], np.int32)
+        found = np.clip(np.round(found, 9), 0, 1)
+        return [pa.array(found), pa.array((found >= 0.5).astype(np.int32)), pa.array(np.diff(first).astype(np.int32)), pa.array(top)]
+
+    found = of_text(docs[text], "score double, predicted int, n_passages int, top_passage int", run, SLICE, SLICE_ROWS)
+    return docs.select(*keep, found.alias("_found")).select(*keep, "_found.*")
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about this many bytes, so that temporaries stay small; a longer text is its own slice.
 SLICE_BYTES = 4 << 20
@@ -38,18 +39,36 @@ def with_text(docs: DataFrame, text: str, keep: tuple[str, ...], *more: str) ->
     return docs.select(*keep, *own, *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Row slices of the batches with the bytes and offsets of their texts."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches, of about ``most`` bytes and ``rows`` rows at most, with the bytes and offsets of their texts."""
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
-        row, rows = 0, batch.num_rows
-        while row < rows:
+        row = 0
+        while row < batch.num_rows:
             stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-            stop = min(stop, rows)
+            stop = min(stop, row + rows, batch.num_rows)
             yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
             row = stop
 
 
+def of_text(text: Column, kind: str, run: Callable[[np.ndarray, np.ndarray], list[pa.Array]], most: int, rows: int = 1 << 30) -> Column:
+    """A struct of type ``kind`` for each text; ``run`` makes its fields from the bytes and offsets of a slice of texts.
+
+    Only texts enter the Python worker and only results leave it; further columns of the rows stay in the JVM.
+    """
+    names = [f.strip().split(" ")[0] for f in kind.split(",")]
+
+    def each(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [pa.StructArray.from_arrays(run(data, offsets), names) for _, data, offsets in slices(iter([batch]), most=most, rows=rows)]
+            if parts:
+                yield pa.concat_arrays(parts)
+
+    # Not deterministic to the optimiser: a filter on the result is not to run the function a second time.
+    return F.arrow_udf(each, kind, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
