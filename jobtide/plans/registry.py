@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.plans import matching, relational, texts  # noqa: F401
+from jobtide.plans import matching, relational, resumes, texts  # noqa: F401
 from jobtide.plans.book import ORACLES, QUERIES
 from jobtide.sources.views import Views
 

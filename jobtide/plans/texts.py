@@ -9,10 +9,11 @@ from jobtide.functions import scalar as S
 from jobtide.functions import text as T
 from jobtide.operators import documents as D
 from jobtide.operators import jd as J
-from jobtide.operators import resume as R
 from jobtide.operators.lexicon import keyword_match
 from jobtide.plans.book import query
-from jobtide.plans.matching import MATCH, TECH, _jds, _pairs
+from jobtide.plans.forms import forms, forms_sql
+from jobtide.plans.matching import MATCH, _jds, _pairs
+from jobtide.plans.resumes import _structured
 from jobtide.sources import parsing as P
 from jobtide.sources.views import Views
 from jobtide.streaming.jobs import request_metrics
@@ -251,20 +252,9 @@ POSTING = (
 )
 
 
-def _forms(table: tuple[tuple[str, ...], ...], key: Column) -> list[Column]:
-    """The lines of a made-up text; the k-th one takes its forms in turn as key div (k + 1) goes on."""
-    pick = lambda k, forms: F.element_at(F.array(*map(F.lit, forms)), (F.floor(key / (k + 1)) % len(forms) + 1).cast("int"))
-    return [F.replace(pick(k, forms), F.lit("#"), key.cast("string")) for k, forms in enumerate(table)]
-
-
-def _forms_sql(table: tuple[tuple[str, ...], ...], key: str) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"replace([{', '.join(map(quoted, forms))}][(({key} // {k + 1}) % {len(forms)} + 1)::INTEGER], '#', {key}::VARCHAR)" for k, forms in enumerate(table))
-
-
 def _texts(v: Views) -> DataFrame:
     """Descriptions: the driver's texts under the lines of a posting."""
-    return v.jds.select("job_id", F.concat_ws("\n", *_forms(POSTING, F.col("job_id")), F.lit("岗位职责:"), "text", F.lit("\n任职要求：\nSQL\n \nand more\n\nBenefits"), "text").alias("text"))
+    return v.jds.select("job_id", F.concat_ws("\n", *forms(POSTING, F.col("job_id")), F.lit("岗位职责:"), "text", F.lit("\n任职要求：\nSQL\n \nand more\n\nBenefits"), "text").alias("text"))
 
 
 _in = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -272,7 +262,7 @@ _any = lambda words: "|".join(w.replace("+", "\\+").replace(".", "\\.") for w in
 _alone = "'(?i)(^|[^\\p{L}\\p{N}_])' || w || '([^\\p{L}\\p{N}_]|$)'"
 _label = lambda labels, least, most: f"trim(regexp_extract(text, '(?i)(?:{labels})[:：\\s]*([^\\n]{{{least},{most}}})', 1))"
 #: Postings with their first lines.
-POSTS = f""", posts AS (SELECT job_id, concat_ws(chr(10), {_forms_sql(POSTING, 'job_id')}, '岗位职责:', text, chr(10) || '任职要求：' || chr(10) || 'SQL' || chr(10) || ' ' || chr(10) || 'and more' || chr(10) || chr(10) || 'Benefits', text) AS text FROM jds),
+POSTS = f""", posts AS (SELECT job_id, concat_ws(chr(10), {forms_sql(POSTING, 'job_id')}, '岗位职责:', text, chr(10) || '任职要求：' || chr(10) || 'SQL' || chr(10) || ' ' || chr(10) || 'and more' || chr(10) || chr(10) || 'Benefits', text) AS text FROM jds),
 p AS (SELECT *, list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)) AS ls FROM posts)
 """
 
@@ -363,154 +353,6 @@ def agg20_field_confidence(v: Views) -> DataFrame:
     return J.extract_jd(_texts(v)).select("job_id", "confidence")
 
 
-# Résumés
-
-
-def _resume_texts(v: Views) -> DataFrame:
-    """Résumés: the driver's texts below contacts, schools and jobs made from their keys."""
-    key = F.col("doc_id")
-    head = F.concat_ws("\n", F.lit("姓名: 王小明"), F.concat(F.lit("user"), key.cast("string"), F.lit("@example.com | 138"), F.lpad((key % 100_000_000).cast("string"), 8, "0")), F.lit("教育经历"), F.lit("2016.09 - 2020 某某大学 计算机专业 本科"), F.lit("工作经历"), F.concat(F.lit("2020 - 至今 第"), (key % 9).cast("string"), F.lit("号公司 工程师")), F.lit("专业技能"))
-    return v.resumes.select("doc_id", "user_id", F.concat_ws("\n", head, "text").alias("text"))
-
-
-VOC = tuple((t, c) for t, c in dict(reversed(TECH)).items())
-
-
-def _structured(v: Views) -> DataFrame:
-    """Vaults with structured data, from the extraction job itself."""
-    rows = R.structure_resumes(_resume_texts(v), VOC)
-    jobs = F.transform("experiences", lambda e: F.struct(e["company"].alias("company"), e["title"].alias("title"), F.lit("").alias("description")))
-    data = F.struct(F.struct(F.col("personal_info.name").alias("name"), F.col("personal_info.contacts.email").alias("email"), F.col("personal_info.contacts.phone").alias("phone")).alias("personal_info"), "education", jobs.alias("experiences"), "skills")
-    return rows.select(F.col("doc_id").alias("user_id"), F.lit(1).alias("version"), data.alias("structured_data"))
-
-
-@query("SELECT doc_id, 'user' || doc_id || '@example.com' AS email, '138' || lpad((doc_id % 100000000)::VARCHAR, 8, '0') AS phone FROM resumes")
-def rsm1_contacts(v: Views) -> DataFrame:
-    return _resume_texts(v).select("doc_id", R.contacts(F.col("text")).alias("c")).select("doc_id", "c.email", "c.phone")
-
-
-@query("SELECT doc_id, '王小明' AS name FROM resumes")
-def rsm2_person_name(v: Views) -> DataFrame:
-    return _resume_texts(v).select("doc_id", R.person_name(F.col("text")).alias("name"))
-
-
-@query("SELECT doc_id, '2016.09 - 2020 某某大学 计算机专业 本科' AS section FROM resumes")
-def rsm3_find_section(v: Views) -> DataFrame:
-    return _resume_texts(v).select("doc_id", R.find_section(F.col("text"), R.HEADINGS["education"]).alias("section"))
-
-
-@query("SELECT doc_id, 1::INTEGER AS n FROM resumes")
-def rsm4_split_entries(v: Views) -> DataFrame:
-    part = R.find_section(F.col("text"), R.HEADINGS["work"])
-    return _resume_texts(v).select("doc_id", F.size(R.split_entries(part, ("公司",))).alias("n"))
-
-
-@query("SELECT doc_id, '某某大学' AS school, '本科' AS degree, '计算机' AS field FROM resumes")
-def rsm5_parse_education(v: Views) -> DataFrame:
-    entries = R.split_entries(R.find_section(F.col("text"), R.HEADINGS["education"]), ("大学",))
-    return _resume_texts(v).select("doc_id", F.explode(R.parse_education(entries)).alias("e")).select("doc_id", F.regexp_extract("e.school", r"(某某大学)", 1).alias("school"), "e.degree", "e.field")
-
-
-@query("SELECT doc_id, '工程师' AS title, '2020' AS start_date, '至今' AS end_date FROM resumes")
-def rsm6_parse_experience(v: Views) -> DataFrame:
-    entries = R.split_entries(R.find_section(F.col("text"), R.HEADINGS["work"]), ("公司",))
-    return _resume_texts(v).select("doc_id", F.explode(R.parse_experience(entries)).alias("e")).select("doc_id", "e.title", "e.start_date", "e.end_date")
-
-
-@query()
-def rsm7_extract_skills(v: Views) -> DataFrame:
-    return _resume_texts(v).select("doc_id", F.array_join(F.transform(R.extract_skills(F.col("text"), VOC), lambda s: s["name"]), ",").alias("skills"))
-
-
-@query()
-def rsm8_skill_level(v: Views) -> DataFrame:
-    return _one(v, R.skill_level(F.col("text"), F.lit("the")), "level")
-
-
-@query()
-def rsm9_structure_resumes(v: Views) -> DataFrame:
-    rows = R.structure_resumes(_resume_texts(v), VOC)
-    return rows.select("doc_id", F.col("personal_info.name").alias("name"), F.size("education").alias("n_education"), F.size("experiences").alias("n_experiences"), F.size("skills").alias("n_skills"))
-
-
-@query()
-def rsm10_detect_sections(v: Views) -> DataFrame:
-    return R.detect_sections(_resume_texts(v)).select("doc_id", "section_type", "start_line", "end_line", "confidence")
-
-
-@query()
-def rsm11_fix_section_type(v: Views) -> DataFrame:
-    return R.fix_section_type(R.detect_sections(_resume_texts(v))).select("doc_id", "section_type", "confidence")
-
-
-@query()
-def rsm12_section_entries(v: Views) -> DataFrame:
-    return _one(v, F.size(R.section_entries(F.col("text"))), "n")
-
-
-@query()
-def rsm13_parse_skill_list(v: Views) -> DataFrame:
-    return _one(v, F.size(R.parse_skill_list(F.col("text"))), "n")
-
-
-@query()
-def rsm14_combo_skills(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", F.array_join(R.combo_skills(F.col("url"), {"com": "commerce", "net": "network", "en": "english", "fr": "french", "de": "german"}), ",").alias("names"))
-
-
-@query()
-def rsm15_rule_skills(v: Views) -> DataFrame:
-    return R.rule_skills(v.jds, VOC, {"the": "The"}).select("job_id", F.size("skills").alias("n"))
-
-
-@query("SELECT job_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND len(x) < 100))::INTEGER AS n FROM jds")
-def rsm16_plain_items(v: Views) -> DataFrame:
-    return v.jds.select("job_id", F.size(R.plain_items(F.col("text"), 100)).alias("n"))
-
-
-def _projects(v: Views) -> DataFrame:
-    entry = F.struct(F.col("l_linenumber").alias("k"), F.struct(F.concat(F.lit("Project "), F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("name"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy").alias("start_date"), F.repeat(F.lit("done "), F.col("l_quantity").cast("int")).alias("description")).alias("e"))
-    rows = v.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("r"))
-    return rows.select("l_orderkey", F.transform("r", lambda x: x["e"]).alias("entries"))
-
-
-@query()
-def rsm17_merge_projects(v: Views) -> DataFrame:
-    return _projects(v).select("l_orderkey", F.size("entries").alias("n"), F.size(R.merge_projects(F.col("entries"))).alias("n_merged"))
-
-
-@query()
-def rsm18_merge_similar_entries(v: Views) -> DataFrame:
-    named = F.transform("entries", lambda e: F.struct(e["name"].alias("name"), F.lit("").alias("title")))
-    return _projects(v).select("l_orderkey", F.size(R.merge_similar_entries(named)).alias("n"))
-
-
-def _parts(v: Views) -> DataFrame:
-    rows = R.structure_resumes(_resume_texts(v), VOC)
-    sure = F.concat(F.transform("education", lambda e: F.lit(0.9)), F.transform("experiences", lambda e: F.lit(0.8)), F.transform("skills", lambda e: F.lit(0.75)))
-    return rows.select("doc_id", F.lit(3).alias("personal_info"), F.size("education").alias("education"), F.size("experiences").alias("work"), F.size("skills").alias("skills"), F.lit(0).alias("projects"), sure.alias("confidences"))
-
-
-@query()
-def rsm19_quality_scores(v: Views) -> DataFrame:
-    return R.quality_scores(_parts(v)).select("doc_id", "accuracy", "completeness", "overall")
-
-
-@query()
-def rsm20_quality_report(v: Views) -> DataFrame:
-    return R.quality_report(R.quality_scores(_parts(v))).select("doc_id", F.array_join("issues", ",").alias("issues"), "needs_review")
-
-
-@query()
-def agg19_extraction_accuracy(v: Views) -> DataFrame:
-    rows = R.structure_resumes(_resume_texts(v), VOC)
-    counts = [F.size("education").alias("education_count"), F.size("experiences").alias("work_count"), F.size("skills").alias("skill_count"), F.lit(0).alias("project_count")]
-    found = rows.select("doc_id", F.col("personal_info.name").alias("name"), F.col("personal_info.contacts.phone").alias("phone"), F.col("personal_info.contacts.email").alias("email"), *counts)
-    phone = F.concat(F.lit("138"), F.lpad((F.col("doc_id") % 100_000_000).cast("string"), 8, "0"))
-    gold = v.resumes.select("doc_id", F.lit("王小明").alias("name"), phone.alias("phone"), F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("@example.com")).alias("email"), F.lit(1).alias("education_count"), F.lit(1).alias("work_count"), F.lit(2).alias("skill_count"), F.lit(0).alias("project_count"))
-    return D.extraction_accuracy(found, gold)
-
-
 # Documents
 
 
