@@ -2,15 +2,16 @@
 
 All n-grams (n = 1, 2) of all training texts are counted; counts are quantised on a log scale, and for a count of level
 q the entries (n-gram, 1) ... (n-gram, q) are put into a Bloom filter. A count is read back by probing level after level
-until one is absent, as deep as the largest level put in. The probability of a word after another is
-``(1 - LAMBDA) * unigram + LAMBDA * bigram share``.
+until one is absent, as deep as the largest level put in. With c for counts as they are read back, the probability of a
+word w after b is ``(1 - LAMBDA) * (c(b w) - DISCOUNT) / c(b)`` if the pair was seen (absolute discounting), and
+``LAMBDA * (c(w) + ALPHA) / space`` if it was not, where space is that of the contract's estimate.
 
 The filter is cut by hash into segments of ``BITS`` bits per entry, whatever their number: it grows with the corpus, and its
-error does not. So it is never gathered in one place. Texts are dealt to slices; the distinct n-grams of a slice travel to
-the tasks that hold their segments, one segment at a time, and their levels travel back to the slice.
-
-The base score needs exact counts. The most frequent words, ``HEAD`` at most, are broadcast; the others of each text go
-through a join with the count table.
+error does not. So it is never gathered in one place. Texts are read once, in slices of about ``SLICE_TEXT`` bytes. What a
+slice asks for and what it teaches are the same list, its distinct n-grams with their numbers: it travels to the tasks that
+hold the segments, which sum up, fill the segment, probe it, and send the levels back. Words come back with exact counts
+too, for the base score. The slice's words travel beside as ranks by frequency, about two bytes a word. Slices and segments
+depend on the texts alone, not on the cluster.
 
 Tokens are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end mark, which also stands before the first word.
 
@@ -25,24 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.langid import crc_mod
-from jobtide.llm.textvec import LOWER, lists, mixed, signed, slices, span_hashes, word_spans
+from jobtide.llm.textvec import LOWER, mixed, slices, span_hashes, word_spans
 from jobtide.session import checkpointed
 
 END = np.uint64(0x5851F42D4C957F2D)
 ALPHA = 0.1  # of the contract's unigram estimate
-LAMBDA = 0.1
+LAMBDA, DISCOUNT = 0.4, 0.75
 PER_DOUBLING = {1: 4, 2: 1}  # quantisation levels per doubling of a count
 BITS, HASHES = 10, 4
 SEGMENT_BYTES = 1 << 30  # a larger segment would be an error, not a coarser filter
-LANE_TEXT = 16 << 20  # bytes of training text to a segment, about
+LEAST_LANES, LANE_TEXT = 64, 2 << 20  # segments at least, and bytes of text to one of more
 SLICE_TEXT = 4 << 20  # bytes of text to a slice, about
-HEAD = 1 << 19
-SCORED = 1 << 20  # bytes of text scored at a time
-GATHER = 1_000_000  # n-grams that a task gathers before it hands them on
+READ = 1 << 20  # bytes of text in one piece of a slice
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -128,262 +128,230 @@ class Filter:
         return levels
 
 
-def _gathered(docs: DataFrame, order: int, lanes: int) -> DataFrame:
-    """N-gram counts of each task: lane, keys (the whole hash, or its lower half for bigrams), counts."""
-    kind = "bigint" if order == 1 else "int"
+WORDS, PAIRS, TEXTS, RANKS, TOTALS = range(1, 6)  # kinds of rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, data, offsets in slices(batches):
-            token, at = tokens(data, offsets)
-            held.append(np.unique(token if order == 1 else bigrams(token, at), return_counts=True))
-            if sum(len(k) for k, _ in held) > 2 * GATHER:
-                held = [_summed(held)]
-                if len(held[0][0]) > GATHER:
-                    yield dealt(*held.pop())
-        if held:
-            yield dealt(*_summed(held))
 
-    def dealt(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        lane = ((keys >> np.uint64(32)) % np.uint64(lanes)).astype(np.int32)
-        order_ = np.argsort(lane, kind="stable")
-        found, first = np.unique(lane[order_], return_index=True)
-        ends = np.append(first, len(keys))
-        keys = keys[order_]
-        values = signed(keys) if order == 1 else (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(found), lists(values, ends), lists(counts[order_].astype(np.int64), ends)], ["lane", "keys", "counts"])
+def _by_lane(hashes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted hashes by lane, the lanes that occur, and the first place of each (one more at the end)."""
+    lane = ((hashes >> np.uint64(32)) % np.uint64(lanes)).astype(np.int32)
+    order = np.argsort(lane, kind="stable")
+    found, first = np.unique(lane[order], return_index=True)
+    return order, found, np.append(first, len(hashes))
 
-    return docs.select("text").mapInArrow(run, f"lane int, keys array<{kind}>, counts array<bigint>")
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, or in eight each if one is larger."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<i8").tobytes()
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def _large(raw: bytes, n: int) -> np.ndarray:
+    """What ``_small`` wrote; nothing stands for zeros."""
+    if not raw:
+        return np.zeros(n, np.int64)
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else "<i8").astype(np.int64)
 
-def _by_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The lanes of a partition with their summed keys and counts."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for lane, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            held.setdefault(lane, []).append((np.asarray(keys.values), np.asarray(counts.values)))
-    for lane in sorted(held):
-        yield lane, *_summed(held.pop(lane))
 
+def _planes(ranks: np.ndarray) -> bytes:
+    return pa.compress(ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
-def _segment_row(lane: int, rest: np.ndarray, counts: np.ndarray, order: int) -> list[pa.Array]:
-    """Lane, segment and its largest level."""
-    deep = int(level(counts, order).max(initial=0))
-    return [pa.array([lane], pa.int32()), pa.array([segment(rest, counts, order)], pa.binary()), pa.array([deep], pa.int32())]
 
+def _ranks(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
-def unigram_counts(docs: DataFrame, lanes: int, parts: int) -> DataFrame:
-    """Rows (key, c) of all words, and per lane one row with its filter segment."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "c", "lane", "seg", "deep"]
-        for lane, keys, counts in _by_lane(batches):
-            rest = keys.view(np.uint64) & np.uint64(0xFFFFFFFF)
-            none = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int32())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *_segment_row(lane, rest, counts, 1)], names)
+class _Rows:
+    """Rows of one layout: to, slice, kind, place, the columns to keep, keys, counts."""
 
-    return _gathered(docs, 1, lanes).repartition(parts, "lane").mapInArrow(run, "key bigint, c bigint, lane int, seg binary, deep int")
+    def __init__(self, keep: pa.Schema) -> None:
+        self.keep = keep
+        self.names = ["to", "slice", "kind", "place", *keep.names, "keys", "counts"]
 
+    def batch(self, rows: list[tuple[int, int, int, int, bytes, bytes]], kept: list[pa.Array] | None = None) -> pa.RecordBatch:
+        to, ident, kind, place, keys, counts = zip(*rows, strict=True)
+        kept = kept or [pa.nulls(len(rows), f.type) for f in self.keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(to, pa.int64()), pa.array(ident, pa.int64()), pa.array(kind, pa.int32()), pa.array(place, pa.int32()), *kept, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], self.names
+        )
 
-def bigram_segments(docs: DataFrame, lanes: int, parts: int) -> DataFrame:
-    """Filter segments (lane, seg, deep) of all bigrams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lane, keys, counts in _by_lane(batches):
-            rest = keys.view(np.uint32).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(_segment_row(lane, rest, counts, 2), ["lane", "seg", "deep"])
-
-    return _gathered(docs, 2, lanes).repartition(parts, "lane").mapInArrow(run, "lane int, seg binary, deep int")
-
-
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys and counts of the most frequent words, ``HEAD`` at most, sorted by key; the least count bucket among them."""
-    bucket = F.floor(F.log("c") * 64).cast("int")
-    total, least = 0, None
-    for row in sorted(counts.groupBy(bucket.alias("b")).count().collect(), key=lambda r: -r["b"]):  # some thousand buckets at most
-        total += row["count"]
-        if total > HEAD:
-            break
-        least = row["b"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 << 30
-    got = counts.filter(bucket >= least).select("key", "c").toArrow()
-    keys, c = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], c[order], least
-
-
-def _lanes_of(hashes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the hashes by lane, the lanes that occur, and the first place of each (one more at the end)."""
-    lane = ((hashes >> np.uint64(32)) % np.uint64(lanes)).astype(np.int32)
-    order = np.argsort(lane, kind="stable")
-    found, first = np.unique(lane[order], return_index=True)
-    return order, found, np.append(first, len(hashes))
+def _read(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a slice, and the offsets of its texts."""
+    parts = [tokens(data, offsets) for _, data, offsets in slices(iter(batches), most=READ)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return np.concatenate([t for t, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
 
+def asked(docs: DataFrame, keep: tuple[str, ...], learn: str, lanes: int) -> DataFrame:
+    """One reading of the texts: rows of texts, of word ranks, and of words and pairs with their numbers in training texts."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+        size, done, task = {False: 0, True: 0}, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for piece, _, offsets in slices(iter([batch]), most=SLICE_TEXT):
+                taught = np.array(piece.column(piece.num_columns - 1).to_pylist(), bool)
+                for flag in (False, True):
+                    at = np.flatnonzero(taught == flag)
+                    if len(at):
+                        held[flag].append(piece.take(pa.array(at)))
+                        size[flag] += int(np.diff(offsets)[at].sum()) + len(at)
+                    if size[flag] >= SLICE_TEXT:
+                        yield from one(task << 32 | done, held[flag], flag)
+                        held[flag], size[flag], done = [], 0, done + 1
+        for flag in (False, True):
+            if held[flag]:
+                yield from one(task << 32 | done, held[flag], flag)
+                done += 1
+
+    def one(ident: int, batches: list[pa.RecordBatch], taught: bool) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(pa.schema([batches[0].schema.field(k) for k in range(len(keep))]))
+        token, at = _read(batches)
+        to = 2 * lanes + ident % lanes
+        place = 0
+        for batch in batches:
+            n = np.diff(at[place : place + batch.num_rows + 1])
+            yield rows.batch([(to, ident, TEXTS, place + k, b"", int(x).to_bytes(8, "little")) for k, x in enumerate(n.tolist())], batch.columns[: len(keep)])
+            place += batch.num_rows
+        word, inverse, n = np.unique(token, return_inverse=True, return_counts=True)
+        common = np.argsort(-n, kind="stable")
+        rank = np.empty(len(word), np.int64)
+        rank[common] = np.arange(len(word))
+        out = [(to, ident, RANKS, len(token), word[common].tobytes(), _planes(rank[inverse]))]
+        pair, many = np.unique(bigrams(token, at), return_counts=True)
+        for kind, keys, counts in ((WORDS, word, n), (PAIRS, pair, many)):
+            order, found, first = _by_lane(keys, lanes)
+            keys, counts = keys[order], counts[order]
+            keys = keys if kind == WORDS else (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            for lane, a, b in zip(found.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                out.append(((kind - 1) * lanes + lane, ident, kind, lane, keys[a:b].tobytes(), _small(counts[a:b]) if taught else b""))
+        yield rows.batch(out)
+
+    rows = docs.select(*keep, docs["text"].alias("text"), F.coalesce(docs[learn], F.lit(False)).alias("_learn"))
+    return rows.mapInArrow(run, f"to bigint, slice bigint, kind int, place int, {own}, keys binary, counts binary")
+
+
+def answered(rows: DataFrame, keep: tuple[str, ...], lanes: int, parts: int) -> DataFrame:
+    """Lane by lane: counts summed up, a segment filled and probed; levels (and counts of words) for each slice that asked."""
 
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct words and bigrams of a slice of texts."""
-    words, pairs = [], []
-    for _, data, offsets in slices(iter(table.to_batches()), most=SCORED):
-        token, at = tokens(data, offsets)
-        words.append(np.unique(token))
-        pairs.append(np.unique(bigrams(token, at)))
-    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
-
-
-def read_levels(rows: DataFrame, segments: DataFrame, lanes: int, parts: int) -> DataFrame:
-    """Levels of the n-grams of each slice of ``rows`` (slice, text): slice, kind (1 or 2), lane, data (a byte per n-gram, in the order of their hashes)."""
-
-    def asked(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        for kind, keys in enumerate(_distinct(table), 1):
-            order, found, first = _lanes_of(keys, lanes)
-            rest = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out += [(kind, lane, rest[a:b].tobytes()) for lane, a, b in zip(found.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        ident = table.column("slice")[0].as_py()
-        return pa.table({
-            "kind": pa.array([r[0] for r in out], pa.int32()), "lane": pa.array([r[1] for r in out], pa.int32()), "slice": pa.array([ident] * len(out), pa.int64()),
-            "data": pa.array([r[2] for r in out], pa.binary()), "deep": pa.nulls(len(out), pa.int32()),
-        })
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, table = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
         for batch in batches:
-            kinds, at, ident, deep = (batch.column(k).to_pylist() for k in (0, 1, 2, 4))
-            out: list[tuple[int, int, int, bytes]] = []
-            k = 0
-            while k < len(kinds):
-                place = (kinds[k], at[k])
-                if ident[k] < 0:  # a segment, before those who ask for it
-                    held, table = place, Filter(place[0], 1, {0: batch.column(3)[k].as_py()}, deep[k])
-                    k += 1
+            to = batch.column(0).to_numpy()
+            for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]), strict=True):
+                if a == b:
                     continue
-                wave, size = [], 0  # requests of one segment are read together
-                while k + len(wave) < len(kinds) and (kinds[k + len(wave)], at[k + len(wave)]) == place and size < GATHER:
-                    wave.append(np.frombuffer(batch.column(3)[k + len(wave)].as_py(), np.uint32))
-                    size += len(wave[-1])
-                rest = np.concatenate(wave).astype(np.uint64)
-                levels = (table.levels(rest) if held == place else np.zeros(len(rest), np.int64)).astype(np.uint8)
-                for part in np.split(levels, np.cumsum([len(w) for w in wave])[:-1]):
-                    out.append((ident[k], *place, part.tobytes()))
-                    k += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary())],
-                ["slice", "kind", "lane", "data"],
-            )
-
-    asks = rows.groupBy("slice").applyInArrow(asked, "kind int, lane int, slice bigint, data binary, deep int")
-    both = segments.select("kind", "lane", F.lit(-1).cast("bigint").alias("slice"), F.col("seg").alias("data"), "deep").unionByName(asks)
-    both = both.repartition(parts, "kind", "lane").sortWithinPartitions("kind", "lane", "slice")
-    return both.mapInArrow(answered, "slice bigint, kind int, lane int, data binary")
-
-
-def _counts_of(keys: np.ndarray, kind: int, answers: pa.Table, lanes: int) -> np.ndarray:
-    """The counts of a slice's distinct n-grams from the answers to it."""
-    order, found, first = _lanes_of(keys, lanes)
-    place = dict(zip(found.tolist(), zip(first[:-1].tolist(), first[1:].tolist(), strict=True), strict=True))
-    levels = np.zeros(len(keys), np.int64)
-    for k, lane, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "lane", "data")), strict=True):
-        if k == kind:
-            a, b = place[lane]
-            levels[order[a:b]] = np.frombuffer(data, np.uint8)
-    return count_of(levels, kind)
+                part = batch.slice(a, b - a)
+                if to[a] >= 2 * lanes:
+                    yield part
+                    continue
+                if to[a] != now and held:
+                    yield lane(held)
+                    held = []
+                now = to[a]
+                held.append(part)
+        if held:
+            yield lane(held)
+
+    def lane(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kind, place, to = (batches[0].column(k)[0].as_py() for k in (2, 3, 0))
+        rows = _Rows(pa.schema([batches[0].schema.field(4 + k) for k in range(len(keep))]))
+        idents = [x for b in batches for x in b.column(1).to_pylist()]
+        asks = [np.frombuffer(x, np.uint64 if kind == WORDS else np.uint32) for b in batches for x in b.column(b.num_columns - 2).to_pylist()]
+        taught = [x for b in batches for x in b.column(b.num_columns - 1).to_pylist()]
+        counts = np.concatenate([_large(x, len(k)) for x, k in zip(taught, asks, strict=True)])
+        keys, inverse = np.unique(np.concatenate(asks), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, inverse, counts)
+        rest = keys.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        known = total > 0
+        table = Filter(kind, 1, {0: segment(rest[known], total[known], kind)}, int(level(total[known], kind).max(initial=0)))
+        levels = table.levels(rest).astype(np.uint8)
+        out, start = [], 0
+        for ident, ask in zip(idents, asks, strict=True):
+            mine = inverse[start : start + len(ask)]
+            start += len(ask)
+            out.append((to, ident, kind, place, levels[mine].tobytes(), _small(total[mine]) if kind == WORDS else b""))
+        if kind == WORDS:
+            out.append((to, -1 - place, TOTALS, 0, b"", np.array([total.sum(), known.sum()], "<i8").tobytes()))
+        return rows.batch(out)
+
+    rows = rows.repartition(parts, "to").sortWithinPartitions("to")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
-def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; counts from all of ``train``."""
+def score(docs: DataFrame, learn: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, n_tokens, n_known, train_tokens, base_score, score of every row; counts from all rows where ``learn`` is true."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lanes = max(4 * parts, -(-_bytes(train) // LANE_TEXT))
-    table = checkpointed(unigram_counts(train, lanes, parts))
-    counts = table.filter(F.col("lane").isNull()).select("key", "c")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(sums["n"]), int(sums["v"])
-    space = n + ALPHA * (v + 1)
-    keys, c, least = _head(counts)
-    segments = [rows.withColumn("kind", F.lit(order)) for order, rows in ((1, table.filter(F.col("lane").isNotNull()).select("lane", "seg", "deep")), (2, bigram_segments(train, lanes, parts)))]
-    spec = spark.sparkContext.broadcast((keys, c))
-    many = max(1, -(-_bytes(docs) // SLICE_TEXT))
-    rows = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*keep, "text"), F.lit(many)))
-    answers = read_levels(rows, segments[0].unionByName(segments[1]), lanes, parts)
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, c = spec.value
-        known_words, known_pairs = _distinct(table)
-        of_words, of_pairs = _counts_of(known_words, 1, answers, lanes), _counts_of(known_pairs, 2, answers, lanes)
-        return pa.Table.from_batches(list(scored(table, keys, c, known_words, of_words, known_pairs, of_pairs)))
-
-    def scored(
-        table: pa.Table, keys: np.ndarray, c: np.ndarray, known_words: np.ndarray, of_words: np.ndarray, known_pairs: np.ndarray, of_pairs: np.ndarray
-    ) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(iter(table.to_batches()), most=SCORED):
-            token, at = tokens(data, offsets)
-            texts = len(at) - 1
-            doc = np.repeat(np.arange(texts), np.diff(at))
-            word, inverse = np.unique(token, return_inverse=True)
-            place = np.minimum(np.searchsorted(keys, word), max(0, len(keys) - 1))
-            exact = np.where(keys[place] == word, c[place], -1) if len(keys) else np.full(len(word), -1)
-            known = exact[inverse] >= 0
-            logs = np.log10((np.maximum(exact, 0) + ALPHA) / space)[inverse] if space else np.zeros(len(token))
-            base = np.bincount(doc[known], logs[known], texts)
-            n_known = np.bincount(doc[known], minlength=texts)
-            # The model: counts of words and pairs as the filter gave them.
-            pairs, back = np.unique(bigrams(token, at), return_inverse=True)
-            of_word = of_words[np.searchsorted(known_words, word)]
-            share = (of_word + ALPHA) / max(space, ALPHA)
-            of_before = np.empty(len(token))
-            of_before[1:] = of_word[inverse[:-1]]
-            of_before[at[:-1]] = of_word[np.searchsorted(word, END)]
-            joint = np.minimum(1.0, of_pairs[np.searchsorted(known_pairs, pairs)][back] / np.maximum(of_before, 1.0))
-            p = np.where(of_before > 0, (1 - LAMBDA) * share[inverse] + LAMBDA * joint, share[inverse])
-            model = np.bincount(doc, np.log10(np.minimum(p, 1.0)), texts)
-            # Words beyond the head: once per text, with their number.
-            rare = np.flatnonzero(~known)
-            rare = rare[np.lexsort((inverse[rare], doc[rare]))]
-            new = np.ones(len(rare), bool)
-            new[1:] = (doc[rare][1:] != doc[rare][:-1]) | (inverse[rare][1:] != inverse[rare][:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rare)))
-            ends = np.searchsorted(doc[rare][first], np.arange(texts + 1))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(np.diff(at).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(model),
-                 lists(signed(token[rare][first]), ends), lists(times.astype(np.int64), ends)],
-                [*keep, "n_tokens", "_known", "_base", "score", "_rare", "_times"],
-            )
-
-    scores = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, f"{kept}, n_tokens bigint, _known bigint, _base double, score double, _rare array<bigint>, _times array<bigint>")
-    done = checkpointed(scores)
-    spec.destroy()  # the checkpoint has been written: workers can let the model go
-    done = done.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows are read back from files
-    rare = done.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
-    tail = counts.filter(F.floor(F.log("c") * 64).cast("int") < least)
-    rare = rare.join(tail, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = rare.groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / F.lit(max(space, ALPHA)))).alias("_more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_more_known")
-    )
-    out = done.join(more, "_row", "left")
-    return out.select(
-        *keep, "n_tokens", (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), "score",
+    lanes = max(LEAST_LANES, -(-_bytes(docs) // LANE_TEXT))
+    given, keep = keep, tuple(f"_k{k}" for k in range(len(keep)))  # names that clash with none here
+    docs = docs.select(*[F.col(c).alias(k) for c, k in zip(given, keep, strict=True)], "text", F.col(learn).alias("_learn"))
+    learn = "_learn"
+    rows = answered(asked(docs, keep, learn, lanes), keep, lanes, parts)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    names = [*keep, "n_tokens", "n_known", "_base", "_seen", "_unseen", "_n", "_v"]
+
+    def values(keys: np.ndarray, kind: int, place: list[int], data: list[bytes], wide: bool) -> np.ndarray:
+        """What the lanes sent for the sorted keys of a slice."""
+        order, found, first = _by_lane(keys, lanes)
+        out = np.zeros(len(keys), np.int64)
+        got = dict(zip(place, data, strict=True))
+        for lane, a, b in zip(found.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            out[order[a:b]] = _large(got[lane], b - a) if wide else np.frombuffer(got[lane], np.uint8)
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        pick = lambda kind: table.take(pa.array(np.flatnonzero(kinds == kind)))
+        if table.column("slice")[0].as_py() < 0:
+            n, v = np.sum([np.frombuffer(x, "<i8") for x in pick(TOTALS).column("counts").to_pylist()], axis=0).tolist()
+            none = [pa.nulls(1, table.schema.field(c).type) for c in keep]
+            return pa.table([*none, *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], pa.array([n]), pa.array([v])], names)
+        texts = pick(TEXTS).sort_by("place")
+        sizes = np.array([int.from_bytes(x, "little") for x in texts.column("counts").to_pylist()], np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ranks = pick(RANKS)
+        word = np.frombuffer(ranks.column("keys")[0].as_py(), np.uint64)
+        index = _ranks(ranks.column("counts")[0].as_py(), ranks.column("place")[0].as_py())
+        token = word[index]
+        answers = {kind: [pick(kind).column(c).to_pylist() for c in ("place", "keys", "counts")] for kind in (WORDS, PAIRS)}
+        by_key = np.argsort(word)
+        exact, read = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+        exact[by_key] = values(word[by_key], WORDS, answers[WORDS][0], answers[WORDS][2], True)
+        read[by_key] = values(word[by_key], WORDS, answers[WORDS][0], answers[WORDS][1], False)
+        pair, back = np.unique(bigrams(token, at), return_inverse=True)
+        joint = count_of(values(pair, PAIRS, answers[PAIRS][0], answers[PAIRS][1], False), 2)[back]
+        of_word = count_of(read, 1)
+        own = of_word[index]
+        before = np.empty(len(token))
+        before[1:] = own[:-1]
+        before[at[:-1]] = of_word[np.flatnonzero(word == END)[0]]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        seen = joint > 0
+        p = (1 - LAMBDA) * np.minimum(1.0, (joint - DISCOUNT) / np.maximum(np.maximum(before, joint), 1.0))
+        logs = np.where(seen, np.log10(np.maximum(p, 1e-300)), np.log10(LAMBDA * (own + ALPHA)))
+        add = lambda x: np.bincount(doc, x, len(sizes))
+        return pa.table([
+            *[texts.column(c).combine_chunks() for c in keep], pa.array(sizes), pa.array(add(exact[index] > 0).astype(np.int64)), pa.array(add(np.log10(exact + ALPHA)[index])), pa.array(add(logs)),
+            pa.array(add(~seen).astype(np.int64)), pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64()),
+        ], names)
+
+    done = rows.drop("to").groupBy("slice").applyInArrow(run, f"{own}, n_tokens bigint, n_known bigint, _base double, _seen double, _unseen bigint, _n bigint, _v bigint")
+    done = checkpointed(done)
+    total = done.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("v")).first()
+    space = F.log10(F.lit(total["n"] + ALPHA * (total["v"] + 1)))
+    return done.filter(F.col("n_tokens").isNotNull()).select(
+        *[F.col(k).alias(c) for c, k in zip(given, keep, strict=True)], "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), (F.col("_base") - F.col("n_tokens") * space).alias("base_score"),
+        (F.col("_seen") - F.col("_unseen") * space).alias("score"),
     )
 
 
 def predict(docs: DataFrame) -> DataFrame:
     """Learn from rows whose crc32(doc_id) mod 10 is not 0; score all rows."""
-    rows = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
-    return score(rows, rows.filter(~F.col("held_out")), keep=("doc_id", "held_out"))
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    return score(docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("learn")), "learn", keep=("doc_id", "held_out"))
