@@ -115,13 +115,13 @@ class Codec:
         ids = [t.id for f in first for t in self.inner.tokenize(f)]
         return ids + [t.id for t in self.final.tokenize(last)]
 
-    def encode(self, text: str, known: dict[str, list[int]]) -> list[int]:
-        """Ids of a text. ``known``: ids by word, kept by the caller over many texts."""
-        ids: list[int] = []
+    def encode(self, text: str, known: dict[str, bytes]) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers. ``known``: the same by word, kept by the caller over many texts."""
+        ids: list[bytes] = []
         parts = self.cut_special.split(text) if "<|" in text else [text]
         for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(self.special[part].to_bytes(4, "little"))
                 continue
             rare = _FAR.search(part) and self.disputed.search(part)
             part = self.library.normalizer.normalize_str(part) if rare else self.normal(part)
@@ -129,9 +129,9 @@ class Codec:
             for w in cut.findall(part):
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = self.word(w)
-                ids += got
-        return ids
+                    got = known[w] = np.array(self.word(w), "<u4").tobytes()
+                ids.append(got)
+        return b"".join(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by blanks."""
@@ -179,13 +179,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
             raw = data.tobytes()
             n, hashes, back, all_ids, decoded = [], [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = machine.encode(raw[a:b].decode("utf-8"), known)
-                shown = machine.decode(ids)
+                coded = machine.encode(raw[a:b].decode("utf-8"), known)
+                ids = np.frombuffer(coded, "<u4")
+                shown = machine.decode(ids.tolist())
                 n.append(len(ids))
-                hashes.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                hashes.append(hashlib.sha256(coded).hexdigest())
                 back.append(hashlib.sha256(shown.encode()).hexdigest())
                 if outputs:
-                    all_ids.append(np.array(ids, np.int32))
+                    all_ids.append(ids.view(np.int32))
                     decoded.append(shown)
             columns = [pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about this many bytes, so that temporaries stay small; a longer text is its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -78,7 +78,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for factor in (_STEP, pow(_STEP, -1, 1 << 64)):
@@ -113,7 +113,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span of the bytes, from one pass of a rolling polynomial."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(data)).bit_length())
+    size = 1 << max(21, int(len(data)).bit_length())  # one size for all slices but very long texts
     up, down = _powers(size)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
