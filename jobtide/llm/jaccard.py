@@ -45,8 +45,9 @@ FILTER_BITS = 1 << 26  # of the bit table that tells which sets a scan has to em
 SPARE = 5  # one word in so many is spare: more keys, but linked sets share several of them
 WORD_BITS = 1 << 20
 SMALL_GROUP = 16
-BLOCK = 1024  # sets in one block
-BLOCK_GRAMS = 1 << 19  # n-grams in one block, about
+BLOCK = 4096  # sets in one block
+BLOCK_GRAMS = 1 << 21  # n-grams in one block, about
+STEP = 1024  # sets that are compared at a time
 SKETCH_BITS = 512
 COLUMNS = 2048  # n-grams of a product of indicator matrices at a time
 HELD_KEYS = 1 << 20  # keys that a task holds before it hands them on
@@ -370,20 +371,28 @@ def common(x: list[np.ndarray], y: list[np.ndarray], alive: np.ndarray) -> np.nd
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which sets of x are linked with which of y: those that sketches leave possible, verified."""
-    size_x, size_y = (np.array([len(s) for s in side], np.int64) for side in (x, y))
-    alive = possible(sketches(x), sketches(y), size_x, size_y, num, den)
-    both = common(x, y, alive).astype(np.int64)
-    return alive & (both * den >= (size_x[:, None] + size_y[None, :] - both) * num)
+    out = np.zeros((len(x), len(y)), bool)
+    for i in range(0, len(x), STEP):
+        some, size = x[i : i + STEP], np.array([len(s) for s in x[i : i + STEP]], np.int64)
+        flat = sketches(some)
+        for j in range(0, len(y), STEP):
+            others, sizes = y[j : j + STEP], np.array([len(s) for s in y[j : j + STEP]], np.int64)
+            alive = possible(flat, sketches(others), size, sizes, num, den)
+            both = common(some, others, alive).astype(np.int64)
+            out[i : i + STEP, j : j + STEP] = alive & (both * den >= (size[:, None] + sizes[None, :] - both) * num)
+    return out
 
 
 def _connected(links: np.ndarray) -> np.ndarray:
-    """The least number that each row, or else column, of a matrix of links is connected with; rows are numbered before columns."""
-    rows, cols = np.arange(links.shape[0]), np.arange(links.shape[1]) + links.shape[0]
-    at = np.nonzero(links)
+    """The least number that each row, and then each column, of a matrix of links is connected with; rows are numbered before columns."""
+    rows, cols = np.arange(links.shape[0], dtype=np.int32), np.arange(links.shape[1], dtype=np.int32) + np.int32(links.shape[0])
+    none = np.int32(1 << 30)
     while True:
         before = rows.copy()
-        np.minimum.at(cols, at[1], rows[at[0]])
-        np.minimum.at(rows, at[0], cols[at[1]])
+        for i in range(0, len(rows), STEP):
+            cols = np.minimum(cols, np.where(links[i : i + STEP], rows[i : i + STEP, None], none).min(0, initial=none))
+        for i in range(0, len(rows), STEP):
+            rows[i : i + STEP] = np.minimum(rows[i : i + STEP], np.where(links[i : i + STEP], cols[None, :], none).min(1, initial=none))
         if (rows == before).all():
             return np.concatenate([rows, cols])
 
@@ -401,16 +410,16 @@ def _verified(edges: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, n
 
     def found(x: list[np.ndarray], y: list[np.ndarray], of_x: np.ndarray, of_y: np.ndarray, own: bool) -> pa.Table:
         links = linked(x, y, num, den)
-        if own:
-            links = np.triu(links, 1)
         if pairs:
-            at = np.nonzero(links)
+            at = np.nonzero(np.triu(links, 1) if own else links)
             both = np.sort(np.stack([of_x[at[0]], of_y[at[1]]], 1), 1)
             return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
         if own:
-            links |= links.T
+            np.fill_diagonal(links, False)
         n, cls = np.concatenate([links.sum(1), links.sum(0)]), np.concatenate([of_x, of_y])
-        least = cls[_connected(links | np.eye(len(of_x), dtype=bool) if own else links)]
+        if own:
+            np.fill_diagonal(links, True)  # row and column of a set are one
+        least = cls[_connected(links)]
         some = n > 0
         if own:
             some[len(of_x) :] = False

@@ -207,7 +207,7 @@ def asked(docs: DataFrame, keep: tuple[str, ...], learn: str, lanes: int) -> Dat
     def one(ident: int, batches: list[pa.RecordBatch], taught: bool) -> Iterator[pa.RecordBatch]:
         rows = _Rows(pa.schema([batches[0].schema.field(k) for k in range(len(keep))]))
         token, at = _read(batches)
-        to = 2 * lanes + ident % lanes
+        to = 2 * lanes + ((ident >> 32) * 7919 + ident) % lanes
         place = 0
         for batch in batches:
             n = np.diff(at[place : place + batch.num_rows + 1])

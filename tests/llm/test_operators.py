@@ -328,6 +328,7 @@ def test_all_links_are_found(spark, block, held, monkeypatch):
     import random
 
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "STEP", max(4, block // 3))
     monkeypatch.setattr(jaccard, "HELD_KEYS", held)
     rng = random.Random(5)
     rows = []
