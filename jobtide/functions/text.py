@@ -58,7 +58,7 @@ def is_chinese_name(x: Column | str) -> Column:
 
 
 def is_english_name(x: Column | str) -> Column:
-    return F.coalesce(F.regexp_like(col(x), F.lit(r"^[A-Za-z]+(\s+[A-Za-z]+)*$")), F.lit(False))
+    return F.coalesce(F.regexp_like(col(x), F.lit(r"^[A-Za-z](?:[A-Za-z\s]*[A-Za-z])?$")), F.lit(False))
 
 
 def _jaccard(a: Column, b: Column) -> Column:
