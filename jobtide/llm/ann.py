@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Unit vectors are turned by ``TABLES`` pseudo-random rotations (three rounds of random signs and a fast Hadamard
-transform each); the bucket of a vector in a table is the signed axis nearest to the turned vector. A query probes, in
-every table, the ``PROBES`` axes nearest to it. Rows meet in (table, group of axes, salt): the salts keep every group
-below a fixed size even if one bucket holds a third of all rows. A pair is scored in the first table where it meets, on
-the original vectors in double precision. Queries that found fewer rows than asked for are searched again with all
-axes probed, which is exact.
+Unit vectors are turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard transform each); a
+rotation's code of a vector is the signed axis nearest to the turned vector. A bucket of one of the ``TABLES`` tables is
+the codes of ``folds`` rotations together: as many as keep the mean bucket below ``BUCKET_ROWS``, so the number of buckets
+grows with the rows. A query probes, in every table, the ``PROBES`` buckets whose axes are nearest to it: its copies
+don't grow with the rows. Rows stand once in each table. ``AXES_IN_GROUP`` neighbouring buckets are a group; groups are
+counted, and only those with more rows or more queries than a task should hold are split. A pair is scored in the first
+table where it meets, on the original vectors in double precision, and the best of every group are merged. Queries that
+found fewer rows than asked for are searched again with all axes probed, which is exact.
 
 Equal vectors are hashed once: each keeps its ``k`` + 1 smallest ids, which is all that a list of ``k`` can show.
 Where norms differ, one coordinate is added so that the largest inner product is the smallest angle.
@@ -32,13 +34,13 @@ from jobtide.session import checkpointed
 
 TABLES, PROBES = 8, 20
 AXES_IN_GROUP = 16
-SALT_ROWS = 32_768  # distinct vectors per salt of a group, if all of them fell into it
-QUERY_SALT_ROWS = 8_192
+BUCKET_ROWS = 4096
+GROUP_ROWS, GROUP_QUERIES = 32_768, 8_192  # distinct vectors and queries that a task holds of a group
 SEED = 20_240
 
 
-def _signs(tables: int, width: int) -> np.ndarray:
-    return np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, 3, width))
+def _signs(rotations: int, width: int) -> np.ndarray:
+    return np.random.default_rng(SEED).choice([-1.0, 1.0], (rotations, 3, width))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,17 +54,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def axes(x: np.ndarray, tables: int, probes: int = 1) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row in each table: rows x tables x probes."""
-    width = 1 << max(0, (x.shape[1] - 1).bit_length())
+def folds(n: int, width: int, most: int = 4) -> int:
+    """Rotations to a table, so that n rows make buckets of ``BUCKET_ROWS`` at most in the mean."""
+    return next((k for k in range(1, most) if n <= BUCKET_ROWS * (2 * width) ** k), most)
+
+
+def padded(dim: int) -> int:
+    return 1 << max(0, (dim - 1).bit_length())
+
+
+def buckets(x: np.ndarray, tables: int, fold: int, probes: int = 1) -> np.ndarray:
+    """The ``probes`` nearest buckets of each row in each table, nearest first: rows x tables x probes."""
+    width = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    out = np.empty((len(x), tables, probes), np.int16)
-    for t, signs in enumerate(_signs(tables, width)):
-        turned = x
-        for s in signs:
-            turned = hadamard(turned * s)
-        both = np.concatenate([turned, -turned], 1)
-        out[:, t] = np.argsort(-both, 1, kind="stable")[:, :probes]
+    signs = _signs(tables * fold, width)
+    out = np.empty((len(x), tables, probes), np.int32)
+    for t in range(tables):
+        code, near = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for s in signs[t * fold : (t + 1) * fold]:
+            turned = x
+            for flip in s:
+                turned = hadamard(turned * flip)
+            both = np.concatenate([turned, -turned], 1)
+            axis = np.argsort(-both, 1, kind="stable")[:, : min(probes, 2 * width)]
+            code = (code[:, :, None] * (2 * width) + axis[:, None, :]).reshape(len(x), -1)
+            near = (near[:, :, None] + np.take_along_axis(both, axis, 1)[:, None, :]).reshape(len(x), -1)
+            best = np.argsort(-near, 1, kind="stable")[:, :probes]
+            code, near = np.take_along_axis(code, best, 1), np.take_along_axis(near, best, 1)
+        out[:, t] = code
     return out
 
 
@@ -99,46 +118,73 @@ def _first(ask: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int, carried:
     return ask[place < k], carried[place < k], value[place < k]
 
 
-def _search(index: DataFrame, queries: DataFrame, k: int, n: int, longest: float, lift: bool, tables: int, probes: int | None) -> DataFrame:
-    salts, query_salts = -(-n // SALT_ROWS) or 1, -(-n // (20 * QUERY_SALT_ROWS)) or 1
+def _crowds(coded: DataFrame, most: int) -> dict[tuple[int, int], int]:
+    """Pieces of the groups (table, part) that have more rows than a task should hold; there are few such groups."""
+    rows = coded.groupBy("table", "part").count().filter(F.col("count") > most)
+    return {(r["table"], r["part"]): -(-r["count"] // most) for r in rows.collect()}
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, n: int, dim: int, longest: float, lift: bool, tables: int, probes: int | None) -> DataFrame:
+    width = padded(dim + int(lift))
+    fold = 1 if probes is None else folds(n, width)
+    every = 2 * width
+    many = every if probes is None else min(probes, every**fold)
+
+    def codes(v: np.ndarray, query: bool) -> np.ndarray:
+        return buckets(_directions(v, longest, lift, query), tables, fold, many if query else 1)
+
+    def parted(query: bool):
+        """Only table and part of every copy, for the count of the groups."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _matrix(batch.column(0))
+                if len(v):
+                    parts = codes(v, query) // AXES_IN_GROUP
+                    for t in range(tables):
+                        one = np.sort(parts[:, t], axis=1)
+                        new = np.ones(one.shape, bool)
+                        new[:, 1:] = one[:, 1:] != one[:, :-1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), t, np.int32)), pa.array(one[new])], ["table", "part"])
+
+        return run
+
+    crowds = lambda rows, total, query, most: _crowds(rows.select("v").mapInArrow(parted(query), "table int, part int"), most) if total > most else {}
+    big = queries.sparkSession.sparkContext.broadcast((crowds(index, n, False, GROUP_ROWS), crowds(queries, queries.count(), True, GROUP_QUERIES)))  # a few entries: only crowded groups
+
+    def pieces(table: int, parts: np.ndarray, of_queries: bool) -> np.ndarray:
+        return np.array([big.value[of_queries].get((table, p), 1) for p in parts.tolist()], np.int64)
+
+    def copies(at: np.ndarray, table: int, parts: np.ndarray, own: np.ndarray, query: bool) -> tuple[np.ndarray, list[pa.Array]]:
+        """Each row once for every piece of the other side; its own piece by its hash."""
+        other = pieces(table, parts, not query)
+        turn = np.arange(other.sum()) - np.repeat(np.cumsum(other) - other, other)
+        piece = np.repeat(own % pieces(table, parts, query), other)
+        salts = (turn, piece) if query else (piece, turn)
+        return np.repeat(at, other), [pa.array(x.astype(np.int32)) for x in (np.full(len(turn), table), np.repeat(parts, other), *salts)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(0))
             if not len(v):
                 continue
-            code = axes(_directions(v, longest, lift, False), tables)[:, :, 0]
-            salt = np.asarray(batch.column(2)) % salts
-            raw, codes = [r.tobytes() for r in v], [r.tobytes() for r in code.astype("<i2")]
+            code = codes(v, False)[:, :, 0]
+            raw, all_codes = pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in code.astype("<i4")], pa.binary())
             for t in range(tables):
-                for s in range(query_salts):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(v), t, np.int32)), pa.array((code[:, t] // AXES_IN_GROUP).astype(np.int32)), pa.array(salt.astype(np.int32)),
-                         pa.array(np.full(len(v), s, np.int32)), pa.array(raw, pa.binary()), pa.array(codes, pa.binary()), batch.column(1)],
-                        ["table", "part", "salt", "qsalt", "v", "codes", "ids"],
-                    )
+                at, where = copies(np.arange(len(v)), t, code[:, t] // AXES_IN_GROUP, np.asarray(batch.column(2)), False)
+                yield pa.RecordBatch.from_arrays([*where, raw.take(pa.array(at)), all_codes.take(pa.array(at)), batch.column(1).take(pa.array(at))], ["table", "part", "salt", "qsalt", "v", "codes", "ids"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, ids = _matrix(batch.column(0)), np.asarray(batch.column(1))
             if not len(v):
                 continue
-            turned = _directions(v, longest, lift, True)
-            every = 2 << max(0, (turned.shape[1] - 1).bit_length())
-            found = axes(turned, tables, min(probes or every, every))
-            if probes is None:
-                found = found[:, :1]
-            raw, codes = [r.tobytes() for r in v], [r.tobytes() for r in found.astype("<i2")]
-            for t in range(found.shape[1]):
-                parts = found[:, t] // AXES_IN_GROUP
-                for part in range(-(-every // AXES_IN_GROUP)):
-                    at = np.flatnonzero((parts == part).any(1))
-                    for salt in range(salts) if len(at) else ():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), x, np.int32)) for x in (t, part, salt)]
-                            + [pa.array((ids[at] // 20 % query_salts).astype(np.int32)), pa.array([raw[i] for i in at], pa.binary()), pa.array([codes[i] for i in at], pa.binary()), pa.array(ids[at])],
-                            ["table", "part", "salt", "qsalt", "v", "codes", "query_id"],
-                        )
+            found = codes(v, True)
+            raw, all_codes = pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in found.astype("<i4")], pa.binary())
+            for t in range(tables):
+                pairs = np.unique(np.stack([np.repeat(np.arange(len(v)), many), (found[:, t] // AXES_IN_GROUP).ravel()], 1), axis=0)
+                at, where = copies(pairs[:, 0], t, pairs[:, 1], ids[pairs[:, 0]] // 20, True)
+                yield pa.RecordBatch.from_arrays([*where, raw.take(pa.array(at)), all_codes.take(pa.array(at)), pa.array(ids[at])], ["table", "part", "salt", "qsalt", "v", "codes", "query_id"])
 
     def ranked(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -146,22 +192,27 @@ def _search(index: DataFrame, queries: DataFrame, k: int, n: int, longest: float
             return empty
         t = int(key[0])
         unpack = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
-        xv, xc = unpack(x["v"], float), unpack(x["codes"], "<i2")
+        xv, xc = unpack(x["v"], float), unpack(x["codes"], "<i4")
         qv, qid = unpack(q["v"], float), q["query_id"].to_numpy()
-        wide = 2 << max(0, (xv.shape[1] + int(lift) - 1).bit_length())
-        probe = np.zeros((t + 1, len(q), wide), bool)
-        for table, axis in enumerate(unpack(q["codes"], "<i2").reshape(len(q), -1, min(probes or wide, wide)).swapaxes(0, 1)[: t + 1]):
-            probe[table, np.arange(len(q))[:, None], axis] = True
+        probe = unpack(q["codes"], "<i4").reshape(len(q), tables, many)
+        there = []  # per table up to this one: the buckets of the rows here, each row's place among them, and which query probes which
+        for table in range(t + 1):
+            own, place = np.unique(xc[:, table], return_inverse=True)
+            at = np.minimum(np.searchsorted(own, probe[:, table]), len(own) - 1)
+            hit = np.zeros((len(q), len(own)), bool)
+            who, which = np.nonzero(own[at] == probe[:, table])
+            hit[who, at[who, which]] = True
+            there.append((own, place, hit))
         ids, sizes = np.concatenate(x["ids"].to_list()), x["ids"].map(len).to_numpy()
         starts = np.cumsum(sizes) - sizes
         found = []
-        for axis in np.unique(xc[:, t]):  # only what meets on an axis is multiplied
-            rows = np.flatnonzero(xc[:, t] == axis)
-            asking = np.flatnonzero(probe[t, :, axis])
+        for bucket in range(len(there[t][0])):  # only what meets in a bucket is multiplied
+            rows = np.flatnonzero(there[t][1] == bucket)
+            asking = np.flatnonzero(there[t][2][:, bucket])
             for part in (asking[k : k + 256] for k in range(0, len(asking), 256)):
                 value = qv[part] @ xv[rows].T
-                for table in range(t):
-                    value[probe[table][part][:, xc[rows, table]]] = -np.inf  # scored in an earlier table
+                for _, place, hit in there[:t]:
+                    value[hit[part][:, place[rows]]] = -np.inf  # scored in an earlier table
                 last = np.partition(value, max(0, len(rows) - k - 1), axis=1)[:, max(0, len(rows) - k - 1)]
                 at = np.nonzero((value >= last[:, None]) & (value > -np.inf))
                 found.append((part[at[0]], rows[at[1]], value[at]))
@@ -192,17 +243,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embeddi
     index = rows.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index = checkpointed(index)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    stats = index.agg(F.count("*").alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high")).first()
-    n, low, high = stats["n"], stats["low"] or 1.0, stats["high"] or 1.0
+    stats = index.agg(F.count("*").alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high"), F.max(F.size("v")).alias("dim")).first()
+    n, low, high, dim = stats["n"], stats["low"] or 1.0, stats["high"] or 1.0, stats["dim"] or 1
     lift = high - low > 1e-3 * high
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    found = checkpointed(_search(index, queries, k, n, high, lift, tables, probes))
+    found = checkpointed(_search(index, queries, k, n, dim, high, lift, tables, probes))
     # A query with fewer rows than asked for: all axes probed, all rows compared.
     there = found.groupBy("query_id").agg(F.count("*").alias("got"))
     short = queries.join(there, queries["vec_id"] == there["query_id"], "left").filter(F.coalesce("got", F.lit(0)) < F.lit(k)).select("vec_id", "v")
     if short.isEmpty():
         return found
-    again = _search(index, short, k, n, high, lift, 1, None)
+    again = _search(index, short, k, n, dim, high, lift, 1, None)
     return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
 

@@ -104,6 +104,18 @@ def test_recall(spark, vectors):
         assert len(found) == 20 and all(abs(s - vectors[q] @ vectors[i]) < 1e-12 for i, s in found)
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 4])
+def test_crowded_groups_are_split_without_loss(spark, vectors, bucket_rows, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", bucket_rows)  # 4: two rotations to a table
+    rows = spark.createDataFrame([(k, x.tolist(), "x") for k, x in enumerate(vectors * np.linspace(0.5, 1.5, 600)[:, None])], "vec_id long, embedding array<double>, v string")
+    want = sorted(map(tuple, ann.search(rows).collect()))
+    monkeypatch.setattr(ann, "GROUP_ROWS", 40)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 3)
+    got = sorted(map(tuple, ann.search(rows).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(want) == 30 * 20
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
 def test_few_and_faulty_vectors(spark):
     rows = [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (40, [3.0, 1.0]), (5, [3.0, 1.0]), (5, [3.0, 1.0]), (6, [1.0, None]), (None, [1.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
