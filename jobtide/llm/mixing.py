@@ -1,16 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions only.
 
 Every source gets a target in words (weights, capped at ``cap`` times the source, the excess reshared). The texts of a
-source fall into ``BLOCKS`` blocks by a hash. The blocks are put in a hashed order and drawn without replacement until
-the quota of the source is met exactly in words: whole blocks, then whole texts of the block at the edge, then a part
-of the last text. A target above the source's size takes every block once and draws the rest again.
+source fall into ``BLOCKS`` blocks by a hash of id and text. The blocks are put in a hashed order and drawn without
+replacement until the quota of the source is met exactly in words: whole blocks, then whole parts of the block at the
+edge, whole texts of the part at the edge, and a part of the last text. A target above the source's size takes every block
+once and draws the rest again.
 
 Draws are then dealt to the output shards by a tree: in each node the draws are ordered by a hash and the first half
 goes left, which splits the node's quotas among the sources as a multivariate hypergeometric draw does. Blocks of a
 shard are disjoint; inside a shard the texts are ordered by their hash.
 
-Only counts per block enter windows (at most ``2 * BLOCKS`` rows a source); texts meet in a window only inside the one
-block at the edge of each quota, so a source with a third of all rows is no group of its own.
+Windows see sums only: one row a source, at most ``2 * BLOCKS`` rows a source in the tree, ``PARTS`` parts of the one block
+of a source at the edge. Texts meet in a window only inside the one part at the edge, a ``BLOCKS * PARTS``-th (a millionth)
+of their source, so a source with a third of all rows is no group of its own.
 
 Defined results: null or blank texts have size 0 and are taken 0 times; null is a source of its own, last in order; a
 source without words has target 0; repeated rows are drawn each for itself; an empty table gives an empty result;
@@ -27,15 +29,13 @@ from jobtide.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SHARDS = 1.5, 2, 16
-BLOCKS = 256  # two hexadecimal digits
+BLOCKS, PARTS = 256, 4096  # two hexadecimal digits, and three more
 BROADCAST_ROWS = 65_536  # a larger block table is joined by shuffle
-BLANKS = " \t\n\x0b\f\r"
 
 
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null is 0."""
-    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(blocks: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
         F.col(ident).alias("doc_id"),
         F.concat(F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(F.col(source), F.lit(""))).alias("skey"),
         n_words(F.col(text)).alias("size"),
-        F.md5(F.concat_ws("/", F.lit("mix"), ids)).alias("shuffle_key"),
+        F.md5(F.concat_ws("/", F.lit("mix"), ids, F.md5(F.coalesce(F.col(text), F.lit(""))))).alias("shuffle_key"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     ).withColumn("block", F.substring("shuffle_key", 1, 2))
     blocks = checkpointed(rows.groupBy("skey", "block").agg(F.sum("size").alias("words")))  # at most BLOCKS rows a source
@@ -96,10 +96,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     blocks = blocks.join(dealt, ["skey", "block"], "left")
     edge = F.col("again") & (F.col("before") + F.col("words") > F.col("rest"))
     blocks = blocks.withColumn("edge", edge)
-    joined = rows.join(F.broadcast(blocks) if small else blocks, ["skey", "block"])  # texts stay where they are
-    inside = W.partitionBy("skey", "block").orderBy("shuffle_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    at_edge = joined.filter("edge").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    at_edge = at_edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead")
+    few = lambda x, yes: F.broadcast(x) if yes else x
+    joined = rows.join(few(blocks, small), ["skey", "block"])  # texts stay where they are
+    # The blocks at the edge, one a source at most: their parts, then the texts of the part at the edge.
+    part = F.substring("shuffle_key", 3, 3)
+    ends = blocks.filter("edge").select("skey", "block", F.col("before").alias("block_before"), F.col("rest").alias("goal"))
+    parts = rows.join(few(ends, small), ["skey", "block"]).groupBy("skey", part.alias("part"), "block_before", "goal").agg(F.sum("size").alias("part_words"))
+    up_to = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("part_before", F.col("block_before") + F.coalesce(F.sum("part_words").over(up_to), F.lit(0)))
+    parts = checkpointed(parts.select("skey", "part", "part_before", (F.col("part_before") < F.col("goal")).alias("part_again"), ((F.col("part_before") < F.col("goal")) & (F.col("part_before") + F.col("part_words") > F.col("goal"))).alias("part_edge")))
+    in_ends = joined.filter("edge").withColumn("part", part).join(few(parts, parts.count() <= BROADCAST_ROWS), ["skey", "part"])
+    inside = W.partitionBy("skey", "part").orderBy("shuffle_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    cut = in_ends.filter("part_edge").withColumn("ahead", F.col("part_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    cut = cut.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead")
+    whole = in_ends.filter(~F.col("part_edge")).withColumn("more", F.when(F.col("part_again"), F.col("size")).otherwise(F.lit(0)))
+    at_edge = cut.unionByName(whole).drop("part", "part_before", "part_again", "part_edge")
     others = joined.filter(~F.col("edge")).withColumn("more", F.when(F.col("again"), F.col("size")).otherwise(F.lit(0)))
     out = others.unionByName(at_edge).withColumn("taken", (F.col("rounds") * F.col("size") + F.col("more")).cast("long"))
     drawn = F.when(F.col("more") > 0, F.col("rounds") + 1).otherwise(F.col("rounds"))
@@ -126,7 +137,7 @@ t{level} AS (
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' END || coalesce(source, '') AS skey,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('mix/' || coalesce(doc_id::VARCHAR, '')) AS shuffle_key
+         md5('mix/' || coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS shuffle_key
   FROM documents),
 per AS (
   SELECT skey, sum(size)::BIGINT AS source_size,
