@@ -62,7 +62,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shard = F.explode(F.array_compact(F.array("first_shard", "second_shard"))).alias("_shard")
     drawn = drawn.select(*names, "shuffle_key", shard)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = drawn.repartition(parts, "_shard", F.substring("shuffle_key", 3, 1)).sortWithinPartitions("_shard", "shuffle_key")
+    drawn = drawn.repartition(parts, "_shard", F.substring("shuffle_key", 3, 4)).sortWithinPartitions("_shard", "shuffle_key")
     return _back(drawn, docs, names)
 
 
