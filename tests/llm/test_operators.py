@@ -38,6 +38,23 @@ def test_license(docs, awkward):
     assert (none["n_words"], none["n_base"], none["first_word"], none["labels"], none["score"]) == (0, 0, None, "", 0.0)
 
 
+def test_many_templates_with_key_phrases(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    own = tuple((f"{pick(1)} [{pick(1 + k % 2)}] {pick(k % 3)} [{pick(1)}]", f"t{k}") for k in range(60)) + (("[w1]", "one"), ("[w2 w2]", "two"))
+    texts = [pick(60) for _ in range(40)] + ["w2 w2 w2", "", "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(docs, own=own).collect():
+        ws, want = texts[r["doc_id"]].split(), set()
+        for notice, label in own:
+            n, keys = license_scan.parsed(notice)
+            want |= {(label, i, n) for i in range(len(ws)) if all(ws[i + at : i + at + len(k)] == k for at, k in keys)}
+        assert {(p["label"], p["start"], p["n_words"]) for p in r["places"]} == want
+
+
 def test_license_empty(empty):
     assert license_scan.scan(empty).count() == 0
 
