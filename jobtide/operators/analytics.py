@@ -142,7 +142,7 @@ def period_insight(applications: DataFrame, reviews: DataFrame, as_of: str, time
     return out.select("user_id", *zero, rate("s", "n", 2).alias("mean_rating")).select("*", rate("interviews", "applications", 4, 0).alias("interview_rate"), rate("offers", "interviews", 4, 0).alias("offer_rate"))
 
 
-def review_stats(reviews: DataFrame, ratings: tuple[str, ...] = ("overall_rating", "technical_rating")) -> DataFrame:
+def review_stats(reviews: DataFrame, ratings: tuple[str, ...] = ("overall_rating", "technical_rating", "communication_rating")) -> DataFrame:
     """Per user: number of reviews and means over truthy ratings."""
     return reviews.groupBy("user_id").agg(F.count("*").alias("reviews"), *[F.avg(truthy(r)).alias(f"mean_{r}") for r in ratings])
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,19 +12,29 @@ MOST_CELLS = 250_000
 SEGMENTS = "array<struct<changed:boolean,old:string,new:string>>"
 
 
-def render_resume(data: Column, jd_terms: Column) -> Column:
-    """Markdown from the facts of a vault alone; skills that the description names come first, order kept."""
-    info = data["personal_info"]
-    names = F.transform(data["skills"], lambda s: s["name"])
-    hit = lambda n: F.exists(jd_terms, lambda t: F.lower(t) == F.lower(n))
+def render_resume(data: Column, jd_terms: Column, preview: Column | None = None) -> Column:
+    """Markdown from the facts of a vault alone; skills that the description names come first, order kept.
+
+    ``data``: personal_info, summary, skills (name), experiences (company, title, dates, description, projects as names),
+    education (school, degree, field, dates); a vault without any facts shows the preview.
+    """
+    info, some = data["personal_info"], lambda x: F.nullif(x, F.lit(""))
+    names = F.filter(F.transform(data["skills"], lambda s: s["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    edge = lambda t: F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), t, F.lit(r"\E(?![A-Za-z0-9])"))
+    hit = lambda n: F.exists(jd_terms, lambda t: F.regexp_like(n, edge(t)))
     skills = F.concat(F.filter(names, hit), F.filter(names, lambda n: ~hit(n)))
-    job = lambda e: F.concat_ws("\n", F.concat(F.lit("### "), F.concat_ws(" | ", e["company"], e["title"])), e["description"])
-    school = lambda e: F.concat(F.lit("- "), F.concat_ws(" | ", e["school"], e["degree"], e["field"]))
-    part = lambda head, lines, sep: F.when(F.size(lines) > 0, F.concat(F.lit(f"## {head}\n"), F.array_join(lines, sep)))
-    return F.array_join(F.array_compact(F.array(
-        F.concat(F.lit("# "), F.coalesce(F.nullif(info["name"], F.lit("")), F.lit("Résumé"))), F.nullif(F.concat_ws(" | ", info["email"], info["phone"]), F.lit("")),
-        part("Skills", skills, "、"), part("Experience", F.transform(data["experiences"], job), "\n\n"), part("Education", F.transform(data["education"], school), "\n"),
-    )), "\n\n")
+    joined = lambda sep, *xs: some(F.array_join(F.array_compact(F.array(*map(some, xs))), sep))
+    span = lambda e: joined(" — ", e["start_date"], e["end_date"])
+    job = lambda e: F.array_compact(F.concat(F.array(F.concat(F.lit("### "), joined(" · ", e["company"], e["title"])), span(e), some(e["description"])), F.transform(e["projects"], lambda p: F.concat(F.lit("**"), p, F.lit("**")))))
+    school = lambda e: F.array_compact(F.array(F.concat(F.lit("### "), joined(" · ", e["school"], e["degree"], e["field"])), span(e)))
+    part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit("## " + head)), lines)).otherwise(F.expr("cast(array() as array<string>)"))
+    one = lambda x: F.array_compact(F.array(x))
+    facts = F.concat(
+        one(joined(" · ", info["email"], info["phone"])), part("个人概述", one(some(data["summary"]))), part("技能", one(some(F.array_join(skills, "、")))),
+        part("工作经历", F.flatten(F.transform(data["experiences"], job))), part("教育经历", F.flatten(F.transform(data["education"], school))),
+    )
+    shown = facts if preview is None else F.when(F.size(facts) > 0, facts).otherwise(one(some(preview)))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.coalesce(some(info["name"]), F.lit("个人简历")))), shown), "\n\n")
 
 
 def interview_brief(data: Column, raw: Column) -> Column:
@@ -55,14 +64,29 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def segments(before: str | None, after: str | None) -> list[dict]:
-    """Line differences as equal and changed segments; one whole segment beyond a bound on the work."""
+    """Longest common lines as equal and changed segments, added lines first; one whole segment beyond a bound on the work."""
     a, b = (before or "").split("\n"), (after or "").split("\n")
     if len(a) * len(b) > MOST_CELLS:
         return [{"changed": before != after, "old": before or "", "new": after or ""}]
-    out = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        out.append({"changed": tag != "equal", "old": "\n".join(a[i:j]), "new": "\n".join(b[k:m])})
-    return out
+    number = {x: k for k, x in enumerate(dict.fromkeys((*a, *b)))}
+    x, y = (np.array([number[line] for line in side]) for side in (a, b))
+    common = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of the rests of both sides
+    for i in reversed(range(len(a))):
+        row = np.maximum(common[i + 1, :-1], np.where(y == x[i], common[i + 1, 1:] + 1, 0))
+        common[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out: list[tuple[bool, list[str], list[str]]] = []
+    i = j = 0
+    while i < len(a) or j < len(b):
+        same = i < len(a) and j < len(b) and x[i] == y[j]
+        added = not same and j < len(b) and (i == len(a) or common[i, j + 1] >= common[i + 1, j])
+        if not out or out[-1][0] == same:
+            out.append((not same, [], []))
+        if not added:
+            out[-1][1].append(a[i])
+        if same or added:
+            out[-1][2].append(b[j])
+        i, j = i + (not added), j + (same or added)
+    return [{"changed": changed, "old": "\n".join(old), "new": "\n".join(new)} for changed, old, new in out]
 
 
 def version_diff(versions: DataFrame) -> DataFrame:
@@ -100,3 +124,11 @@ def extraction_accuracy(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     rows = joined.select("doc_id", *same, *part)
     names = [c for c in rows.columns if c != "doc_id"]
     return rows.withColumn("score", sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names))
+
+
+def accuracy_summary(scored: DataFrame, least: float = 0.8) -> DataFrame:
+    """Mean of each field and of the score over all documents, lowest first, and whether it is below the mark."""
+    names = [c for c in scored.columns if c != "doc_id"]
+    means = scored.agg(*[F.avg(c).alias(c) for c in names])
+    rows = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("mean")) for c in names])).alias("x")).select("x.*")
+    return rows.withColumn("low", F.col("mean") < least).orderBy("mean", "field")

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalar import round_n
@@ -82,10 +83,18 @@ def ungrounded_terms(resume_terms: Column, vault: Column, variants: dict[str, st
     return F.filter(resume_terms, bare)
 
 
+def project_names(text: Column) -> Column:
+    """Distinct names of projects that a text speaks of."""
+    pattern = f"(?:{'|'.join(PROJECT_VERBS)})(?:了)?([^，。,.\\n]{{2,30}}?(?:{'|'.join(PROJECT_NOUNS)}))"
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1))
+
+
 def ungrounded_projects(text: Column, vault_text: Column) -> Column:
     """Project names of more than three characters that the vault's text doesn't hold."""
-    pattern = f"(?:{'|'.join(PROJECT_VERBS)})(?:了)?([^，。,.\\n]{{2,30}}?(?:{'|'.join(PROJECT_NOUNS)}))"
-    names = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1))
+    return _unknown(project_names(text), vault_text)
+
+
+def _unknown(names: Column, vault_text: Column) -> Column:
     return F.filter(names, lambda n: (F.length(n) > 3) & ~F.contains(vault_text, n))
 
 
@@ -109,12 +118,12 @@ def grounding_advice(suspicious: Column, level: Column) -> Column:
 def verify_resumes(resumes: DataFrame, vaults: DataFrame, mode: str = "strict", variants: dict[str, str] | None = None) -> DataFrame:
     """Rows with ``resume_terms`` and ``text`` against ``vault_terms`` and ``vault_text`` of the same user.
 
-    Term arrays are made before the join, so texts are scanned once; only arrays and the facts cross the shuffle.
+    Terms and project names are found before the join: of the résumés only these arrays cross the shuffle.
     """
-    rows = resumes.join(vaults, "user_id", "left")
+    rows = resumes.select("doc_id", "user_id", "resume_terms", project_names(F.col("text")).alias("_projects")).join(vaults, "user_id", "left")
     none = F.expr("cast(array() as array<string>)")
     vault = F.coalesce("vault_terms", none)
-    rows = rows.withColumn("suspicious", F.array_sort(F.concat(ungrounded_terms(F.col("resume_terms"), vault, variants), ungrounded_projects(F.col("text"), F.coalesce("vault_text", F.lit(""))))))
+    rows = rows.withColumn("suspicious", F.array_sort(F.concat(ungrounded_terms(F.col("resume_terms"), vault, variants), _unknown(F.col("_projects"), F.coalesce("vault_text", F.lit(""))))))
     sure, level = grounding_level(F.size("suspicious"), F.size("resume_terms"), mode)
     rows = rows.withColumn("confidence", round_n(sure, 2)).withColumn("level", level)
     return rows.select(
@@ -123,26 +132,55 @@ def verify_resumes(resumes: DataFrame, vaults: DataFrame, mode: str = "strict",
     )
 
 
-def provenance(resumes: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Claims with figures among the first five sentences, with place and confidence."""
+METRIC = r"\d+(\.\d+)?\s*[%倍万千亿]"
+
+
+def provenance(resumes: DataFrame, claims: DataFrame | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Claims of each text: ident, claim, claim_type, source_type, source_text, confidence, status.
+
+    ``claims`` (ident, claim, verdict ``verified`` or ``suspicious``, source, confidence) come first; a text without any gives
+    what has figures among its first five sentences.
+    """
     parts = F.slice(F.split(F.coalesce(F.col(text), F.lit("")), r"[。！？\n]"), 1, 5)
-    kept = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & F.regexp_like(s, F.lit(r"\d+(\.\d+)?\s*[%倍万千亿]")))
-    rows = resumes.select(ident, F.posexplode(kept).alias("pos", "claim"))
-    return rows.select(ident, "pos", F.substring("claim", 1, 100).alias("claim"), F.lit(0.7).alias("confidence"), F.lit(False).alias("verified"))
+    kept = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & F.regexp_like(s, F.lit(METRIC)))
+    rest = resumes if claims is None else resumes.join(claims.select(ident), ident, "left_anti")
+    said = rest.select(ident, F.explode(kept).alias("claim"))
+    said = said.select(ident, F.substring("claim", 1, 100).alias("claim"), F.lit("metric").alias("claim_type"), F.lit("inferred").alias("source_type"), F.lit(None).cast("string").alias("source_text"), F.lit(0.7).alias("confidence"), F.lit("unverified").alias("status"))
+    if claims is None:
+        return said
+    sure, metric = F.col("verdict") == "verified", F.regexp_like("claim", F.lit(METRIC))
+    source = F.when(sure, F.nullif(F.col("source"), F.lit("")))
+    given = claims.select(
+        ident, "claim", F.when(metric, "metric").when(sure, "skill").otherwise("other").alias("claim_type"), F.when(~sure, "hallucinated").when(source.isNotNull(), "vault_experience").otherwise("inferred").alias("source_type"),
+        source.alias("source_text"), F.when(sure, F.coalesce("confidence", F.lit(0.8))).otherwise(0.3).alias("confidence"), F.when(sure, "verified").otherwise("warning").alias("status"),
+    )
+    return given.unionByName(said)
+
+
+def provenance_overall(resumes: DataFrame, items: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Mean confidence of each text's claims (0.5 without any) and their number."""
+    per = items.groupBy(ident).agg(F.avg("confidence").alias("c"), F.count("*").alias("n"))
+    return resumes.select(ident).join(per, ident, "left").select(ident, F.coalesce("c", F.lit(0.5)).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("items"))
 
 
 def recall_experiences(jobs: DataFrame, skills: tuple[str, ...]) -> DataFrame:
-    """Of the first five experiences of each job's vault: 10 per required skill in title or description, best first.
+    """Of the first five experiences of each job's vault: 10 per required skill in title or description, ``rank`` 1 for the best.
 
     ``jobs``: job_id, required (array), experiences (array of struct title, company, description).
     """
     from jobtide.operators.lexicon import term_in_text
 
     rows = jobs.select("job_id", "required", F.posexplode(F.slice("experiences", 1, 5)).alias("pos", "e"))
-    text = F.concat_ws(" ", "e.title", "e.description")
-    hits = F.array_compact(F.array(*[F.when(F.array_contains("required", F.lit(s)) & term_in_text(s, text), F.lit(s)) for s in skills]))
+    named = lambda s: term_in_text(s, F.col("e.description")) | term_in_text(s, F.col("e.title"))
+    hits = F.array_compact(F.array(*[F.when(F.array_contains("required", F.lit(s)) & named(s), F.lit(s)) for s in skills]))
     rows = rows.withColumn("hits", hits).withColumn("score", F.least(F.lit(100), F.size("hits") * 10)).filter("score > 0")
-    return rows.select("job_id", "pos", F.col("e.company").alias("company"), "score", F.substring("e.description", 1, 200).alias("evidence"), F.array_join(F.slice("hits", 1, 3), ", ").alias("reason"))
+    best = F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("score"), "pos"))
+    long = F.length("e.description") > 200
+    return rows.select(
+        "job_id", "pos", best.alias("rank"), F.col("e.title").alias("title"), F.col("e.company").alias("company"), "score",
+        F.when(long, F.concat(F.substring("e.description", 1, 200), F.lit("..."))).otherwise(F.col("e.description")).alias("evidence"),
+        F.concat(F.lit("匹配技能: "), F.array_join(F.slice("hits", 1, 3), ", ")).alias("reason"),
+    )
 
 
 def jd_requirements(jobs: DataFrame, technical: tuple[str, ...], terms: str = "jd_terms", ident: str = "job_id") -> DataFrame:

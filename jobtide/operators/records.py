@@ -39,6 +39,16 @@ def count_reviews(reviews: DataFrame, **bounds) -> DataFrame:
     return filter_reviews(reviews, **bounds).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+def reviews_of_application(reviews: DataFrame, application_id, user_id) -> DataFrame:
+    """A user's reviews of one application, newest first."""
+    return reviews.filter((F.col("application_id") == application_id) & (F.col("user_id") == user_id)).orderBy(F.desc("interview_date"), "id")
+
+
+def questions_of_job(questions: DataFrame, job_id, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Questions of one job by position."""
+    return questions.filter(F.col("job_id") == job_id).orderBy("position", *ties)
+
+
 def page(rows: DataFrame, by: list[Column], skip: int = 0, limit: int = 20, within: str | None = None) -> DataFrame:
     """One page of the ordered rows; with ``within``, one page of each group."""
     if within is None:
@@ -179,10 +189,12 @@ def review_timeline(requests: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def upsert_vault(vaults: DataFrame, incoming: DataFrame) -> DataFrame:
     """Vaults after the last incoming content of each user: version + 1, or version 1 if new."""
-    last = incoming.groupBy("user_id").agg(F.max_by("raw_content", F.struct("seq", "raw_content")).alias("new_content"))
+    own = [c for c in ("raw_content", "structured_data") if c in incoming.columns]
+    last = incoming.groupBy("user_id").agg(F.max_by(F.struct(*own), F.struct("seq", "raw_content")).alias("new"))
     rows = vaults.join(last, "user_id", "full_outer")
-    version = F.when(F.col("new_content").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1)
-    return rows.select("user_id", F.coalesce("new_content", "raw_content").alias("raw_content"), version.alias("version"))
+    version = F.when(F.col("new").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1)
+    kept = [F.when(F.col("new").isNull(), F.col(c) if c in vaults.columns else F.lit(None)).otherwise(F.col(f"new.{c}")).alias(c) for c in own]
+    return rows.select("user_id", *kept, version.alias("version"))
 
 
 def write_user_summary(summary: DataFrame, path: str, buckets: int = 64) -> None:

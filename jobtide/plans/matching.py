@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobtide.operators import grounding as G
 from jobtide.operators import lexicon as L
 from jobtide.plans.book import query
+from jobtide.plans.forms import forms, forms_sql
 from jobtide.sources.views import Views
 
 #: Words that occur in the driver's invented texts stand in for skills.
@@ -24,15 +25,14 @@ VOCABULARY = tuple(
 TERMS = sorted({t for t, _, _ in VOCABULARY})
 VOC = ", ".join(f"('{t}', '{c}', {w}::DOUBLE)" for t, c, w in VOCABULARY)
 _edge = "CASE WHEN len(term) <= 2 THEN '(^|[^a-z0-9+#&.])' || term || '([^a-z0-9+#&]|$)' ELSE '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)' END"
-#: Terms of descriptions (jt) and résumés (rt), pairs of a description and each résumé of the same user.
+#: Terms of descriptions (jt) and résumés (rt); pairs (named job_id) of each résumé and its description.
 MATCH = f""", voc AS (SELECT * FROM (VALUES {VOC}) t(term, category, weight)),
 terms AS (SELECT DISTINCT term FROM voc),
 jt AS (SELECT job_id, user_id, term FROM jds, terms WHERE regexp_matches(lower(text), {_edge})),
-res AS (SELECT min(doc_id) AS doc_id, user_id FROM resumes GROUP BY 2),
-rt AS (SELECT r.doc_id, r.user_id, term FROM resumes r JOIN res USING (doc_id), terms WHERE regexp_matches(lower(text), {_edge})),
-pairs AS (SELECT j.job_id, j.user_id, r.doc_id FROM jds j JOIN res r USING (user_id)),
+rt AS (SELECT r.doc_id, term FROM resumes r, terms WHERE regexp_matches(lower(text), {_edge})),
+pairs AS (SELECT r.doc_id AS job_id, r.user_id, r.doc_id, r.posting FROM jds j JOIN resumes r ON r.posting = j.job_id),
 pt AS (SELECT p.job_id, p.user_id, t.term, max(jt.term IS NOT NULL) AS in_jd, max(rt.term IS NOT NULL) AS in_resume
-       FROM pairs p CROSS JOIN terms t LEFT JOIN jt ON jt.job_id = p.job_id AND jt.term = t.term LEFT JOIN rt ON rt.doc_id = p.doc_id AND rt.term = t.term GROUP BY 1, 2, 3)
+       FROM pairs p CROSS JOIN terms t LEFT JOIN jt ON jt.job_id = p.posting AND jt.term = t.term LEFT JOIN rt ON rt.doc_id = p.doc_id AND rt.term = t.term GROUP BY 1, 2, 3)
 """
 
 
@@ -41,10 +41,9 @@ def _jds(v: Views) -> DataFrame:
 
 
 def _pairs(v: Views) -> DataFrame:
-    """Each description with the first résumé of its user; terms are found before the join."""
-    first = v.resumes.groupBy("user_id").agg(F.min_by("text", "doc_id").alias("text"))
-    resumes = L.extract_terms(first, VOCABULARY).select("user_id", F.col("terms").alias("resume_terms"))
-    return _jds(v).join(resumes, "user_id")
+    """Each résumé with its description, a pair (job_id) of its own; terms are found before the join."""
+    resumes = L.extract_terms(v.resumes, VOCABULARY).select(F.col("doc_id").alias("job_id"), "user_id", "posting", F.col("terms").alias("resume_terms"))
+    return resumes.join(_jds(v).select(F.col("job_id").alias("posting"), "jd_terms"), "posting")
 
 
 def _list(c: Column | str) -> Column:
@@ -247,9 +246,13 @@ bad AS (SELECT h.doc_id, h.term FROM hits h WHERE NOT EXISTS (SELECT 1 FROM vt W
 
 
 def _facts(v: Views) -> DataFrame:
-    spans = G.find_spans(F.col("text"), tuple(t for t, _ in TECH))
-    rows = v.jds.select("user_id", F.transform(spans, lambda s: s["term"]).alias("t"), "text")
-    return rows.groupBy("user_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("vault_terms"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("vault_text"))
+    """Vaults of few postings each, with these as projects."""
+    project = F.struct(F.col("job_id").cast("string").alias("name"), F.col("text").alias("description"), F.expr("cast(array() as array<string>)").alias("technologies"))
+    jobs = v.jds.groupBy("user_id").agg(F.array_sort(F.collect_list(project)).alias("projects"))
+    job = F.struct(F.lit("").alias("company"), F.lit("").alias("title"), F.lit("").alias("description"), F.col("projects"))
+    data = F.struct(F.expr("cast(array() as array<struct<name:string>>)").alias("skills"), F.array(job).alias("experiences"), F.expr("cast(array() as array<struct<school:string,field:string>>)").alias("education"))
+    rows = G.vault_terms(jobs.select("user_id", data.alias("structured_data")), TECH)
+    return rows.withColumn("vault_terms", F.array_sort("vault_terms"))
 
 
 def _generated(v: Views) -> DataFrame:
@@ -274,9 +277,17 @@ def grd3_ungrounded_terms(v: Views) -> DataFrame:
     return rows.select("doc_id", F.explode(G.ungrounded_terms(F.col("resume_terms"), F.coalesce("vault_terms", none))).alias("term"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?:负责|参与|主导|开发|设计)(?:了)?([^，。,.\\n]{2,30}?(?:项目|系统|平台))'))::INTEGER AS n FROM resumes")
+#: A line on projects, and what a vault says of them.
+DONE = (("负责了推荐#号系统，参与电商平台", "开发ab平台。主导数据中台项目", "设计推荐#号系统, 参与推荐#号系统", "nothing"), ("", "负责风控系统"))
+KNOWN = (("电商平台", "数据中台项目", "推荐#号系统"),)
+_found = f"list_distinct(regexp_extract_all(concat_ws(chr(10), {forms_sql(DONE, 'doc_id')}, text), '(?:负责|参与|主导|开发|设计)(?:了)?([^，。,.\\n]{{2,30}}?(?:项目|系统|平台))', 1))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_filter({_found}, lambda n: len(n) > 3 AND NOT contains({forms_sql(KNOWN, 'doc_id')}, n))), ',') AS projects FROM resumes")
 def grd4_ungrounded_projects(v: Views) -> DataFrame:
-    return v.resumes.select("doc_id", F.size(G.ungrounded_projects(F.col("text"), F.lit(""))).alias("n"))
+    key = F.col("doc_id")
+    names = G.ungrounded_projects(F.concat_ws("\n", *forms(DONE, key), "text"), forms(KNOWN, key)[0])
+    return v.resumes.select("doc_id", F.array_join(F.array_sort(names), ",").alias("projects"))
 
 
 VERIFIED = """SELECT doc_id, n_terms, n_suspicious, floor(conf * 100::DOUBLE + 0.5) / 100::DOUBLE AS confidence,
@@ -301,17 +312,48 @@ def grd7_verify_resumes(v: Views) -> DataFrame:
     return G.verify_resumes(_generated(v), _facts(v)).select("doc_id", "verified")
 
 
-@query()
+#: Claims of two kinds for some documents; the others are read from the text.
+CLAIMS = r""", given AS (SELECT doc_id, 'grew by ' || doc_id || '%' AS claim, 'verified' AS verdict, CASE WHEN doc_id % 2 = 0 THEN 'vault' ELSE '' END AS source, CASE WHEN doc_id % 4 = 0 THEN 0.9::DOUBLE END AS confidence FROM resumes WHERE doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 'knows all', 'suspicious', NULL, NULL FROM resumes WHERE doc_id % 6 = 0),
+told AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, s[1:100] AS claim FROM (
+  SELECT doc_id, i, trim(ss[i]) AS s FROM (SELECT doc_id, regexp_split_to_array('revenue up 12.5% in a year。short 3%。' || coalesce(text, ''), '[。！？\n]')[1:5] AS ss FROM resumes WHERE doc_id % 3 <> 0), range(1, 6) r(i) WHERE i <= len(ss))
+  WHERE len(s) > 10 AND regexp_matches(s, '[0-9]+(\.[0-9]+)?\s*[%倍万千亿]')),
+items AS (
+ SELECT doc_id, claim, CASE WHEN regexp_matches(claim, '[0-9]+(\.[0-9]+)?\s*[%倍万千亿]') THEN 'metric' WHEN verdict = 'verified' THEN 'skill' ELSE 'other' END AS claim_type,
+  CASE WHEN verdict = 'suspicious' THEN 'hallucinated' WHEN source <> '' THEN 'vault_experience' ELSE 'inferred' END AS source_type, CASE WHEN verdict = 'suspicious' THEN 0.3::DOUBLE ELSE coalesce(confidence, 0.8::DOUBLE) END AS confidence,
+  CASE WHEN verdict = 'suspicious' THEN 'warning' ELSE 'verified' END AS status FROM given
+ UNION ALL SELECT doc_id, claim, 'metric', 'inferred', 0.7::DOUBLE, 'unverified' FROM told)
+"""
+
+
+def _claims(v: Views) -> tuple[DataFrame, DataFrame]:
+    key = F.col("doc_id")
+    told = v.resumes.select("doc_id", F.concat(F.lit("revenue up 12.5% in a year。short 3%。"), F.coalesce("text", F.lit(""))).alias("text"))
+    sure = told.filter(key % 3 == 0).select("doc_id", F.concat(F.lit("grew by "), key.cast("string"), F.lit("%")).alias("claim"), F.lit("verified").alias("verdict"), F.when(key % 2 == 0, "vault").otherwise("").alias("source"), F.when(key % 4 == 0, 0.9).alias("confidence"))
+    doubt = told.filter(key % 6 == 0).select("doc_id", F.lit("knows all").alias("claim"), F.lit("suspicious").alias("verdict"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("confidence"))
+    return told, sure.unionByName(doubt)
+
+
+@query(CLAIMS + "SELECT doc_id, md5(claim) AS claim, claim_type, source_type, confidence, status FROM items")
 def grd8_provenance(v: Views) -> DataFrame:
-    return G.provenance(v.resumes)
+    return G.provenance(*_claims(v)).select("doc_id", F.md5("claim").alias("claim"), "claim_type", "source_type", "confidence", "status")
+
+
+@query(CLAIMS + "SELECT r.doc_id, coalesce(avg(confidence), 0.5::DOUBLE) AS confidence, count(claim)::BIGINT AS items FROM resumes r LEFT JOIN items USING (doc_id) GROUP BY 1")
+def grd8_provenance_overall(v: Views) -> DataFrame:
+    told, claims = _claims(v)
+    return G.provenance_overall(told, G.provenance(told, claims))
 
 
-@query()
+@query(MATCH + f""", lines AS (SELECT p.job_id, p.posting, i - 1 AS pos, trim(ls[i]) AS line, ls[i] AS whole FROM pairs p JOIN (SELECT doc_id, string_split(text, chr(10))[1:5] AS ls FROM resumes) r USING (doc_id), range(1, 6) t(i) WHERE i <= len(ls)),
+h AS (SELECT job_id, pos, any_value(whole) AS whole, list_sort(list(term)) AS hits FROM lines JOIN jt ON jt.job_id = lines.posting WHERE false GROUP BY 1, 2),
+hit AS (SELECT l.job_id, l.pos, l.whole, list_sort(list(x.term)) AS hits FROM lines l JOIN (SELECT job_id AS posting, term FROM jt) x ON x.posting = l.posting AND regexp_matches(lower(l.whole), {_edge.replace('term', 'x.term')}) GROUP BY 1, 2, 3)
+SELECT job_id, pos::INTEGER AS pos, row_number() OVER (PARTITION BY job_id ORDER BY len(hits) DESC, pos)::INTEGER AS rank, least(100, 10 * len(hits))::INTEGER AS score,
+ md5(CASE WHEN len(whole) > 200 THEN whole[1:200] || '...' ELSE whole END) AS evidence, '匹配技能: ' || array_to_string(hits[1:3], ', ') AS reason FROM hit""".replace("h AS (SELECT job_id, pos, any_value(whole) AS whole, list_sort(list(term)) AS hits FROM lines JOIN jt ON jt.job_id = lines.posting WHERE false GROUP BY 1, 2),\n", ""))
 def grd9_recall_experiences(v: Views) -> DataFrame:
     parts = F.transform(F.split("text", "\n"), lambda s: F.struct(F.lit("").alias("title"), F.lit("").alias("company"), s.alias("description")))
-    first = v.resumes.groupBy("user_id").agg(F.min_by("text", "doc_id").alias("text")).select("user_id", parts.alias("experiences"))
-    jobs = _jds(v).join(first, "user_id").select("job_id", F.col("jd_terms").alias("required"), "experiences")
-    return G.recall_experiences(jobs, tuple(TERMS))
+    jobs = v.resumes.select(F.col("doc_id").alias("job_id"), "posting", parts.alias("experiences")).join(_jds(v).select(F.col("job_id").alias("posting"), F.col("jd_terms").alias("required")), "posting")
+    return G.recall_experiences(jobs, tuple(TERMS)).select("job_id", "pos", "rank", "score", F.md5("evidence").alias("evidence"), "reason")
 
 
 @query(MATCH + "SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY term) - 1)::INTEGER AS pos, term, CASE WHEN term IN ('the', 'of') THEN 'technical' ELSE 'general' END AS category FROM jt QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY term) <= 8")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from jobtide.functions.scalar import RANGE_DAYS, rate
 from jobtide.operators import analytics as A
 from jobtide.operators import records as R
 from jobtide.plans.book import query
+from jobtide.session import shared_folder
 from jobtide.sources.views import STATUSES, Views
 
 AS_OF = "2001-08-02"
@@ -130,7 +133,7 @@ def agg11_period_insight(v: Views) -> DataFrame:
     return A.period_insight(v.applications, v.reviews, AS_OF, "6m")
 
 
-@query("SELECT user_id, count(*)::BIGINT AS reviews, avg(overall_rating) AS mean_overall_rating, avg(technical_rating) AS mean_technical_rating FROM reviews GROUP BY 1")
+@query("SELECT user_id, count(*)::BIGINT AS reviews, avg(overall_rating) AS mean_overall_rating, avg(technical_rating) AS mean_technical_rating, avg(communication_rating) AS mean_communication_rating FROM reviews GROUP BY 1")
 def agg12_review_stats(v: Views) -> DataFrame:
     return A.review_stats(v.reviews)
 
@@ -217,15 +220,16 @@ def flt6_validate_rows(v: Views) -> DataFrame:
     return R.validate_rows(v.reviews, rules).select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("SELECT id, round_type FROM reviews WHERE user_id = 7 AND application_id % 2 = 0")
+@query("SELECT id, round_type FROM reviews WHERE application_id = (SELECT min(application_id) FROM reviews WHERE user_id = 7) AND user_id = 7")
 def flt7_reviews_of_application(v: Views) -> DataFrame:
-    mine = v.reviews.filter((F.col("user_id") == 7) & (F.col("application_id") % 2 == 0))
-    return mine.orderBy(F.desc("interview_date"), "id").select("id", "round_type")
+    first = v.reviews.filter(F.col("user_id") == 7).agg(F.min("application_id")).first()[0]
+    return R.reviews_of_application(v.reviews, first, 7).select("id", "round_type")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user'")
 def flt8_questions_of_job(v: Views) -> DataFrame:
-    return v.table("conversations").filter(F.col("role") == "user").select("conv_id", "turn").orderBy("conv_id", "turn")
+    asked = v.table("conversations").select(F.col("role").alias("job_id"), "conv_id", F.col("turn").alias("position"))
+    return R.questions_of_job(asked, "user", ("conv_id",)).select("conv_id", F.col("position").alias("turn"))
 
 
 # Joins
@@ -381,6 +385,15 @@ def src5_upsert_vault(v: Views) -> DataFrame:
     return R.upsert_vault(v.vaults, incoming)
 
 
+@query("""SELECT user_id, count(*)::BIGINT AS reviews, avg(overall_rating) AS mean_overall_rating, avg(technical_rating) AS mean_technical_rating, avg(communication_rating) AS mean_communication_rating FROM reviews GROUP BY 1""")
+def src6_write_user_summary(v: Views) -> DataFrame:
+    """Written twice (the second replaces the first) and read back."""
+    path = f"{shared_folder(v.spark)}/user_summary_{uuid.uuid4().hex}"
+    for rows in (v.reviews.filter("user_id < 3"), v.reviews):
+        R.write_user_summary(A.review_stats(rows), path)
+    return v.spark.read.parquet(path).drop("bucket")
+
+
 def flagship(v: Views) -> DataFrame:
     """Weekly trend of every user beside the user's summary."""
     summary = A.user_summary(v.users, v.applications_with_company, v.reviews).select("user_id", F.col("applications").alias("total_applications"), F.col("interview_rate").alias("total_interview_rate"), "avg_days_to_response")

@@ -62,7 +62,7 @@ VOC = tuple((t, c) for t, c in dict(reversed(TECH)).items())
 def _structured(v: Views) -> DataFrame:
     """Vaults with structured data, from the extraction job itself."""
     rows = R.structure_resumes(_resume_texts(v), VOC)
-    jobs = F.transform("experiences", lambda e: F.struct(e["company"].alias("company"), e["title"].alias("title"), F.lit("").alias("description"), e["projects"].alias("projects")))
+    jobs = F.transform("experiences", lambda e: F.struct(e["company"].alias("company"), e["title"].alias("title"), e["start_date"].alias("start_date"), e["end_date"].alias("end_date"), F.lit("").alias("description"), e["projects"].alias("projects")))
     info = F.struct(F.col("personal_info.name").alias("name"), F.col("personal_info.contacts.email").alias("email"), F.col("personal_info.contacts.phone").alias("phone"))
     data = F.struct(info.alias("personal_info"), "education", jobs.alias("experiences"), "skills", F.substring("raw_text_preview", 1, 80).alias("summary"))
     return rows.select(F.col("doc_id").alias("user_id"), F.lit(1).alias("version"), data.alias("structured_data"), F.col("raw_text_preview").alias("raw"))
@@ -280,3 +280,8 @@ def agg19_extraction_accuracy(v: Views) -> DataFrame:
     counts = [F.size("education").alias("education_count"), F.size("experiences").alias("work_count"), F.size("skills").alias("skill_count"), F.lit(0).alias("project_count")]
     found = rows.select("doc_id", F.col("personal_info.name").alias("name"), F.col("personal_info.contacts.phone").alias("phone"), F.col("personal_info.contacts.email").alias("email"), *counts)
     return D.extraction_accuracy(found, _gold(v))
+
+
+@query()
+def agg19_accuracy_by_field(v: Views) -> DataFrame:
+    return D.accuracy_summary(agg19_extraction_accuracy(v))

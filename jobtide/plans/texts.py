@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from jobtide.plans.forms import forms, forms_sql
 from jobtide.plans.matching import MATCH, _jds, _pairs
 from jobtide.plans.resumes import _structured
 from jobtide.sources import parsing as P
+from jobtide.session import shared_folder
 from jobtide.sources.views import Views
-from jobtide.streaming.jobs import request_metrics
+from jobtide.streaming.jobs import request_metrics, status_stream
 
 
 def _one(v: Views, value: Column, name: str = "value") -> DataFrame:
@@ -50,10 +53,13 @@ def str5_truncate_at_sentence(v: Views) -> DataFrame:
     return _one(v, T.truncate_at_sentence("text", 400))
 
 
-@query("""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN name WHEN user_id % 3 = 1 THEN name ELSE name || '股份' END AS value FROM users""")
+ENDINGS = (("有限公司", "有限责任公司", "股份有限公司", "公司 ", "集团", "", "公司集团", " Ltd"),)
+
+
+@query(f"""SELECT user_id, coalesce({', '.join(f"CASE WHEN ends_with(x, '{e}') THEN x[1:len(x) - {len(e)}] END" for e in T.COMPANY_SUFFIXES)}, x) AS value
+FROM (SELECT user_id, trim(name || {forms_sql(ENDINGS, 'user_id')}) AS x FROM users)""")
 def str6_normalize_company(v: Views) -> DataFrame:
-    key = F.col("user_id") % 3
-    return v.users.select("user_id", T.normalize_company(F.concat("name", F.when(key == 0, "公司").when(key == 1, "集团").otherwise("股份有限公司"))).alias("value"))
+    return v.users.select("user_id", T.normalize_company(F.concat("name", forms(ENDINGS, F.col("user_id"))[0])).alias("value"))
 
 
 @query("SELECT s_suppkey, trim(s_name) AS value FROM (SELECT s_suppkey, '  ' || s_name || ' ' AS s_name FROM supplier)")
@@ -79,17 +85,28 @@ def str10_char_jaccard(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", T.char_jaccard("p_name", "p_type").alias("value"))
 
 
-@query("SELECT p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.8 END)::DOUBLE AS value FROM part")
+_alike = lambda x, y: f"CASE WHEN {x} <> '' AND {y} <> '' THEN CASE WHEN {x} = {y} THEN 1.0::DOUBLE WHEN contains({x}, {y}) OR contains({y}, {x}) THEN 0.8::DOUBLE END END"
+
+
+@query(f"""SELECT p_partkey, coalesce(list_avg(list_filter([{_alike('n1', 'n2')}, {_alike('t1', 't2')}], lambda x: x IS NOT NULL)), 0)::DOUBLE AS value FROM (
+ SELECT p_partkey, lower(p_name) AS n1, lower(CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' plus' WHEN 2 THEN 'other' ELSE '' END) AS n2, lower(p_type) AS t1, lower(CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_brand ELSE '' END) AS t2 FROM part)""")
 def str11_entry_similarity(v: Views) -> DataFrame:
-    a = F.struct(F.col("p_name").alias("name"))
-    b = F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" plus"))).alias("name"))
-    return v.table("part").select("p_partkey", T.entry_similarity(a, b, ("name",)).alias("value"))
+    k = F.col("p_partkey")
+    a = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("title"))
+    name = F.when(k % 4 == 0, F.upper("p_name")).when(k % 4 == 1, F.concat("p_name", F.lit(" plus"))).when(k % 4 == 2, "other").otherwise("")
+    b = F.struct(name.alias("name"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, F.col("p_brand")).otherwise("").alias("title"))
+    return v.table("part").select("p_partkey", T.entry_similarity(a, b, ("name", "title")).alias("value"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'screening' WHEN 'click' THEN 'interview' ELSE event_type || '.x' END AS value FROM events")
+WORDS = ((" View.X ", "click x", "CLICK", "k.8 s", "unknown #", ""),)
+_known = "MAP {'viewx': 'screening', 'clickx': 'interview', 'click': 'interview', 'k.8 s': 'kubernetes'}"
+
+
+@query(f"""SELECT event_id, coalesce(m[k], m[replace(k, '.', '')], m[replace(k, ' ', '')], w) AS value
+FROM (SELECT event_id, w, lower(trim(w)) AS k, {_known} AS m FROM (SELECT event_id, {forms_sql(WORDS, 'event_id')} AS w FROM events))""")
 def str12_normalize_keyword(v: Views) -> DataFrame:
-    table = F.create_map(F.lit("viewx"), F.lit("screening"), F.lit("click.x"), F.lit("interview"))
-    return v.table("events").select("event_id", T.normalize_keyword(F.concat("event_type", F.lit(".x")), table).alias("value"))
+    table = F.create_map(*map(F.lit, ("viewx", "screening", "clickx", "interview", "click", "interview", "k.8 s", "kubernetes")))
+    return v.table("events").select("event_id", T.normalize_keyword(forms(WORDS, F.col("event_id"))[0], table).alias("value"))
 
 
 @query("SELECT doc_id, sha256(text)[1:16] AS value FROM resumes")
@@ -97,10 +114,14 @@ def str13_text_key(v: Views) -> DataFrame:
     return _one(v, T.text_key("text"))
 
 
-@query("SELECT p_partkey, p_name || ' (' || p_brand || ')' AS value FROM part")
+MARKS = (("## Title #", "plain", "# a # b"), ("see [this #](http://x/#) and ![pic](p.png)", "**bold** and `code`", "> quoted **x"), ("- one\n* two\n  + three", "1 - 2", "[a](b)[c](d)"))
+
+
+@query(f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#{{1,6}}\\s*', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'),
+ '\\[([^\\]]*)\\]\\(([^)]*)\\)', '\\1 (\\2)', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '`([^`]*)`', '\\1', 'g'), '(?m)^\\s*[-*+]\\s+', '• ', 'g'), '(?m)^>\\s?', '', 'g')) AS value
+FROM (SELECT p_partkey, concat_ws(chr(10), {forms_sql(MARKS, 'p_partkey')}, p_name) AS t FROM part)""")
 def str14_markdown_to_text(v: Views) -> DataFrame:
-    md = F.concat(F.lit("## ["), "p_name", F.lit("]("), "p_brand", F.lit(")"))
-    return v.table("part").select("p_partkey", T.markdown_to_text(md).alias("value"))
+    return v.table("part").select("p_partkey", T.markdown_to_text(F.concat_ws("\n", *forms(MARKS, F.col("p_partkey")), "p_name")).alias("value"))
 
 
 DATES = "SELECT id, strftime(created_at, '%Y.%m') AS a, strftime(final_result_at, '%Y') AS b FROM applications"
@@ -115,10 +136,17 @@ def dat1_normalize_date(v: Views) -> DataFrame:
     return _dates(v).select("id", S.normalize_date("a").alias("value"))
 
 
-@query(f"SELECT id, CASE WHEN ok THEN a[1:4] ELSE '' END AS start_, CASE WHEN ok AND b IS NULL THEN '至今' WHEN ok THEN b ELSE '' END AS end_ FROM (SELECT *, a LIKE '20%' AND coalesce(b, '20') LIKE '20%' AS ok FROM ({DATES}))")
+SPANS = (("2016.09 - 2020.06", "2018.09-至今", "2019 - 2022", "from 2020 ~ Present on", "2015年9月 - 2019年6月", "2017/3–2019", "soon", "2021年 - 至今", "2014-2016", "1999 - 2003"),)
+_g = lambda k, n: f"regexp_extract(t, '{S.DATE_RANGES[k]}', {n})"
+_fits = lambda k: f"regexp_matches(t, '{S.DATE_RANGES[k]}')"
+_late = f"coalesce(nullif({_g(0, 4)}, ''), {_g(0, 3)})"
+
+
+@query(f"""SELECT id, CASE WHEN {_fits(0)} THEN {_g(0, 1)} WHEN {_fits(1)} THEN {_g(1, 1)} WHEN {_fits(2)} THEN {_g(2, 1)} ELSE '' END AS start_,
+ CASE WHEN {_fits(0)} THEN CASE WHEN {_late} IN ('至今', 'Present') THEN '至今' WHEN regexp_matches({_late}, '^20[0-9][0-9]') THEN {_late} ELSE '' END
+ WHEN {_fits(1)} THEN CASE WHEN {_g(1, 2)} IN ('至今', 'Present') THEN '至今' ELSE {_g(1, 2)} END WHEN {_fits(2)} THEN {_g(2, 2)} ELSE '' END AS end_ FROM (SELECT id, {forms_sql(SPANS, 'id')} AS t FROM applications)""")
 def dat2_date_range(v: Views) -> DataFrame:
-    text = F.concat(F.substring("a", 1, 4), F.lit(" - "), F.coalesce("b", F.lit("至今")))
-    rows = _dates(v).select("id", S.date_range(text).alias("r"))
+    rows = v.applications.select("id", S.date_range(forms(SPANS, F.col("id"))[0]).alias("r"))
     return rows.select("id", F.col("r.start").alias("start_"), F.col("r.end").alias("end_"))
 
 
@@ -127,9 +155,12 @@ def dat3_format_duration(v: Views) -> DataFrame:
     return _dates(v).select("id", S.format_duration("a", "b").alias("value"))
 
 
-@query(f"SELECT id, a LIKE '20%' AS value FROM ({DATES})")
+DAYS = (("2016", "2016.09", "2016年9月", "至今", "Present", "99", "2016-", "x2016", "2016/113", ""),)
+
+
+@query(f"SELECT id, regexp_full_match({forms_sql(DAYS, 'id')}, '20[0-9][0-9]|20[0-9][0-9][./年-][0-9][0-9]?月?|至今|Present') AS value FROM applications")
 def dat4_is_valid_date(v: Views) -> DataFrame:
-    return _dates(v).select("id", S.is_valid_date("a").alias("value"))
+    return v.applications.select("id", S.is_valid_date(forms(DAYS, F.col("id"))[0]).alias("value"))
 
 
 @query("SELECT id, floor((epoch_us(first_response_at) - epoch_us(applied_at)) / 86400000000)::BIGINT AS value FROM applications")
@@ -154,9 +185,12 @@ def mth2_truncating_percent(v: Views) -> DataFrame:
     return rows.select("user_id", S.truncating_percent("n", "m").alias("value"))
 
 
-@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
+@query("""SELECT event_id, x.path AS path, x.value AS value FROM (SELECT event_id, unnest([{'path': '["a","0","k"]', 'value': json_extract_string(props, '$.k')}, {'path': '["a","1"]', 'value': ''}, {'path': '["b","c","d e"]', 'value': event_id::VARCHAR},
+ {'path': '["b","f"]', 'value': CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END}, {'path': '["g"]', 'value': '2.5'}]) AS x FROM events)""")
 def jsn1_flatten_json(v: Views) -> DataFrame:
-    return P.flatten_json(v.table("events"), "event_id", "props")
+    key = F.col("event_id")
+    text = F.concat(F.lit('{"_confirmed":true,"a":['), "props", F.lit(',null],"b":{"c":{"d e":'), key.cast("string"), F.lit('},"f":'), F.when(key % 2 == 0, "true").otherwise("false"), F.lit(',"_confirmed":{"x":1},"none":{}},"g":2.5}'))
+    return P.flatten_json(v.table("events").select("event_id", text.alias("doc")), "event_id", "doc")
 
 
 @query()
@@ -201,7 +235,7 @@ def src7_assemble_jd(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", P.assemble_jd(given, F.col("p_name"), F.col("p_type")).alias("text"))
 
 
-@query("SELECT l_orderkey AS doc_id, string_agg(l_returnflag || l_linestatus, chr(10) ORDER BY l_linenumber % 2, l_quantity, l_extendedprice, l_returnflag || l_linestatus) AS text FROM lineitem WHERE 1 - l_discount * 5 > 0.6 GROUP BY 1")
+@query("SELECT l_orderkey AS doc_id, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber % 2, l_quantity, l_extendedprice, l_returnflag || l_linestatus) AS text FROM lineitem WHERE 1 - l_discount * 5 > 0.6 GROUP BY 1")
 def src8_ocr_to_text(v: Views) -> DataFrame:
     rows = v.table("lineitem").select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_quantity").alias("y"), F.col("l_extendedprice").alias("x"),
@@ -358,7 +392,7 @@ def agg20_field_confidence(v: Views) -> DataFrame:
 
 @query()
 def doc1_render_resume(v: Views) -> DataFrame:
-    return _structured(v).select("user_id", D.render_resume(F.col("structured_data"), F.array(F.lit("the"))).alias("text"))
+    return _structured(v).select("user_id", D.render_resume(F.col("structured_data"), F.array(F.lit("the")), F.col("raw")).alias("text"))
 
 
 @query()
@@ -392,7 +426,27 @@ def stm2_request_metrics(v: Views) -> DataFrame:
     return request_metrics(v.request_log).select(F.unix_micros("start").alias("start_us"), "path", "requests", "errors", "mean_seconds")
 
 
-@query("""SELECT job_id, arg_max(new_status, (changed_at, id)) AS status, count(*)::BIGINT AS changes, epoch_us(min(CASE WHEN new_status = 'applied' THEN changed_at END)) AS applied_us FROM status_events GROUP BY 1""")
+STATUS = """SELECT job_id, arg_max(new_status, (changed_at, id)) AS status, count(*)::BIGINT AS changes, epoch_us(min(CASE WHEN new_status = 'applied' THEN changed_at END)) AS applied_us FROM status_events GROUP BY 1"""
+
+
+@query(STATUS)
+def stm1_status_stream(v: Views) -> DataFrame:
+    """The stream itself, over the files that are there; every batch's updates are written, the last of each job is its status."""
+    folder = f"{shared_folder(v.spark)}/status_{uuid.uuid4().hex}"
+    kinds = v.table("events").schema
+    source = v.spark.readStream.schema(kinds).parquet(f"{v.dir}/events.parque[t]")  # a pattern may name a file or a folder
+    stream = Views.status_of(source)
+    query_ = status_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    query_ = query_.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")).start()
+    try:
+        query_.awaitTermination()
+    finally:
+        query_.stop()
+    done = v.spark.read.parquet(f"{folder}/out").groupBy("job_id").agg(F.max_by(F.struct("status", "changes", "applied_at"), "changes").alias("x"))
+    return done.select("job_id", "x.status", "x.changes", F.unix_micros("x.applied_at").alias("applied_us"))
+
+
+@query(STATUS)
 def stm1_status_batch(v: Views) -> DataFrame:
     """The batch twin of the status stream (tests hold the two against each other)."""
     rows = v.status_events.groupBy("job_id").agg(F.max_by("new_status", F.struct("changed_at", "id")).alias("status"), F.count("*").alias("changes"), F.min(F.when(F.col("new_status") == "applied", F.col("changed_at"))).alias("applied_at"))

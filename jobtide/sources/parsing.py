@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from jobtide.functions.text import clean_text
+
 IMAGES, DOCUMENTS = ("png", "jpg", "jpeg", "bmp", "webp"), ("pdf",)
 
 
@@ -49,10 +54,10 @@ def salary_range(low: Column, high: Column) -> Column:
 
 
 def ocr_to_text(detections: DataFrame, least: float | None = 0.6) -> DataFrame:
-    """Detections of each document in reading order, one line each."""
+    """Text of each document: its detections in reading order, cleaned."""
     rows = detections if least is None else detections.filter(F.col("confidence") > least)
     lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "y", "x", "text"))).alias("r"))
-    return lines.select("doc_id", F.array_join(F.transform("r", lambda d: d["text"]), "\n").alias("text"))
+    return lines.select("doc_id", clean_text(F.array_join(F.transform("r", lambda d: d["text"]), "\n")).alias("text"))
 
 
 def words_to_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
@@ -79,8 +84,32 @@ def table_to_text(rows: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ", "")), "\n")
 
 
+def _fields(value: object, path: tuple[str, ...] = ()) -> list[dict]:
+    """Leaves of a JSON document with their paths."""
+    if isinstance(value, dict | list):
+        inner = value.items() if isinstance(value, dict) else ((str(k), x) for k, x in enumerate(value))
+        return [leaf for k, x in inner if k != "_confirmed" for leaf in _fields(x, (*path, k))]
+    if isinstance(value, bool):
+        text = str(value).lower()
+    elif isinstance(value, float) and value.is_integer():
+        text = str(int(value))
+    else:
+        text = "" if value is None else str(value)
+    return [{"path": json.dumps(path, ensure_ascii=False, separators=(",", ":")), "value": text}]
+
+
 def flatten_json(rows: DataFrame, ident: str, column: str) -> DataFrame:
-    """Fields of an open JSON object: path and value as text, fields that begin with ``_`` left out."""
-    fields = F.from_json(column, "map<string,string>")
-    flat = rows.select(ident, F.explode(fields).alias("path", "value"))
-    return flat.filter(~F.startswith("path", F.lit("_")))
+    """Leaves of open JSON documents of any depth: path as JSON array and value as text; ``_confirmed`` is left out, text that isn't JSON gives none."""
+
+    @F.pandas_udf("array<struct<path:string,value:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            try:
+                value = json.loads(text or "null")
+            except ValueError:
+                value = None
+            out.append(_fields(value) if isinstance(value, dict | list) else [])
+        return pd.Series(out)
+
+    return rows.select(ident, F.inline(run(F.col(column))))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Postings of a user.
+OWN = 5
 STATUSES = ("preparing", "applied", "interviewing", "offered", "rejected")
 
 
@@ -52,7 +56,7 @@ class Views:
         rating = lambda x: F.nullif(F.floor(F.col(x)).cast("int") % 6, F.lit(0))
         rows = self.table("lineitem").select(
             F.col("l_orderkey").alias("application_id"), F.col("l_linenumber").alias("round_number"), F.col("l_returnflag").alias("round_type"),
-            F.col("l_shipdate").cast("timestamp").alias("interview_date"), rating("l_quantity").alias("overall_rating"), rating("l_extendedprice").alias("technical_rating"),
+            F.col("l_shipdate").cast("timestamp").alias("interview_date"), rating("l_quantity").alias("overall_rating"), rating("l_extendedprice").alias("technical_rating"), rating("l_partkey").alias("communication_rating"),
             F.array("l_returnflag", "l_linestatus").alias("tags"),
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyyMMdd")).alias("id"),
         )
@@ -65,13 +69,18 @@ class Views:
             key.alias("user_id"), (key % 4).cast("int").alias("version"), F.concat(F.lit("résumé of "), F.col("c_name")).alias("raw_content"), (key % 3 != 0).alias("confirmed")
         )
 
-    @property
-    def status_events(self) -> DataFrame:
+    @staticmethod
+    def status_of(events: DataFrame) -> DataFrame:
+        """Status events, batch or stream, from the driver's events."""
         kind = F.col("event_type")
         status = (
             F.when(kind == "signup", "applied").when(kind == "view", "resume_screening").when(kind == "click", "interview_scheduled").when(kind == "purchase", "offered").otherwise("rejected")
         )
-        return self.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("changed_at"), status.alias("new_status"))
+        return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("changed_at"), status.alias("new_status"))
+
+    @property
+    def status_events(self) -> DataFrame:
+        return self.status_of(self.table("events"))
 
     @property
     def request_log(self) -> DataFrame:
@@ -82,11 +91,17 @@ class Views:
 
     @property
     def resumes(self) -> DataFrame:
-        return self.table("documents").select("doc_id", (F.col("doc_id") % 40).alias("user_id"), "text")
+        """One résumé a document; each goes with one posting, and belongs to that posting's user."""
+        return self.table("documents").select("doc_id", F.floor(F.col("doc_id") % self.postings / OWN).alias("user_id"), (F.col("doc_id") % self.postings).alias("posting"), "text")
 
     @property
     def jds(self) -> DataFrame:
-        return self.table("benchmark").select(F.col("item_id").alias("job_id"), (F.col("item_id") % 40).alias("user_id"), "text")
+        return self.table("benchmark").select(F.col("item_id").alias("job_id"), F.floor(F.col("item_id") / OWN).alias("user_id"), "text")
+
+    @cached_property
+    def postings(self) -> int:
+        """Number of postings: documents are dealt to all of them."""
+        return max(1, self.table("benchmark").count())
 
 
 #: The same views in SQL.
@@ -105,7 +120,7 @@ applications AS (
   FROM orders JOIN customer ON c_custkey = o_custkey),
 reviews AS (
   SELECT l_orderkey AS application_id, o_custkey AS user_id, l_linenumber AS round_number, l_returnflag AS round_type, l_shipdate AS interview_date,
-         nullif(floor(l_quantity)::INTEGER % 6, 0) AS overall_rating, nullif(floor(l_extendedprice)::INTEGER % 6, 0) AS technical_rating,
+         nullif(floor(l_quantity)::INTEGER % 6, 0) AS overall_rating, nullif(floor(l_extendedprice)::INTEGER % 6, 0) AS technical_rating, nullif(floor(l_partkey)::INTEGER % 6, 0) AS communication_rating,
          [l_returnflag, l_linestatus] AS tags, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 vaults AS (
@@ -116,6 +131,6 @@ status_events AS (
          CASE event_type WHEN 'signup' THEN 'applied' WHEN 'view' THEN 'resume_screening' WHEN 'click' THEN 'interview_scheduled' WHEN 'purchase' THEN 'offered' ELSE 'rejected' END AS new_status
   FROM events),
 request_log AS (SELECT user_id AS client, ts, event_type AS path, value AS seconds, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code FROM events),
-resumes AS (SELECT doc_id, doc_id % 40 AS user_id, text FROM documents),
-jds AS (SELECT item_id AS job_id, item_id % 40 AS user_id, text FROM benchmark)
+resumes AS (SELECT doc_id, doc_id % n // 5 AS user_id, doc_id % n AS posting, text FROM documents, (SELECT greatest(count(*), 1) AS n FROM benchmark)),
+jds AS (SELECT item_id AS job_id, item_id // 5 AS user_id, text FROM benchmark)
 """
