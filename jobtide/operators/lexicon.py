@@ -203,11 +203,11 @@ def overall_score(dimensions: DataFrame, ident: str = "job_id") -> DataFrame:
 
 
 def match_confidence(skills: DataFrame, ident: str = "job_id") -> DataFrame:
-    """0 to 1 from the number of terms, the confidence of the matched ones and the categories matched."""
+    """0 to 1 from the number of terms, the confidence of the matched ones (summed in ten-thousandths: the order doesn't matter) and the categories matched."""
     once = F.when
     rows = skills.groupBy(ident).agg(
         F.count_distinct(once(F.col("in_jd"), F.col("term"))).alias("n_jd"), F.count_distinct(once(F.col("in_resume"), F.col("term"))).alias("n_resume"),
-        F.sum(once(F.col("matched"), F.col("confidence"))).alias("sc"), F.count_if("matched").alias("n_matched"),
+        (F.sum(once(F.col("matched"), F.floor(F.col("confidence") * 10000 + 0.5))) / 10000.0).alias("sc"), F.count_if("matched").alias("n_matched"),
         F.count_distinct(once(F.col("in_jd"), F.col("category"))).alias("c_jd"), F.count_distinct(once(F.col("matched"), F.col("category"))).alias("c_matched"),
     )
     value = (

@@ -140,7 +140,7 @@ def mat5_overall_score(v: Views) -> DataFrame:
 
 CONFIDENCE = f"""SELECT job_id, CASE WHEN n_jd > 0 THEN floor(greatest(0, least(1, 0.25::DOUBLE * least(n_jd / 5.0::DOUBLE, 1) + 0.35::DOUBLE * coalesce(sc / nullif(nm, 0), 0)
  + 0.25::DOUBLE * coalesce(cm / nullif(cj, 0)::DOUBLE, 0) + 0.15::DOUBLE * least(nr / 10.0::DOUBLE, 1))) * 10000::DOUBLE + 0.5) / 10000::DOUBLE ELSE 0 END AS confidence
-FROM (SELECT job_id, count(DISTINCT term) FILTER (in_jd) AS n_jd, count(DISTINCT term) FILTER (in_resume) AS nr, sum(confidence) FILTER (matched) AS sc, count(*) FILTER (matched) AS nm,
+FROM (SELECT job_id, count(DISTINCT term) FILTER (in_jd) AS n_jd, count(DISTINCT term) FILTER (in_resume) AS nr, sum(floor(confidence * 10000 + 0.5)::BIGINT) FILTER (matched) / 10000::DOUBLE AS sc, count(*) FILTER (matched) AS nm,
  count(DISTINCT category) FILTER (in_jd) AS cj, count(DISTINCT category) FILTER (matched) AS cm FROM ({SKILLS}) GROUP BY 1)"""
 
 
