@@ -59,16 +59,19 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return x, first
     doc = np.repeat(np.arange(len(sizes)), sizes)
     of = first[doc] + (np.arange(n) - offsets[doc]) // PASSAGE
-    length = np.maximum(1, np.bincount(of, minlength=total)).astype(np.float32)
+    size_of = np.bincount(of, minlength=total).astype(np.float32)
+    length = np.maximum(1, size_of)
     kinds = np.bincount(of * CLASSES + _CLASS[data], minlength=total * CLASSES).reshape(total, CLASSES)
     coarse = _COARSE[data]
-    pairs = np.bincount(of[1:] * 64 + coarse[:-1] * 8 + coarse[1:], minlength=total * 64).reshape(total, 64)
+    inside = np.flatnonzero(doc[1:] == doc[:-1])  # a pair of bytes lies in one text
+    pairs = np.bincount(of[inside + 1] * 64 + coarse[inside] * 8 + coarse[inside + 1], minlength=total * 64).reshape(total, 64)
     x[:, :CLASSES] = np.sqrt(kinds / length[:, None])
     x[:, CLASSES : CLASSES + 64] = np.sqrt(pairs / length[:, None])
     starts, ends, _ = word_spans(data, offsets)
     if len(starts):
         where, size = of[starts], (ends - starts).astype(np.float32)
-        words = np.maximum(1, np.bincount(where, minlength=total)).astype(np.float32)
+        many = np.bincount(where, minlength=total).astype(np.float32)
+        words = np.maximum(1, many)
         mean = np.bincount(where, size, total) / words
         spread = np.sqrt(np.maximum(0, np.bincount(where, size * size, total) / words - mean * mean))
         keys = (where.astype(np.uint64) << np.uint64(40)) | (span_hashes(data, starts, ends) >> np.uint64(24))
@@ -79,8 +82,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         x[:, base + 1] = np.log1p(spread) / 4
         x[:, base + 2] = own / words
         x[:, base + 3] = np.bincount(where, title, total) / words
-        x[:, base + 4] = words / 100
-    x[:, -1] = np.minimum(length / PASSAGE, 1)
+        x[:, base + 4] = many / 100
+    x[:, -1] = np.minimum(size_of / PASSAGE, 1)
     return x, first
 
 

@@ -210,6 +210,24 @@ def test_quality_learns_from_whole_texts_once(spark, monkeypatch):
     assert sorted(quality.train(docs, labels, rows=3)) == [1, 1, -(-100_000 // quality.PASSAGE)]
 
 
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_quality_scores_are_the_plain_ones(spark, docs, awkward, rows, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_ROWS", rows)
+    labels = spark.createDataFrame([(r[0], k % 2) for k, r in enumerate(awkward) if r[0] is not None] + [(11, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    w, want = model.weights, []
+    for r in awkward:
+        raw = (r[1] or "").encode()
+        x = np.concatenate([quality.passages(np.frombuffer(raw[k : k + quality.PASSAGE], np.uint8), np.array([0, len(raw[k : k + quality.PASSAGE])]))[0] for k in range(0, max(1, len(raw)), quality.PASSAGE)])
+        hidden = np.tanh((x - model.shift) / model.scale @ w["E"] + w["e"])
+        gate = (np.tanh(hidden @ w["V"]) / (1 + np.exp(-hidden @ w["U"]))) @ w["q"]
+        share = np.exp(gate - gate.max()) / np.exp(gate - gate.max()).sum()
+        want.append((r[0], len(x), 1 / (1 + math.exp(-(share @ hidden @ w["c"] + w["b"][0])))))
+    got = sorted(((r["doc_id"], r["n_passages"], r["score"]) for r in quality.score(docs, model).collect()), key=repr)
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-2 if a[1] > 1 else 1e-6)  # a word cut at a passage's end counts for the passage it begins in
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.predict(docs, none).collect()} == {0.5}
@@ -504,6 +522,21 @@ def test_langid(spark):
     assert got[903]["lang_pred"] == "en" and "fr" in got[903]["mixture"]
 
 
+@pytest.mark.parametrize("rows", [256, 3])
+def test_language_of_every_text_is_the_plain_one(docs, awkward, rows, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE_ROWS", rows)
+    langs, logp = model = langid.learn(docs)
+    assert langs == ["de", "en", "fr"]
+    want = []
+    for r in awkward:
+        raw = np.frombuffer((r[1] or "").encode(), np.uint8)
+        theta = langid.mixture(langid._counts(raw, np.array([0, len(raw)]))[0], logp)
+        letter = re.search(r"[^\W\d_]", r[1] or "")
+        want.append((r[0], langs[int(theta.argmax())] if letter else "und", round(float(theta.max()) if letter else 0.0, 4)))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.identify(docs, model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_langid_without_languages(docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.predict(empty).count() == 0

@@ -70,6 +70,14 @@ def test_ids_are_the_library_s(stages):
     assert Counter(tuple(r["ids"]) for r in after.collect()) == want
 
 
+def test_stages_on_empty_tables_and_null_columns(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    nulls = spark.createDataFrame([(None, None, None, None, None, None, None, None)] * 2, empty.schema)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        assert stage(spark, nulls, str(tmp_path)).count() == {"language": 0, "mixing": 0}.get(name, 2), name
+
+
 def test_quality_rejects_what_the_classifier_predicts_as_0(spark, tmp_path, monkeypatch):
     from jobtide.llm import quality
 
