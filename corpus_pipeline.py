@@ -28,7 +28,11 @@ def _back(rows: DataFrame, docs: DataFrame, names: tuple[str, ...]) -> DataFrame
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a known language that makes up at least half of them."""
+    """Keep texts with a known language that makes up at least half of them.
+
+    Null and empty texts and those without a letter go; without any row with a language all go; repeated rows are judged
+    each for itself; an empty table stays empty.
+    """
     model = langid.learn(docs)
     rows, names = _renamed(docs)
     found = langid.identify(rows, model, keep=names)
@@ -36,14 +40,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts that the quality classifier, learned from the labels at hand, doesn't reject."""
+    """Keep texts that the quality classifier, learned from the labels at hand, doesn't reject.
+
+    Null texts count as empty; without labels of both classes all have one score and all stay (or, with label 0 alone, all
+    go); repeated rows are judged each for itself; an empty table stays empty.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, names = _renamed(docs)
     return _back(quality.score(rows, model, keep=names).filter(F.col("predicted") == 1), docs, names)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of smallest id (then smallest text hash) of each group of near duplicates; texts without words all stay."""
+    """Keep the row of smallest id (then smallest text hash) of each group of near duplicates; texts without words all stay.
+
+    Of repeated rows with words one stays, null ids included; an empty table stays empty.
+    """
     key = F.struct(docs["doc_id"].alias("d"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
     groups = jaccard.near_duplicates(docs.select(key.alias("ident"), docs["text"]), words=5, num=80, den=100, ident="ident")
     kept = groups.filter(F.col("ident") == F.col("component_id")).select("ident", "n_shingles").dropDuplicates(["ident"])
@@ -55,7 +66,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as often as the mix draws them (a draw of a part takes the whole text), shard by shard in shuffled order."""
+    """Texts as often as the mix draws them (a draw of a part takes the whole text), shard by shard in shuffled order.
+
+    Texts without words are not drawn; a null source is a source; repeated rows are drawn each for itself; an empty table
+    stays empty.
+    """
     rows, names = _renamed(docs)
     ident, source = (names[docs.columns.index(c)] for c in ("doc_id", "source"))
     drawn = mixing.mix(rows, source=source, ident=ident, carry=names)
@@ -67,7 +82,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of the decoded text."""
+    """Token ids of every text, with digests of the ids and of the decoded text; a null text has none, repeated rows stay."""
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), outputs=True).drop("decoded")
 
 
