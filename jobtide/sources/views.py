@@ -92,7 +92,13 @@ class Views:
     @property
     def resumes(self) -> DataFrame:
         """One résumé a document; each goes with one posting, and belongs to that posting's user."""
-        return self.table("documents").select("doc_id", F.floor(F.col("doc_id") % self.postings / OWN).alias("user_id"), (F.col("doc_id") % self.postings).alias("posting"), "text")
+        rows = self.table("documents").select("doc_id", F.floor(F.col("doc_id") % self.postings / OWN).alias("user_id"), (F.col("doc_id") % self.postings).alias("posting"), "text")
+        return self.spread(rows)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows of a table with less splits than twice the cores are dealt to all cores: small files have few row groups, and texts are dear to work on. Larger tables stay as they are read."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
     @property
     def jds(self) -> DataFrame:
