@@ -1,4 +1,4 @@
-"""The ten registered queries ``opN_<name>`` with their SQL, and the digest columns their contracts ask for."""
+"""The registered queries ``opN_<name>`` with their SQL, and the digest columns their contracts ask for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import ann, bpe, jaccard, langid, license_scan, lm, mixing, ogg, quality, token_counts
+from jobtide.llm import ann, bpe, jaccard, langid, license_scan, lm, mixing, ogg, prefix_trie, quality, token_counts, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op9_mixing": mixing.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op9_mixing": mixing.oracle(), "op11_prefix_trie": prefix_trie.oracle()}

@@ -93,12 +93,12 @@ def _letters() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between ASCII blanks, and the number of words before each row (rows + 1 values)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ``gaps`` (ASCII blanks), and the number of words before each row (rows + 1 values)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = IS_SPACE[data]
+    gap = gaps[data]
     first, last = np.empty(n, bool), np.empty(n, bool)
     first[0], first[1:] = True, gap[:-1]
     last[-1], last[:-1] = True, gap[1:]
