@@ -37,7 +37,7 @@ from jobtide.llm.textvec import LOWER, mixed, of_text, slices, span_hashes, word
 
 WINDOW, STEP = 64, 32
 SLICE, SLICE_ROWS = 1 << 20, 1 << 14
-TRAIN_ROWS, TRAIN_BYTES = 4000, 32 << 20
+TRAIN_ROWS, TRAIN_BYTES = 3000, 8 << 20
 TERMS = 8192
 PREFIXES = (5,)  # bytes of a word's beginning that are a term too
 LEAST_TEXTS = 3  # sampled texts that hold a known term, at least; near copies count as one
@@ -146,24 +146,41 @@ def gradients(v: np.ndarray, term: np.ndarray, row: np.ndarray, dz: np.ndarray)
     return dw, dv
 
 
-def copies(data: np.ndarray, offsets: np.ndarray, words: int = 3, seeds: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
-    """A group for each text: texts whose least hashed runs of words agree under two of three hash functions are near copies."""
+def sliced(data: np.ndarray, offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``most`` bytes: place of the first one, bytes and offsets."""
+    k = 0
+    while k < len(offsets) - 1:
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
+        yield k, data[offsets[k] : offsets[stop]], offsets[k : stop + 1] - offsets[k]
+        k = stop
+
+
+def least_runs(data: np.ndarray, offsets: np.ndarray, words: int, seeds: tuple[int, ...], base: int) -> np.ndarray:
+    """The least hashed run of words of each text under each function; a text without words has a value of its own."""
     n = len(offsets) - 1
-    if not n:
-        return np.zeros(0, np.int64)
     starts, ends, before = word_spans(data, offsets, _GAP)
     hashes = span_hashes(LOWER[data], starts, ends)
     run = np.zeros(len(hashes), np.uint64)
     for k in range(words):
         run[: len(hashes) - k] += hashes[k:] * np.uint64(2 * k + 1)
-    least = np.empty((len(seeds), n), np.uint64)
     stop = np.maximum(before[1:] - words + 1, before[:-1] + 1)  # a shorter text has one run
     full = before[1:] > before[:-1]
+    edges = np.stack([before[:-1], stop], 1)[full].ravel()
+    out = np.empty((len(seeds), n), np.uint64)
     for j, seed in enumerate(seeds):
         h = mixed(run ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        least[j] = np.arange(n)  # texts without words stand alone
-        edges = np.stack([before[:-1], stop], 1)[full].ravel()
-        least[j, full] = np.minimum.reduceat(np.append(h, np.uint64((1 << 64) - 1)), edges)[::2]
+        out[j] = np.arange(base, base + n)
+        if len(edges):
+            out[j, full] = np.minimum.reduceat(np.append(h, np.uint64((1 << 64) - 1)), edges)[::2]
+    return out
+
+
+def copies(data: np.ndarray, offsets: np.ndarray, words: int = 3, seeds: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
+    """A group for each text: texts whose least hashed runs of words agree under two of three hash functions are near copies."""
+    n = len(offsets) - 1
+    if not n:
+        return np.zeros(0, np.int64)
+    least = np.concatenate([least_runs(d, o, words, seeds, k) for k, d, o in sliced(data, offsets)], axis=1)
     group = np.arange(n)
     keys = [np.unique(mixed(least[a]) + least[b], return_inverse=True)[1] for a, b in ((0, 1), (0, 2), (1, 2))]
     while True:
@@ -177,14 +194,10 @@ def copies(data: np.ndarray, offsets: np.ndarray, words: int = 3, seeds: tuple[i
 
 
 def choose(term: np.ndarray, text: np.ndarray, labels: np.ndarray, weight: np.ndarray, share: np.ndarray, most: int = TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the known terms, their log odds and whether they tell the labels apart, from (term, text) pairs; ``share`` counts a text.
+    """Sorted hashes of the known terms, their log odds and whether they tell the labels apart, from distinct (term, text) pairs; ``share`` counts a text.
 
     Evidence of a term is the log likelihood ratio of the split of the labels by it.
     """
-    order = np.lexsort((text, term))
-    term, text = term[order], text[order]
-    new = np.append(True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])) if len(term) else np.zeros(0, bool)
-    term, text = term[new], text[new]
     names, at = np.unique(term, return_inverse=True)
     texts = np.bincount(at, share[text], len(names))
     one = np.bincount(at, (labels * weight)[text], len(names))
@@ -212,10 +225,21 @@ def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weight: np.nd
     share = 1 / np.bincount(group)[group]  # near copies count as one text
     weight = weight * share
     weight = weight / weight.sum() * share.sum()
-    raw = windows(data, offsets)
-    of = np.searchsorted(raw.first, raw.window, "right") - 1
-    known, odds, telling = choose(raw.term, of, labels, weight, share)
-    t = windows(data, offsets, known)
+    terms, texts = [], []
+    for k, d, o in sliced(data, offsets):  # distinct terms of each text
+        raw = windows(d, o)
+        of = np.searchsorted(raw.first, raw.window, "right") - 1
+        order = np.lexsort((raw.term, of))
+        of, term = of[order], raw.term[order]
+        new = np.append(True, (of[1:] != of[:-1]) | (term[1:] != term[:-1])) if len(of) else np.zeros(0, bool)
+        terms.append(term[new])
+        texts.append((of[new] + k).astype(np.int32))
+    known, odds, telling = choose(np.concatenate(terms), np.concatenate(texts), labels, weight, share)
+    del terms, texts
+    parts = [windows(d, o, known) for _, d, o in sliced(data, offsets)]
+    before = np.cumsum([0, *(p.first[-1] for p in parts)])
+    t = Terms(np.concatenate([p.window + b for p, b in zip(parts, before, strict=False)]), np.concatenate([p.term for p in parts]), np.concatenate([[0], *(p.first[1:] + b for p, b in zip(parts, before, strict=False))]))
+    del parts
     rng = np.random.default_rng(seed)
     bias = float(np.log((labels * weight).sum() / ((1 - labels) * weight).sum()))
     p = {"b": np.array([bias]), "w": np.zeros(len(known)), "v": rng.normal(0, 0.02, (FACTORS, len(known)))}
