@@ -158,11 +158,12 @@ def tag_frequency(reviews: DataFrame) -> DataFrame:
 
 
 def status_snapshot(applications: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """Per user and each listed status (absent ones too): count and share, with the number of analysed applications."""
+    """Per user and each listed status (absent ones too): count and share, with the numbers of applications, analysed ones and those with a résumé."""
     n = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
-    rows = applications.groupBy("user_id").agg(F.count("*").alias("total"), F.count("match_score").alias("analysed"), *n)
+    rows = applications.groupBy("user_id").agg(F.count("*").alias("total"), F.count("match_score").alias("analysed"), F.count(F.nullif("resume_text", F.lit(""))).alias("with_resume"), *n)
+    own = ("user_id", "total", "analysed", "with_resume")
     items = F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in statuses])
-    rows = rows.select("user_id", "total", "analysed", F.explode(items).alias("x")).select("user_id", "total", "analysed", "x.status", "x.n")
+    rows = rows.select(*own, F.explode(items).alias("x")).select(*own, "x.status", "x.n")
     return rows.withColumn("share", rate("n", "total", 4))
 
 

@@ -38,10 +38,24 @@ def render_resume(data: Column, jd_terms: Column, preview: Column | None = None)
 
 
 def interview_brief(data: Column, raw: Column) -> Column:
-    """Short Markdown of a vault; the raw text when nothing is structured."""
-    jobs = F.transform(data["experiences"], lambda e: F.concat(F.lit("- "), F.concat_ws(", ", e["title"], e["company"])))
-    text = F.concat_ws("\n", F.nullif(data["personal_info"]["name"], F.lit("")), F.array_join(jobs, "\n"), F.array_join(F.transform(data["skills"], lambda s: s["name"]), ", "))
-    return F.when(data.isNull(), raw).otherwise(text)
+    """Markdown of a vault: person, schools, jobs with their projects, skills; the raw text when nothing is structured.
+
+    A part without entries is left out with its heading; absent values are empty. ``projects`` are
+    structs of name and description.
+    """
+    text = lambda x: F.coalesce(x, F.lit(""))
+    info = data["personal_info"]
+    line = lambda head, x: F.when(text(x) != "", F.concat(F.lit(head + ": "), x))
+    none = F.expr("cast(array() as array<string>)")
+    part = lambda head, lines: F.when(F.size(F.coalesce(lines, none)) > 0, F.concat(F.array(F.lit(head)), lines)).otherwise(none)
+    person = F.when(info.isNotNull(), F.array_compact(F.array(F.lit("## 个人信息"), line("姓名", info["name"]), line("邮箱", info["email"])))).otherwise(none)
+    school = F.transform(data["education"], lambda e: F.concat(F.lit("- "), text(e["school"]), F.lit(" - "), text(e["degree"]), F.lit(" ("), text(e["field"]), F.lit(")")))
+    project = lambda p: F.array(F.concat(F.lit("- 项目: "), text(p["name"])), F.concat(F.lit("  描述: "), text(p["description"])))
+    job = lambda e: F.concat(F.array(F.concat(F.lit("\n### "), text(e["company"]), F.lit(" - "), text(e["title"]))), F.coalesce(F.flatten(F.transform(e["projects"], project)), none))
+    skills = F.transform(data["skills"], lambda s: text(s["name"]))
+    skills = F.when(F.size(F.coalesce(skills, none)) > 0, F.array(F.array_join(skills, ", ")))
+    lines = F.concat(person, part("\n## 教育背景", school), part("\n## 工作经历", F.flatten(F.transform(data["experiences"], job))), part("\n## 技能", skills))
+    return F.when(data.isNull(), text(raw)).otherwise(F.array_join(lines, "\n"))
 
 
 QUESTIONS = (

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalar import round_n
+from jobtide.functions.scan import longest, scan_of
 
 #: Verbs before and nouns after a project's name.
 PROJECT_VERBS, PROJECT_NOUNS = ("负责", "参与", "主导", "开发", "设计"), ("项目", "系统", "平台")
@@ -18,37 +17,37 @@ LEVELS = {"strict": ((0.7, 5), (0.85, 3)), "relaxed": ((0.6, 7), (0.8, 4))}
 SPANS = "array<struct<term:string,start:int,end:int>>"
 
 
-@lru_cache(maxsize=8)
-def _alternation(terms: tuple[str, ...]) -> re.Pattern:
-    return re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")\b", re.IGNORECASE)
-
-
 def find_spans(text: Column, terms: tuple[str, ...]) -> Column:
     """First place of each distinct term: leftmost, longest first, not overlapping, in order of place."""
-
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            seen: dict[str, tuple[str, int, int]] = {}
-            for m in _alternation(terms).finditer(t or ""):
-                seen.setdefault(m[0].lower(), (m[0].lower(), m.start(), m.end()))
-            out.append([{"term": a, "start": b, "end": c} for a, b, c in seen.values()])
-        return pd.Series(out)
+    low = tuple(dict.fromkeys(t.lower() for t in terms if t))
+
+    @F.arrow_udf(SPANS)
+    def run(texts: pa.Array) -> pa.Array:
+        h = scan_of(low, "unicode_word").hits(texts.to_pylist())
+        own = longest(h)
+        row, term = h.text[own], h.term[own]
+        _, first = np.unique(row * np.int64(max(1, len(low))) + term, return_index=True)
+        first = np.sort(first)
+        row, own = row[first], own[first]
+        kind = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        spans = pa.StructArray.from_arrays([pa.array(low, pa.string()).take(pa.array(term[first])), pa.array(h.start[own].astype(np.int32)), pa.array(h.end[own].astype(np.int32))], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), spans)
 
     return run(text)
 
 
+def categories(terms: tuple[tuple[str, str], ...]) -> Column:
+    """Category by term; of several the first one counts."""
+    first: dict[str, str] = {}
+    for t, c in terms:
+        first.setdefault(t.lower(), c)
+    return F.create_map(*[x for t, c in first.items() for x in (F.lit(t), F.lit(c))])
+
+
 def tech_terms(texts: DataFrame, terms: tuple[tuple[str, str], ...], ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Long form: ident, term, category (the first one of a term), place."""
-    category = F.create_map(*[x for t, c in reversed(terms) for x in (F.lit(t.lower()), F.lit(c))]) if len({t.lower() for t, _ in terms}) == len(terms) else None
-    if category is None:
-        first = {}
-        for t, c in terms:
-            first.setdefault(t.lower(), c)
-        category = F.create_map(*[x for t, c in first.items() for x in (F.lit(t), F.lit(c))])
     rows = texts.select(ident, F.explode(find_spans(F.col(text), tuple(t for t, _ in terms))).alias("s"))
-    return rows.select(ident, "s.term", F.element_at(category, F.col("s.term")).alias("category"), F.col("s.start").alias("start"))
+    return rows.select(ident, "s.term", F.element_at(categories(terms), F.col("s.term")).alias("category"), F.col("s.start").alias("start"))
 
 
 def vault_raw_text(data: Column) -> Column:
@@ -68,6 +67,20 @@ def vault_terms(vaults: DataFrame, terms: tuple[tuple[str, str], ...]) -> DataFr
     return vaults.select("user_id", F.transform(spans, lambda s: s["term"]).alias("vault_terms"), vault_raw_text(d).alias("vault_text"))
 
 
+def vault_index(vaults: DataFrame, terms: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Inverted index of vaults: user_id, term, category, sources (skills, projects) and how often each names it.
+
+    Skills are read one by one, projects as description and technologies; each text is scanned once for all terms, before
+    anything is shuffled, and of the texts only the terms cross the shuffle.
+    """
+    d, none = F.col("structured_data"), F.expr("cast(array() as array<string>)")
+    skills = F.transform(d["skills"], lambda s: F.struct(F.lit("skills").alias("source"), s["name"].alias("text")))
+    projects = F.transform(F.flatten(F.transform(d["experiences"], lambda e: e["projects"])), lambda p: F.struct(F.lit("projects").alias("source"), F.concat_ws(" ", p["description"], F.array_join(F.coalesce(p["technologies"], none), " ")).alias("text")))
+    rows = vaults.select("user_id", F.explode(F.concat(skills, projects)).alias("x")).select("user_id", "x.source", F.explode(F.transform(find_spans(F.col("x.text"), tuple(t for t, _ in terms)), lambda s: s["term"])).alias("term"))
+    rows = rows.groupBy("user_id", "term", "source").agg(F.count("*").alias("n")).groupBy("user_id", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"))
+    return rows.select("user_id", "term", F.element_at(categories(terms), F.col("term")).alias("category"), F.transform("s", lambda x: x["source"]).alias("sources"), F.transform("s", lambda x: x["n"]).alias("counts"))
+
+
 def ungrounded_terms(resume_terms: Column, vault: Column, variants: dict[str, str] | None = None) -> Column:
     """Terms without ground in the vault: a known variant needs its mapped form, others any substring either way."""
     variants = variants or {}
@@ -106,29 +119,43 @@ def grounding_level(n_suspicious: Column, n_terms: Column, mode: str = "strict")
     return sure, level
 
 
-def grounding_advice(suspicious: Column, level: Column) -> Column:
-    """Sentences by number and level."""
-    n = F.size(suspicious)
+#: Categories whose terms are named together as technologies.
+STACK = ("languages", "frontend", "backend")
+
+
+def grounding_advice(category: Column, projects: Column, level: Column, stack: tuple[str, ...] = STACK) -> Column:
+    """Sentences by the categories of the suspicious terms (an array), the suspicious projects and the level."""
+    n = F.size(F.filter(category, lambda c: c.isin(*stack)))
+    some = level != "none"
     return F.array_compact(F.array(
-        F.when(n > 0, F.concat(F.lit("Check or remove: "), F.array_join(F.slice(suspicious, 1, 5), ", "))),
-        F.when(level == "high", F.lit("Write the résumé again from the vault")).when(level == "medium", F.lit("Review before use")),
+        F.when(~some, "No claim without ground was found"),
+        F.when(some & (n > 0), F.concat(n.cast("string"), F.lit(" technologies may not be part of your record: add the projects to the vault or take them out"))),
+        F.when(some & (F.size(projects) > 0), F.concat(F.size(projects).cast("string"), F.lit(" projects may be invented: "), F.array_join(F.slice(projects, 1, 3), ", "), F.lit("; use names from the vault"))),
+        F.when(level == "high", "High risk: write the résumé again from the vault").when(level == "medium", "Some risk: check these points").when(level == "low", "Low risk: wording only"),
+        F.when(some, "Single paragraphs can be reworded in the chat"),
     ))
 
 
-def verify_resumes(resumes: DataFrame, vaults: DataFrame, mode: str = "strict", variants: dict[str, str] | None = None) -> DataFrame:
+def verify_resumes(
+    resumes: DataFrame, vaults: DataFrame, mode: str = "strict", variants: dict[str, str] | None = None, terms: tuple[tuple[str, str], ...] = (), stack: tuple[str, ...] = STACK
+) -> DataFrame:
     """Rows with ``resume_terms`` and ``text`` against ``vault_terms`` and ``vault_text`` of the same user.
 
-    Terms and project names are found before the join: of the résumés only these arrays cross the shuffle.
+    Terms and project names are found before the join: of the résumés only these arrays cross the shuffle. ``terms`` gives
+    the categories for the advice; a term without one is ``unknown``.
     """
     rows = resumes.select("doc_id", "user_id", "resume_terms", project_names(F.col("text")).alias("_projects")).join(vaults, "user_id", "left")
     none = F.expr("cast(array() as array<string>)")
     vault = F.coalesce("vault_terms", none)
-    rows = rows.withColumn("suspicious", F.array_sort(F.concat(ungrounded_terms(F.col("resume_terms"), vault, variants), _unknown(F.col("_projects"), F.coalesce("vault_text", F.lit(""))))))
+    rows = rows.withColumns({"_bad": ungrounded_terms(F.col("resume_terms"), vault, variants), "_made": F.array_sort(_unknown(F.col("_projects"), F.coalesce("vault_text", F.lit(""))))})
+    rows = rows.withColumn("suspicious", F.array_sort(F.concat("_bad", "_made")))
     sure, level = grounding_level(F.size("suspicious"), F.size("resume_terms"), mode)
     rows = rows.withColumn("confidence", round_n(sure, 2)).withColumn("level", level)
+    known = categories(terms) if terms else F.expr("cast(map() as map<string,string>)")
+    category = F.transform("_bad", lambda t: F.coalesce(F.element_at(known, t), F.lit("unknown")))
     return rows.select(
         "doc_id", "user_id", F.size("resume_terms").alias("n_terms"), F.size(vault).alias("n_vault_terms"), "suspicious", F.size("suspicious").alias("n_suspicious"), "confidence", "level",
-        F.col("level").isin("none", "low").alias("verified"), grounding_advice(F.col("suspicious"), F.col("level")).alias("advice"),
+        F.col("level").isin("none", "low").alias("verified"), grounding_advice(category, F.col("_made"), F.col("level"), stack).alias("advice"),
     )
 
 

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.scalar import round_n, truncating_percent
+from jobtide.functions.scan import SEPARATORS, named, scan_of
 
 CATEGORY_FACTOR = {"core_tech": 0.95, "framework": 0.90, "tool": 0.85, "soft_skill": 0.80}
-SEPARATORS = " \t\r\n,，、;；|/()（）:：。."
 
 Vocabulary = tuple[tuple[str, str, float], ...]
 
@@ -57,7 +58,7 @@ def edges_hold(text: str, start: int, end: int, mode: str) -> bool:
 
 
 def terms_in(text: str | None, terms: tuple[str, ...], mode: str = "ascii_edge") -> list[str]:
-    """The terms that stand in a text, each tested on its own, sorted."""
+    """The terms that stand in one text, each tested on its own, sorted (for whole batches: ``match_terms``)."""
     found, low = set(), (text or "").lower()
     machine = _automaton(terms)
     if low and len(machine):
@@ -74,10 +75,20 @@ def match_terms(text: Column, terms: tuple[str, ...], mode: str = "ascii_edge",
     names = tuple(dict.fromkeys((*terms, *aliases)))
     own = frozenset(terms)
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        hits = (terms_in(t, names, mode) for t in texts)
-        return pd.Series([sorted({aliases.get(t, t) for t in h if t in own or t in aliases} | {t for t in h if t in own}) for h in hits])
+    shown = sorted({*own, *aliases.values()})
+    place = {t: k for k, t in enumerate(shown)}
+    # A name stands for itself if it is a term, and for its canonical term if it is an alias.
+    stands = [(k, place[x]) for k, t in enumerate(names) for x in ([t] if t in own else []) + ([aliases[t]] if t in aliases else [])]
+    by_name = np.zeros((len(names) + 1, 2), np.int64) - 1
+    for k, x in stands:
+        by_name[k, 0 if by_name[k, 0] < 0 else 1] = x
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        hits = scan_of(names, mode).hits(texts.to_pylist())
+        both = by_name[hits.term]
+        some = both >= 0
+        return named(len(texts), np.repeat(hits.text, 2)[some.ravel()], both.ravel()[some.ravel()], shown)
 
     return run(text)
 
@@ -232,12 +243,20 @@ def category_match(pairs: DataFrame, vocabulary: Vocabulary, ident: str = "job_i
     return rows.select(ident, truncating_percent("got", "of").alias("score"))
 
 
+def match_results(applications: DataFrame, results: DataFrame, vaults: DataFrame) -> DataFrame:
+    """Results by application (``id``), with the vault version and the description (its digest) that they were made from."""
+    new = results.select(F.col("job_id").alias("id"), F.col("overall").cast("int").alias("match_score"))
+    own = applications.select("id", "user_id", F.sha2("jd_text", 256).alias("source_jd_digest"))
+    rows = new.join(own, "id").join(vaults.select("user_id", F.col("version").alias("source_vault_version")), "user_id", "left")
+    return rows.select("id", "match_score", "source_vault_version", "source_jd_digest")
+
+
 def save_match(applications: DataFrame, results: DataFrame, vaults: DataFrame) -> DataFrame:
-    """Applications with the score and the vault version it was made from; others keep what they had."""
-    new = results.select(F.col("job_id").alias("id"), F.col("overall").cast("int").alias("new_score"))
-    rows = applications.join(new, "id", "left").join(vaults.select("user_id", F.col("version").alias("vault_version")), "user_id", "left")
-    fresh = F.col("new_score").isNotNull()
-    return rows.withColumn("match_score", F.coalesce("new_score", "match_score")).withColumn("source_vault_version", F.when(fresh, F.col("vault_version")).otherwise(F.col("source_vault_version"))).drop("new_score", "vault_version")
+    """Applications with the score and what it was made from; others keep what they had. ``match_results`` with ``KeyedTable.upsert`` writes them in place."""
+    own = ("match_score", "source_vault_version", "source_jd_digest")
+    new = match_results(applications, results, vaults).select("id", F.struct(*own).alias("new"))
+    rows = applications.join(new, "id", "left")
+    return rows.withColumns({c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in own}).drop("new")
 
 
 def term_counts(pairs: DataFrame, which: str, user: str = "user_id") -> DataFrame:

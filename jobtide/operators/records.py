@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SIMPLE_STATUSES = ("preparing", "applied", "interviewing", "offered", "rejected")
-HISTORY_STATUSES = ("preparing", "applied", "resume_screening", "interview_scheduled", "interviewing", "waiting_result", "offered", "rejected", "withdrawn")
+HISTORY_STATUSES = ("preparing", "applied", "resume_screening", "interview_scheduled", "interviewing", "offer_pending", "offered", "rejected", "withdrawn")
 MILESTONES = {"applied_at": ("applied",), "interview_scheduled_at": ("interview_scheduled",), "final_result_at": ("offered", "rejected")}
 
 
@@ -35,8 +35,9 @@ def filter_reviews(reviews: DataFrame, start=None, end=None, round_type: str | N
     return rows
 
 
-def count_reviews(reviews: DataFrame, **bounds) -> DataFrame:
-    return filter_reviews(reviews, **bounds).groupBy("user_id").agg(F.count("*").alias("n"))
+def count_reviews(reviews: DataFrame, start=None, end=None, round_type: str | None = None) -> DataFrame:
+    """Reviews of each user by date and round; ratings and tags bound a page, not the count beside it."""
+    return filter_reviews(reviews, start, end, round_type).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def reviews_of_application(reviews: DataFrame, application_id, user_id) -> DataFrame:
@@ -62,6 +63,44 @@ def check_status(rows: DataFrame, allowed: tuple[str, ...] = SIMPLE_STATUSES, co
     return rows.withColumn("valid", F.coalesce(F.col(column).isin(*allowed), F.lit(False)))
 
 
+def _within(column: str, least: int, most: int | None = None, null: bool = True) -> Column:
+    """A number in its bounds; null passes where the field may be absent."""
+    ok = (F.col(column) >= least) if most is None else F.col(column).between(least, most)
+    return F.coalesce(ok, F.lit(null))
+
+
+def _short(column: str, most: int, least: int = 0, null: bool = True, trim: bool = False) -> Column:
+    size = F.length(F.trim(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")) if trim else F.col(column))
+    return F.coalesce(size.between(least, most), F.lit(null))
+
+
+RATINGS = ("overall_rating", "technical_rating", "communication_rating", "problem_solving_rating", "cultural_fit_rating", "confidence_level", "stress_level")
+TEXTS = {"what_went_well": 5000, "what_to_improve": 5000, "key_takeaways": 3000, "next_steps": 3000, "mood_notes": 2000}
+
+
+def review_rules(columns: list[str]) -> dict[str, Column]:
+    """Constraints of a review for those of its columns that are there; the code is the column's name.
+
+    Ratings and levels 1 to 5, round and interviewers from 1, texts up to 5000, 3000 or 2000 characters, at most 20 tags;
+    round type, date and application must be there.
+    """
+    rules = {c: _within(c, 1, 5) for c in RATINGS} | {c: _within(c, 1, null=False) for c in ("round_number", "interviewer_count")} | {c: _short(c, most) for c, most in TEXTS.items()}
+    rules |= {"tags": F.coalesce(F.size(F.col("tags")) <= 20, F.lit(True))} | {c: F.col(c).isNotNull() for c in ("application_id", "round_type", "interview_date")}
+    return {c: r for c, r in rules.items() if c in columns}
+
+
+def application_rules(columns: list[str]) -> dict[str, Column]:
+    """Company and title of 1 to 255 characters and a description of 1 to 50,000, blanks at the ends not counted."""
+    rules = {c: _short(c, most, 1, False, True) for c, most in (("company_name", 255), ("job_title", 255), ("jd_text", 50_000))}
+    return {c: r for c, r in rules.items() if c in columns}
+
+
+def status_rules(columns: list[str]) -> dict[str, Column]:
+    """One of the history's statuses; notes of at most 1000 characters."""
+    rules = {"new_status": F.col("new_status").isin(*HISTORY_STATUSES), "notes": _short("notes", 1000)}
+    return {c: r for c, r in rules.items() if c in columns}
+
+
 def validate_rows(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``violations``: the codes of the rules a row breaks (a rule that is null is broken)."""
     marks = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]
@@ -116,26 +155,63 @@ def resolve_identities(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return known.select("app_id", "openid", F.col("user_id").cast("string"), F.lit(False).alias("created")).unionByName(fresh.withColumn("created", F.lit(True)))
 
 
+def digest(text: str | Column) -> Column:
+    """Name of a text by its content; null stays null. Versions carry it, so that texts are compared without being joined."""
+    return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
+
+
 def stale_analysis(applications: DataFrame, vaults: DataFrame) -> DataFrame:
-    """``stale``: there is an analysis, and its vault version is missing or 0 or not the current one."""
-    rows = applications.join(vaults.select("user_id", F.col("version").alias("vault_version")), "user_id", "left")
+    """``stale``: there is an analysis, and its vault version is missing, 0 or not the current one, or its description isn't the job's.
+
+    The description at the time of the analysis comes as ``source_jd_digest``.
+    """
+    rows = applications.withColumn("_jd", ~F.col("source_jd_digest").eqNullSafe(digest("jd_text"))).join(vaults.select("user_id", F.col("version").alias("vault_version")), "user_id", "left")
     source = F.nullif(F.col("source_vault_version"), F.lit(0))
-    return rows.withColumn("stale", F.col("match_score").isNotNull() & (source.isNull() | ~source.eqNullSafe(F.col("vault_version"))))
+    return rows.withColumn("stale", F.col("match_score").isNotNull() & (source.isNull() | ~source.eqNullSafe(F.col("vault_version")) | F.col("_jd"))).drop("_jd")
+
+
+def _vault_reason(version: Column) -> list[tuple[Column, str]]:
+    """What a changed vault has against a version made from ``version``."""
+    return [(~F.coalesce("confirmed", F.lit(False)), "vault not confirmed"), (~version.eqNullSafe(F.col("version")), "vault changed")]
+
+
+def _first(reasons: list[tuple[Column, str]]) -> Column:
+    out = F.when(*reasons[0])
+    for cond, text in reasons[1:]:
+        out = out.when(cond, text)
+    return out
 
 
 def export_gate(applications: DataFrame, vaults: DataFrame, versions: DataFrame) -> DataFrame:
-    """Whether the last version of each job's résumé may be exported, and the first reason against it."""
-    last = latest_version(versions).select("job_id", "reviewed", "source_version")
-    rows = applications.select("id", "user_id").join(vaults.select("user_id", "version", "confirmed"), "user_id", "left").join(last, F.col("id") == F.col("job_id"), "left")
-    reason = (
-        F.when(~F.coalesce("confirmed", F.lit(False)), "vault not confirmed")
-        .when(F.col("job_id").isNull(), "no version")
-        .when(~F.coalesce("reviewed", F.lit(False)), "not reviewed")
-        .when(~F.col("source_version").eqNullSafe(F.col("version")), "vault changed")
-    )
+    """Whether each job's résumé may be exported, and the first reason against it.
+
+    ``applications``: id, user_id, resume_text (the current one), jd_text; ``versions``: job_id, version, reviewed,
+    source_version, content_digest, source_jd_digest. Refused are a résumé that isn't there, a vault that isn't confirmed,
+    a last version that is absent or not reviewed, and a text, vault or description that has changed since that version.
+    """
+    last = latest_version(versions.select("job_id", "version", "reviewed", "source_version", "content_digest", "source_jd_digest")).drop("version")
+    rows = applications.select("id", "user_id", (F.coalesce("resume_text", F.lit("")) == "").alias("_none"), digest("resume_text").alias("_text"), digest("jd_text").alias("_jd"))
+    rows = rows.join(vaults.select("user_id", "version", "confirmed"), "user_id", "left").join(last, F.col("id") == F.col("job_id"), "left")
+    unconfirmed, changed = _vault_reason(F.col("source_version"))
+    reason = _first([
+        (F.col("_none"), "no résumé"), unconfirmed, (F.col("job_id").isNull(), "no version"), (~F.coalesce("reviewed", F.lit(False)), "not reviewed"),
+        (~F.col("content_digest").eqNullSafe(F.col("_text")), "résumé changed"), changed, (~F.col("source_jd_digest").eqNullSafe(F.col("_jd")), "description changed"),
+    ])
     return rows.select("id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
+def version_gate(drafts: DataFrame, applications: DataFrame, vaults: DataFrame) -> DataFrame:
+    """Drafts (job_id, id, content, reviewed, source_version, source_jd_text) with the reason against saving them; only reviewed ones can be refused.
+
+    Contents become digests first: of the texts nothing is joined.
+    """
+    rows = drafts.select("job_id", "id", "reviewed", "source_version", digest("content").alias("content_digest"), digest("source_jd_text").alias("source_jd_digest"))
+    jobs = applications.select(F.col("id").alias("job_id"), "user_id", digest("jd_text").alias("_jd"))
+    rows = rows.join(jobs, "job_id").join(vaults.select("user_id", "version", "confirmed"), "user_id", "left")
+    reason = _first([*_vault_reason(F.col("source_version")), (~F.col("source_jd_digest").eqNullSafe(F.col("_jd")), "description changed")])
+    return rows.select("job_id", "id", "reviewed", "source_version", "content_digest", "source_jd_digest", F.when(F.coalesce("reviewed", F.lit(False)), reason).alias("reason"))
+
+
 # Histories
 
 
@@ -178,8 +254,13 @@ def next_step(users: DataFrame, vaults: DataFrame, applications: DataFrame) -> D
 
 
 def review_timeline(requests: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews chosen by each request (request_id, pos, id) as one ordered list; fewer than two is an error row."""
-    item = F.struct("pos", "company_name", "round_number", "round_type", "overall_rating")
+    """Reviews chosen by each request (request_id, pos, id) as one ordered list; fewer than two is an error row.
+
+    A date that isn't there is ``Unknown``, absent texts are empty.
+    """
+    date = F.coalesce(F.date_format("interview_date", "yyyy-MM-dd"), F.lit("Unknown")).alias("date")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("what_went_well", "what_to_improve")]
+    item = F.struct("pos", "company_name", "round_number", "round_type", date, "overall_rating", "technical_rating", "communication_rating", *texts)
     rows = requests.join(reviews, "id").groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return rows.withColumn("error", F.when(F.size("items") < 2, F.lit("needs two reviews")))
 
@@ -188,7 +269,10 @@ def review_timeline(requests: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def upsert_vault(vaults: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Vaults after the last incoming content of each user: version + 1, or version 1 if new."""
+    """Vaults after the last incoming content of each user: version + 1, or version 1 if new.
+
+    This is the rule alone; ``vault_change`` applies it to the touched part of a stored table.
+    """
     own = [c for c in ("raw_content", "structured_data") if c in incoming.columns]
     last = incoming.groupBy("user_id").agg(F.max_by(F.struct(*own), F.struct("seq", "raw_content")).alias("new"))
     rows = vaults.join(last, "user_id", "full_outer")
@@ -197,6 +281,13 @@ def upsert_vault(vaults: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("user_id", *kept, version.alias("version"))
 
 
-def write_user_summary(summary: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace the summaries at ``path``, dealt by user; never the path that is read."""
-    summary.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def last_incoming(incoming: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("seq", "raw_content")) -> DataFrame:
+    """One row a key: the last by ``order``."""
+    own = [c for c in incoming.columns if c != key]
+    rows = incoming.groupBy(key).agg(F.max_by(F.struct(*own), F.struct(*order)).alias("x"))
+    return rows.select(key, *[F.col(f"x.{c}").alias(c) for c in own])
+
+
+def vault_change(old: DataFrame, new: DataFrame) -> dict[str, Column]:
+    """For ``KeyedTable.upsert``: new content, version + 1 (1 for a new user); the confirmation goes with the content it was given for."""
+    return {"raw_content": new["raw_content"], "structured_data": new["structured_data"], "version": (F.coalesce(old["version"], F.lit(0)) + 1).cast("int"), "confirmed": F.lit(False)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from jobtide.operators import grounding as G
 from jobtide.operators import lexicon as L
 from jobtide.plans.book import query
 from jobtide.plans.forms import forms, forms_sql
+from jobtide.session import shared_folder
+from jobtide.sources.tables import KeyedTable
 from jobtide.sources.views import Views
 
 #: Words that occur in the driver's invented texts stand in for skills.
@@ -166,10 +170,17 @@ def mat9_match_suggestions(v: Views) -> DataFrame:
     return L.keyword_match(_pairs(v)).select("job_id", F.array_join("suggestions", " / ").alias("suggestions"))
 
 
-@query(MATCH + f""", o AS ({OVERALL}) SELECT a.id, coalesce(overall::INTEGER, match_score) AS match_score, CASE WHEN o.job_id IS NOT NULL THEN v.version ELSE source_vault_version END AS source_vault_version
+@query(MATCH + f""", o AS ({OVERALL}) SELECT a.id, coalesce(overall::INTEGER, match_score) AS match_score, CASE WHEN o.job_id IS NOT NULL THEN v.version ELSE source_vault_version END AS source_vault_version,
+ sha256(CASE WHEN o.job_id IS NOT NULL THEN jd_text ELSE source_jd_text END) AS source_jd_digest
 FROM applications a LEFT JOIN (SELECT job_id, floor(overall)::INTEGER AS overall FROM o) o ON o.job_id = a.id LEFT JOIN vaults v USING (user_id)""")
 def mat10_save_match(v: Views) -> DataFrame:
-    return L.save_match(v.applications, L.overall_score(L.dimension_scores(_pairs(v), VOCABULARY)), v.vaults).select("id", "match_score", "source_vault_version")
+    """The stored applications with the new results put into their buckets, and read back."""
+    own = ("id", "match_score", "source_vault_version", "source_jd_digest")
+    table = KeyedTable(v.spark, f"{shared_folder(v.spark)}/matches_{uuid.uuid4().hex}", "id", "id long, match_score int, source_vault_version int, source_jd_digest string", buckets=16)
+    table.upsert(v.applications.select(*own), 0)
+    results = L.overall_score(L.dimension_scores(_pairs(v), VOCABULARY))
+    table.upsert(L.match_results(v.applications, results, v.vaults), 1)
+    return table.read()
 
 
 @query(MATCH + "SELECT user_id, term, count(*)::BIGINT AS n FROM jt GROUP BY 1, 2")
@@ -245,13 +256,17 @@ bad AS (SELECT h.doc_id, h.term FROM hits h WHERE NOT EXISTS (SELECT 1 FROM vt W
 """
 
 
-def _facts(v: Views) -> DataFrame:
+def _vaults(v: Views, skills: Column) -> DataFrame:
     """Vaults of few postings each, with these as projects."""
     project = F.struct(F.col("job_id").cast("string").alias("name"), F.col("text").alias("description"), F.expr("cast(array() as array<string>)").alias("technologies"))
     jobs = v.jds.groupBy("user_id").agg(F.array_sort(F.collect_list(project)).alias("projects"))
     job = F.struct(F.lit("").alias("company"), F.lit("").alias("title"), F.lit("").alias("description"), F.col("projects"))
-    data = F.struct(F.expr("cast(array() as array<struct<name:string>>)").alias("skills"), F.array(job).alias("experiences"), F.expr("cast(array() as array<struct<school:string,field:string>>)").alias("education"))
-    rows = G.vault_terms(jobs.select("user_id", data.alias("structured_data")), TECH)
+    data = F.struct(skills.alias("skills"), F.array(job).alias("experiences"), F.expr("cast(array() as array<struct<school:string,field:string>>)").alias("education"))
+    return jobs.select("user_id", data.alias("structured_data"))
+
+
+def _facts(v: Views) -> DataFrame:
+    rows = G.vault_terms(_vaults(v, F.expr("cast(array() as array<struct<name:string>>)")), TECH)
     return rows.withColumn("vault_terms", F.array_sort("vault_terms"))
 
 
@@ -265,6 +280,17 @@ def grd1_tech_terms(v: Views) -> DataFrame:
     return G.tech_terms(v.resumes, TECH).select("doc_id", "term", "category")
 
 
+#: Skills of a vault besides its projects: some terms of the vocabulary by user.
+SKILLS = tuple(t for t, _, _ in VOCABULARY)[:6]
+
+
+@query(TEXTS + f""", said AS (SELECT user_id, {list(SKILLS)}[1 + user_id % 6] AS skill FROM (SELECT DISTINCT user_id FROM jds)),
+entries AS (SELECT user_id, term, 'projects' AS source FROM vt UNION SELECT user_id, term, 'skills' FROM said, tech WHERE regexp_matches(skill, '(^|[^\\p{{L}}\\p{{N}}_])' || term || '([^\\p{{L}}\\p{{N}}_]|$)'))
+SELECT user_id, term, category, string_agg(source, ',' ORDER BY source) AS sources FROM entries JOIN tech USING (term) GROUP BY 1, 2, 3""")
+def grd2_vault_index(v: Views) -> DataFrame:
+    return G.vault_index(_vaults(v, F.array(F.struct(F.element_at(F.array(*map(F.lit, SKILLS)), (F.col("user_id") % 6 + 1).cast("int")).alias("name")))), TECH).select("user_id", "term", "category", _list("sources").alias("sources"))
+
+
 @query(TEXTS + "SELECT user_id, string_agg(term, ',' ORDER BY term) AS vault_terms FROM vt GROUP BY 1")
 def grd2_vault_terms(v: Views) -> DataFrame:
     return _facts(v).filter(F.size("vault_terms") > 0).select("user_id", _list("vault_terms").alias("vault_terms"))
@@ -301,10 +327,25 @@ def grd5_grounding_level(v: Views) -> DataFrame:
     return G.verify_resumes(_generated(v), _facts(v)).select("doc_id", "n_terms", "n_suspicious", "confidence", "level")
 
 
-@query(TEXTS + f"""SELECT x.doc_id, concat_ws(' / ', CASE WHEN n_suspicious > 0 THEN 'Check or remove: ' || array_to_string(s[1:5], ', ') END, CASE level WHEN 'high' THEN 'Write the résumé again from the vault' WHEN 'medium' THEN 'Review before use' END) AS advice
-FROM ({VERIFIED}) x LEFT JOIN (SELECT doc_id, list_sort(list(term)) AS s FROM bad GROUP BY 1) b USING (doc_id)""")
+#: Project names in the generated texts that no vault has, by document.
+CLAIMED = ("", "负责风控管理系统，开发订单平台。", "主导数据中台项目，参与电商平台，负责推荐引擎系统，设计统一支付平台。")
+ADVISED = f"""SELECT x.doc_id, concat_ws(' / ', CASE WHEN level = 'none' THEN 'No claim without ground was found' END,
+ CASE WHEN level <> 'none' AND stack > 0 THEN stack || ' technologies may not be part of your record: add the projects to the vault or take them out' END,
+ CASE WHEN level <> 'none' AND len(names) > 0 THEN len(names) || ' projects may be invented: ' || array_to_string(names[1:3], ', ') || '; use names from the vault' END,
+ CASE level WHEN 'high' THEN 'High risk: write the résumé again from the vault' WHEN 'medium' THEN 'Some risk: check these points' WHEN 'low' THEN 'Low risk: wording only' END,
+ CASE WHEN level <> 'none' THEN 'Single paragraphs can be reworded in the chat' END) AS advice
+FROM (SELECT *, CASE WHEN bad + len(names) = 0 THEN 'none' WHEN conf < 0.7 OR bad + len(names) >= 5 THEN 'high' WHEN conf < 0.85 OR bad + len(names) >= 3 THEN 'medium' ELSE 'low' END AS level
+ FROM (SELECT *, CASE WHEN n_terms > 0 THEN greatest(0, least(1, 1 - (bad + len(names))::DOUBLE / n_terms)) ELSE 1 END AS conf
+  FROM (SELECT r.doc_id, coalesce(h.n, 0) AS n_terms, coalesce(b.n, 0) AS bad, coalesce(b.stack, 0) AS stack, list_sort(CASE r.doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['风控管理系统', '订单平台'] ELSE ['数据中台项目', '电商平台', '推荐引擎系统', '统一支付平台'] END) AS names
+   FROM resumes r LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1) h USING (doc_id)
+   LEFT JOIN (SELECT bad.doc_id, count(*) AS n, count(*) FILTER (category IN ('core_tech', 'framework')) AS stack FROM bad JOIN tech USING (term) GROUP BY 1) b USING (doc_id)))) x"""
+
+
+@query(TEXTS + ADVISED)
 def grd6_grounding_advice(v: Views) -> DataFrame:
-    return G.verify_resumes(_generated(v), _facts(v)).select("doc_id", F.array_join("advice", " / ").alias("advice"))
+    key = (F.col("doc_id") % 3 + 1).cast("int")
+    rows = _generated(v).withColumn("text", F.concat_ws("\n", F.element_at(F.array(*map(F.lit, CLAIMED)), key), "text"))
+    return G.verify_resumes(rows, _facts(v), terms=TECH, stack=("core_tech", "framework")).select("doc_id", F.array_join("advice", " / ").alias("advice"))
 
 
 @query(TEXTS + f"SELECT doc_id, level IN ('none', 'low') AS verified FROM ({VERIFIED})")

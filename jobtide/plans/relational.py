@@ -12,6 +12,8 @@ from jobtide.operators import analytics as A
 from jobtide.operators import records as R
 from jobtide.plans.book import query
 from jobtide.session import shared_folder
+from jobtide.sources.tables import KeyedTable
+from jobtide.sources.typed import SCHEMAS, read_database, read_typed
 from jobtide.sources.views import STATUSES, Views
 
 AS_OF = "2001-08-02"
@@ -153,7 +155,7 @@ def agg14_tag_frequency(v: Views) -> DataFrame:
     return A.tag_frequency(v.reviews)
 
 
-@query(f""", t AS (SELECT user_id, count(*)::BIGINT AS total, count(match_score)::BIGINT AS analysed FROM applications GROUP BY 1)
+@query(f""", t AS (SELECT user_id, count(*)::BIGINT AS total, count(match_score)::BIGINT AS analysed, count(*) FILTER (coalesce(resume_text, '') <> '')::BIGINT AS with_resume FROM applications GROUP BY 1)
 SELECT t.*, s.status, coalesce(n, 0)::BIGINT AS n, {_r('coalesce(n, 0)', 'total', 4, None)} AS share
 FROM t CROSS JOIN (SELECT unnest({list(STATUSES)}) AS status) s LEFT JOIN (SELECT user_id, status, count(*) AS n FROM applications GROUP BY 1, 2) c ON c.user_id = t.user_id AND c.status = s.status""")
 def agg15_status_snapshot(v: Views) -> DataFrame:
@@ -204,9 +206,10 @@ def flt3_filter_reviews(v: Views) -> DataFrame:
     return R.filter_reviews(v.reviews, **_bounds()).select("user_id", "id", "overall_rating")
 
 
-@query(f"SELECT user_id, count(*)::BIGINT AS n FROM reviews WHERE {FLT3} GROUP BY 1")
+@query("SELECT user_id, count(*)::BIGINT AS n FROM reviews WHERE interview_date >= TIMESTAMP '1996-01-01' AND interview_date <= TIMESTAMP '1999-12-31' AND round_type = 'N' GROUP BY 1")
 def flt4_count_reviews(v: Views) -> DataFrame:
-    return R.count_reviews(v.reviews, **_bounds())
+    dates = {k: x for k, x in _bounds().items() if k in ("start", "end")}
+    return R.count_reviews(v.reviews, **dates, round_type="N")
 
 
 @query("SELECT id, new_status, coalesce(new_status IN ('preparing','applied','interviewing','offered','rejected'), false) AS valid FROM status_events")
@@ -214,10 +217,41 @@ def flt5_check_status(v: Views) -> DataFrame:
     return R.check_status(v.status_events, column="new_status").select("id", "new_status", "valid")
 
 
-@query("""SELECT id, concat_ws(',', CASE WHEN NOT coalesce(overall_rating BETWEEN 1 AND 5, false) THEN 'rating' END, CASE WHEN round_number > 5 THEN 'round' END, CASE WHEN len(tags) > 20 THEN 'tags' END) AS violations FROM reviews""")
+#: Reviews, applications and changes with every fault the rules know, by key.
+FAULTY = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS id, l_linenumber - 1 AS round_number, (l_partkey % 7)::INTEGER AS overall_rating, CASE WHEN l_partkey % 5 <> 0 THEN (l_suppkey % 8)::INTEGER END AS stress_level,
+ CASE WHEN l_linenumber % 4 > 0 THEN repeat('x', (l_partkey % 4 * 1700)::INTEGER) END AS what_went_well, repeat('y', (l_suppkey % 5 * 1000)::INTEGER) AS next_steps, repeat('z', (l_linenumber % 3 * 1500)::INTEGER) AS mood_notes,
+ CASE WHEN l_linenumber % 3 > 0 THEN 19 + l_partkey % 4 END AS n_tags, CASE WHEN l_linenumber % 5 > 0 THEN l_returnflag END AS round_type FROM lineitem"""
+
+
+@query(f"""SELECT id, concat_ws(',', CASE WHEN overall_rating NOT BETWEEN 1 AND 5 THEN 'overall_rating' END, CASE WHEN stress_level NOT BETWEEN 1 AND 5 THEN 'stress_level' END, CASE WHEN round_number < 1 THEN 'round_number' END,
+ CASE WHEN len(what_went_well) > 5000 THEN 'what_went_well' END, CASE WHEN len(next_steps) > 3000 THEN 'next_steps' END, CASE WHEN len(mood_notes) > 2000 THEN 'mood_notes' END,
+ CASE WHEN n_tags > 20 THEN 'tags' END, CASE WHEN round_type IS NULL THEN 'round_type' END) AS violations FROM ({FAULTY})""")
 def flt6_validate_rows(v: Views) -> DataFrame:
-    rules = {"rating": F.col("overall_rating").between(1, 5), "round": F.col("round_number") <= 5, "tags": F.size("tags") <= 20}
-    return R.validate_rows(v.reviews, rules).select("id", F.array_join("violations", ",").alias("violations"))
+    n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    rows = v.table("lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("id"), (n - 1).alias("round_number"), (part % 7).cast("int").alias("overall_rating"), F.when(part % 5 != 0, (supp % 8).cast("int")).alias("stress_level"),
+        F.when(n % 4 > 0, F.repeat(F.lit("x"), (part % 4 * 1700).cast("int"))).alias("what_went_well"), F.repeat(F.lit("y"), (supp % 5 * 1000).cast("int")).alias("next_steps"), F.repeat(F.lit("z"), n % 3 * 1500).alias("mood_notes"),
+        F.when(n % 3 > 0, F.array_repeat(F.lit("t"), (19 + part % 4).cast("int"))).alias("tags"), F.when(n % 5 > 0, F.col("l_returnflag")).alias("round_type"),
+    )
+    return R.validate_rows(rows, R.review_rules(rows.columns)).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""SELECT p_partkey AS id, concat_ws(',', CASE WHEN len(trim(company)) NOT BETWEEN 1 AND 255 OR company IS NULL THEN 'company_name' END, CASE WHEN len(trim(title)) NOT BETWEEN 1 AND 255 THEN 'job_title' END,
+ CASE WHEN len(trim(jd)) NOT BETWEEN 1 AND 50000 THEN 'jd_text' END) AS violations
+FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '   ' WHEN 1 THEN NULL ELSE repeat(p_brand, (p_size % 50)::INTEGER) END AS company, '  ' || repeat('t', (p_partkey % 7 * 50)::INTEGER) || ' ' AS title, repeat('jd text ', (p_size * 200)::INTEGER) AS jd FROM part)""")
+def flt6_validate_applications(v: Views) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    company = F.when(key % 5 == 0, "   ").when(key % 5 != 1, F.repeat("p_brand", size % 50))
+    rows = v.table("part").select(key.alias("id"), company.alias("company_name"), F.concat(F.lit("  "), F.repeat(F.lit("t"), (key % 7 * 50).cast("int")), F.lit(" ")).alias("job_title"), F.repeat(F.lit("jd text "), size * 200).alias("jd_text"))
+    return R.validate_rows(rows, R.application_rules(rows.columns)).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""SELECT event_id AS id, concat_ws(',', CASE WHEN event_type = 'view' THEN 'new_status' END, CASE WHEN event_id % 3 <> 0 AND (event_id % 30) * 40 > 1000 THEN 'notes' END) AS violations FROM events""")
+def flt6_validate_changes(v: Views) -> DataFrame:
+    key = F.col("event_id")
+    status = F.when(F.col("event_type") == "view", "waiting").when(F.col("event_type") == "click", "offer_pending").otherwise("applied")
+    rows = v.table("events").select(key.alias("id"), status.alias("new_status"), F.when(key % 3 != 0, F.repeat(F.lit("n"), (key % 30 * 40).cast("int"))).alias("notes"))
+    return R.validate_rows(rows, R.status_rules(rows.columns)).select("id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("SELECT id, round_type FROM reviews WHERE application_id = (SELECT min(application_id) FROM reviews WHERE user_id = 7) AND user_id = 7")
@@ -280,29 +314,48 @@ def jon6_resolve_identities(v: Views) -> DataFrame:
     return R.resolve_identities(known, rows)
 
 
-@query("SELECT a.id, match_score IS NOT NULL AND (nullif(source_vault_version, 0) IS NULL OR nullif(source_vault_version, 0) IS DISTINCT FROM v.version) AS stale FROM applications a LEFT JOIN vaults v USING (user_id)")
+@query("""SELECT a.id, match_score IS NOT NULL AND (nullif(source_vault_version, 0) IS NULL OR nullif(source_vault_version, 0) IS DISTINCT FROM v.version OR source_jd_text IS DISTINCT FROM jd_text) AS stale
+FROM applications a LEFT JOIN vaults v USING (user_id)""")
 def jon7_stale_analysis(v: Views) -> DataFrame:
     return R.stale_analysis(v.applications, v.vaults).select("id", "stale")
 
 
+def _drafts(v: Views) -> DataFrame:
+    """Drafts of résumés: the reviews of an application stand for them; some differ from the current text, some were written for another description."""
+    job, n = F.col("application_id"), F.col("round_number")
+    return v.reviews.select(
+        job.alias("job_id"), F.col("interview_date").alias("created_at"), "id", (F.col("round_type") != "R").alias("reviewed"), F.coalesce(F.when(n % 5 == 0, n % 4), job % 4).cast("int").alias("source_version"),
+        F.when(job % 3 == 0, F.concat(v.content_of(job), F.lit(" edited"))).otherwise(v.content_of(job)).alias("content"), F.when(job % 7 == 0, "an older description").otherwise(v.jd_of(job)).alias("source_jd_text"),
+    )
+
+
 def _versions(v: Views) -> DataFrame:
-    """Résumé versions: the reviews of an application stand for its drafts."""
-    drafts = v.reviews.select(F.col("application_id").alias("job_id"), F.col("interview_date").alias("created_at"), "id", (F.col("round_type") != "R").alias("reviewed"), (F.col("round_number") % 4).alias("source_version"))
-    return R.number_versions(drafts)
+    """The drafts as stored versions: texts by their digests."""
+    drafts = _drafts(v).withColumns({"content_digest": R.digest("content"), "source_jd_digest": R.digest("source_jd_text")})
+    return R.number_versions(drafts.drop("content", "source_jd_text"))
 
 
-VERSIONS = "SELECT application_id AS job_id, id, round_type <> 'R' AS reviewed, round_number % 4 AS source_version, row_number() OVER (PARTITION BY application_id ORDER BY interview_date, id)::INTEGER AS version FROM reviews"
+VERSIONS = """SELECT application_id AS job_id, id, round_type <> 'R' AS reviewed, (CASE WHEN round_number % 5 = 0 THEN round_number % 4 ELSE application_id % 4 END)::INTEGER AS source_version,
+ '# Résumé ' || application_id || CASE WHEN application_id % 3 = 0 THEN ' edited' ELSE '' END AS content, CASE WHEN application_id % 7 = 0 THEN 'an older description' ELSE 'Engineer wanted for team ' || (application_id % 29) || '. Five years of practice.' END AS source_jd_text,
+ row_number() OVER (PARTITION BY application_id ORDER BY interview_date, id)::INTEGER AS version FROM reviews"""
 LATEST = f"SELECT * FROM ({VERSIONS}) QUALIFY version = max(version) OVER (PARTITION BY job_id)"
 
 
 @query(f"""SELECT id, user_id, reason IS NULL AS allowed, reason FROM (
- SELECT a.id, a.user_id, CASE WHEN NOT coalesce(confirmed, false) THEN 'vault not confirmed' WHEN l.job_id IS NULL THEN 'no version' WHEN NOT coalesce(reviewed, false) THEN 'not reviewed'
-   WHEN source_version IS DISTINCT FROM v.version THEN 'vault changed' END AS reason
+ SELECT a.id, a.user_id, CASE WHEN coalesce(resume_text, '') = '' THEN 'no résumé' WHEN NOT coalesce(confirmed, false) THEN 'vault not confirmed' WHEN l.job_id IS NULL THEN 'no version' WHEN NOT coalesce(reviewed, false) THEN 'not reviewed'
+   WHEN l.content IS DISTINCT FROM resume_text THEN 'résumé changed' WHEN source_version IS DISTINCT FROM v.version THEN 'vault changed' WHEN l.source_jd_text IS DISTINCT FROM a.jd_text THEN 'description changed' END AS reason
  FROM applications a LEFT JOIN vaults v USING (user_id) LEFT JOIN ({LATEST}) l ON l.job_id = a.id)""")
 def jon8_export_gate(v: Views) -> DataFrame:
     return R.export_gate(v.applications, v.vaults, _versions(v))
 
 
+@query(f"""SELECT d.job_id, d.id, CASE WHEN reviewed THEN CASE WHEN NOT coalesce(confirmed, false) THEN 'vault not confirmed' WHEN source_version IS DISTINCT FROM v.version THEN 'vault changed'
+  WHEN d.source_jd_text IS DISTINCT FROM a.jd_text THEN 'description changed' END END AS reason
+FROM ({VERSIONS}) d JOIN applications a ON a.id = d.job_id LEFT JOIN vaults v USING (user_id)""")
+def jon8_version_gate(v: Views) -> DataFrame:
+    return R.version_gate(_drafts(v), v.applications, v.vaults).select("job_id", "id", "reason")
+
+
 # Histories and pages
 
 
@@ -344,15 +397,16 @@ def win6_next_step(v: Views) -> DataFrame:
     return R.next_step(v.users, v.vaults, v.applications)
 
 
-@query("""SELECT user_id AS request_id, string_agg(place || ':' || company_name || ':' || round_number || round_type, '|' ORDER BY place) AS items,
- CASE WHEN count(*) < 2 THEN 'needs two reviews' END AS error
-FROM (SELECT r.user_id, company_name, round_number, round_type, row_number() OVER (PARTITION BY r.user_id ORDER BY interview_date DESC, r.id) AS place FROM reviews r JOIN applications a ON a.id = r.application_id) WHERE place <= 3 GROUP BY 1""")
+@query("""SELECT user_id AS request_id, string_agg(concat_ws(':', place, company_name, round_number, round_type, strftime(interview_date, '%Y-%m-%d'), coalesce(overall_rating::VARCHAR, '-'), coalesce(technical_rating::VARCHAR, '-'), coalesce(communication_rating::VARCHAR, '-'),
+  coalesce(what_went_well, ''), coalesce(what_to_improve, '')), '|' ORDER BY place) AS items, CASE WHEN count(*) < 2 THEN 'needs two reviews' END AS error
+FROM (SELECT r.*, company_name, row_number() OVER (PARTITION BY r.user_id ORDER BY interview_date DESC, r.id) AS place FROM reviews r JOIN applications a ON a.id = r.application_id) WHERE place <= 3 GROUP BY 1""")
 def win7_review_timeline(v: Views) -> DataFrame:
     rows = R.reviews_with_job(v.reviews, v.applications_with_company)
     chosen = R.recent_reviews(rows, 3)
     requests = chosen.select(F.col("user_id").alias("request_id"), F.col("place").alias("pos"), "id")
-    out = R.review_timeline(requests, chosen.select("id", "company_name", "round_number", "round_type", "overall_rating"))
-    shown = F.transform("items", lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), x["company_name"], F.lit(":"), x["round_number"].cast("string"), x["round_type"]))
+    out = R.review_timeline(requests, chosen.drop("user_id", "place"))
+    rating = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    shown = F.transform("items", lambda x: F.concat_ws(":", x["pos"], x["company_name"], x["round_number"], x["round_type"], x["date"], *[rating(x[c]) for c in ("overall_rating", "technical_rating", "communication_rating")], x["what_went_well"], x["what_to_improve"]))
     return out.select("request_id", F.array_join(shown, "|").alias("items"), "error")
 
 
@@ -378,20 +432,69 @@ def src1_read_tables(v: Views) -> DataFrame:
     return out
 
 
-@query("""SELECT coalesce(v.user_id, i.user_id) AS user_id, coalesce(i.c, raw_content) AS raw_content, (CASE WHEN i.c IS NULL THEN version ELSE coalesce(version, 0) + 1 END)::INTEGER AS version
-FROM vaults v FULL JOIN (SELECT user_id, 'draft ' || max(id) AS c FROM applications WHERE status = 'offered' GROUP BY 1) i ON i.user_id = v.user_id""")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal::BIGINT AS cents, c_mktsegment FROM (SELECT * REPLACE (floor(c_acctbal * 100 + 0.5) AS c_acctbal) FROM customer)")
+def src1_typed_table(v: Views) -> DataFrame:
+    """Written as text (one account in three spoilt), read back by the declared schema, the spoilt values taken from the table by key."""
+    rows = v.table("customer")
+    path = f"{shared_folder(v.spark)}/customer_{uuid.uuid4().hex}"
+    spoilt = F.when(F.col("c_custkey") % 3 == 0, "unknown").otherwise(F.col("c_acctbal").cast("string"))
+    rows.withColumn("c_acctbal", spoilt).write.option("header", "true").csv(path)
+    read = read_typed(v.spark, path, SCHEMAS["customer"], "csv")
+    read = read.join(rows.select("c_custkey", F.col("c_acctbal").alias("own")), "c_custkey")
+    lost = F.array_contains("bad_columns", "c_acctbal")
+    return read.select("c_custkey", "c_name", "c_nationkey", F.floor(F.when(lost, F.col("own")).otherwise(F.col("c_acctbal")) * 100 + 0.5).alias("cents"), "c_mktsegment")
+
+
+def _database(v: Views) -> dict[str, str]:
+    """The database of the setting ``jobtide.database.url``; on a single machine an embedded one in memory, if it is unset."""
+    url = v.spark.conf.get("jobtide.database.url", None)
+    if url is None and not v.spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("jobtide.database.url must name a database that all executors reach")
+    driver = v.spark.conf.get("jobtide.database.driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver" if url is None else "")
+    return {"url": url or "jdbc:derby:memory:jobtide;create=true"} | ({"driver": driver} if driver else {})
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def src1_database_table(v: Views) -> DataFrame:
+    """Users put into a database and read back by ranges of their key."""
+    source, name = _database(v), f"customer_{uuid.uuid4().hex}"
+    v.typed("customer").drop("bad_columns").write.format("jdbc").options(**source).option("dbtable", name).option("createTableColumnTypes", "c_name VARCHAR(200), c_mktsegment VARCHAR(100)").save()
+    rows = read_database(v.spark, source["url"], name, SCHEMAS["customer"], "c_custkey", 8, source.get("driver"))
+    return rows.drop("bad_columns")
+
+
+VAULT = "user_id long, raw_content string, structured_data string, version int, confirmed boolean"
+
+
+def _uploads(v: Views, status: str) -> DataFrame:
+    rows = v.applications.filter(F.col("status") == status)
+    data = F.concat(F.lit('{"skills":["'), "status", F.lit('"]}'))
+    return rows.select("user_id", F.col("id").alias("seq"), F.concat("status", F.lit(" draft "), F.col("id").cast("string")).alias("raw_content"), data.alias("structured_data"))
+
+
+UPLOADS = "SELECT user_id, max_by(status || ' draft ' || id, id) AS c, '{{\"skills\":[\"{0}\"]}}' AS d FROM applications WHERE status = '{0}' GROUP BY 1"
+
+
+@query(f"""SELECT coalesce(v.user_id, a.user_id, b.user_id) AS user_id, coalesce(b.c, a.c, raw_content) AS raw_content, coalesce(b.d, a.d) AS structured_data,
+ (coalesce(version, 0) + CASE WHEN a.c IS NULL THEN 0 ELSE 1 END + CASE WHEN b.c IS NULL THEN 0 ELSE 1 END)::INTEGER AS version, a.c IS NULL AND b.c IS NULL AND confirmed AS confirmed
+FROM vaults v FULL JOIN ({UPLOADS.format('preparing')}) a ON a.user_id = v.user_id FULL JOIN ({UPLOADS.format('rejected')}) b ON b.user_id = coalesce(v.user_id, a.user_id)""")
 def src5_upsert_vault(v: Views) -> DataFrame:
-    incoming = v.applications.filter("status = 'offered'").select("user_id", F.col("id").alias("seq"), F.concat(F.lit("draft "), F.col("id").cast("string")).alias("raw_content"))
-    return R.upsert_vault(v.vaults, incoming)
+    """A stored table of vaults, two batches of uploads put into it, the second one twice, and the table read back."""
+    table = KeyedTable(v.spark, f"{shared_folder(v.spark)}/vaults_{uuid.uuid4().hex}", "user_id", VAULT, buckets=16)
+    table.upsert(v.vaults, 0)
+    for batch, status in ((1, "preparing"), (2, "rejected"), (2, "rejected")):
+        table.upsert(R.last_incoming(_uploads(v, status)), batch, R.vault_change)
+    return table.read()
 
 
 @query("""SELECT user_id, count(*)::BIGINT AS reviews, avg(overall_rating) AS mean_overall_rating, avg(technical_rating) AS mean_technical_rating, avg(communication_rating) AS mean_communication_rating FROM reviews GROUP BY 1""")
 def src6_write_user_summary(v: Views) -> DataFrame:
-    """Written twice (the second replaces the first) and read back."""
-    path = f"{shared_folder(v.spark)}/user_summary_{uuid.uuid4().hex}"
-    for rows in (v.reviews.filter("user_id < 3"), v.reviews):
-        R.write_user_summary(A.review_stats(rows), path)
-    return v.spark.read.parquet(path).drop("bucket")
+    """One row a user, made from a part of the reviews, replaced by those of all reviews, and read back."""
+    stats = A.review_stats(v.reviews)
+    table = KeyedTable(v.spark, f"{shared_folder(v.spark)}/user_summary_{uuid.uuid4().hex}", "user_id", stats.schema, buckets=16)
+    for batch, rows in enumerate((A.review_stats(v.reviews.filter("round_number < 3")), stats)):
+        table.upsert(rows, batch)
+    return table.read()
 
 
 def flagship(v: Views) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from jobtide.functions import scalar as S
 from jobtide.functions import text as T
@@ -19,7 +20,7 @@ from jobtide.plans.resumes import _structured
 from jobtide.sources import parsing as P
 from jobtide.session import shared_folder
 from jobtide.sources.views import Views
-from jobtide.streaming.jobs import request_metrics, status_stream
+from jobtide.streaming.jobs import StatusTables, request_metrics, status_stream, write_request_metrics
 
 
 def _one(v: Views, value: Column, name: str = "value") -> DataFrame:
@@ -204,6 +205,12 @@ def jsn3_analysis_card(v: Views) -> DataFrame:
     return D.analysis_card(keyword_match(_pairs(v))).select("job_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
+@query("""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 6 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS title, CASE WHEN c_custkey % 3 > 0 THEN 'Company 1' END AS company,
+ array_to_string(list_transform(range(1, c_custkey % 5 + 1), lambda i: 'skill ' || i), ',') AS skills, (c_custkey % 3)::INTEGER AS n_experiences, (c_custkey % 4)::INTEGER AS n_education, (c_custkey % 7)::INTEGER AS version FROM customer WHERE c_custkey % 10 <> 0""")
+def jsn2_vault_cards(v: Views) -> DataFrame:
+    return D.vault_card(_vault_data(v).filter("structured_data is not null")).withColumn("skills", F.array_join("skills", ","))
+
+
 # Sources
 
 
@@ -395,9 +402,29 @@ def doc1_render_resume(v: Views) -> DataFrame:
     return _structured(v).select("user_id", D.render_resume(F.col("structured_data"), F.array(F.lit("the")), F.col("raw")).alias("text"))
 
 
-@query()
+def _vault_data(v: Views) -> DataFrame:
+    """Vaults of all shapes by user: without data, without person, e-mail or name, with up to three schools, two jobs, four skills."""
+    key = F.col("c_custkey")
+    some = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), f)).otherwise(F.filter(F.transform(F.array(F.lit(1)), f), lambda x: F.lit(False)))
+    n = lambda k: (key % k).cast("int")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    info = F.when(key % 11 != 0, F.struct(F.when(key % 6 != 0, F.col("c_name")).alias("name"), F.when(key % 3 == 1, text("u", key, "@x.org")).when(key % 3 == 2, "").alias("email")))
+    schools = some(n(4), lambda i: F.struct(text("School ", i).alias("school"), F.when(i != 2, "BSc").alias("degree"), F.col("c_mktsegment").alias("field")))
+    projects = lambda i: some(i - 1, lambda j: F.struct(text("P", j).alias("name"), text("made for ", F.col("c_name")).alias("description")))
+    jobs = some(n(3), lambda i: F.struct(text("Company ", i).alias("company"), F.col("c_mktsegment").alias("title"), projects(i).alias("projects")))
+    skills = some(n(5), lambda i: F.struct(text("skill ", i).alias("name")))
+    data = F.when(key % 10 != 0, F.struct(info.alias("personal_info"), schools.alias("education"), jobs.alias("experiences"), skills.alias("skills")))
+    return v.table("customer").select(key.alias("user_id"), data.alias("structured_data"), text("raw ", key).alias("raw"), n(7).alias("version"))
+
+
+@query("""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN 'raw ' || c_custkey ELSE array_to_string(list_concat(
+  CASE WHEN c_custkey % 11 <> 0 THEN list_filter(['## 个人信息', CASE WHEN c_custkey % 6 <> 0 THEN '姓名: ' || c_name END, CASE WHEN c_custkey % 3 = 1 THEN '邮箱: u' || c_custkey || '@x.org' END], lambda x: x IS NOT NULL) ELSE [] END,
+  CASE WHEN c_custkey % 4 > 0 THEN list_concat([chr(10) || '## 教育背景'], list_transform(range(1, c_custkey % 4 + 1), lambda i: '- School ' || i || ' - ' || CASE WHEN i <> 2 THEN 'BSc' ELSE '' END || ' (' || c_mktsegment || ')')) ELSE [] END,
+  CASE WHEN c_custkey % 3 > 0 THEN list_concat([chr(10) || '## 工作经历'], flatten(list_transform(range(1, c_custkey % 3 + 1), lambda i: list_concat([chr(10) || '### Company ' || i || ' - ' || c_mktsegment],
+    CASE WHEN i > 1 THEN ['- 项目: P1', '  描述: made for ' || c_name] ELSE [] END)))) ELSE [] END,
+  CASE WHEN c_custkey % 5 > 0 THEN [chr(10) || '## 技能', array_to_string(list_transform(range(1, c_custkey % 5 + 1), lambda i: 'skill ' || i), ', ')] ELSE [] END), chr(10)) END AS text FROM customer""")
 def doc2_interview_brief(v: Views) -> DataFrame:
-    return _structured(v).select("user_id", D.interview_brief(F.col("structured_data"), F.lit("")).alias("text"))
+    return _vault_data(v).select("user_id", D.interview_brief(F.col("structured_data"), F.col("raw")).alias("text"))
 
 
 @query(MATCH + """SELECT j.job_id, q.pos::INTEGER AS pos, q.kind, CASE WHEN q.pos = 1 THEN 'Describe a problem that you solved with ' || coalesce(t, 'your main tool') || '.' ELSE q.text END AS question
@@ -421,9 +448,35 @@ def doc5_assemble_chunks(v: Views) -> DataFrame:
 # Streams, run over a bounded input
 
 
-@query("SELECT epoch_us(date_trunc('minute', ts)) AS start_us, path, count(*)::BIGINT AS requests, count(*) FILTER (code >= 500)::BIGINT AS errors, avg(seconds) AS mean_seconds FROM request_log GROUP BY 1, 2")
+METRICS = """SELECT epoch_us(date_trunc('minute', ts)) AS start_us, path, count(*)::BIGINT AS requests, count(*) FILTER (code >= 500)::BIGINT AS errors, avg(seconds) AS mean_seconds,
+ quantile_disc(seconds, 0.95) AS p95_seconds FROM request_log GROUP BY 1, 2"""
+
+
+@query(METRICS)
 def stm2_request_metrics(v: Views) -> DataFrame:
-    return request_metrics(v.request_log).select(F.unix_micros("start").alias("start_us"), "path", "requests", "errors", "mean_seconds")
+    return request_metrics(v.request_log).select(F.unix_micros("start").alias("start_us"), "path", "requests", "errors", "mean_seconds", "p95_seconds")
+
+
+@query(f"SELECT * FROM ({METRICS}) WHERE start_us + 60000000 <= (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 - 600000000 FROM request_log)")
+def stm2_request_stream(v: Views) -> DataFrame:
+    """The stream in append mode over the files that are there: windows that the watermark has passed."""
+    folder = f"{shared_folder(v.spark)}/requests_{uuid.uuid4().hex}"
+    query_ = write_request_metrics(Views.requests_of(_events(v)), folder, availableNow=True)
+    _finish(query_)
+    kinds = "start timestamp, path string, requests long, errors long, mean_seconds double, p95_seconds double"
+    return v.spark.read.schema(kinds).parquet(f"{folder}/windows").select(F.unix_micros("start").alias("start_us"), "path", "requests", "errors", "mean_seconds", "p95_seconds")
+
+
+def _events(v: Views) -> DataFrame:
+    """A stream over the files of the events; a pattern may name a file or a folder."""
+    return v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.dir}/events.parque[t]")
+
+
+def _finish(query_: StreamingQuery) -> None:
+    try:
+        query_.awaitTermination()
+    finally:
+        query_.stop()
 
 
 STATUS = """SELECT job_id, arg_max(new_status, (changed_at, id)) AS status, count(*)::BIGINT AS changes, epoch_us(min(CASE WHEN new_status = 'applied' THEN changed_at END)) AS applied_us FROM status_events GROUP BY 1"""
@@ -433,19 +486,31 @@ STATUS = """SELECT job_id, arg_max(new_status, (changed_at, id)) AS status, coun
 def stm1_status_stream(v: Views) -> DataFrame:
     """The stream itself, over the files that are there; every batch's updates are written, the last of each job is its status."""
     folder = f"{shared_folder(v.spark)}/status_{uuid.uuid4().hex}"
-    kinds = v.table("events").schema
-    source = v.spark.readStream.schema(kinds).parquet(f"{v.dir}/events.parque[t]")  # a pattern may name a file or a folder
-    stream = Views.status_of(source)
-    query_ = status_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    query_ = query_.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")).start()
-    try:
-        query_.awaitTermination()
-    finally:
-        query_.stop()
+    stream = status_stream(Views.status_of(_events(v))).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    _finish(stream.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")).start())
     done = v.spark.read.parquet(f"{folder}/out").groupBy("job_id").agg(F.max_by(F.struct("status", "changes", "applied_at"), "changes").alias("x"))
     return done.select("job_id", "x.status", "x.changes", F.unix_micros("x.applied_at").alias("applied_us"))
 
 
+def _fed(v: Views) -> StatusTables:
+    """Status and history tables, fed by one stream over the files that are there."""
+    tables = StatusTables(v.spark, f"{shared_folder(v.spark)}/jobs_{uuid.uuid4().hex}", buckets=16)
+    _finish(tables.start(Views.status_of(_events(v)), availableNow=True))
+    return tables
+
+
+@query("""SELECT job_id, arg_max(new_status, (changed_at, id)) AS status, arg_max(id, (changed_at, id)) AS last_id, count(*)::BIGINT AS changes, epoch_us(min(CASE WHEN new_status = 'applied' THEN changed_at END)) AS applied_us,
+ epoch_us(min(CASE WHEN new_status = 'interview_scheduled' THEN changed_at END)) AS scheduled_us, epoch_us(min(CASE WHEN new_status IN ('offered', 'rejected') THEN changed_at END)) AS result_us FROM status_events GROUP BY 1""")
+def stm1_status_table(v: Views) -> DataFrame:
+    rows = _fed(v).current.read()
+    return rows.select("job_id", "status", "last_id", "changes", F.unix_micros("applied_at").alias("applied_us"), F.unix_micros("interview_scheduled_at").alias("scheduled_us"), F.unix_micros("final_result_at").alias("result_us"))
+
+
+@query("SELECT id, job_id, new_status, lag(new_status) OVER (PARTITION BY job_id ORDER BY changed_at, id) AS old_status FROM status_events")
+def stm1_status_history(v: Views) -> DataFrame:
+    return _fed(v).history().select("id", "job_id", "new_status", "old_status")
+
+
 @query(STATUS)
 def stm1_status_batch(v: Views) -> DataFrame:
     """The batch twin of the status stream (tests hold the two against each other)."""

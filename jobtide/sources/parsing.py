@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions.text import clean_text
+from jobtide.session import checkpointed
 
-IMAGES, DOCUMENTS = ("png", "jpg", "jpeg", "bmp", "webp"), ("pdf",)
+IMAGES, DOCUMENTS, RESUMES = ("png", "jpg", "jpeg", "bmp", "webp"), ("pdf",), ("pdf", "doc", "docx")
 
 
 def file_inventory(files: DataFrame, most_bytes: int = 10 << 20, allowed: tuple[str, ...] = IMAGES + DOCUMENTS) -> DataFrame:
-    """``path``, ``length`` to extension, kind and the first reason for refusal (null: accepted)."""
+    """``path``, ``length`` to extension, kind and the first reason for refusal (null: accepted).
+
+    For descriptions images and PDF are allowed, for résumés (``RESUMES``) PDF and text documents, by name.
+    """
     ext = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1)
-    kind = F.when(ext.isin(*IMAGES), "image").when(ext.isin(*DOCUMENTS), "pdf").otherwise("unknown")
+    kind = F.when(ext.isin(*IMAGES), "image").when(ext.isin(*DOCUMENTS), "pdf").when(ext.isin(*RESUMES) & F.lit(set(RESUMES) <= set(allowed)), ext).otherwise("unknown")
     reason = F.when(F.col("length").isNull(), "missing").when(F.col("length") > most_bytes, "too large").when(~ext.isin(*allowed), "not allowed")
     return files.select("path", "length", ext.alias("extension"), kind.alias("kind"), reason.alias("reason"))
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """Metadata of the files below a path, without their content."""
+    """Metadata of the files below a path, without their content; empty files are not listed."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
@@ -84,32 +85,52 @@ def table_to_text(rows: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ", "")), "\n")
 
 
-def _fields(value: object, path: tuple[str, ...] = ()) -> list[dict]:
-    """Leaves of a JSON document with their paths."""
-    if isinstance(value, dict | list):
-        inner = value.items() if isinstance(value, dict) else ((str(k), x) for k, x in enumerate(value))
-        return [leaf for k, x in inner if k != "_confirmed" for leaf in _fields(x, (*path, k))]
-    if isinstance(value, bool):
-        text = str(value).lower()
-    elif isinstance(value, float) and value.is_integer():
-        text = str(int(value))
-    else:
-        text = "" if value is None else str(value)
-    return [{"path": json.dumps(path, ensure_ascii=False, separators=(",", ":")), "value": text}]
+#: Levels of nesting that are opened in one plan; deeper documents are taken up again from a checkpoint.
+LEVELS_AT_ONCE = 16
+
+
+def json_depth(text: Column) -> Column:
+    """Levels of nesting of a JSON text, from its brackets outside strings."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + 1 * c.isin("[", "{").cast("int")).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
+
+
+def _children(value: Column) -> Column:
+    """Members of an object or items of an array with their keys; null for anything else."""
+    members, items = F.try_variant_get(value, "$", "map<string,variant>"), F.try_variant_get(value, "$", "array<variant>")
+    named = F.transform(F.filter(F.map_entries(members), lambda e: e["key"] != "_confirmed"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    placed = F.transform(items, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(named, placed)
+
+
+def _shown(value: Column) -> Column:
+    """A leaf as text: null is empty, whole numbers have no fraction."""
+    text = F.try_variant_get(value, "$", "string")
+    number = F.regexp_like(F.schema_of_variant(value), F.lit("^(?:DECIMAL|DOUBLE|FLOAT|BIGINT)"))
+    whole = F.try_variant_get(value, "$", "double")
+    plain = F.when(number & (whole == F.floor(whole)) & (F.abs(whole) < 1e15), F.floor(whole).cast("long").cast("string")).otherwise(text)
+    return F.when(F.is_variant_null(value), "").otherwise(F.coalesce(plain, F.lit("")))
 
 
 def flatten_json(rows: DataFrame, ident: str, column: str) -> DataFrame:
-    """Leaves of open JSON documents of any depth: path as JSON array and value as text; ``_confirmed`` is left out, text that isn't JSON gives none."""
-
-    @F.pandas_udf("array<struct<path:string,value:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            try:
-                value = json.loads(text or "null")
-            except ValueError:
-                value = None
-            out.append(_fields(value) if isinstance(value, dict | list) else [])
-        return pd.Series(out)
-
-    return rows.select(ident, F.inline(run(F.col(column))))
+    """Leaves of open JSON documents of any depth: path as JSON array and value as text.
+
+    Documents are parsed to VARIANT and opened level by level inside the JVM; the deepest document (found in one pass over
+    the brackets) tells how many levels there are. ``_confirmed`` is left out; empty objects and arrays have no leaf;
+    text that isn't JSON, names a member twice or is a single value gives none.
+    """
+    text = rows.select(F.col(ident).alias("_id"), F.col(column).alias("_doc"))
+    levels = text.agg(F.max(json_depth(F.col("_doc")))).first()[0] or 0
+    value = F.try_parse_json("_doc")
+    now = text.select("_id", F.expr("cast(array() as array<string>)").alias("path"), value.alias("v"), _children(value).alias("kids")).filter("kids is not null")
+    for level in range(levels):
+        if level and level % LEVELS_AT_ONCE == 0:
+            now = checkpointed(now.select("_id", "path", "v")).withColumn("kids", _children(F.col("v")))
+        itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value")))
+        opened = now.select("_id", "path", F.explode(F.coalesce("kids", itself)).alias("x"))
+        path = F.when(F.col("x.key").isNull(), F.col("path")).otherwise(F.concat("path", F.array("x.key")))
+        now = opened.select("_id", path.alias("path"), F.col("x.value").alias("v")).withColumn("kids", _children(F.col("v")))
+    leaves = now.filter("kids is null") if levels else now.limit(0)
+    return leaves.select(F.col("_id").alias(ident), F.to_json("path").alias("path"), _shown(F.col("v")).alias("value"))

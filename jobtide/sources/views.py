@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.sources.typed import SCHEMAS, read_typed
+
 #: Postings of a user.
 OWN = 5
 STATUSES = ("preparing", "applied", "interviewing", "offered", "rejected")
@@ -21,6 +23,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def typed(self, name: str) -> DataFrame:
+        """A table by its declared schema."""
+        return read_typed(self.spark, f"{self.dir}/{name}.parquet", SCHEMAS[name])
+
     @property
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
@@ -41,10 +47,19 @@ class Views:
             day.alias("created_at"), day.alias("applied_at"), (day + F.make_dt_interval((key % 30).cast("int"))).alias("updated_at"),
             F.when(key % 7 != 0, day + F.make_dt_interval((key % 40 - 3).cast("int"))).alias("first_response_at"),
             F.when(key % 5 != 0, day + F.make_dt_interval((key % 60 - 2).cast("int"))).alias("final_result_at"),
-            (key % 4).cast("int").alias("source_vault_version"),
+            (key % 4).cast("int").alias("source_vault_version"), self.jd_of(key).alias("jd_text"), F.sha2(F.when(key % 13 != 0, self.jd_of(key)).otherwise("an older description"), 256).alias("source_jd_digest"),
+            F.when(key % 17 == 0, "").when(key % 17 != 1, self.content_of(key)).alias("resume_text"),
         )
         return orders
 
+    @staticmethod
+    def jd_of(key: Column) -> Column:
+        return F.concat(F.lit("Engineer wanted for team "), (key % 29).cast("string"), F.lit(". Five years of practice."))
+
+    @staticmethod
+    def content_of(key: Column) -> Column:
+        return F.concat(F.lit("# Résumé "), key.cast("string"))
+
     @property
     def applications_with_company(self) -> DataFrame:
         companies = self.table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("company_size"))
@@ -57,7 +72,7 @@ class Views:
         rows = self.table("lineitem").select(
             F.col("l_orderkey").alias("application_id"), F.col("l_linenumber").alias("round_number"), F.col("l_returnflag").alias("round_type"),
             F.col("l_shipdate").cast("timestamp").alias("interview_date"), rating("l_quantity").alias("overall_rating"), rating("l_extendedprice").alias("technical_rating"), rating("l_partkey").alias("communication_rating"),
-            F.array("l_returnflag", "l_linestatus").alias("tags"),
+            F.array("l_returnflag", "l_linestatus").alias("tags"), F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("went well: "), "l_linestatus")).alias("what_went_well"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("improve "), "l_returnflag")).alias("what_to_improve"),
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyyMMdd")).alias("id"),
         )
         return rows.join(owners, "application_id")
@@ -82,12 +97,15 @@ class Views:
     def status_events(self) -> DataFrame:
         return self.status_of(self.table("events"))
 
+    @staticmethod
+    def requests_of(events: DataFrame) -> DataFrame:
+        """Requests, batch or stream, from the driver's events."""
+        kind = F.col("event_type")
+        return events.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("path"), F.col("value").alias("seconds"), F.when(kind == "error", 500).otherwise(200).alias("code"))
+
     @property
     def request_log(self) -> DataFrame:
-        kind = F.col("event_type")
-        return self.table("events").select(
-            F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("path"), F.col("value").alias("seconds"), F.when(kind == "error", 500).otherwise(200).alias("code")
-        )
+        return self.requests_of(self.table("events"))
 
     @property
     def resumes(self) -> DataFrame:
@@ -122,12 +140,14 @@ applications AS (
          o_orderdate AS created_at, o_orderdate AS applied_at, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 30) AS updated_at,
          CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 40 - 3) END AS first_response_at,
          CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 60 - 2) END AS final_result_at,
-         (o_orderkey % 4)::INTEGER AS source_vault_version, c_name AS company_name, c_mktsegment AS company_size
+         (o_orderkey % 4)::INTEGER AS source_vault_version, 'Engineer wanted for team ' || (o_orderkey % 29) || '. Five years of practice.' AS jd_text,
+         CASE WHEN o_orderkey % 13 <> 0 THEN 'Engineer wanted for team ' || (o_orderkey % 29) || '. Five years of practice.' ELSE 'an older description' END AS source_jd_text,
+         CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 17 <> 1 THEN '# Résumé ' || o_orderkey END AS resume_text, c_name AS company_name, c_mktsegment AS company_size
   FROM orders JOIN customer ON c_custkey = o_custkey),
 reviews AS (
   SELECT l_orderkey AS application_id, o_custkey AS user_id, l_linenumber AS round_number, l_returnflag AS round_type, l_shipdate AS interview_date,
          nullif(floor(l_quantity)::INTEGER % 6, 0) AS overall_rating, nullif(floor(l_extendedprice)::INTEGER % 6, 0) AS technical_rating, nullif(floor(l_partkey)::INTEGER % 6, 0) AS communication_rating,
-         [l_returnflag, l_linestatus] AS tags, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id
+         [l_returnflag, l_linestatus] AS tags, CASE WHEN l_linenumber % 3 <> 0 THEN 'went well: ' || l_linestatus END AS what_went_well, CASE WHEN l_linenumber % 2 = 0 THEN 'improve ' || l_returnflag END AS what_to_improve, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 vaults AS (
   SELECT c_custkey AS user_id, (c_custkey % 4)::INTEGER AS version, 'résumé of ' || c_name AS raw_content, c_custkey % 3 <> 0 AS confirmed

@@ -68,11 +68,46 @@ def test_date_range(spark, text, want):
 
 
 def test_export_gate(spark):
-    jobs = spark.createDataFrame([(k, "u") for k in range(4)], "id int, user_id string")
+    """One application for each refusal, in the order in which they are tried."""
+    jobs = spark.createDataFrame(
+        [(0, "u", "text", "jd"), (1, "u", "text", "jd"), (2, "u", "text", "jd"), (3, "u", "text", "jd"), (4, "u", "edited", "jd"), (5, "u", "text", "new jd"), (6, "u", "", "jd"), (7, "u", None, "jd"), (8, "none", "text", "jd"), (9, "w", "text", "jd"), (10, "u", "text", None)],
+        "id int, user_id string, resume_text string, jd_text string",
+    )
+    vaults = spark.createDataFrame([("u", 2, True), ("w", 2, False)], "user_id string, version int, confirmed boolean")
+    rows = [(0, 1, False, 1, "other", "jd"), (0, 2, True, 2, "text", "jd"), (1, 1, False, 2, "text", "jd"), (2, 1, True, 1, "text", "jd"), (4, 1, True, 2, "text", "jd"), (5, 1, True, 2, "text", "jd"), (9, 1, True, 2, "text", "jd"), (10, 1, True, 2, "text", None)]
+    versions = spark.createDataFrame(rows, "job_id int, version int, reviewed boolean, source_version int, content string, jd string")
+    versions = versions.select("job_id", "version", "reviewed", "source_version", R.digest("content").alias("content_digest"), R.digest("jd").alias("source_jd_digest"))
+    gate = R.export_gate(jobs, vaults, versions)
+    assert {r["id"]: r["reason"] for r in gate.collect()} == {
+        0: None, 1: "not reviewed", 2: "vault changed", 3: "no version", 4: "résumé changed", 5: "description changed", 6: "no résumé", 7: "no résumé", 8: "vault not confirmed", 9: "vault not confirmed", 10: None,
+    }
+    for exchange in [x for x in gate._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]:
+        assert "resume_text" not in exchange and "jd_text" not in exchange  # texts don't cross a join
+
+
+def test_version_gate(spark):
+    jobs = spark.createDataFrame([(1, "u", "jd")], "id int, user_id string, jd_text string")
     vaults = spark.createDataFrame([("u", 2, True)], "user_id string, version int, confirmed boolean")
-    versions = spark.createDataFrame([(0, 1, True, 2), (1, 1, False, 2), (2, 1, True, 1)], "job_id int, version int, reviewed boolean, source_version int")
-    got = {r["id"]: r["reason"] for r in R.export_gate(jobs, vaults, versions).collect()}
-    assert got == {0: None, 1: "not reviewed", 2: "vault changed", 3: "no version"}
+    drafts = [(1, 1, "a", True, 2, "jd"), (1, 2, "b", True, 1, "jd"), (1, 3, "c", True, 2, "old"), (1, 4, "d", False, 1, "old")]
+    rows = R.version_gate(spark.createDataFrame(drafts, "job_id int, id int, content string, reviewed boolean, source_version int, source_jd_text string"), jobs, vaults)
+    assert {r["id"]: r["reason"] for r in rows.collect()} == {1: None, 2: "vault changed", 3: "description changed", 4: None}
+
+
+def test_stale_analysis(spark):
+    jobs = spark.createDataFrame([(k, u, score, version, "jd", source) for k, (u, score, version, source) in enumerate([("u", 5, 2, "jd"), ("u", 0, 0, "jd"), ("u", 5, 1, "jd"), ("u", 5, 2, "old"), ("u", None, 1, "old"), ("x", 5, 2, "jd"), ("u", 5, 2, None)])],
+                                 "id int, user_id string, match_score int, source_vault_version int, jd_text string, source string")
+    vaults = spark.createDataFrame([("u", 2)], "user_id string, version int")
+    rows = R.stale_analysis(jobs.withColumn("source_jd_digest", R.digest("source")), vaults)
+    assert {r["id"]: r["stale"] for r in rows.collect()} == {0: False, 1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
+
+
+def test_rules_of_rows(spark):
+    rows = spark.createDataFrame([(0, 6, "x" * 5001, None), (1, None, None, "r")], "round_number int, overall_rating int, what_went_well string, round_type string")
+    assert [r["violations"] for r in R.validate_rows(rows, R.review_rules(rows.columns)).collect()] == [["overall_rating", "round_number", "what_went_well", "round_type"], []]
+    rows = spark.createDataFrame([("  ", "t" * 255, "jd"), (None, " " + "t" * 255 + "\n", "j" * 50_001)], "company_name string, job_title string, jd_text string")
+    assert [r["violations"] for r in R.validate_rows(rows, R.application_rules(rows.columns)).collect()] == [["company_name"], ["company_name", "jd_text"]]
+    rows = spark.createDataFrame([("offer_pending", None), ("waiting", "n" * 1001)], "new_status string, notes string")
+    assert [r["violations"] for r in R.validate_rows(rows, R.status_rules(rows.columns)).collect()] == [[], ["new_status", "notes"]]
 
 
 def test_combined_score(spark):

@@ -161,3 +161,67 @@ def test_draft_from_facts(spark):
       'experiences', array(named_struct('company','C','title','T','start_date','2020','end_date','','description','did','projects',array('P'))), 'education', cast(array() as array<struct<school:string,degree:string,field:string,start_date:string,end_date:string>>)) d""")
     text = row.select(D.render_resume(F.col("d"), F.array(F.lit("python")))).first()[0]
     assert text == "# A\n\ne\n\n## 技能\n\nPython、Go\n\n## 工作经历\n\n### C · T\n\n2020\n\ndid\n\n**P**"
+
+
+VAULT = """struct<personal_info:struct<name:string,email:string>,education:array<struct<school:string,degree:string,field:string>>,
+ experiences:array<struct<company:string,title:string,projects:array<struct<name:string,description:string>>>>,skills:array<struct<name:string>>>"""
+
+
+def test_interview_brief(spark):
+    whole = (("Ann", "a@x.org"), [("MIT", None, "CS")], [("Acme", "Dev", [("P1", "made"), ("P2", None)]), ("B", None, None)], [("Python",), ("SQL",)])
+    rows = [(1, whole), (2, None), (3, (None, [], [], [])), (4, ((None, ""), None, None, None))]
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, f"k int, d {VAULT}").select("k", D.interview_brief(F.col("d"), F.lit("raw")).alias("t")).collect()}
+    assert got[1] == (
+        "## 个人信息\n姓名: Ann\n邮箱: a@x.org\n\n## 教育背景\n- MIT -  (CS)\n\n## 工作经历\n\n### Acme - Dev\n- 项目: P1\n  描述: made\n- 项目: P2\n  描述: \n\n### B - \n\n## 技能\nPython, SQL"
+    )
+    assert (got[2], got[3], got[4]) == ("raw", "", "## 个人信息")
+
+
+def test_vault_card(spark):
+    data = [(1, 3, (("Ann", None), [("MIT", None, None)], [("Acme", "Dev", None), ("B", "x", None)], [(f"s{k}",) for k in range(10)])), (2, None, ((None, None), [], [], []))]
+    rows = D.vault_card(spark.createDataFrame(data, f"user_id int, version int, structured_data {VAULT}")).collect()
+    assert tuple(rows[0]) == (1, "Ann", "Dev", "Acme", [f"s{k}" for k in range(8)], 2, 1, 3)
+    assert tuple(rows[1]) == (2, None, None, None, [], 0, 0, None)
+
+
+GOLD = """王小明
+电话：13812345678
+邮箱：wang@example.com
+
+教育背景
+北京大学 计算机科学 本科 2016 - 2020
+
+工作经历
+某某科技有限公司, 高级工程师 2020.07-至今
+项目:推荐系统重构
+负责系统
+
+技能
+Python、Redis，精通Python。
+"""
+
+
+def test_structured_resume_is_the_one_written_by_hand(spark):
+    voc = (("Python", "lang"), ("Redis", "db"), ("Go", "lang"))
+    rows = spark.createDataFrame([(1, GOLD), (2, None), (3, "")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in R.structure_resumes(rows, voc).collect()}
+    r = got[1]
+    assert (r["personal_info"]["name"], r["personal_info"]["contacts"]["email"], r["personal_info"]["contacts"]["phone"]) == ("王小明", "wang@example.com", "13812345678")
+    assert [(e["school"], e["degree"], e["start_date"], e["end_date"]) for e in r["education"]] == [("北京大学", "本科", "2016", "2020")]
+    assert [(e["company"], e["projects"]) for e in r["experiences"]] == [("某某科技有限公司", ["推荐系统重构"])]
+    assert [(s["name"], s["level"], s["category"]) for s in r["skills"]] == [("Redis", "精通", "db"), ("Python", "精通", "lang")]
+    assert r["raw_text_preview"] == GOLD
+    for k in (2, 3):
+        assert (got[k]["personal_info"]["name"], got[k]["education"], got[k]["experiences"], got[k]["skills"], got[k]["raw_text_preview"]) == (None, [], [], [], "")
+
+
+def test_accuracy_against_gold(spark):
+    kind = "doc_id int, name string, phone string, email string, education_count int, work_count int, skill_count int, project_count int"
+    gold = spark.createDataFrame([(1, "Ann", "1", "a@x", 2, 1, 4, 0), (2, "Bob", None, "b@x", 1, 1, 1, 1), (3, "Eve", "3", "e@x", 1, 0, 0, 0)], kind)
+    found = spark.createDataFrame([(1, "Ann", "2", "a@x", 1, 3, 1, 5), (2, "bob", None, None, 1, 0, 2, 1)], kind)
+    rows = {r["doc_id"]: r for r in D.extraction_accuracy(found, gold).collect()}
+    assert tuple(rows[1])[1:-1] == (1.0, 0.0, 1.0, 0.5, 1.0, 0.25, 1.0) and rows[1]["score"] == pytest.approx(4.75 / 7)
+    assert tuple(rows[2])[1:-1] == (0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0)
+    assert set(tuple(rows[3])[1:]) == {0.0}  # not extracted at all
+    means = {r["field"]: (r["mean"], r["low"]) for r in D.accuracy_summary(D.extraction_accuracy(found, gold)).collect()}
+    assert means["name"] == (pytest.approx(1 / 3), True) and means["education_count"] == (0.5, True) and means["project_count"] == (pytest.approx(2 / 3), True)
