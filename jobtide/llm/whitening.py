@@ -94,6 +94,8 @@ def rank_one(values: np.ndarray, vectors: np.ndarray, row: np.ndarray) -> tuple[
             z[a], z[b] = 0.0, r
             values[a], values[b] = c * c * values[a] + s * s * values[b], s * s * values[a] + c * c * values[b]
     live = live[np.abs(z[live]) * np.sqrt(size) > tiny]
+    if not len(live):
+        return values, vectors
     order = live[np.argsort(values[live], kind="stable")]
     d = values[order]
     if len(order) > 1:
