@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ class Scan:
 
     def _joined(self, first: int, texts: list[str]) -> Hits:
         whole = chr(_APART) + chr(_APART).join(texts) + chr(_APART)
-        found = np.array(list(self.machine.iter(whole)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.machine.iter(whole)), np.int64).reshape(-1, 2)
         # Words that end inside a longer hit of the automaton come as hits of their own.
         last, word = found[:, 0], found[:, 1]
         start = last + 1 - self.size[word]
