@@ -2,18 +2,22 @@
 
 Unit vectors are turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard transform each); a
 rotation's code of a vector is the signed axis nearest to the turned vector. A bucket of one of the ``TABLES`` tables is
-the codes of ``folds`` rotations together: as many as keep the mean bucket below ``BUCKET_ROWS``, so the number of buckets
-grows with the rows. A query probes, in every table, the ``PROBES`` buckets whose axes are nearest to it: its copies
-don't grow with the rows. Rows stand once in each table. ``AXES_IN_GROUP`` neighbouring buckets are a group; groups are
-counted, and only those with more rows or more queries than a task should hold are split. A pair is scored in the first
-table where it meets, on the original vectors in double precision, and the best of every group are merged. Queries that
-found fewer rows than asked for are searched again with all axes probed, which is exact.
+the codes of one or more rotations together. A query probes, in every table, the buckets whose axes are nearest to it.
+
+How many rotations make a bucket and how many buckets are probed is measured, not fixed: the true neighbours of a sample
+of ``SAMPLE`` queries among all rows are found by comparison, and their buckets' places in the queries' probing order tell
+the recall of every choice. Of the choices that find ``TARGET`` of them, the one that compares the least part of the rows is
+taken: near neighbours are found with few probes of small buckets, vectors without near ones need many probes of large
+ones. So recall holds at every size; what data without structure costs is comparisons.
+
+Rows stand once in each table. ``AXES_IN_GROUP`` neighbouring buckets are a group; groups are counted, and only those with
+more rows or more queries than a task should hold are split. A pair is scored in the first table where it meets, on the
+original vectors in double precision, and the best of every group are merged. Queries that found fewer rows than asked
+for are searched again with all axes probed, which is exact.
 
 Equal vectors are hashed once: each keeps its ``k`` + 1 smallest ids, which is all that a list of ``k`` can show.
 Where norms differ, one coordinate is added so that the largest inner product is the smallest angle.
 
-Recall against brute force at the default parameters is above 0.95 on the synthetic embeddings (tests measure it).
-
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, neither do rows without id; rows with the query's own id are not its candidates; repeated rows count once; ties
 go to the smaller id; an empty table gives an empty result; further columns are ignored.
@@ -32,9 +36,10 @@ from pyspark.sql import functions as F
 
 from jobtide.session import checkpointed
 
-TABLES, PROBES = 8, 20
+TABLES = 8
+SAMPLE, TARGET = 128, 0.95
+MOST_FOLD, MOST_PROBES = 3, 32  # rotations to a bucket; probes of buckets of more than one rotation
 AXES_IN_GROUP = 16
-BUCKET_ROWS = 4096
 GROUP_ROWS, GROUP_QUERIES = 32_768, 8_192  # distinct vectors and queries that a task holds of a group
 SEED = 20_240
 
@@ -54,11 +59,6 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def folds(n: int, width: int, most: int = 4) -> int:
-    """Rotations to a table, so that n rows make buckets of ``BUCKET_ROWS`` at most in the mean."""
-    return next((k for k in range(1, most) if n <= BUCKET_ROWS * (2 * width) ** k), most)
-
-
 def padded(dim: int) -> int:
     return 1 << max(0, (dim - 1).bit_length())
 
@@ -124,11 +124,69 @@ def _crowds(coded: DataFrame, most: int) -> dict[tuple[int, int], int]:
     return {(r["table"], r["part"]): -(-r["count"] // most) for r in rows.collect()}
 
 
-def _search(index: DataFrame, queries: DataFrame, k: int, n: int, dim: int, longest: float, lift: bool, tables: int, probes: int | None) -> DataFrame:
-    width = padded(dim + int(lift))
-    fold = 1 if probes is None else folds(n, width)
-    every = 2 * width
-    many = every if probes is None else min(probes, every**fold)
+def neighbours(index: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest distinct vectors of some vectors among all rows (not the row that is the vector's own alone): places of the askers, and vectors."""
+    spec = index.sparkSession.sparkContext.broadcast((ids, asked))  # SAMPLE vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = spec.value
+        best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            v, names = _matrix(batch.column(0)), batch.column(1)
+            if not len(v):
+                continue
+            value = q @ v.T
+            alone = {x[0]: j for j, x in enumerate(names.to_pylist()) if len(x) == 1}
+            for i, name in enumerate(own.tolist()):
+                if name in alone:
+                    value[i, alone[name]] = -np.inf
+            top = np.argsort(-value, 1, kind="stable")[:, :k]
+            who = np.repeat(np.arange(len(q)), top.shape[1])
+            new = (who, v[top.ravel()], np.take_along_axis(value, top, 1).ravel())
+            if best is not None:
+                new = tuple(np.concatenate([a, b]) for a, b in zip(best, new, strict=True))
+                order = np.lexsort((-new[2], new[0]))
+                place = np.arange(len(order)) - np.searchsorted(new[0][order], new[0][order])
+                new = tuple(x[order[place < k]] for x in new)
+            best = new
+        if best is not None:
+            some = best[2] > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(best[0][some]), pa.array([r.tobytes() for r in best[1][some]], pa.binary()), pa.array(best[2][some])], ["who", "v", "value"])
+
+    rows = index.select("v", "ids").mapInArrow(run, "who bigint, v binary, value double")
+    got = rows.withColumn("r", F.row_number().over(W.partitionBy("who").orderBy(F.desc("value"), "v"))).filter(F.col("r") <= k).toArrow()  # SAMPLE * k rows
+    v = np.frombuffer(b"".join(got.column("v").to_pylist()), float).reshape(got.num_rows, -1)
+    return got.column("who").to_numpy(), v
+
+
+def measured(index: DataFrame, queries: DataFrame, k: int, longest: float, lift: bool, tables: int) -> tuple[int, int]:
+    """Rotations to a bucket and probes a table that find ``TARGET`` of the sample's neighbours with the fewest comparisons."""
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow().combine_chunks()
+    if not some.num_rows:
+        return 1, 1
+    ids, asked = some.column("vec_id").to_numpy(), _matrix(some.column("v").combine_chunks())
+    who, near = neighbours(index, ids, asked, k)
+    width = padded(asked.shape[1] + int(lift))
+    every, choice = 2 * width, (1, 2 * width)
+    if not len(near):
+        return choice
+    share = 1.0
+    for fold in range(1, MOST_FOLD + 1):
+        if every**fold >= 1 << 31:
+            break
+        most = every if fold == 1 else min(MOST_PROBES, every**fold)
+        probing = buckets(_directions(asked, longest, lift, True), tables, fold, most)
+        own = buckets(_directions(near, longest, lift, False), tables, fold)
+        hit = probing[who] == own
+        place = np.where(hit.any(2), hit.argmax(2), most).min(1)  # in the table that finds it first
+        found = np.cumsum(np.bincount(place, minlength=most + 1))[:most] / len(place)
+        enough = np.flatnonzero(found >= TARGET)
+        if len(enough) and (enough[0] + 1) / every**fold < share:
+            share, choice = (enough[0] + 1) / every**fold, (fold, int(enough[0]) + 1)
+    return choice
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, n: int, dim: int, longest: float, lift: bool, tables: int, fold: int, many: int) -> DataFrame:
 
     def codes(v: np.ndarray, query: bool) -> np.ndarray:
         return buckets(_directions(v, longest, lift, query), tables, fold, many if query else 1)
@@ -236,8 +294,11 @@ def _search(index: DataFrame, queries: DataFrame, k: int, n: int, dim: int, long
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embedding", ident: str = "vec_id", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """The ``k`` nearest rows found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
+def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embedding", ident: str = "vec_id", tables: int = TABLES, fold: int | None = None, probes: int | None = None) -> DataFrame:
+    """The ``k`` nearest rows found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score.
+
+    ``fold`` and ``probes`` (rotations to a bucket, probes a table) are measured unless both are given.
+    """
     rows = valid(vectors, vec, ident).groupBy("vec_id", "v").agg(F.lit(1).alias("_one")).drop("_one")
     near = W.partitionBy("v").orderBy("vec_id")
     index = rows.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -247,13 +308,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embeddi
     n, low, high, dim = stats["n"], stats["low"] or 1.0, stats["high"] or 1.0, stats["dim"] or 1
     lift = high - low > 1e-3 * high
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    found = checkpointed(_search(index, queries, k, n, dim, high, lift, tables, probes))
+    if fold is None or probes is None:
+        fold, probes = measured(index, queries, k, high, lift, tables)
+    found = checkpointed(_search(index, queries, k, n, dim, high, lift, tables, fold, probes))
     # A query with fewer rows than asked for: all axes probed, all rows compared.
     there = found.groupBy("query_id").agg(F.count("*").alias("got"))
     short = queries.join(there, queries["vec_id"] == there["query_id"], "left").filter(F.coalesce("got", F.lit(0)) < F.lit(k)).select("vec_id", "v")
     if short.isEmpty():
         return found
-    again = _search(index, short, k, n, dim, high, lift, 1, None)
+    again = _search(index, short, k, n, dim, high, lift, 1, 1, 2 * padded(dim + int(lift)))
     return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
 

@@ -121,9 +121,35 @@ def test_recall(spark, vectors):
         assert len(found) == 20 and all(abs(s - vectors[q] @ vectors[i]) < 1e-12 for i, s in found)
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 4])
-def test_crowded_groups_are_split_without_loss(spark, vectors, bucket_rows, monkeypatch):
-    monkeypatch.setattr(ann, "BUCKET_ROWS", bucket_rows)  # 4: two rotations to a table
+def compared(v, fold, probes, every=20):
+    """Share of the pairs of queries and rows that meet in a bucket."""
+    ask, own = ann.buckets(v[::every], ann.TABLES, fold, probes), ann.buckets(v, ann.TABLES, fold)[:, :, 0]
+    return np.mean([(row[:, None, :] == own.T[:, :, None]).any((0, 2)).mean() for row in ask])
+
+
+@pytest.mark.parametrize("n, spread, folds, most", [(500, None, {1}, 1.0), (4000, None, {1}, 1.0), (500, 0.15, {1, 2, 3}, 0.2), (2000, 0.15, {2, 3}, 0.2), (8000, 0.15, {2, 3}, 0.2)])
+def test_recall_holds_at_every_size(spark, n, spread, folds, most, monkeypatch):
+    """Vectors without near ones, and clusters of 25; the choice is measured, one rotation or several."""
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 32))
+    if spread:
+        v = np.repeat(v[: n // 25], 25, 0) + spread * rng.normal(size=(n, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    chosen, measure = [], ann.measured
+    monkeypatch.setattr(ann, "measured", lambda *x: chosen.append(measure(*x)) or chosen[0])
+    got = {}
+    for r in ann.search(rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = ann.brute_force(np.arange(n), v)
+    assert np.mean([len({i for i, _ in want[q]} & got[q]) / 20 for q in want]) >= 0.9
+    assert chosen[0][0] in folds
+    assert compared(v, *chosen[0]) <= most
+
+
+@pytest.mark.parametrize("fold", [1, 2])
+def test_crowded_groups_are_split_without_loss(spark, vectors, fold, monkeypatch):
+    monkeypatch.setattr(ann, "measured", lambda *_: (fold, 20))
     rows = spark.createDataFrame([(k, x.tolist(), "x") for k, x in enumerate(vectors * np.linspace(0.5, 1.5, 600)[:, None])], "vec_id long, embedding array<double>, v string")
     want = sorted(map(tuple, ann.search(rows).collect()))
     monkeypatch.setattr(ann, "GROUP_ROWS", 40)
