@@ -7,11 +7,14 @@ name pass through unharmed.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.llm import bpe, jaccard, langid, mixing, quality
+from jobtide.session import shared_folder
 
 #: A text goes if no language takes this share of it.
 LEAST_SHARE = 0.5
@@ -87,13 +90,15 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("mixing", mixed), ("bpe", encoded)]
-#: Learned models and hashed joins have no SQL; tests compare every stage with a brute-force version.
+#: Learned models and hashed joins have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage keeps is written once to the shared folder, so no stage is computed again for the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
