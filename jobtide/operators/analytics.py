@@ -61,28 +61,40 @@ def rating_trend(reviews: DataFrame) -> DataFrame:
     return rows.select("user_id", "month", rate("s", "n", 2).alias("mean_rating"))
 
 
-def _as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    return rows.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+def _totals_of(parts: Column, key: str, *sums: str) -> Column:
+    """The sums of some parts (structs) by a key of theirs: array of struct(key, sums), by key."""
+
+    def one(k: Column) -> Column:
+        own = F.filter(parts, lambda x: x[key] == k)
+        total = lambda c: F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x[c])
+        return F.struct(k.alias("key"), *[total(c).alias(c) for c in sums])
+
+    return F.transform(F.array_sort(F.array_distinct(F.transform(parts, lambda x: x[key]))), one)
 
 
 def user_summary(users: DataFrame, applications: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per user with all of the above; users without applications get zeros and null rates.
 
-    ``rating_trend`` is null for users without reviews and an empty map where none is rated.
+    ``rating_trend`` is null for users without reviews and an empty map where none is rated. Applications and reviews are
+    read once each: counted by channel and size (by month), then put together by user, who has few of either.
     """
-    totals = application_totals(applications)
-    reviewed = reviews.select("user_id").distinct().withColumn("_reviewed", F.lit(True))
-    out = users.select("user_id").join(totals, "user_id", "left")
-    for rows in (
-        _as_map(channel_effectiveness(applications), "channel", "effectiveness", "channels"),
-        _as_map(company_size_distribution(applications), "company_size", "n", "company_sizes"),
-        _as_map(rating_trend(reviews), "month", "mean_rating", "rating_trend"),
-        reviewed,
-    ):
-        out = out.join(rows, "user_id", "left")
+    days = {"response": days_between("applied_at", "first_response_at"), "result": days_between("applied_at", "final_result_at")}
+    waits = [f(F.when(d >= 0, d)).alias(f"{name}_{k}") for name, d in days.items() for k, f in (("s", F.sum), ("n", F.count))]
+    by_kind = applications.groupBy("user_id", falsy_text("channel").alias("channel"), falsy_text("company_size").alias("company_size")).agg(*_counts(), F.count_if(F.col("status") == "rejected").alias("rejections"), *waits)
+    sums = ("applications", "interviews", "offers", "rejections", "response_s", "response_n", "result_s", "result_n")
+    totals = by_kind.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in sums], F.collect_list(F.struct("channel", "company_size", "applications", "interviews")).alias("parts"))
+    channels = F.transform(_totals_of(F.col("parts"), "channel", "applications", "interviews"), lambda x: F.struct(x["key"], rate(x["interviews"], x["applications"], 4)))
+    sizes = F.transform(_totals_of(F.col("parts"), "company_size", "applications"), lambda x: F.struct(x["key"], x["applications"]))
+    rated = truthy("overall_rating")
+    months = reviews.groupBy("user_id", F.when(rated.isNotNull(), F.date_format("interview_date", "yyyy-MM")).alias("month")).agg(F.sum(rated).alias("s"), F.count("*").alias("n"))
+    trend = months.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", rate("s", "n", 2))))))).alias("rating_trend"))
+    out = users.select("user_id").join(totals, "user_id", "left").join(trend, "user_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("applications", "interviews", "offers", "rejections")]
-    trend = F.when(F.col("_reviewed"), F.coalesce("rating_trend", F.expr("cast(map() as map<string,double>)")))
-    return out.select("user_id", *zero, "interview_rate", "offer_rate", "success_rate", "avg_days_to_response", "avg_days_to_result", "channels", "company_sizes", trend.alias("rating_trend"))
+    return out.select(
+        "user_id", *zero, rate("interviews", "applications").alias("interview_rate"), rate("offers", "interviews").alias("offer_rate"), rate("offers", "applications").alias("success_rate"),
+        rate("response_s", "response_n").alias("avg_days_to_response"), rate("result_s", "result_n").alias("avg_days_to_result"),
+        F.map_from_entries(channels).alias("channels"), F.map_from_entries(sizes).alias("company_sizes"), "rating_trend",
+    )
 
 
 def funnel(applications: DataFrame) -> DataFrame:

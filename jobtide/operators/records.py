@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from jobtide.sources.tables import KeyedTable
+
 SIMPLE_STATUSES = ("preparing", "applied", "interviewing", "offered", "rejected")
 HISTORY_STATUSES = ("preparing", "applied", "resume_screening", "interview_scheduled", "interviewing", "offer_pending", "offered", "rejected", "withdrawn")
 MILESTONES = {"applied_at": ("applied",), "interview_scheduled_at": ("interview_scheduled",), "final_result_at": ("offered", "rejected")}
@@ -291,3 +293,8 @@ def last_incoming(incoming: DataFrame, key: str = "user_id", order: tuple[str, .
 def vault_change(old: DataFrame, new: DataFrame) -> dict[str, Column]:
     """For ``KeyedTable.upsert``: new content, version + 1 (1 for a new user); the confirmation goes with the content it was given for."""
     return {"raw_content": new["raw_content"], "structured_data": new["structured_data"], "version": (F.coalesce(old["version"], F.lit(0)) + 1).cast("int"), "confirmed": F.lit(False)}
+
+
+def write_user_summary(table: KeyedTable, summary: DataFrame, batch: int) -> list[int]:
+    """Create or replace one row a user; the buckets of users who aren't in ``summary`` stay as they are."""
+    return table.upsert(summary, batch)

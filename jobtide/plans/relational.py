@@ -493,7 +493,7 @@ def src6_write_user_summary(v: Views) -> DataFrame:
     stats = A.review_stats(v.reviews)
     table = KeyedTable(v.spark, f"{shared_folder(v.spark)}/user_summary_{uuid.uuid4().hex}", "user_id", stats.schema, buckets=16)
     for batch, rows in enumerate((A.review_stats(v.reviews.filter("round_number < 3")), stats)):
-        table.upsert(rows, batch)
+        R.write_user_summary(table, rows, batch)
     return table.read()
 
 
