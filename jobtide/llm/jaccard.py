@@ -9,14 +9,18 @@ words of ``WORD_BITS`` bits: it belongs to one word. At most d words of a linked
 or one n-gram are left out as long as they are fewer than e.
 
 *Candidates.* Because e + 1 words agree, linked sets share several keys. Pairs in groups of up to ``SMALL_GROUP`` sets are
-counted, and those that share fewer keys are chance meetings. A larger group gives a star, an edge of each of its sets to
-the first one. Sets that edges connect are a family; linked sets are always of one family.
+counted one by one. Of larger groups each set counts how many it is in: two sets can share no more keys there than the one
+with fewer has. Pairs whose keys from small groups and this bound together are too few are chance meetings. A larger
+group gives a star, an edge of each set to the first one, but only of those sets that could be linked by keys of large
+groups alone: a common line puts many texts into one large group, and as one agreeing word is not enough, into no
+family. Sets that edges connect are a family; linked sets are always of one family.
 
 *Verification.* Families are cut into blocks of bounded size. Each pair of blocks is a task of its own: short sketches are
 compared (their Hamming distance is a lower bound of the symmetric difference and rejects what can't be linked), then all
 pairs that are left are verified on the n-grams. What leaves the task are, for each set, the number of its links and
-the least set that it is connected with there, not the pairs. So all links are found and counted while the rows stay in
-proportion to the sets. ``links`` gives the pairs themselves.
+the least set that it is connected with there, not the pairs. So all links are found and counted, and rows that leave
+stay in proportion to the sets; a set's n-grams travel once for each block of its family, so a family of F sets costs
+F * F / ``BLOCK`` copies. ``links`` gives the pairs themselves.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, hashed to 64 bits as the n-grams are. A class is a
 64-bit hash of its set; if two sets ever have one hash, a second hash tells and the job ends with an error.
@@ -51,7 +55,6 @@ STEP = 1024  # sets that are compared at a time
 SKETCH_BITS = 512
 COLUMNS = 2048  # n-grams of a product of indicator matrices at a time
 HELD_KEYS = 1 << 20  # keys that a task holds before it hands them on
-SURE = 1 << 20
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -154,13 +157,29 @@ def _words(grams: np.ndarray, m: int, spare: int) -> tuple[np.ndarray, np.ndarra
 
 
 def segment_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of a set, its sketch words in each scheme, and a tag: its role there, and the log2 of its sure matches (times 2)."""
-    keys, roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    """Join keys of a set, its sketch words in each scheme, and a tag.
+
+    The tag has the role there (1 bit), the log2 of the sure matches (2 bits: 8 at most are asked for), and whether a
+    partner may have half as many (1 bit).
+    """
+    keys, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for band, m, spare, role in schemes(len(grams), num, den):
         where, value, left = _words(grams, m, spare)
         keys.append(mixed(value + mixed(where + np.uint64((band + 1) << 40))))
-        roles.append(np.full(len(where), role + 2 * min(7, (1 + spare - left).bit_length() - 1), np.int64))
-    return np.concatenate(keys), np.concatenate(roles)
+        sure = min(3, (1 + spare - left).bit_length() - 1)
+        least = min(3, (1 + spare - 2 * spare // 3).bit_length() - 1)  # of a partner that leaves out all it may
+        tags.append(np.full(len(where), role | sure << 1 | (least < sure) << 3, np.int64))
+    return np.concatenate(keys), np.concatenate(tags)
+
+
+def sure_matches(tag: np.ndarray) -> np.ndarray:
+    """Keys that the set shares with a linked one for sure, if the other has no fewer sure ones."""
+    return 1 << (tag >> 1 & 3)
+
+
+def least_matches(tag: np.ndarray) -> np.ndarray:
+    """Keys that the set shares with any linked one for sure."""
+    return np.maximum(1, sure_matches(tag) >> (tag >> 3 & 1))
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int, text: str, ident: str) -> DataFrame:
@@ -180,8 +199,10 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, text: str, ident
 
 
 def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
-    """Classes that share keys: pairs (a, b, n shared keys, need) from groups up to ``SMALL_GROUP``; edges (a, b) to the first class of larger ones.
+    """Classes that share keys, as rows a, b, ra, rb, n, need.
 
+    Pairs in groups up to ``SMALL_GROUP``: classes and roles, shared keys, sure matches. Members of larger groups: the first
+    class of the group, the member, -1, its role, the number of such groups, its least matches; the first is its own member.
     Sets that are both of the upper band of a scheme meet in their own scheme, so not here.
     """
     spark = docs.sparkSession
@@ -208,13 +229,13 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
             yield dealt(np.concatenate(keys), np.concatenate(owners))
 
     def dealt(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        """Keys and owners by lane. Of a group that is large already here, ``SMALL_GROUP`` + 1 sets go on; an edge to the first one stands for each other."""
+        """Keys and owners by lane. Of a group that is large already here, ``SMALL_GROUP`` + 1 sets go on; the others are members of the first one's group for sure."""
         order = np.lexsort((owner, owner & 1, key))
         key, owner = key[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         beyond = np.arange(len(key)) - np.repeat(first, size) > SMALL_GROUP
-        edges = np.unique(np.stack([owner[np.repeat(first, size)[beyond]] & ~15, owner[beyond] & ~15], 1), axis=0)
+        edges, many = np.unique(np.stack([owner[np.repeat(first, size)[beyond]] & ~15, owner[beyond]], 1), axis=0, return_counts=True)
         key, owner = key[~beyond], owner[~beyond]
         lane = np.concatenate([(key % np.uint64(lanes)).astype(np.int32), (edges[:, 1].view(np.uint64) // np.uint64(16) % np.uint64(lanes)).astype(np.int32)])
         values = np.concatenate([signed(key), edges[:, 0]]), np.concatenate([owner, edges[:, 1]])
@@ -223,16 +244,17 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
         group = kind[order] * lanes + lane[order]
         found, at = np.unique(group, return_index=True)
         ends = np.append(at, len(order))
+        many = lists(many[order[len(key) :] - len(key)].astype(np.int32), np.maximum(0, ends - len(key)))  # of members alone, which come last
         return pa.RecordBatch.from_arrays(
-            [pa.array((found % lanes).astype(np.int32)), pa.array(found >= lanes), lists(values[0][order], ends), lists(values[1][order], ends)], ["lane", "edge", "keys", "owners"]
+            [pa.array((found % lanes).astype(np.int32)), pa.array(found >= lanes), lists(values[0][order], ends), lists(values[1][order], ends), many], ["lane", "edge", "keys", "owners", "many"]
         )
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners = [], []
         for batch in batches:
-            for edge, key, owner in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for edge, key, owner, many in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if edge:
-                    yield edges(np.asarray(key.values), np.asarray(owner.values))
+                    yield members(np.asarray(key.values), np.asarray(owner.values), np.asarray(many.values))
                 else:
                     keys.append(np.asarray(key.values).view(np.uint64))
                     owners.append(np.asarray(owner.values))
@@ -259,21 +281,38 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
                 pairs.append(np.sort(np.stack([x[keep], y[keep]], 1), 1))
         if pairs:
             pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            need = 1 << ((np.minimum(pair[:, 0] & 15, pair[:, 1] & 15)) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] & ~15), pa.array(pair[:, 1] & ~15), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "n", "need"])
+            yield shown(pair[:, 0] & ~15, pair[:, 1] & ~15, pair[:, 0] & 1, pair[:, 1] & 1, n, np.minimum(sure_matches(pair[:, 0] & 15), sure_matches(pair[:, 1] & 15)))
         stars = []
         for f, k in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
-            members = np.unique(owner[f : f + k] & ~15)
-            stars.append(np.stack([np.full(len(members) - 1, members[0]), members[1:]], 1))
+            own = owner[f : f + k]
+            stars.append(np.stack([np.full(k, own.min() & ~15), own], 1))
         if stars:
-            yield edges(*np.unique(np.concatenate(stars), axis=0).T)
+            star, many = np.unique(np.concatenate(stars), axis=0, return_counts=True)
+            yield members(star[:, 0], star[:, 1], many)
+
+    def members(hub: np.ndarray, owner: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return shown(hub, owner & ~15, np.full(len(hub), -1), owner & 1, many, least_matches(owner & 15))
+
+    def shown(a: np.ndarray, b: np.ndarray, *small: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in small)], ["a", "b", "ra", "rb", "n", "need"])
+
+    rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, edge boolean, keys array<bigint>, owners array<bigint>, many array<int>")
+    return rows.repartition(parts, "lane").select("edge", "keys", "owners", "many").mapInArrow(grouped, "a bigint, b bigint, ra int, rb int, n int, need int")
 
-    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        """Edges that need no count."""
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), SURE, np.int32)), pa.array(np.zeros(len(a), np.int32))], ["a", "b", "n", "need"])
 
-    rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, edge boolean, keys array<bigint>, owners array<bigint>")
-    return rows.repartition(parts, "lane").select("edge", "keys", "owners").mapInArrow(grouped, "a bigint, b bigint, n int, need int")
+def candidates(found: DataFrame) -> DataFrame:
+    """Edges a, b between classes that may be linked, directly or by way of a group, from the rows of ``met`` (summed up)."""
+    large = found.filter("ra < 0")
+    # In how many large groups a class is; copies of a text that several tasks have seen may count twice, which keeps more.
+    held = large.groupBy("b", "rb").agg(F.sum("n").alias("held"))
+    # A first class keeps its edges: one group may have several, one from each task that had a large part of it.
+    first = large.select(F.col("a").alias("b")).distinct().withColumn("first", F.lit(True))
+    kept = (F.col("held") >= F.col("need")) | F.coalesce("first", F.lit(False))
+    stars = large.join(held, ["b", "rb"]).join(first, "b", "left").filter(kept & (F.col("a") != F.col("b"))).select("a", "b")
+    of = lambda x: held.select(F.col("b").alias(x), F.col("rb").alias(f"r{x}"), F.col("held").alias(f"held_{x}"))
+    pairs = found.filter("ra >= 0").join(of("a"), ["a", "ra"], "left").join(of("b"), ["b", "rb"], "left")
+    most = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+    return pairs.filter(F.col("n") + most >= F.col("need")).select("a", "b").unionByName(stars).distinct()
 
 
 def _bit_table(ids: DataFrame) -> bytes:
@@ -448,8 +487,8 @@ def _verified(edges: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, n
 
 def _links(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, pairs: bool = False) -> DataFrame:
     sizes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"))
-    edges = met(docs, words, num, den, text).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    edges = checkpointed(edges.filter(F.col("n") >= F.col("need")).select("a", "b"))  # chance meetings end here
+    found = met(docs, words, num, den, text).groupBy("a", "b", "ra", "rb").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    edges = checkpointed(candidates(checkpointed(found)))  # chance meetings end here
     return _verified(edges, sizes, docs, words, num, den, text, pairs)
 
 

@@ -5,7 +5,8 @@ pairs, word shape and repetition, then one dense tanh layer); gated attention (a
 the passages; the weighted sum is scored by a logistic unit. Encoder, attention and classifier are learned together
 from document labels by Adam on the whole bag's loss, classes weighed evenly.
 
-The fit uses a bounded sample of labelled rows, ``TRAIN_ROWS`` a class by the smallest hash (documented parameter);
+The fit uses a bounded sample of labelled rows, ``TRAIN_ROWS`` a class by the smallest hash and ``TRAIN_BYTES`` of text a class
+(documented parameters; a longer text is left out of the sample), so that what comes to the driver is bounded too;
 scoring covers every row and every passage of every text.
 
 Defined results: null and empty texts are one empty passage and get a score; without labelled rows of both classes every
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.llm.langid import crc_mod
@@ -28,7 +30,7 @@ from jobtide.llm.textvec import of_text, slices, span_hashes, word_spans
 
 PASSAGE = 512
 SLICE, SLICE_ROWS = 1 << 20, 4096  # of texts encoded at a time
-TRAIN_ROWS = 1500
+TRAIN_ROWS, TRAIN_BYTES = 1500, 32 << 20
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
 
@@ -163,17 +165,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(shift, scale, w)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts a class, those with the smallest hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> DataFrame:
+    """At most ``rows`` labelled ids a class, those with the smallest hash, and at most ``most`` bytes of their texts."""
     known = labels.filter(labels[label].isin(0, 1)).select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("label"))
     known = known.withColumn("_h", F.md5(F.concat(F.lit("quality/"), F.col("_id").cast("string"))))
     least = [known.filter(F.col("label") == value).orderBy("_h", "_id").limit(rows) for value in (0, 1)]
     chosen = least[0].unionByName(least[1])
-    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text"))
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most)
     known_texts = texts.join(F.broadcast(chosen), "_id").withColumn("_t", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))  # 2 * rows ids
     known_texts = known_texts.dropDuplicates(["_id", "_t", "label"])
     parts = [known_texts.filter(F.col("label") == value).orderBy("_h", "_id", "_t").limit(2 * rows) for value in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("text", "label")
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.partitionBy("label").orderBy("_h", "_id", "_t").rowsBetween(W.unboundedPreceding, 0))  # 4 * rows texts
+    return parts[0].unionByName(parts[1]).withColumn("_sum", so_far).filter(F.col("_sum") <= most).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:

@@ -6,8 +6,8 @@ A known fact of BPE carries it: the last token of the encoding of every prefix i
 another exactly if the pair, encoded together, stays that pair. So a state is the set of unfinished vocabulary prefixes
 that end here, each with the token before it and the number of tokens there relative to here; its transition on a byte
 is annotated with the change of the token count (which can be negative: letters join into longer tokens). States are
-finite in number and are determinised on first use; when ``MAX_STATES`` are held the table starts anew, which costs
-time, never exactness.
+finite in number. The driver compiles those that a few texts need and broadcasts them; workers determinise the others
+on first use; when ``MAX_STATES`` are held the table starts anew, which costs time, never exactness.
 
 Texts are cut into chunks of ``CHUNK`` bytes that step through the table side by side. A chunk starts in an unknown
 state; its state map becomes constant at its first piece start. The maps are composed by a scan over the chunks: what
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from jobtide.llm.textvec import slices
@@ -61,10 +62,10 @@ def char_classes() -> np.ndarray:
     return table
 
 
-def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+def piece_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Marks the characters that begin a piece. ``first`` marks the characters that begin a text."""
     n = len(points)
-    kind = char_classes()[points]
+    kind = classes[points]
     white = kind >= BLANK
     before = np.empty(n, np.uint8)
     before[0], before[1:] = OTHER, kind[:-1]
@@ -121,7 +122,9 @@ class Vocabulary:
         tokens = {raw(t) for t in model["vocab"] if t not in added}
         self.words: list[bytes | None] = [None]  # per node: its bytes, if they are a token
         self.below: list[dict[int, int]] = [{}]
-        for token in sorted(t for t in tokens if self.encode(t) == [t]):
+        #: Per token: its last merge (rank and both parts); bytes have none.
+        last = {t: self._last_merge(t) for t in tokens}
+        for token in sorted(t for t in tokens if last[t] is not None):
             node = 0
             for byte in token:
                 if byte not in self.below[node]:
@@ -137,8 +140,28 @@ class Vocabulary:
             for child in self.below[node].values():
                 found = None if found is None or self.longer[child] is None else found + [child] * (self.words[child] is not None) + self.longer[child]
             self.longer[node] = found if found is not None and len(found) <= self.FEW else None
+        place = {word: node for node, word in enumerate(self.words) if word is not None}
+        self.order = [-1] * len(self.words)  # rank of the last merge, and the nodes of its parts
+        self.parts: list[tuple[int, int] | None] = [None] * len(self.words)
+        for word, node in place.items():
+            if len(word) > 1:
+                self.order[node], left, right = last[word]
+                self.parts[node] = place[left], place[right]
+        self.joins = {(place[a], place[b]): rank for (a, b), rank in self.rank.items() if a in place and b in place}
         self._pairs: dict[tuple[int, int], bool] = {}
 
+    def _last_merge(self, word: bytes) -> tuple[int, bytes, bytes] | None:
+        """Rank and parts of the merge that ends the encoding of a token; None if it isn't encoded as itself."""
+        if len(word) == 1:
+            return -1, word, b""
+        parts = [word[k : k + 1] for k in range(len(word))]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), 1 << 30))
+            if (parts[best], parts[best + 1]) not in self.rank:
+                return None
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return (self.rank[parts[0], parts[1]], parts[0], parts[1]) if (parts[0], parts[1]) in self.rank else None
+
     def encode(self, word: bytes) -> list[bytes]:
         """Plain BPE: merge the pair of lowest rank until none is left."""
         parts = [word[k : k + 1] for k in range(len(word))]
@@ -150,15 +173,31 @@ class Vocabulary:
         return parts
 
     def may_follow(self, a: int, b: int) -> bool:
-        """True if the tokens of nodes a and b, encoded together, stay these two tokens."""
+        """True if the tokens of nodes a and b, encoded together, stay these two tokens.
+
+        Seen backwards, the merges of both are undone, the latest first. At every stage the two pieces at the border would
+        merge if their pair ranks before the merge that is undone next; on equal rank the one further left goes first.
+        """
         key = (a, b)
         if key not in self._pairs:
             if len(self._pairs) > 1 << 18:
                 self._pairs.clear()
-            x, y = self.words[a], self.words[b]
-            self._pairs[key] = self.encode(x + y) == [x, y]
+            self._pairs[key] = self._apart(a, b)
         return self._pairs[key]
 
+    def _apart(self, a: int, b: int) -> bool:
+        order, parts, joins = self.order, self.parts, self.joins
+        before = 1 << 40  # a pair that ranks below this would have merged across the border
+        while True:
+            if joins.get((a, b), 1 << 40) < before:
+                return False
+            if order[a] < 0 and order[b] < 0:
+                return True
+            if order[a] > order[b]:
+                before, a = order[a], parts[a][1]
+            else:
+                before, b = order[b] + 1, parts[b][0]
+
 
 class Transducer:
     """Byte transitions with count annotations, determinised on first use. State 0: start of a piece; 1: unknown.
@@ -172,6 +211,7 @@ class Transducer:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
+        self.classes = char_classes()
         self.clear()
 
     def clear(self) -> None:
@@ -299,6 +339,23 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+#: Texts, and bytes of each, that the driver compiles transitions from before the work begins.
+WARM_TEXTS, WARM_BYTES = 400, 2000
+
+
+def compiled(docs: DataFrame, path: str, text: str = "text") -> Transducer:
+    """The transducer with the transitions that some texts need, so that workers begin with the frequent ones.
+
+    What else a worker meets it compiles itself: results don't depend on the texts, which are the first ones at hand.
+    """
+    machine = transducer(path)
+    if len(machine.states) < WARM_TEXTS:  # once a process
+        some = docs.select(F.substring(docs[text], 1, WARM_BYTES).alias("text")).limit(WARM_TEXTS).toArrow().combine_chunks()
+        for _, data, offsets in slices(iter(some.to_batches()), most=SLICE):
+            count(data, offsets, machine)
+    return machine
+
+
 def count(data: np.ndarray, offsets: np.ndarray, machine: Transducer) -> np.ndarray:
     """Tokens of each text; special strings inside a text are one token each, as the library takes them."""
     n = len(data)
@@ -319,7 +376,7 @@ def count(data: np.ndarray, offsets: np.ndarray, machine: Transducer) -> np.ndar
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     starts = np.zeros(n, bool)
-    starts[lead[piece_starts(points, bounds[lead])]] = True
+    starts[lead[piece_starts(points, bounds[lead], machine.classes)]] = True
     emitted = machine.run(data, starts)
     if special.any():
         emitted = emitted.copy()
@@ -332,9 +389,10 @@ def count(data: np.ndarray, offsets: np.ndarray, machine: Transducer) -> np.ndar
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Per row: ident, n_bytes, n_tokens, over_limit (n_tokens > limit). ``path``: a byte-level BPE file."""
     kind = docs.schema[ident].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(docs, path, text))  # vocabulary and a bounded table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
+        machine = shared.value
         for batch, data, offsets in slices(batches, most=SLICE):
             tokens = count(data, offsets, machine)
             yield pa.RecordBatch.from_arrays(
