@@ -167,7 +167,7 @@ def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:
     """vec_id and v (doubles) of the rows that take part, and their length (0 without rows)."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall("v", lambda e: F.coalesce(F.abs(e) <= LARGEST, F.lit(False)) & ~F.isnan(e))
-    rows = embeddings.select("vec_id", v.alias("v")).filter(F.col("v").isNotNull()).filter(good)
+    rows = embeddings.select("vec_id", v.alias("v")).filter(F.size("v") > 0).filter(good)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     width = sizes[0]["d"] if sizes else 0
     return rows.filter(F.size("v") == width), width
