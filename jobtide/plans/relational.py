@@ -448,7 +448,8 @@ def src1_typed_table(v: Views) -> DataFrame:
 def _database(v: Views) -> dict[str, str]:
     """The database of the setting ``jobtide.database.url``; on a single machine an embedded one in memory, if it is unset."""
     url = v.spark.conf.get("jobtide.database.url", None)
-    if url is None and not v.spark.sparkContext.master.startswith("local["):
+    master = v.spark.sparkContext.master
+    if url is None and (not master.startswith("local") or master.startswith("local-cluster")):
         raise RuntimeError("jobtide.database.url must name a database that all executors reach")
     driver = v.spark.conf.get("jobtide.database.driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver" if url is None else "")
     return {"url": url or "jdbc:derby:memory:jobtide;create=true"} | ({"driver": driver} if driver else {})

@@ -17,8 +17,8 @@ class KeyedTable:
     An upsert reads and writes only the buckets that its rows fall in (partition pruning; dynamic partition overwrite);
     the files of the others stay as they are. It is safe to repeat: each row bears the number of the batch that changed
     it last, and a batch doesn't change a row twice. It is safe to interrupt: the merged buckets are written beside the
-    table first, and only a finished write is moved into it; what an interrupted run left is moved by the next one.
-    One writer at a time. The number of buckets is chosen when the table is made (a bucket is what an upsert rewrites at
+    table first, and only a finished write is moved into it; what an interrupted run left is moved by the next one. Until
+    then a reader may find a bucket as it was, as it will be or, if the move itself was cut, not at all. One writer at a time. The number of buckets is chosen when the table is made (a bucket is what an upsert rewrites at
     least) and has to stay the same.
     """
 
