@@ -32,6 +32,7 @@ n has one n-gram, its whole sequence; repeated rows and equal texts are in one g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from jobtide.llm.graph import components
 from jobtide.llm.textvec import LOWER, lists, mixed, signed, slices, span_hashes, word_spans
-from jobtide.session import checkpointed
+from jobtide.session import checkpointed, shared_folder
 
 FILTER_BITS = 1 << 26  # of the bit table that tells which sets a scan has to emit: 8 MB
 SPARE = 5  # one word in so many is spare: more keys, but linked sets share several of them
@@ -488,7 +489,13 @@ def _verified(edges: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, n
 def _links(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, text: str, pairs: bool = False) -> DataFrame:
     sizes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"))
     found = met(docs, words, num, den, text).groupBy("a", "b", "ra", "rb").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    edges = checkpointed(candidates(checkpointed(found)))  # chance meetings end here
+    # Read three times; as columns, chance meetings take a third of the room that a checkpoint would take.
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/met_{uuid.uuid4().hex}"
+    found.write.parquet(folder)
+    edges = checkpointed(candidates(spark.read.schema(found.schema).parquet(folder)))  # chance meetings end here
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return _verified(edges, sizes, docs, words, num, den, text, pairs)
 
 
