@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
@@ -386,13 +387,23 @@ def count(data: np.ndarray, offsets: np.ndarray, machine: Transducer) -> np.ndar
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+_held: dict[str, Transducer] = {}
+
+
+def held(path: str, shared: Broadcast) -> Transducer:
+    """The worker's own transducer: the driver's at first, then with all that the worker has compiled, for later jobs too."""
+    if path not in _held:
+        _held[path] = shared.value
+    return _held[path]
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Per row: ident, n_bytes, n_tokens, over_limit (n_tokens > limit). ``path``: a byte-level BPE file."""
     kind = docs.schema[ident].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(compiled(docs, path, text))  # vocabulary and a bounded table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
+        machine = held(path, shared)
         for batch, data, offsets in slices(batches, most=SLICE):
             tokens = count(data, offsets, machine)
             yield pa.RecordBatch.from_arrays(
