@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from jobtide.functions.scalar import RANGE_DAYS, date_range, days_between
 from jobtide.operators import analytics as A
 from jobtide.operators import lexicon as L
 from jobtide.operators import records as R
+from jobtide.plans import registry
 
 DAY = dt.datetime(2024, 1, 10)
 
@@ -115,3 +117,37 @@ def test_combined_score(spark):
     scores = spark.createDataFrame(rows, "pair_id string, dimension string, score int, matched array<string>, missing array<string>, suggestions array<string>")
     r = L.score_summary(scores, L.combine_scores(scores)).first()
     assert (r["score"], r["band"], r["strong"], r["weak"]) == (79, "good", ["experience", "projects", "skills"], [])
+
+
+#: Reviews of two users: order, line, round type, date. Both ends of the dates count; the order of user 3 has none within.
+REVIEWS = [
+    (1, 1, "N", dt.datetime(1996, 1, 1)), (1, 2, "A", dt.datetime(1999, 12, 31)), (1, 3, "R", dt.datetime(1997, 5, 5)), (1, 4, None, dt.datetime(1998, 1, 1)), (1, 5, "N", dt.datetime(1995, 12, 31)),
+    (2, 1, "A", dt.datetime(1997, 1, 1)), (2, 2, "A", dt.datetime(1997, 1, 1)), (2, 3, "R", None), (3, 1, "N", dt.datetime(2000, 1, 1)),
+]
+
+
+@pytest.fixture(scope="module")
+def review_tables(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("reviews"))
+    lines = spark.createDataFrame(REVIEWS, "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz")
+    rest = {"l_partkey": F.lit(6).cast("long"), "l_suppkey": F.lit(1).cast("long"), "l_quantity": F.lit(6.0), "l_extendedprice": F.lit(6.0), "l_linestatus": F.lit("O")}  # no ratings
+    lines.withColumns(rest).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+def test_counted_reviews_have_every_round_type(spark, review_tables):
+    """Neither round type nor ratings nor tags take a review out of the count; the SQL says the same."""
+    want = {7: 4, 8: 2}
+    assert {r["user_id"]: r["n"] for r in registry.queries()["flt4_count_reviews"](spark, review_tables).collect()} == want
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{review_tables}/{t}.parquet/*.parquet'")
+    assert dict(con.execute(registry.oracle_sql()["flt4_count_reviews"]).fetchall()) == want
+
+
+def test_count_reviews_by_date_and_round(spark):
+    rows = spark.createDataFrame([(1, *r) for r in REVIEWS], "user_id int, o long, l int, round_type string, interview_date timestamp")
+    n = lambda **bounds: [r["n"] for r in R.count_reviews(rows, **bounds).collect()]
+    dates = {"start": dt.datetime(1996, 1, 1), "end": dt.datetime(1999, 12, 31)}
+    assert (n(), n(**dates), n(**dates, round_type="A"), n(round_type="N"), n(round_type="X")) == ([9], [6], [3], [3], [])
