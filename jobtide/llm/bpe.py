@@ -52,9 +52,7 @@ class Codec:
         self.sign = [sign[b] for b in range(256)]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank: dict[tuple[str, str], int] = {}
-        for k, merge in enumerate(model["merges"]):
-            self.rank.setdefault(tuple(merge if isinstance(merge, list) else merge.split(" ")), k)
+        merges = list(dict.fromkeys(tuple(merge if isinstance(merge, list) else merge.split(" ")) for merge in model["merges"]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -63,7 +61,6 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.disputed, self.exact = self._disputed_letters()
         self.joined = self._pairs_inside()
-        merges = list(self.rank)
         self.inner, self.final = BPE(self.vocab, merges), BPE(self.vocab, merges, end_of_word_suffix=self.end)
 
     def _disputed_letters(self) -> tuple[re.Pattern, re.Pattern]:

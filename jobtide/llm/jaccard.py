@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.graph import components
-from jobtide.llm.textvec import LOWER, lists, mixed, signed, slices, span_hashes, word_spans
+from jobtide.llm.textvec import LOWER, give_back, lists, mixed, signed, slices, span_hashes, word_spans
 from jobtide.session import checkpointed, shared_folder
 
 FILTER_BITS = 1 << 26  # of the bit table that tells which sets a scan has to emit: 8 MB
@@ -56,6 +56,7 @@ STEP = 1024  # sets that are compared at a time
 SKETCH_BITS = 512
 COLUMNS = 2048  # n-grams of a product of indicator matrices at a time
 HELD_KEYS = 1 << 20  # keys that a task holds before it hands them on
+SHARES = 4  # lanes of a shuffle partition; a task handles the keys of one lane, or of a share of all lanes, at a time
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -199,6 +200,100 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, text: str, ident
     return docs.select(docs[ident].alias("ident"), docs[text].alias("text")).mapInArrow(run, f"ident {kind}, n_shingles bigint, cls bigint, proof bigint")
 
 
+def dealt(keys: list[np.ndarray], owners: list[np.ndarray], lanes: int) -> Iterator[pa.RecordBatch]:
+    """Keys and owners by lane, taken out of the lists; one batch for each of ``SHARES`` shares of the lanes, so that temporaries stay small."""
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    keys.clear()
+    owners.clear()
+    share = (key % np.uint64(SHARES)).astype(np.int8)  # of the lane too, as their number is a multiple
+    for k in range(SHARES):
+        if (mine := share == k).any():
+            yield _lane_rows(key[mine], owner[mine], lanes)
+
+
+def _lane_rows(key: np.ndarray, owner: np.ndarray, lanes: int) -> pa.RecordBatch:
+    """Of a group that is large already here, ``SMALL_GROUP`` + 1 sets go on; the others are members of the first one's group for sure."""
+    order = np.lexsort((owner, owner & 1, key))
+    key, owner = key[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    beyond = np.arange(len(key)) - np.repeat(first, size) > SMALL_GROUP
+    edges, many = np.unique(np.stack([owner[np.repeat(first, size)[beyond]] & ~15, owner[beyond]], 1), axis=0, return_counts=True)
+    key, owner = key[~beyond], owner[~beyond]
+    lane = np.concatenate([(key % np.uint64(lanes)).astype(np.int32), (edges[:, 1].view(np.uint64) // np.uint64(16) % np.uint64(lanes)).astype(np.int32)])
+    values = np.concatenate([signed(key), edges[:, 0]]), np.concatenate([owner, edges[:, 1]])
+    kind = np.repeat([0, 1], [len(key), len(edges)])
+    order = np.lexsort((lane, kind))
+    group = kind[order] * lanes + lane[order]
+    found, at = np.unique(group, return_index=True)
+    ends = np.append(at, len(order))
+    many = lists(many[order[len(key) :] - len(key)].astype(np.int32), np.maximum(0, ends - len(key)))  # of members alone, which come last
+    return pa.RecordBatch.from_arrays(
+        [pa.array((found % lanes).astype(np.int32)), pa.array(found >= lanes), lists(values[0][order], ends), lists(values[1][order], ends), many], ["lane", "edge", "keys", "owners", "many"]
+    )
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``met`` from rows in order of their lanes; one lane's keys are held at a time."""
+    last, keys, owners = None, [], []
+    for batch in batches:
+        for lane, edge, key, owner, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+            if lane != last:
+                yield from _meetings(keys, owners)
+                last, keys, owners = lane, [], []
+            if edge:
+                yield _members(np.asarray(key.values), np.asarray(owner.values), np.asarray(many.values))
+            else:
+                keys.append(np.asarray(key.values).view(np.uint64))
+                owners.append(np.asarray(owner.values))
+    yield from _meetings(keys, owners)
+
+
+def _meetings(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``met`` from all keys of a lane."""
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    role = (owner & 1).astype(bool)
+    mixed_roles = np.add.reduceat(~role, first) > 0
+    first, size = first[mixed_roles], size[mixed_roles]
+    pairs = []
+    for s in range(2, SMALL_GROUP + 1):
+        at = first[size == s]
+        if len(at):
+            i, j = np.triu_indices(s, 1)
+            x, y = owner[at[:, None] + i].ravel(), owner[at[:, None] + j].ravel()
+            keep = (x & y & 1) == 0
+            pairs.append(np.sort(np.stack([x[keep], y[keep]], 1), 1))
+    if pairs:
+        pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        yield _shown(pair[:, 0] & ~15, pair[:, 1] & ~15, pair[:, 0] & 1, pair[:, 1] & 1, n, np.minimum(sure_matches(pair[:, 0] & 15), sure_matches(pair[:, 1] & 15)))
+    stars = []
+    for f, k in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
+        own = owner[f : f + k]
+        stars.append(np.stack([np.full(k, own.min() & ~15), own], 1))
+    if stars:
+        star, many = np.unique(np.concatenate(stars), axis=0, return_counts=True)
+        yield _members(star[:, 0], star[:, 1], many)
+
+
+def _members(hub: np.ndarray, owner: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return _shown(hub, owner & ~15, np.full(len(hub), -1), owner & 1, many, least_matches(owner & 15))
+
+
+def _shown(a: np.ndarray, b: np.ndarray, *small: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in small)], ["a", "b", "ra", "rb", "n", "need"])
+
+
 def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame:
     """Classes that share keys, as rows a, b, ra, rb, n, need.
 
@@ -206,9 +301,8 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
     class of the group, the member, -1, its role, the number of such groups, its least matches; the first is its own member.
     Sets that are both of the upper band of a scheme meet in their own scheme, so not here.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lanes = 4 * parts
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = SHARES * parts
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has emitted; forgetting some costs only repeated rows
@@ -224,81 +318,12 @@ def met(docs: DataFrame, words: int, num: int, den: int, text: str) -> DataFrame
                     owners.append(cls + tag)
                     held += len(got)
             if held > HELD_KEYS:
-                yield dealt(np.concatenate(keys), np.concatenate(owners))
-                keys, owners, held = [], [], 0
-        if held:
-            yield dealt(np.concatenate(keys), np.concatenate(owners))
-
-    def dealt(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        """Keys and owners by lane. Of a group that is large already here, ``SMALL_GROUP`` + 1 sets go on; the others are members of the first one's group for sure."""
-        order = np.lexsort((owner, owner & 1, key))
-        key, owner = key[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        beyond = np.arange(len(key)) - np.repeat(first, size) > SMALL_GROUP
-        edges, many = np.unique(np.stack([owner[np.repeat(first, size)[beyond]] & ~15, owner[beyond]], 1), axis=0, return_counts=True)
-        key, owner = key[~beyond], owner[~beyond]
-        lane = np.concatenate([(key % np.uint64(lanes)).astype(np.int32), (edges[:, 1].view(np.uint64) // np.uint64(16) % np.uint64(lanes)).astype(np.int32)])
-        values = np.concatenate([signed(key), edges[:, 0]]), np.concatenate([owner, edges[:, 1]])
-        kind = np.repeat([0, 1], [len(key), len(edges)])
-        order = np.lexsort((lane, kind))
-        group = kind[order] * lanes + lane[order]
-        found, at = np.unique(group, return_index=True)
-        ends = np.append(at, len(order))
-        many = lists(many[order[len(key) :] - len(key)].astype(np.int32), np.maximum(0, ends - len(key)))  # of members alone, which come last
-        return pa.RecordBatch.from_arrays(
-            [pa.array((found % lanes).astype(np.int32)), pa.array(found >= lanes), lists(values[0][order], ends), lists(values[1][order], ends), many], ["lane", "edge", "keys", "owners", "many"]
-        )
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
-        for batch in batches:
-            for edge, key, owner, many in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                if edge:
-                    yield members(np.asarray(key.values), np.asarray(owner.values), np.asarray(many.values))
-                else:
-                    keys.append(np.asarray(key.values).view(np.uint64))
-                    owners.append(np.asarray(owner.values))
-        if not keys:
-            return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[new], owner[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        role = (owner & 1).astype(bool)
-        mixed_roles = np.add.reduceat(~role, first) > 0
-        first, size = first[mixed_roles], size[mixed_roles]
-        pairs = []
-        for s in range(2, SMALL_GROUP + 1):
-            at = first[size == s]
-            if len(at):
-                i, j = np.triu_indices(s, 1)
-                x, y = owner[at[:, None] + i].ravel(), owner[at[:, None] + j].ravel()
-                keep = (x & y & 1) == 0
-                pairs.append(np.sort(np.stack([x[keep], y[keep]], 1), 1))
-        if pairs:
-            pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            yield shown(pair[:, 0] & ~15, pair[:, 1] & ~15, pair[:, 0] & 1, pair[:, 1] & 1, n, np.minimum(sure_matches(pair[:, 0] & 15), sure_matches(pair[:, 1] & 15)))
-        stars = []
-        for f, k in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
-            own = owner[f : f + k]
-            stars.append(np.stack([np.full(k, own.min() & ~15), own], 1))
-        if stars:
-            star, many = np.unique(np.concatenate(stars), axis=0, return_counts=True)
-            yield members(star[:, 0], star[:, 1], many)
-
-    def members(hub: np.ndarray, owner: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        return shown(hub, owner & ~15, np.full(len(hub), -1), owner & 1, many, least_matches(owner & 15))
-
-    def shown(a: np.ndarray, b: np.ndarray, *small: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in small)], ["a", "b", "ra", "rb", "n", "need"])
+                yield from dealt(keys, owners, lanes)
+                held = 0
+        yield from dealt(keys, owners, lanes)
 
     rows = docs.select(docs[text].alias("text")).mapInArrow(keyed, "lane int, edge boolean, keys array<bigint>, owners array<bigint>, many array<int>")
-    return rows.repartition(parts, "lane").select("edge", "keys", "owners", "many").mapInArrow(grouped, "a bigint, b bigint, ra int, rb int, n int, need int")
+    return rows.repartitionById(parts, F.col("lane") % parts).sortWithinPartitions("lane").mapInArrow(grouped, "a bigint, b bigint, ra int, rb int, n int, need int")
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -466,6 +491,7 @@ def _verified(edges: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, n
         return pa.table({"cls": cls[some], "n": n[some].astype(np.int64), "least": least[some]})
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.combine_chunks()
         cls, label, block = (table.column(c).to_numpy() for c in ("cls", "label", "block"))
         grams = table.column("grams").combine_chunks()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,9 +40,21 @@ def with_text(docs: DataFrame, text: str, keep: tuple[str, ...], *more: str) ->
     return docs.select(*keep, *own, *more)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on from job to job, and what it keeps counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, of about ``most`` bytes and ``rows`` rows at most, with the bytes and offsets of their texts."""
     for batch in batches:
+        give_back()
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         row = 0
         while row < batch.num_rows:
@@ -113,7 +126,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span of the bytes, from one pass of a rolling polynomial."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(21, int(len(data)).bit_length())  # one size for all slices but very long texts
+    size = 1 << max(20, (len(data) - 1).bit_length())  # one size for all slices but very long texts
     up, down = _powers(size)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -465,6 +467,54 @@ def test_a_common_line_makes_no_family(spark):
     assert got == {k: k for k, _ in rows} | {6000: 0, 6001: 1}
 
 
+def test_keys_are_dealt_and_met_in_bounded_memory(monkeypatch):
+    """A task's arrays stay within a few times the keys it holds (16 bytes each), and one lane of a partition is met at a time."""
+
+    class Frame:
+        """Keeps what a job would run in tasks."""
+
+        def __init__(self):
+            self.tasks = []
+            self.sparkSession = self.conf = self
+
+        def __getitem__(self, name):
+            return self
+
+        def get(self, name):
+            return "1"
+
+        def mapInArrow(self, run, kind):
+            self.tasks.append(run)
+            return self
+
+        def __getattr__(self, name):
+            return lambda *_: self
+
+    def peak(batches):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = list(batches)
+        return out, tracemalloc.get_traced_memory()[1] - before
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, np.uint64)) for _ in range(1200)]
+    monkeypatch.setattr(jaccard, "ngram_sets", lambda data, offsets, n: sets)
+    monkeypatch.setattr(jaccard.F, "col", lambda name: 0)
+    frame = Frame()
+    jaccard.met(frame, 5, 80, 100, "text")
+    deal, meet = frame.tasks
+    tracemalloc.start()
+    try:
+        rows, dealing = peak(deal(iter([pa.RecordBatch.from_pydict({"text": ["x"]})])))
+        table = pa.Table.from_batches(rows).combine_chunks()
+        held = 16 * len(table["keys"].combine_chunks().values)
+        assert held > 1_900_000 and dealing < 6 * held
+        found, meeting = peak(meet(iter(table.sort_by("lane").to_batches())))
+        assert found and meeting < 2 * held
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("parts", [1, 12])
 def test_links_through_large_groups_alone(spark, parts):
     """Many texts that differ in one word each: all their keys are in large groups, over several tasks."""
