@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.llm.langid import crc_mod
-from jobtide.llm.textvec import of_text, slices, span_hashes, word_spans
+from jobtide.llm.textvec import give_back, of_text, slices, span_hashes, word_spans
 
 PASSAGE = 512
 SLICE, SLICE_ROWS = 1 << 20, 4096  # of texts encoded at a time
@@ -191,7 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     got = sample(docs, labels, label, rows).mapInArrow(encode, "bag binary, label int").collect()  # 4 * rows at most
     got.sort(key=lambda r: (r["label"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
-    return fit(bags, np.array([r["label"] for r in got]))
+    model = fit(bags, np.array([r["label"] for r in got]))
+    del got, bags
+    give_back()  # of the driver's memory
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

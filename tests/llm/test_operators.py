@@ -560,6 +560,19 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_components_keep_the_driver_s_plans_small(spark, monkeypatch):
+    """No plan of a round reads what it is made of more than twice (once for the minima, once to join them); stars need no round."""
+    plans, cut = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    path = spark.createDataFrame([((k * 37) % 101, (k * 37 + 37) % 101) for k in range(100)], "a long, b long")
+    assert {tuple(r) for r in graph.components(path).collect()} == {(k, 0) for k in range(101)}
+    assert len(plans) > 3 and max(p.count("Join ") for p in plans) == 1 and max(p.count("Aggregate ") for p in plans) <= 2
+    plans.clear()
+    stars = spark.createDataFrame([(k, k % 7) for k in range(7, 100)] + [(0, 14)], "a long, b long")
+    assert {tuple(r) for r in graph.components(stars).collect()} == {(k, k % 7) for k in range(100)}
+    assert len(plans) == 1
+
+
 # 8: Ogg
 
 
