@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from jobtide.operators.jd import WHITE
+from jobtide.operators.resume import let
 from jobtide.sources.tables import KeyedTable
 
 SIMPLE_STATUSES = ("preparing", "applied", "interviewing", "offered", "rejected")
@@ -71,9 +76,28 @@ def _within(column: str, least: int, most: int | None = None, null: bool = True)
     return F.coalesce(ok, F.lit(null))
 
 
+#: White space of Unicode; the four separators of ASCII, which ``WHITE`` has too, count as characters.
+BLANKS = "".join(c for c in WHITE if not "\x1c" <= c <= "\x1f")
+
+
+def _bare(text: Column) -> Column:
+    """Without blanks at both ends; a long text is gone through for that only if another one than the space ends it."""
+
+    def end(x: Column) -> Column:
+        other = reduce(or_, (F.endswith(x, F.lit(c)) for c in BLANKS if c != " "))
+        return F.when(other, F.rtrim(x, F.lit(BLANKS))).otherwise(x)
+
+    return let(F.rtrim(F.ltrim(text, F.lit(BLANKS))), end)
+
+
 def _short(column: str, most: int, least: int = 0, null: bool = True, trim: bool = False) -> Column:
-    size = F.length(F.trim(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")) if trim else F.col(column))
-    return F.coalesce(size.between(least, most), F.lit(null))
+    """A length in its bounds. A character has one to four bytes: characters are counted where the bytes leave it open."""
+
+    def fits(x: Column) -> Column:
+        size, n = F.octet_length(x), F.length(x)
+        return ((size >= 4 * least) | (n >= least)) & ((size <= most) | ((size <= 4 * most) & (n <= most)))
+
+    return F.coalesce(let(_bare(F.col(column)), fits) if trim else fits(F.col(column)), F.lit(null))
 
 
 RATINGS = ("overall_rating", "technical_rating", "communication_rating", "problem_solving_rating", "cultural_fit_rating", "confidence_level", "stress_level")

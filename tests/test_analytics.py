@@ -1,6 +1,8 @@
 """Worked cases of the analytics, gates, scores and histories."""
 
 import datetime as dt
+import os
+import time
 
 import duckdb
 import pytest
@@ -112,6 +114,24 @@ def test_rules_of_rows(spark):
     assert [r["violations"] for r in R.validate_rows(rows, R.status_rules(rows.columns)).collect()] == [[], ["new_status", "notes"]]
 
 
+def test_rules_of_long_texts(spark):
+    """Blanks at the ends don't count, those inside do and cost no more than letters; characters count, not bytes."""
+    blanks, few = "\u3000 \x85\n", ("c", "t")
+    texts = ["中" * 50_000, "中" * 50_001, "𝄞" * 50_000, "𝄞" * 50_001, blanks + "j" * 50_000 + " \t" + blanks + "  ", blanks * 20_000, "\x1f", "a" + " " * 49_998 + "b", "a" + "\n " * 150_000 + "b", None]
+    rows = spark.createDataFrame([(k, *few, x) for k, x in enumerate(texts)], "id int, company_name string, job_title string, jd_text string").coalesce(1)
+    start = time.monotonic()
+    got = {r["id"]: r["violations"] for r in R.validate_rows(rows, R.application_rules(rows.columns)).select("id", "violations").collect()}
+    assert time.monotonic() - start < 15
+    assert got == {k: ["jd_text"] if k in (1, 3, 5, 8, 9) else [] for k in range(len(texts))}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_applications_are_checked_by_all_cores(spark):
+    rows = registry.queries()["flt6_validate_applications"](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_combined_score(spark):
     rows = [("p", d, s, ["a"], ["b"], ["c"]) for d, s in (("skills", 85), ("experience", 75), ("projects", 80), ("education", 70))]
     scores = spark.createDataFrame(rows, "pair_id string, dimension string, score int, matched array<string>, missing array<string>, suggestions array<string>")
