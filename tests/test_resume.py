@@ -1,6 +1,8 @@
 """Résumé and document operators against plain versions and worked cases."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +179,32 @@ def test_interview_brief(spark):
     assert (got[2], got[3], got[4]) == ("raw", "", "## 个人信息")
 
 
+def test_long_lines_are_gone_through_once(spark):
+    """A line with a key word that no pattern takes costs as much as its length, not its square; what follows it is still found."""
+    long = "words and " * 8_000
+    entries = [f"no schooling\n{long}\n{long}School of Arts and Law, Bachelor 2016 - 2020", f"no schooling {long}", "某某学院 大专"]
+    rows = spark.createDataFrame([(entries, [f"Acme Inc\n-engineer {long}\nTitle: Senior Data Engineer", f"{long}, Inc"])], "e array<string>, w array<string>").coalesce(1)
+    start = time.monotonic()
+    got = rows.select(R.parse_education(F.col("e")).alias("e"), R.parse_experience(F.col("w")).alias("w")).first()
+    assert time.monotonic() - start < 20
+    assert [(x["school"], x["degree"]) for x in got["e"]] == [("某某学院", "专科")]
+    assert [(x["company"], x["title"]) for x in got["w"]] == [("Acme Inc", "Senior Data Engineer")]
+
+
+def test_runs_begin_where_any_match_does(spark):
+    """The patterns of RUNS, tried at the beginnings of their runs alone, give what they give when tried everywhere."""
+    rnd = random.Random(4)
+    bits = ("School", " of ", " Arts", ",", "\n", " ", "-", "College\t", "公司", "Inc", "Senior", "Engineer", "Manager ", "𝄞", "\r", "\x85", "Développeur", "3")
+    patterns = [p for p in (*R.SCHOOLS, *R.COMPANIES, *R.TITLES, r"([^\n]*?经理[^\n]{0,10})") if any(p.startswith(x) for x in R.RUNS)]
+    assert len(patterns) == 4
+    rows = spark.createDataFrame([("".join(rnd.choice(bits) for _ in range(rnd.choice((3, 9, 30)))) + rnd.choice(("", "经理")),) for _ in range(400)], "t string")
+    for p in patterns:
+        behind = next(y for x, y in R.RUNS.items() if p.startswith(x))
+        one, other = (F.regexp_extract("t", "(?iU)" + x + p, 1) for x in ("", behind))
+        assert rows.filter(one != other).count() == 0
+        assert rows.filter(one != "").count() > 20
+
+
 def test_vault_card(spark):
     data = [(1, 3, (("Ann", None), [("MIT", None, None)], [("Acme", "Dev", None), ("B", "x", None)], [(f"s{k}",) for k in range(10)])), (2, None, ((None, None), [], [], []))]
     rows = D.vault_card(spark.createDataFrame(data, f"user_id int, version int, structured_data {VAULT}")).collect()
